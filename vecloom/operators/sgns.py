@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import rng
 from vecloom.functions.vectors import dot, mean_vector, sigmoid
+from vecloom.operators.storage import ship
 
 FLOOR = 1e-6
 
@@ -143,7 +144,7 @@ class Trainer:
                 self.params[k] = np.where(n > self.max_norm, p * self.max_norm / np.maximum(n, 1e-12), p)
 
     def _gradient(self, pairs: DataFrame, step: int):
-        spark, sent = pairs.sparkSession, None
+        spark = ship(pairs.sparkSession)
         sent = spark.sparkContext.broadcast(self.params)
         width, vocab, seed = self.negatives, self.vocab, self.seed
 

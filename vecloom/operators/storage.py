@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ship(spark):
+    """Let Python workers that see this folder import the package; elsewhere submit it with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    return spark
+
+
 def save_embeddings(embeddings: DataFrame, folder: str, epoch: int, step: int) -> None:
     """A checkpoint of the epoch, and the last one."""
     embeddings.write.mode("overwrite").parquet(f"{folder}/checkpoint_{epoch:06d}_{step:09d}")
