@@ -90,8 +90,8 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, token
         def rows():
             for batch in batches:
                 for part, texts in steps(batch):
-                    for doc, text in zip(part.column(0).to_pylist(), texts):
-                        ids = enc.encode(text.decode("utf-8", "replace")) + end
+                    for doc, ids in zip(part.column(0).to_pylist(), enc.encode_all([t.decode("utf-8", "replace") for t in texts])):
+                        ids += end
                         n, at, k = len(ids) // 4, 0, 0
                         while at < n:
                             size = (n - 1) % capacity + 1 if at == 0 else capacity

@@ -8,14 +8,15 @@ The strings of special tokens are ordinary text.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
 
 import numpy as np
 
-from vecloom.llm.common import CACHE_WORDS
-
+#: Pieces that a worker keeps.
+KEPT_PIECES = 1_000_000
 #: Letters and numbers among the plain characters: fixed values of Unicode.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _NUMBER = "0-9²³¹¼-¾"
@@ -42,16 +43,20 @@ class Encoder(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, piece):
-        if len(self) >= CACHE_WORDS:
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Pieces that aren't known yet go to the library in one call."""
+        pieces = [None if _ODD.search(t) else _PIECE.findall(t) for t in texts]
+        new = [p for p in set(itertools.chain.from_iterable(filter(None, pieces))) if p not in self]
+        if len(self) + len(new) > KEPT_PIECES:
             self.clear()
-        ids = self[piece] = self.whole(piece)
-        return ids
+            new = list(set(itertools.chain.from_iterable(filter(None, pieces))))
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self[p] = np.array(e.ids, "<u4").tobytes()
+        get = self.__getitem__
+        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces)]
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, _PIECE.findall(text)))
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -155,8 +155,8 @@ def write_shards(docs: DataFrame, end_id: int = 0, tokenizer: str | None = None,
         total = 0
         for batch in batches:
             for rows, texts in steps(batch):
-                for doc, text in zip(rows.column(0).to_pylist(), texts):
-                    b = enc.encode(text.decode("utf-8", "replace")) + end
+                for doc, b in zip(rows.column(0).to_pylist(), enc.encode_all([t.decode("utf-8", "replace") for t in texts])):
+                    b += end
                     held.append(b)
                     ids_of.append(doc)
                     lengths.append(len(b) // 4)
