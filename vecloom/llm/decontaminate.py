@@ -95,12 +95,16 @@ def _vectors(flat, idf_of, vocab, start, end):
     return row, col, np.sqrt(tf) * idf_of(vocab[col])
 
 
-def _dense(row, col, weight, rows, matrix):
-    """Sparse rows times a matrix."""
+def _dense(row, col, weight, rows, matrix, block: int = 32):
+    """Sparse rows times a matrix; few rows at a time, so that what is gathered stays in the cache."""
     out = np.zeros((rows, matrix.shape[1]), matrix.dtype)
     if len(row):
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        out[row[first]] = np.add.reduceat(matrix[col] * weight[:, None].astype(matrix.dtype), first)
+        n = np.bincount(row, minlength=rows)
+        place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        cols, weights = np.zeros((rows, n.max()), np.int64), np.zeros((rows, n.max()), matrix.dtype)
+        cols[row, place], weights[row, place] = col, weight
+        for k in range(0, rows, block):
+            out[k : k + block] = np.matmul(weights[k : k + block, None, :], matrix[cols[k : k + block]])[:, 0]
     return out
 
 
