@@ -41,7 +41,8 @@ class _Words(dict):
     def __missing__(self, word):
         if len(self) >= CACHE_WORDS:
             self.clear()
-        core = word.decode("utf-8", "replace").lower().strip(PUNCTUATION)
+        # of ASCII letters and digits alone: nothing to strip, and the same digest
+        core = word.lower() if word.isalnum() else word.decode("utf-8", "replace").lower().strip(PUNCTUATION)
         h = self[word] = (xxhash.xxh3_64_intdigest(core) | 1) if core else 0
         return h
 
@@ -76,7 +77,11 @@ def idf_table(docs: DataFrame) -> np.ndarray:
 
     def slots(batch):
         for _, texts in steps(batch):
-            yield np.concatenate([np.zeros(0, np.int64), *((np.fromiter({_words[w] for w in set(t.split())} - {0}, np.uint64) % np.uint64(SLOTS)).astype(np.int64) for t in texts if t)]).astype(np.int64)
+            held: list = []
+            for t in texts:
+                held.extend(set(map(_words.__getitem__, t.split())))
+            met = np.array(held, np.uint64)
+            yield (met[met != 0] % np.uint64(SLOTS)).astype(np.int64)
 
     counts = count_table(slim(docs), slots, SLOTS)
     n = max(1, docs.count())
