@@ -108,6 +108,56 @@ def hash_words(word_lists):
     return flat, lens
 
 
+#: Bytes of text that one vectorised hashing step takes, so that its columns stay in the cache.
+BLOCK = 1 << 18
+_PRIME = 0x9E3779B97F4A7C15
+_BYTES = np.arange(256, dtype=np.uint8)
+_IN_WORD = ~np.isin(_BYTES, np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+_UPPER = (_BYTES >= 65) & (_BYTES <= 90)
+
+
+def _powers(n, base):
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]))
+
+
+_TIMES, _OVER = _powers(BLOCK, _PRIME), _powers(BLOCK, pow(_PRIME, -1, 1 << 64))
+
+
+def word_spans(texts):
+    """Words of texts (bytes): (all bytes, starts, ends, number of the text, number of the line
+    within the text) of each word, as numpy columns."""
+    buf = np.frombuffer(b"\n".join(texts), np.uint8)
+    inside = np.zeros(len(buf) + 2, bool)
+    inside[1:-1] = _IN_WORD[buf]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    first = np.cumsum(sizes) - sizes
+    text = np.searchsorted(first, starts, side="right") - 1
+    breaks = np.flatnonzero(buf == 10)
+    line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, first)[text]
+    return buf, starts, ends, text, line
+
+
+def span_hashes(buf, starts, ends):
+    """64-bit hashes of words with A-Z lower-cased, by differences of one running polynomial sum."""
+    letters = mix((_BYTES + 32 * _UPPER).astype(np.uint64) + np.uint64(0xD1B54A32D192ED03))
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    with np.errstate(over="ignore"):
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, side="right")))
+            a, b = int(starts[i]), int(ends[j - 1])
+            times = _TIMES if b - a <= BLOCK else _powers(b - a, _PRIME)
+            total = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(letters[buf[a:b]] * times[: b - a], out=total[1:])
+            s = starts[i:j] - a
+            out[i:j] = (total[ends[i:j] - a] - total[s]) * _OVER[np.minimum(s, BLOCK)]
+            i = j
+    return mix(out)
+
+
 def mix(x):
     """Finaliser of 64-bit hashes."""
     with np.errstate(over="ignore"):
@@ -170,10 +220,14 @@ def slim(docs: DataFrame, *more: str) -> DataFrame:
 # ---------------------------------------------------------------- packed columns
 
 
+def _planes(a) -> bytes:
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
+
+
 def pack(*arrays) -> bytes:
-    """Little-endian numpy columns as one zstd blob."""
+    """Little-endian numpy columns as one zstd blob, each column by byte planes."""
     head = np.array([len(arrays), *itertools.chain.from_iterable((len(a), np.dtype(a.dtype).num) for a in arrays)], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(_planes(a) for a in arrays)]))
 
 
 _KINDS = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.uint16, np.int16, np.int32, np.uint32, np.int64, np.uint64, np.float32, np.float64)}
@@ -186,7 +240,8 @@ def unpack(blob: bytes):
     at, out = 8 + 16 * n, []
     for k in range(n):
         kind = _KINDS[int(head[2 * k + 1])]
-        out.append(np.frombuffer(raw, kind, int(head[2 * k]), at))
+        planes = np.frombuffer(raw, np.uint8, kind.itemsize * int(head[2 * k]), at).reshape(kind.itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
         at += kind.itemsize * int(head[2 * k])
     return out
 

@@ -19,12 +19,13 @@ empty result. Other columns stay where rows do.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import bitmap, buckets_for, by_bucket, count_table, hash_words, materialize, mix, pack, steps, test_bits, unpack
+from vecloom.llm.common import BLOCK, bitmap, buckets_for, by_bucket, count_table, materialize, mix, pack, release, span_hashes, steps, test_bits, unpack, word_spans
 
 SLOTS = 1 << 22
 CELLS = 1 << 26
@@ -33,6 +34,8 @@ PARTNERS = 2
 LINES = 1 << 14
 RN = "__vl_rn"
 FIRST = -(1 << 63)
+#: Class of a token that all documents hold once; no line shares it.
+ONCE = np.uint64(2)
 _TOKEN = np.uint64((1 << 50) - 1)
 
 
@@ -45,21 +48,22 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def _lines(rows, texts, min_words):
-    """Lines of a step that take part: (doc, row number << 32 | line number, words)."""
-    ids, rn = rows.column(0).fill_null(FIRST).to_pylist(), rows.column(2).to_pylist()
-    doc, line, words = [], [], []
-    for d, r, t in zip(ids, rn, texts):
-        for k, x in enumerate(t.lower().split(b"\n")):
-            w = x.split()
-            if len(w) >= min_words:
-                doc.append(d)
-                line.append(r << 32 | k)
-                words.append(w)
-                if len(words) == LINES:
-                    yield np.array(doc, np.int64), np.array(line, np.int64), words
-                    doc, line, words = [], [], []
-    if words:
-        yield np.array(doc, np.int64), np.array(line, np.int64), words
+    """Lines of a step that take part: (doc, row number << 32 | line number, hashes of all words,
+    numbers of words)."""
+    ids, rn = rows.column(0).fill_null(FIRST).to_numpy(), rows.column(2).to_numpy().astype(np.int64)
+    buf, starts, ends, text, line = word_spans(texts)
+    if not len(starts):
+        return
+    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (line[1:] != line[:-1])]))
+    n = np.diff(np.append(new, len(starts)))
+    words = np.repeat(n >= min_words, n)
+    new, n = new[n >= min_words], n[n >= min_words]
+    h = span_hashes(buf, starts[words], ends[words])
+    doc, row = ids[text[new]], rn[text[new]] << 32 | line[new]
+    cuts = np.concatenate([[0], np.cumsum(n)])
+    for k in range(0, len(n), LINES):
+        e = min(k + LINES, len(n))
+        yield doc[k:e], row[k:e], h[cuts[k] : cuts[e]], n[k:e]
 
 
 def ragged(values, starts, lens, order):
@@ -118,24 +122,31 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> Da
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(RN).cast("int").alias(RN))
 
     def slots(batch):
-        for _, texts in steps(batch):
-            h, _ = hash_words([list(set(t.lower().split())) for t in texts])
-            yield (h % np.uint64(SLOTS)).astype(np.int64)
+        held, size = [], 0
+        for _, texts in steps(batch, limit=BLOCK):
+            h = span_hashes(*word_spans(texts)[:3])
+            held.append((h % np.uint64(SLOTS)).astype(np.int64))
+            size += len(h)
+            if size >= SLOTS:
+                yield np.concatenate(held)
+                held, size = [], 0
+        if held:
+            yield np.concatenate(held)
 
     counts = count_table(base, slots, SLOTS)
     rarity = spark.sparkContext.broadcast(np.minimum(63, 2 * np.log2(counts + 1)).astype(np.uint8))
-    size = (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 40
+    size = int(counts.sum()) // 6
     per = buckets_for(spark, size // 8, 100_000)
     per_token = buckets_for(spark, size, 400_000)
 
-    def tokens(words):
-        """Sorted distinct tokens of each line: (token, its place in its line, lines' lengths)."""
-        h, lens = hash_words(words)
-        lid = np.repeat(np.arange(len(words), dtype=np.uint64), lens)
+    def tokens(h, lens):
+        """Sorted distinct tokens of each line: (token, its place in its line, lines' lengths, their
+        starts, token's line)."""
+        lid = np.repeat(np.arange(len(lens), dtype=np.uint64), lens)
         u = np.sort(lid << np.uint64(50) | rarity.value[(h % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(44) | h >> np.uint64(20))
         u = u[np.concatenate([[True], u[1:] != u[:-1]])]
         lid = (u >> np.uint64(50)).astype(np.int64)
-        n = np.bincount(lid, minlength=len(words))
+        n = np.bincount(lid, minlength=len(lens))
         start = np.cumsum(n) - n
         return u & _TOKEN, np.arange(len(u)) - start[lid], n, start, lid
 
@@ -156,9 +167,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> Da
                 yield _row(1, k, pack(doc[rows], line[rows]))
 
         for batch in batches:
-            for rows, texts in steps(batch):
-                for doc, line, words in _lines(rows, texts, min_words):
-                    tok, pos, n, start, lid = tokens(words)
+            for rows, texts in steps(batch, limit=BLOCK):
+                for doc, line, h, words in _lines(rows, texts, min_words):
+                    tok, pos, n, start, lid = tokens(h, words)
                     keep = n >= min_words
                     with np.errstate(over="ignore"):
                         k0, k1 = np.add.reduceat(mix(tok), start), np.add.reduceat(mix(tok ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start)
@@ -192,6 +203,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> Da
             m = p[order]
             pos = (np.arange(len(tok)) - np.repeat(np.cumsum(m) - m, m)).astype(np.int32)
             of = np.repeat(order, m)
+            shared = np.lexsort((line[of], doc[of], tok))
+            shared = shared[tok[shared] >> np.uint64(44) > ONCE]
+            tok, pos, of = tok[shared], pos[shared], of[shared]
             for k, cols in by_bucket((mix(tok) % np.uint64(per_token)).astype(np.int64), tok, doc[of], line[of], n[of], pos, bits[of]):
                 out.append((1, k, pack(*cols)))
         if gone:
@@ -219,11 +233,24 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> Da
         (yd, yl, xd, xl), _ = candidates(cols, percent, None, lambda a, d, l: np.fromiter((x in asked for x in zip(a.view(np.int64).tolist(), d.tolist(), l.tolist())), bool, len(a)))
         return _pair_table(0, 0, np.zeros(len(yd), np.int64), yd, yl, xd, xl)
 
+    def wanted_only(tokens_):
+        def pick(batches):
+            for batch in batches:
+                for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    cols = unpack(blob)
+                    near = test_bits(tokens_.value, mix(cols[0]) % np.uint64(CELLS))
+                    if near.any():
+                        yield pa.record_batch([pa.array([b], pa.int64()), pa.array([pack(*(c[near] for c in cols))], pa.binary())], ["bucket", "blob"])
+
+        return pick
+
     tried = materialize(postings.groupBy("bucket").applyInArrow(first_round, PAIR), "candidates")
     similar = _verified(base, tried.where("kind = 0").select("yd", "yl", "xd", "xl").distinct(), percent, min_words)
     left = tried.where("kind = 1").select("bucket", "tok", "yd", "yl").join(similar, ["yd", "yl"], "left_anti")
+    left = materialize(left, "left")
     if not left.isEmpty():
-        again = postings.groupBy("bucket").cogroup(left.groupBy("bucket")).applyInArrow(second_round, PAIR)
+        bits = spark.sparkContext.broadcast(bitmap(left.select("tok"), lambda batch: [np.unique(mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(CELLS))], CELLS, least=1))
+        again = postings.mapInArrow(wanted_only(bits), "bucket long, blob binary").groupBy("bucket").cogroup(left.groupBy("bucket")).applyInArrow(second_round, PAIR)
         similar = similar.unionByName(_verified(base, again.select("yd", "yl", "xd", "xl").distinct(), percent, min_words)).distinct()
 
     def spread(batches):
@@ -233,7 +260,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> Da
                 yield pa.record_batch([pa.array(doc), pa.array(line)], ["doc", "line"])
 
     copies = settled.where("kind = 0").select("blob").mapInArrow(spread, "doc long, line long")
-    return copies.unionByName(similar.select(F.col("yd").alias("doc"), F.col("yl").alias("line")))
+    gone = materialize(copies.unionByName(similar.select(F.col("yd").alias("doc"), F.col("yl").alias("line"))), "gone")
+    release(settled, tried)
+    return gone
 
 
 def _cell(doc, line):
@@ -242,27 +271,30 @@ def _cell(doc, line):
 
 
 def _verified(base: DataFrame, pairs: DataFrame, percent: int, min_words: int) -> DataFrame:
-    """Later lines (yd, yl) of pairs whose whole sets are similar. A bitmap of fixed width says which
-    lines' sets to read; lines that it lets through by chance find no partner in the join."""
+    """Later lines (yd, yl) of pairs whose whole sets are similar. Two bitmaps of fixed width say which
+    lines' sets to read for either side; lines that these let through by chance find no partner in the join."""
     spark = base.sparkSession
     pairs = materialize(pairs, "pairs")
 
-    def cells(batch):
-        for a, b in ((0, 1), (2, 3)):
-            yield np.unique(_cell(batch.column(a).to_numpy(), batch.column(b).to_numpy()))
+    def side(k):
+        cells = lambda batch: [np.unique(_cell(batch.column(k).to_numpy(), batch.column(k + 1).to_numpy()))]
+        return spark.sparkContext.broadcast(bitmap(pairs, cells, CELLS, least=1))
 
-    bits = spark.sparkContext.broadcast(bitmap(pairs, cells, CELLS, least=1))
+    later, earlier = side(0), side(2)
 
     def sets(batches):
         for batch in batches:
-            for rows, texts in steps(batch):
-                for doc, line, words in _lines(rows, texts, min_words):
-                    ok = np.flatnonzero(test_bits(bits.value, _cell(doc, line)))
+            for rows, texts in steps(batch, limit=BLOCK):
+                for doc, line, h, n in _lines(rows, texts, min_words):
+                    cell = _cell(doc, line)
+                    y, x = test_bits(later.value, cell), test_bits(earlier.value, cell)
+                    ok = np.flatnonzero(x | y)
                     if len(ok):
-                        made = [np.unique(hash_words([words[k]])[0]).tobytes() for k in ok.tolist()]
-                        yield pa.record_batch([pa.array(doc[ok]), pa.array(line[ok]), pa.array(made, pa.binary())], ["d", "l", "s"])
+                        ends = np.cumsum(n)
+                        made = [np.unique(h[e - k : e]).tobytes() for e, k in zip(ends[ok].tolist(), n[ok].tolist())]
+                        yield pa.record_batch([pa.array(doc[ok]), pa.array(line[ok]), pa.array(x[ok]), pa.array(y[ok]), pa.array(made, pa.binary())], ["d", "l", "x", "y", "s"])
 
-    found = materialize(base.mapInArrow(sets, "d long, l long, s binary"), "sets")
+    found = materialize(base.mapInArrow(sets, "d long, l long, x boolean, y boolean, s binary"), "sets")
 
     def test(batches):
         for batch in batches:
@@ -273,18 +305,30 @@ def _verified(base: DataFrame, pairs: DataFrame, percent: int, min_words: int) -
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column(0), batch.column(1)], ["yd", "yl"]).filter(pa.array(keep, pa.bool_()))
 
-    x = found.select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("s").alias("sx"))
-    y = found.select(F.col("d").alias("yd"), F.col("l").alias("yl"), F.col("s").alias("sy"))
-    return materialize(pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"]).select("yd", "yl", "sx", "sy").mapInArrow(test, "yd long, yl long").distinct(), "similar")
+    x = found.where("x").select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("s").alias("sx"))
+    y = found.where("y").select(F.col("d").alias("yd"), F.col("l").alias("yl"), F.col("s").alias("sy"))
+    similar = materialize(pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"]).select("yd", "yl", "sx", "sy").mapInArrow(test, "yd long, yl long").distinct(), "similar")
+    release(pairs, found)
+    return similar
 
 
 def _cut(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
-    """docs with the prefixed columns gone (numbers of lines that go) and out (the text that is left)."""
+    """docs with the prefixed columns gone (numbers of lines that go) and out (the text that is left).
+    A bitmap of fixed width tells rows that keep all lines, which don't move; rows that it lets through
+    by chance find no line in the join."""
     rows = numbered(docs)
     gone = repeated_lines(rows, percent, min_words).select(F.col("doc").alias("__vl_doc"), F.shiftright("line", 32).cast("int").alias("__vl_row"), F.col("line").bitwiseAND(0x7FFFFFFF).cast("int").alias("__vl_line"))
     by_row = gone.groupBy("__vl_doc", "__vl_row").agg(F.collect_set("__vl_line").alias("__vl_gone"))
     rows = rows.withColumn("__vl_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)))
-    out = rows.join(by_row, (F.col("__vl_id") == F.col("__vl_doc")) & (F.col(RN) == F.col("__vl_row")), "left")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone, lambda batch: [np.unique(_cell(batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)))], CELLS, least=1))
+
+    @F.pandas_udf("boolean")
+    def cut(doc: pd.Series, row: pd.Series) -> pd.Series:
+        return pd.Series(test_bits(bits.value, _cell(doc.to_numpy(np.int64), row.to_numpy(np.int64))))
+
+    touched = cut("__vl_id", RN)
+    moved = rows.where(touched).join(by_row, (F.col("__vl_id") == F.col("__vl_doc")) & (F.col(RN) == F.col("__vl_row")), "left")
+    out = moved.unionByName(rows.where(~touched), allowMissingColumns=True)
     return out.withColumn("__vl_out", F.when(F.col("__vl_gone").isNull(), F.col("text")).otherwise(F.expr("array_join(get(transform(array(split(text, '\\n')), l -> transform(array_except(sequence(0, size(l) - 1), __vl_gone), k -> get(l, k))), 0), '\\n')")))
 
 
