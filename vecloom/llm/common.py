@@ -69,12 +69,21 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Shuffle files go when the query that wrote them ends; without it they wait for the driver's collector.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there,
     and a lost executor costs nothing that was written."""
     spark = ship(df.sparkSession)
     path = scratch(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._vecloom_path = path
     return out
@@ -125,19 +134,24 @@ _TIMES, _OVER = _powers(BLOCK, _PRIME), _powers(BLOCK, pow(_PRIME, -1, 1 << 64))
 
 
 def word_spans(texts):
-    """Words of texts (bytes): (all bytes, starts, ends, number of the text, number of the line
-    within the text) of each word, as numpy columns."""
+    """(all bytes of the texts, joined by newlines, starts, ends) of their words, as numpy columns."""
     buf = np.frombuffer(b"\n".join(texts), np.uint8)
     inside = np.zeros(len(buf) + 2, bool)
     inside[1:-1] = _IN_WORD[buf]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
+    return buf, edges[::2], edges[1::2]
+
+
+def word_lines(texts, buf, starts):
+    """Runs of words in one line: (first word of each, numbers of words, number of the text, number of
+    the line within the text)."""
+    breaks = np.flatnonzero(buf == 10)
+    at = np.searchsorted(breaks, starts)
+    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])[: len(at)])
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     first = np.cumsum(sizes) - sizes
-    text = np.searchsorted(first, starts, side="right") - 1
-    breaks = np.flatnonzero(buf == 10)
-    line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, first)[text]
-    return buf, starts, ends, text, line
+    text = np.searchsorted(first, starts[new], side="right") - 1
+    return new, np.diff(np.append(new, len(starts))), text, at[new] - np.searchsorted(breaks, first)[text]
 
 
 def span_hashes(buf, starts, ends):

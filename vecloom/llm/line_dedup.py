@@ -8,8 +8,8 @@ themselves are read. A line goes if an earlier line, by (doc_id, line number), i
 lines are judged on the input, not on what is left. Lines of under `min_words` distinct words stay.
 
 Lines with one set are a class; each task sends the first it has seen and settles the others itself. A
-later line takes up to `PARTNERS` earlier partners from a token first; lines that none of these
-has settled, and that had more, meet all the rest in a second round.
+later line takes up to `PARTNERS` earlier partners from a token first and is tried with the earliest of
+them; lines that this has not settled meet the others, and all further ones, in a second round.
 
 Null text stays null and has no lines. A null doc_id is before all others. Rows with one doc_id are
 ordered by a hash of their text. A text whose lines all go becomes empty; its row stays. Empty table:
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import BLOCK, bitmap, buckets_for, by_bucket, count_table, materialize, mix, pack, release, span_hashes, steps, test_bits, unpack, word_spans
+from vecloom.llm.common import BLOCK, bitmap, buckets_for, by_bucket, count_table, materialize, mix, pack, release, span_hashes, steps, test_bits, unpack, word_lines, word_spans
 
 SLOTS = 1 << 22
 CELLS = 1 << 26
@@ -51,15 +51,13 @@ def _lines(rows, texts, min_words):
     """Lines of a step that take part: (doc, row number << 32 | line number, hashes of all words,
     numbers of words)."""
     ids, rn = rows.column(0).fill_null(FIRST).to_numpy(), rows.column(2).to_numpy().astype(np.int64)
-    buf, starts, ends, text, line = word_spans(texts)
-    if not len(starts):
-        return
-    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (line[1:] != line[:-1])]))
-    n = np.diff(np.append(new, len(starts)))
-    words = np.repeat(n >= min_words, n)
-    new, n = new[n >= min_words], n[n >= min_words]
+    buf, starts, ends = word_spans(texts)
+    new, n, text, line = word_lines(texts, buf, starts)
+    enough = n >= min_words
+    words = np.repeat(enough, n)
+    n, text = n[enough], text[enough]
     h = span_hashes(buf, starts[words], ends[words])
-    doc, row = ids[text[new]], rn[text[new]] << 32 | line[new]
+    doc, row = ids[text], rn[text] << 32 | line[enough]
     cuts = np.concatenate([[0], np.cumsum(n)])
     for k in range(0, len(n), LINES):
         e = min(k + LINES, len(n))
@@ -124,7 +122,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> Da
     def slots(batch):
         held, size = [], 0
         for _, texts in steps(batch, limit=BLOCK):
-            h = span_hashes(*word_spans(texts)[:3])
+            h = span_hashes(*word_spans(texts))
             held.append((h % np.uint64(SLOTS)).astype(np.int64))
             size += len(h)
             if size >= SLOTS:
@@ -245,13 +243,18 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> Da
         return pick
 
     tried = materialize(postings.groupBy("bucket").applyInArrow(first_round, PAIR), "candidates")
-    similar = _verified(base, tried.where("kind = 0").select("yd", "yl", "xd", "xl").distinct(), percent, min_words)
-    left = tried.where("kind = 1").select("bucket", "tok", "yd", "yl").join(similar, ["yd", "yl"], "left_anti")
-    left = materialize(left, "left")
-    if not left.isEmpty():
+    # the earliest partner of each line first; the others only for lines that it has not settled
+    pairs = tried.where("kind = 0").select("yd", "yl", "xd", "xl")
+    first = pairs.groupBy("yd", "yl").agg(F.min(F.struct("xd", "xl")).alias("x")).select("yd", "yl", "x.xd", "x.xl")
+    similar = _verified(base, first, percent, min_words)
+    rest = tried.select("kind", "bucket", "tok", "yd", "yl", "xd", "xl").join(similar, ["yd", "yl"], "left_anti")
+    rest = materialize(rest, "rest")
+    if not rest.isEmpty():
+        left = rest.where("kind = 1").select("bucket", "tok", "yd", "yl")
         bits = spark.sparkContext.broadcast(bitmap(left.select("tok"), lambda batch: [np.unique(mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(CELLS))], CELLS, least=1))
         again = postings.mapInArrow(wanted_only(bits), "bucket long, blob binary").groupBy("bucket").cogroup(left.groupBy("bucket")).applyInArrow(second_round, PAIR)
-        similar = similar.unionByName(_verified(base, again.select("yd", "yl", "xd", "xl").distinct(), percent, min_words)).distinct()
+        others = rest.where("kind = 0").unionByName(again).select("yd", "yl", "xd", "xl").distinct()
+        similar = similar.unionByName(_verified(base, others, percent, min_words)).distinct()
 
     def spread(batches):
         for batch in batches:
@@ -261,7 +264,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> Da
 
     copies = settled.where("kind = 0").select("blob").mapInArrow(spread, "doc long, line long")
     gone = materialize(copies.unionByName(similar.select(F.col("yd").alias("doc"), F.col("yl").alias("line"))), "gone")
-    release(settled, tried)
+    release(settled, tried, rest)
     return gone
 
 
