@@ -26,6 +26,8 @@ from vecloom.llm.common import BLOB, CACHE_WORDS, PARTS, _merged, pack, slim, st
 
 SLOTS, DIM = 1 << 16, 32
 FEATURES = 3 * DIM + 2
+#: Bytes of text, and places of tokens, of one vectorised step: its columns stay in the cache.
+STEP, WINDOW = 1 << 18, 1 << 15
 
 
 def _index_vectors() -> np.ndarray:
@@ -47,16 +49,18 @@ class _Tokens(dict):
         if len(self) >= CACHE_WORDS:
             self.clear()
         text = word.decode("utf-8", "replace")
-        core = "".join(c for c in text if c.isalnum())
-        marks = "".join(c for c in text if not c.isalnum())
+        core, marks = text, ""
+        if not text.isalnum():
+            core = "".join([c for c in text if c.isalnum()])
+            marks = "".join([c for c in text if not c.isalnum()])
         names = ["w" + core.lower()] if core else []
         if marks:
             names.append("m" + marks[:4])
         if len(core) > 1 and core.isupper():
             names.append("UPPER")
-        elif any(c.isdigit() for c in core):
+        elif not core.isalpha() and any(c.isdigit() for c in core):
             names.append("DIGIT")
-        ids = self[word] = np.array([xxhash.xxh3_64_intdigest(x) % SLOTS for x in names], "<i4").tobytes()
+        ids = self[word] = b"".join([(xxhash.xxh3_64_intdigest(x) % SLOTS).to_bytes(4, "little") for x in names])
         return ids
 
 
@@ -72,26 +76,32 @@ def slots(texts):
 def context_vectors(docs: DataFrame, reach: int = 2) -> np.ndarray:
     """Unit context vectors of all slots, summed over all documents; a table of fixed size."""
     step = SLOTS // PARTS
+    # a last row of zeros for places between documents
+    vectors = np.concatenate([INDEX, np.zeros((1, DIM), np.int8)]).astype(np.int8 if reach < 64 else np.int32)
 
     def scan(batches):
         total = np.zeros((SLOTS, DIM), np.int64)
         for batch in batches:
-            for _, texts in steps(batch):
+            for _, texts in steps(batch, limit=STEP):
                 flat, lens = slots(texts)
-                row = np.repeat(np.arange(len(lens)), lens)
-                for gap in range(1, reach + 1):
-                    same = row[:-gap] == row[gap:]
-                    pair = np.sort(flat[:-gap][same].astype(np.int64) << 16 | flat[gap:][same])
-                    if not len(pair):
+                # documents are parted by `reach` empty places, so that no window spans two
+                padded = np.full(len(flat) + reach * (len(lens) + 1), SLOTS, np.int64)
+                padded[np.arange(len(flat)) + reach * (1 + np.repeat(np.arange(len(lens)), lens))] = flat
+                for at in range(0, len(padded) - 2 * reach, WINDOW):
+                    part = padded[at : at + WINDOW + 2 * reach]
+                    near, n = vectors[part], len(part) - 2 * reach
+                    around = np.zeros((n, DIM), near.dtype)
+                    for gap in range(1, reach + 1):
+                        around += near[reach - gap : reach - gap + n]
+                        around += near[reach + gap : reach + gap + n]
+                    words = np.flatnonzero(part[reach : reach + n] < SLOTS)
+                    if not len(words):
                         continue
-                    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-                    times = np.diff(np.append(first, len(pair))).astype(np.int32)[:, None]
-                    a, b = pair[first] >> 16, pair[first] & 0xFFFF
-                    for x, y in ((a, b), (b, a)):
-                        order = np.argsort(x.astype(np.uint16), kind="stable")
-                        x, v = x[order], (INDEX[y] * times)[order]
-                        cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-                        total[x[cut]] += np.add.reduceat(v, cut, axis=0)
+                    x = part[reach : reach + n][words].astype(np.uint16)
+                    order = np.argsort(x, kind="stable")
+                    x = x[order]
+                    cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                    total[x[cut]] += np.add.reduceat(around[words[order]].astype(np.int32), cut, axis=0)
         pid = task_number()
         for k in range(PARTS):
             yield pa.record_batch([pa.array([k], pa.int32()), pa.array([pid], pa.int32()), pa.array([pack(total[k * step : (k + 1) * step].astype(np.int32 if np.abs(total).max(initial=0) < 2**31 else np.int64).ravel())], pa.binary())], ["part", "pid", "blob"])
@@ -120,7 +130,8 @@ def features(texts, context: np.ndarray) -> np.ndarray:
         mean = np.add.reduceat(c, start, axis=0) / n
         own = np.add.reduceat(INDEX[flat].astype(np.float32), start, axis=0) / n
         spread = np.sqrt(np.maximum(np.add.reduceat(c * c, start, axis=0) / n - mean * mean, 0))
-        distinct = np.array([len(np.unique(flat[s : s + k])) for s, k in zip(start.tolist(), lens[full].tolist())])
+        pair = np.sort(np.repeat(np.arange(len(full)), lens[full]) << 16 | flat)
+        distinct = np.bincount(pair[np.concatenate([[True], pair[1:] != pair[:-1]])] >> 16, minlength=len(full))
         out[full] = np.concatenate([mean, own, spread, np.log1p(n) / 10, (distinct[:, None] / n)], axis=1)
     return out
 
@@ -183,7 +194,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: f
 
     def measure(batches):
         for batch in batches:
-            for rows, texts in steps(batch):
+            for rows, texts in steps(batch, limit=STEP):
                 x = features(texts, sent.value)
                 yield pa.record_batch([rows.column(0), rows.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
@@ -197,7 +208,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: f
 
     def run(batches):
         for batch in batches:
-            for rows, texts in steps(batch):
+            for rows, texts in steps(batch, limit=STEP):
                 s = net.value.scores(features(texts, sent.value).astype(np.float64)) if net else np.full(len(texts), 0.5)
                 yield pa.record_batch([rows.column(0), rows.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
