@@ -153,6 +153,17 @@ def test_decontamination(spark):
     assert decontaminate.keep_clean(d, b).count() == len(docs) - 1
 
 
+def test_decontamination_of_many_items(spark):
+    r = random.Random(2)
+    vocab = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(4000)]
+    text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    items = [(k, text(15 + k % 10 if k % 2 else 25 + k % 40)) for k in range(2500)]
+    docs = [(k, f"{text(60 + k % 12)} {items[k * 10 + k % 2][1]} {text(60)}") for k in range(250)] + [(1000 + k, text(150)) for k in range(50)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [(x.doc_id, x.item_id, x.lcs) for x in decontaminate.find(d, b).collect()]
+    assert sorted(got) == [(k, k * 10 + k % 2, 1.0) for k in range(250)]
+
+
 def test_surrogates(spark):
     t = "Mail ann.lee@mail.example.com or +1 (386) 555-3733, ip 25.86.162.211, card 4041894974608795; ann.lee@mail.example.com again. Frau Müller came."
     d = spark.createDataFrame([(1, t), (2, "Nothing here."), (3, None), (4, "ann.lee@mail.example.com")], "doc_id long, text string")

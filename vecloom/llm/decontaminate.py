@@ -4,7 +4,9 @@ Document frequencies are counted over all documents (a table of fixed width). Be
 words, every 12) are TF-IDF vectors, weight sqrt(tf) * idf; a distributed randomised SVD (range finder
 with a power step, each step one job over the passages) gives their latent space. Every document
 passage is a query against it: passages whose words outside the benchmark's vocabulary alone keep
-the cosine under the limit are passed over (an exact bound), the others are projected. Candidates are checked
+the cosine under the limit are passed over (an exact bound), the others are projected. Benchmark passages
+whose energy the latent space doesn't keep whole are met by their exact TF-IDF cosine as well, found
+by their heaviest words. Candidates are checked
 by the longest common subsequence of words between the item and the passage with its surroundings:
 contaminated at `lcs` of the item, or at `lcs_answer` where the answer (the rarer words of the
 item's last sentence) is there in full.
@@ -31,6 +33,10 @@ SLOTS = 1 << 20
 WIDTH, STRIDE = 24, 12
 #: Benchmark text that one block holds.
 BLOCK_BYTES = 8 << 20
+#: Share of its energy that a passage may lose in the latent space and still be met there alone.
+LOST = 1e-4
+#: Cosines held at a time.
+CELLS = 4 << 20
 PUNCTUATION = ".,;:!?\"'()[]{}«»“”‘’…-"
 MATCH = "doc_id long, item_id long, cosine double, lcs double, answer boolean"
 
@@ -206,12 +212,57 @@ def find(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, lcs: float
         listed = [(r.doc_id, r.text) for r in block.collect()]
         if not len(vocab) or not listed:
             continue
-        found = _search(docs, spark.sparkContext.broadcast(_queries(listed, vocab, basis, idf)), idf_sent, cosine, lcs, lcs_answer)
+        found = _search(docs, spark.sparkContext.broadcast(_queries(listed, vocab, basis, idf, cosine)), idf_sent, cosine, lcs, lcs_answer)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], MATCH)
 
 
-def _queries(listed, vocab, basis, idf):
+def _postings(row, col, weight, width, cosine):
+    """Index for exact cosines with unit rows. A row is listed under its heaviest words: the rest's norm is at
+    most a third of the limit, so a passage has to have the remaining two thirds from the listed words."""
+    order = np.lexsort((col, -weight, row))
+    row, col, weight = row[order], col[order], weight[order]
+    square = np.cumsum(weight[::-1] ** 2)[::-1]  # of this word and all after it
+    ends = np.searchsorted(row, row, side="right")
+    after = np.append(square, 0.0)
+    rest = np.sqrt(np.maximum(square - after[ends], 0))  # norm of the words from this one on, in its row
+    listed = rest > cosine / 3
+    slack = np.zeros(int(row.max()) + 1 if len(row) else 0)
+    np.maximum.at(slack, row[~listed], rest[~listed])
+    by_col = np.lexsort((row[listed], col[listed]))
+    start = np.searchsorted(col[listed][by_col], np.arange(width + 1))
+    codes = row << 32 | col
+    by_code = np.argsort(codes)
+    return {"start": start, "row": row[listed][by_col], "weight": weight[listed][by_col], "slack": slack, "codes": codes[by_code], "weights": weight[by_code]}
+
+
+def _exact(index, row, col, weight, rows, cosine):
+    """(row, benchmark passage, cosine) of all pairs at the limit; row, col, weight: rows over their whole norms."""
+    n = index["start"][col + 1] - index["start"][col]
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(index["start"][col], n)
+    width = len(index["slack"])
+    pair, product = np.repeat(row, n) * width + index["row"][at], np.repeat(weight, n) * index["weight"][at]
+    if rows * width > 8 * len(pair):
+        met, place = np.unique(pair, return_inverse=True)
+        total = np.bincount(place, product, len(met))
+    else:
+        total = np.bincount(pair, product, rows * width)
+        met = np.flatnonzero(total)
+        total = total[met]
+    met = met[total >= cosine - index["slack"][met % width] - 1e-6]
+    i, j = met // width, met % width
+    n = np.bincount(row, minlength=rows)
+    first = np.cumsum(n) - n
+    m = n[i]
+    at = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[i], m)
+    code = np.repeat(j, m) << 32 | col[at]
+    place = np.minimum(np.searchsorted(index["codes"], code), len(index["codes"]) - 1)
+    c = np.bincount(np.repeat(np.arange(len(i)), m), weight[at] * index["weights"][place] * (index["codes"][place] == code), len(i))
+    ok = c >= cosine
+    return i[ok], j[ok], c[ok]
+
+
+def _queries(listed, vocab, basis, idf, cosine):
     texts = [t.encode() for _, t in listed]
     flat, lens = cores(texts)
     item, s, e = windows(lens)
@@ -219,9 +270,14 @@ def _queries(listed, vocab, basis, idf):
     norm = np.array([np.sqrt((idf_of(flat[a:b]).astype(np.float64) ** 2).sum()) for a, b in zip(s, e)])
     row, col, weight = _vectors(flat, idf_of, vocab, s, e)
     q = _dense(row, col, weight, len(s), basis) / np.maximum(norm, 1e-9)[:, None].astype(np.float32)
+    short = np.flatnonzero((q.astype(np.float64) ** 2).sum(1) < 1 - LOST)
+    place = np.full(len(s), -1)
+    place[short] = np.arange(len(short))
+    held = place[row] >= 0
+    index = _postings(place[row[held]], col[held], (weight / np.maximum(norm, 1e-9)[row])[held].astype(np.float64), len(vocab), cosine) if len(short) else None
     ends = np.cumsum(lens)
     words = [flat[b - n : b].tolist() for b, n in zip(ends.tolist(), lens.tolist())]
-    return {"ids": [i for i, _ in listed], "item": item, "q": q.T.copy(), "words": words, "answers": [answer_words(t, idf) for _, t in listed], "vocab": vocab, "basis": basis}
+    return {"ids": [i for i, _ in listed], "item": item, "q": q.T.copy(), "short": item[short], "index": index, "words": words, "answers": [answer_words(t, idf) for _, t in listed], "vocab": vocab, "basis": basis}
 
 
 def _search(docs, bench_sent, idf_sent, cosine, lcs, lcs_answer):
@@ -229,7 +285,8 @@ def _search(docs, bench_sent, idf_sent, cosine, lcs, lcs_answer):
         bench, idf = bench_sent.value, idf_sent.value
         vocab, basis, q, item = bench["vocab"], bench["basis"], bench["q"], bench["item"]
         idf_of = lambda h: idf[(h % np.uint64(SLOTS)).astype(np.int64)]
-        longest = max(map(len, bench["words"]))
+        index, short = bench["index"], bench["short"]
+        block = max(1, min(4096, CELLS // max(1, q.shape[1])))
         for batch in batches:
             for rows, texts in steps(batch):
                 flat, lens = cores(texts)
@@ -244,13 +301,17 @@ def _search(docs, bench_sent, idf_sent, cosine, lcs, lcs_answer):
                 norm, part = total[e] - total[s], inside[e] - inside[s]
                 near = np.flatnonzero((part >= cosine * cosine * norm - 1e-6) & (part > 1e-3))
                 hits: dict = {}
-                for k in range(0, len(near), 4096):
-                    w = near[k : k + 4096]
-                    x = _dense(*_vectors(flat, idf_of, vocab, s[w], e[w]), len(w), basis)
+                for k in range(0, len(near), block):
+                    w = near[k : k + block]
+                    row, col, weight = _vectors(flat, idf_of, vocab, s[w], e[w])
+                    x = _dense(row, col, weight, len(w), basis)
                     c = (x @ q) / np.sqrt(norm[w])[:, None]
                     for i, j in zip(*(v.tolist() for v in np.nonzero(c >= cosine))):
                         key = (int(text[w[i]]), int(item[j]))
                         hits.setdefault(key, []).append((int(w[i]), float(c[i, j])))
+                    if index is not None:
+                        for i, j, v in zip(*(v.tolist() for v in _exact(index, row, col, weight / np.sqrt(norm[w])[row], len(w), cosine))):
+                            hits.setdefault((int(text[w[i]]), int(short[j])), []).append((int(w[i]), v))
                 if not hits:
                     continue
                 first = np.cumsum(lens) - lens
