@@ -176,6 +176,14 @@ def test_surrogates(spark):
     assert got[2].text == "Nothing here." and got[3].text is None and got[1].n_entities == 6
 
 
+def test_secret_of_letters(spark):
+    rows = [(1, "My password: correcthorse"), (2, "API_KEY=correcthorse, room 5"), (3, 'Token = "abcdefghij"'), (4, "a token of thanks"), (5, "in 2020 password: correcthorse")]
+    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].n_entities for k in range(1, 6)] == [1, 1, 1, 0, 1]
+    assert not any(w in r.text for r in got.values() for w in ("correcthorse", "abcdefghij"))
+    assert got[5].text == "in 2020 " + got[1].text.removeprefix("My ") and got[4].text == rows[3][1]
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN["MIT"].replace("<year> <holders>", "2020 Someone").upper().replace(", ", " - ")
     d = spark.createDataFrame([(1, mit), (2, "no licence"), (3, None), (4, "")], "doc_id long, text string")

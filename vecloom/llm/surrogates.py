@@ -28,6 +28,7 @@ P = "__vp_"
 TITLES = {"m": ["Mr", "Herr", "Sr", "Señor", "Monsieur", "Don", "г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Mme", "Madame", "Mlle", "Doña", "г-жа"], "n": ["Dr", "Prof"]}
 _TITLE = "|".join(sorted((t for v in TITLES.values() for t in v), key=len, reverse=True))
 _NAME = r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+){0,2}"
+_SECRET = r"(?i:password|passwd|token|secret|api_?key)\s*[=:]"
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]{1,64}+@[\w-]+(?:\.[\w-]+)+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
@@ -35,12 +36,12 @@ PATTERNS = {
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]*\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]*\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]\d{2,5}){1,3}(?![\d-]*\d)|(?<![\d+])\+\d{8,15}(?!\d)",
-    "secret": r"(?i:password|passwd|token|secret|api_?key)\s*[=:]\s*\"?[A-Za-z0-9_\-]{8,}+",
+    "secret": _SECRET + r"\s*\"?[A-Za-z0-9_\-]{8,}+",
     "name": rf"(?<![\p{{L}}.])(?:{_TITLE})\.? {_NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Characters of a text that holds any entity; most texts have none and are passed over.
-HINT = rf"[@0-9]|(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"[@0-9]|(?:{_TITLE})\.? \p{{Lu}}|{_SECRET}"
 #: Letters by script, kind and case: fixed values.
 LETTERS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâäèéêëìíîïòóôöùúûü", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "0123456789"]
 
