@@ -5,9 +5,10 @@ table of fixed width over all documents, then by hash); lines at the similarity
 of their prefixes, which the length and positional filters and a 64-bit parity bitmap of each set
 (bits that differ are never more than tokens that differ) confirm or refuse before the sets
 themselves are read. A line goes if an earlier line, by (doc_id, line number), is similar to it;
-lines are judged on the input, not on what is left. Lines of under `min_words` distinct words stay.
+lines are judged on the input, not on what is left. Lines of under `min_words` distinct words stay;
+with `min_words` 1, as the query and the pipeline have it, only lines without words.
 
-Lines with one set are a class; each task sends the first it has seen and settles the others itself. A
+Lines with one set are a class; sets so small that only equal ones are similar are settled by it. Each task sends the first it has seen and settles the others itself. A
 later line takes up to `PARTNERS` earlier partners from a token first; lines that none of these
 has settled, and that had more, meet all the rest in a second round.
 
@@ -174,7 +175,11 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> Da
                     with np.errstate(over="ignore"):
                         k0, k1 = np.add.reduceat(mix(tok), start), np.add.reduceat(mix(tok ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start)
                         bits = np.bitwise_xor.reduceat(np.uint64(1) << (mix(tok ^ np.uint64(0x3C3C3C3C)) & np.uint64(63)), start)
-                    p = (n - -(-percent * n // 100) + 1) * keep
+                    # words whole, not their tokens' bits alone: sets of one or two are equal if these are
+                    first = np.cumsum(words) - words
+                    k0, k1 = k0 ^ mix(np.minimum.reduceat(h, first)), k1 ^ mix(np.maximum.reduceat(h, first) ^ np.uint64(0x9696969696969696))
+                    # sets too small to be similar to any other but an equal one need no tokens
+                    p = (n - -(-percent * n // 100) + 1) * (keep & (100 * n >= percent * (n + 1)))
                     held.append(((doc[keep], line[keep], k0[keep], k1[keep], n[keep].astype(np.int32), bits[keep], p[keep].astype(np.int32)), tok[pos < p[lid]]))
                     seen += len(doc)
                     if seen >= 400_000:
