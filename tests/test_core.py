@@ -90,3 +90,35 @@ def test_training_separates_clusters(spark):
 
     t, v = _trained(spark)
     assert t.history[-1]["loss"] < t.history[0]["loss"]
+
+
+def test_graph_of_all_parts(spark, tmp_path):
+    import itertools
+    import random
+    from collections import Counter
+
+    from vecloom.plans.registry import ORACLE, QUERIES
+
+    r = random.Random(6)
+    rows = [(o, r.choice([5, 250, 299, 300, 301, 450, 7000, 12000])) for o in range(12) for _ in range(3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    run = lambda q: QUERIES[f"{q}_all_parts"](spark, str(tmp_path)).collect()
+    edges = Counter()
+    for o in range(12):
+        edges.update(tuple(sorted(f"p{k}" for k in pair)) for pair in itertools.combinations({p for x, p in rows if x == o}, 2))
+    assert {(x.src, x.dst): x.weight for x in run("q14_graph_edges_canonical")} == edges
+    w = {**edges, **{(b, a): n for (a, b), n in edges.items()}}
+    for q, variant in (("q17_transition_probs_second_order", "reference"), ("q18_transition_probs_second_order_paper", "paper")):
+        want = {}
+        for prev, here in w:
+            out = {d: n / 4 if d == prev else n / 0.5 if ((prev, d) in w) == (variant == "reference") else n for (s, d), n in w.items() if s == here}
+            want.update({(prev, here, d): round(x / sum(out.values()), 6) for d, x in out.items()})
+        assert {(x.prev, x.here, x.dst): round(x.prob, 6) for x in run(q)} == want
+    nodes = {s for s, _ in w}
+    for q in ("q20_node2vec_walks", "q21_node2vec_walks_paper"):
+        walks = [x.walk.split(" ") for x in run(q)]
+        assert {p[0] for p in walks} == nodes and all(pair in w for p in walks for pair in itertools.pairwise(p))
+    assert all(x.u in nodes and x.v in nodes and (x.u, x.v) not in w for x in run("q23_negative_edges"))
+    split = run("q24_edge_train_split")
+    assert {(x.src, x.dst) for x in split} == set(edges) and sum(x.train for x in split) == round(0.5 * len(edges))
+    assert not any(q.endswith("_all_parts") for q in ORACLE)

@@ -126,17 +126,30 @@ def _arcs_sql(edges):
     return f"SELECT src, dst, weight FROM ({edges}) UNION ALL SELECT dst, src, weight FROM ({edges})"
 
 
-#: The part graph is that of the parts under this key.
+#: The SQL's part graph is that of the parts under this key.
 PARTS = 300
 
 
-def _pp(spark, d):
-    return part_orders(spark, d, PARTS)
+def part_query(sql: str):
+    """Registers f(edges) for the part graph of the SQL and, without SQL, for that of all parts."""
+
+    def add(f):
+        def register(name, below, text):
+            def run(spark, d):
+                return f(part_orders(spark, d, below))
+
+            run.__name__ = name
+            query(text)(run)
+
+        register(f.__name__, PARTS, sql)
+        register(f"{f.__name__}_all_parts", None, None)
+        return f
+
+    return add
 
 
-@query(PP)
-def q14_graph_edges_canonical(spark, d):
-    e = _pp(spark, d)
+@part_query(PP)
+def q14_graph_edges_canonical(e):
     return graph.canonical_edges(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
 
 
@@ -156,14 +169,14 @@ def _second_sql(variant):
     return f"WITH arcs AS ({_arcs_sql(PP)}), w AS (SELECT a.src AS prev, a.dst AS here, c.dst, CASE WHEN c.dst = a.src THEN c.weight / 4.0 ELSE {far} END AS w FROM arcs a JOIN arcs c ON c.src = a.dst LEFT JOIN arcs n ON n.src = a.src AND n.dst = c.dst) SELECT prev, here, dst, round(w / sum(w) OVER (PARTITION BY prev, here), 9) AS prob FROM w"
 
 
-@query(_second_sql("reference"))
-def q17_transition_probs_second_order(spark, d):
-    return graph.second_order(graph.symmetric(_pp(spark, d), True), 4.0, 0.5).withColumn("prob", F.round("prob", 9))
+@part_query(_second_sql("reference"))
+def q17_transition_probs_second_order(e):
+    return graph.second_order(graph.symmetric(e, True), 4.0, 0.5).withColumn("prob", F.round("prob", 9))
 
 
-@query(_second_sql("paper"))
-def q18_transition_probs_second_order_paper(spark, d):
-    return graph.second_order(graph.symmetric(_pp(spark, d), True), 4.0, 0.5, "paper").withColumn("prob", F.round("prob", 9))
+@part_query(_second_sql("paper"))
+def q18_transition_probs_second_order_paper(e):
+    return graph.second_order(graph.symmetric(e, True), 4.0, 0.5, "paper").withColumn("prob", F.round("prob", 9))
 
 
 def _walk_sql(edges, length, per_node, seed, variant=None, p="1.0", q="0.5"):
@@ -192,14 +205,14 @@ def q19_deepwalk_walks(spark, d):
     return _as_text(graph.deepwalk(graph.symmetric(supplier_part(spark, d), True), 5, 2, seed=7))
 
 
-@query(_walk_sql(PP, 4, 1, 9, "reference"))
-def q20_node2vec_walks(spark, d):
-    return _as_text(graph.node2vec(graph.symmetric(_pp(spark, d), True), 4, 1, 1.0, 0.5, seed=9))
+@part_query(_walk_sql(PP, 4, 1, 9, "reference"))
+def q20_node2vec_walks(e):
+    return _as_text(graph.node2vec(graph.symmetric(e, True), 4, 1, 1.0, 0.5, seed=9))
 
 
-@query(_walk_sql(PP, 4, 1, 9, "paper"))
-def q21_node2vec_walks_paper(spark, d):
-    return _as_text(graph.node2vec(graph.symmetric(_pp(spark, d), True), 4, 1, 1.0, 0.5, "paper", seed=9))
+@part_query(_walk_sql(PP, 4, 1, 9, "paper"))
+def q21_node2vec_walks_paper(e):
+    return _as_text(graph.node2vec(graph.symmetric(e, True), 4, 1, 1.0, 0.5, "paper", seed=9))
 
 
 @query(f"SELECT center, ctx, count(*) AS n FROM (SELECT t[pl] AS center, unnest(list_concat(t[pl - 1:pl - 1], t[pl + 1:pl + 1])) AS ctx FROM (SELECT string_split(walk, ' ') AS t, unnest(range(2, 5)) AS pl FROM ({_walk_sql(SP, 5, 2, 7)}))) GROUP BY center, ctx")
@@ -211,14 +224,14 @@ def q22_walk_skipgram_pairs(spark, d):
 NEGATIVE = f"WITH arcs AS ({_arcs_sql(PP)}), nodes AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM (SELECT DISTINCT src AS node FROM arcs)), n AS (SELECT count(*) AS c FROM nodes), draws AS (SELECT s.range AS sample, k.range AS k, {rng.bits_sql(3, chr(39) + 'u' + chr(39), 's.range')} % c AS iu, {rng.bits_sql(3, chr(39) + 'v' + chr(39), 's.range', 'k.range')} % c AS iv FROM range(500) s, range(20) k, n), free AS (SELECT sample, k, u.node AS u, v.node AS v FROM draws JOIN nodes u ON u.i = iu JOIN nodes v ON v.i = iv ANTI JOIN arcs ON arcs.src = u.node AND arcs.dst = v.node) SELECT sample, arg_min(u, k) AS u, arg_min(v, k) AS v FROM free GROUP BY sample"
 
 
-@query(NEGATIVE)
-def q23_negative_edges(spark, d):
-    return graph.negative_edges(graph.symmetric(_pp(spark, d), True), 500, seed=3)
+@part_query(NEGATIVE)
+def q23_negative_edges(e):
+    return graph.negative_edges(graph.symmetric(e, True), 500, seed=3)
 
 
-@query(f"SELECT src, dst, row_number() OVER (ORDER BY {rng.bits_sql(5, 'src', 'dst')}, src, dst) <= round_even(0.5 * count(*) OVER (), 0) AS train FROM ({PP})")
-def q24_edge_train_split(spark, d):
-    return graph.train_edges(_pp(spark, d).select("src", "dst"), 0.5, seed=5)
+@part_query(f"SELECT src, dst, row_number() OVER (ORDER BY {rng.bits_sql(5, 'src', 'dst')}, src, dst) <= round_even(0.5 * count(*) OVER (), 0) AS train FROM ({PP})")
+def q24_edge_train_split(e):
+    return graph.train_edges(e.select("src", "dst"), 0.5, seed=5)
 
 
 def _vec(spark, d):

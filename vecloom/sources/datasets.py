@@ -117,9 +117,10 @@ def supplier_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
 
 
-def part_orders(spark: SparkSession, sf_dir: str, below: int) -> DataFrame:
-    """Graph of parts under a key that are in one order; weight: orders."""
-    li = parquet_table(spark, sf_dir, "lineitem").where(F.col("l_partkey") < below).select("l_orderkey", "l_partkey").distinct()
+def part_orders(spark: SparkSession, sf_dir: str, below: int | None = None) -> DataFrame:
+    """Graph of parts (all, or those under a key) that are in one order; weight: orders."""
+    li = parquet_table(spark, sf_dir, "lineitem")
+    li = (li if below is None else li.where(F.col("l_partkey") < below)).select("l_orderkey", "l_partkey").distinct()
     other = li.select("l_orderkey", F.col("l_partkey").alias("other"))
     pairs = li.join(other, "l_orderkey").where("l_partkey < other")
     return pairs.groupBy(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("p"), "other").alias("b")).agg(F.count("*").cast("double").alias("weight")).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "weight")
