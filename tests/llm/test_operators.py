@@ -68,6 +68,12 @@ def test_quality(docs, rows):
         assert g.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (g.base_failed and g.kept)
 
 
+def test_repeats_of_a_long_text(spark):
+    # the low 46 bits of the hashes of "x y n4363713" and "x y n11427643" are equal
+    text = " ".join(["x y n4363713 a b c x y n11427643 a b c", *(f"m{k}" for k in range(131_100))])
+    assert quality.report(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")).first().n_repeat_words == 6
+
+
 def test_near_duplicates(docs, rows):
     def shingles(t):
         w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in _words(t)]

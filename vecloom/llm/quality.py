@@ -98,11 +98,14 @@ def repeated_words(words: str, n: str):
 
     Each window is one long: its hash above, its place in the low bits. Sorted, equal windows
     are neighbours, and no array is searched within another. With b bits for places 64-b bits
-    of hash remain, so that two windows of one text meet by chance in about 1 of 2**(64-3b) texts.
+    of hash remain; the windows that meet are sorted again by their words, so none is counted by chance.
     """
     grams = f"transform(sequence(0, cast({n} as int) - 3), i -> shiftleft(xxhash64(get({words}, i), get({words}, i + 1), get({words}, i + 2)), b) | i)"
     again = "filter(s, (x, j) -> shiftrightunsigned(x, b) = shiftrightunsigned(get(s, j + 1), b) OR shiftrightunsigned(x, b) = shiftrightunsigned(get(s, j - 1), b))"
-    places = f"transform({again}, x -> cast(x & (shiftleft(1L, b) - 1) as int))"
+    met = f"transform({again}, x -> cast(x & (shiftleft(1L, b) - 1) as int))"
+    read = f"sort_array(transform({met}, i -> struct(get({words}, i) as u, get({words}, i + 1) as v, get({words}, i + 2) as w, i as i)))"
+    same = lambda k: f"(x.u = get(t, {k}).u AND x.v = get(t, {k}).v AND x.w = get(t, {k}).w)"
+    places = f"get(transform(array({read}), t -> transform(filter(t, (x, j) -> {same('j + 1')} OR {same('j - 1')}), x -> x.i)), 0)"
     covered = "size(array_union(array_union(p, transform(p, x -> x + 1)), transform(p, x -> x + 2)))"
     return F.expr(
         f"CASE WHEN {n} < 4 THEN 0L ELSE cast(get(transform(array(length(bin({n}))), b -> get(transform(array(sort_array({grams})), s -> get(transform(array({places}), p -> {covered}), 0)), 0)), 0) as bigint) END"
