@@ -96,6 +96,24 @@ def test_near_duplicates(docs, rows):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), comp[r.doc_id], comp[r.doc_id] == r.doc_id), r
 
 
+def test_near_duplicates_past_tried_pairs(spark, monkeypatch):
+    r = random.Random(8)
+    texts = []
+    for k in range(6):
+        base = [f"b{k}w{i}" for i in range(60)]
+        for _ in range(25):
+            w = list(base)
+            for i in r.sample(range(60), r.randint(0, 5)):
+                w[i] = f"new{r.random()}"
+            texts.append(" ".join(w))
+    r.shuffle(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = {(x.doc_id, x.component_id) for x in near_dup.near_duplicates(d, size=4).collect()}
+    # no pair of the capped round is new: the round of all pairs has to find the rest
+    monkeypatch.setattr(near_dup, "BEST", 0)
+    assert {(x.doc_id, x.component_id) for x in near_dup.near_duplicates(d, size=4).collect()} == want
+
+
 def test_substring(docs, rows):
     seen, windows = {}, {}
     order = sorted(rows, key=lambda r: r[0] if r[0] is not None else -1)

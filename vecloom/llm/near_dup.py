@@ -193,11 +193,13 @@ def links(docs: DataFrame, sig: DataFrame, size: int, percent: int):
     several = full.select("doc_id", "k0", "k1").distinct().groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1").select("doc_id")
     alias = full.select("doc_id", "k0", "k1").join(several, "doc_id").join(classes.select("k0", "k1", F.col("doc_id").alias("rep")), ["k0", "k1"])
     found = found.unionByName(materialize(alias.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct(), "links"))
+    labels = None
     for best in (BEST, None):
-        labels = materialize(components(found), "labels")
+        if labels is None:
+            labels = materialize(components(found), "labels")
         again = materialize(_apart(members.select("band", "doc_id"), classes, labels, least, best).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if again.isEmpty():
-            break
+        if again.isEmpty():  # of the best pairs all may have been tried; the round of all pairs tells
+            continue
         tried = tried.unionByName(again)
         found = found.unionByName(confirm(docs, again, size, percent))
         labels = None
