@@ -122,3 +122,17 @@ def test_graph_of_all_parts(spark, tmp_path):
     split = run("q24_edge_train_split")
     assert {(x.src, x.dst) for x in split} == set(edges) and sum(x.train for x in split) == round(0.5 * len(edges))
     assert not any(q.endswith("_all_parts") for q in ORACLE)
+
+
+def test_closest_pairs_of_every_20th(spark, tmp_path):
+    import numpy as np
+
+    from vecloom.plans.registry import QUERIES
+
+    x = np.random.default_rng(1).standard_normal((230, 8)).astype(np.float32)
+    rows = [(k, [float(a) for a in v], 0) for k, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r["query"], r["rank"]): r["idx"] for r in QUERIES["q35_closest_pairs_every_20"](spark, str(tmp_path)).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = np.argsort(-(unit @ unit.T), axis=1, kind="stable")
+    assert got == {(k, r + 1): near[k, r] for k in range(0, 230, 20) for r in range(5)}
