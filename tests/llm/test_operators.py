@@ -237,6 +237,17 @@ def test_licenses(spark):
     assert {r.doc_id: r.license_id for r in licenses.scan(d).collect()} == {1: "MIT", 2: None, 3: None, 4: None}
 
 
+def test_long_licenses(spark):
+    import pathlib
+
+    root = pathlib.Path("/usr/share/common-licenses")
+    files = {f: n for f, n in {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}.items() if (root / f).exists()}
+    if not files:
+        pytest.skip("no licence texts on this machine")
+    d = spark.createDataFrame([(k, (root / f).read_text("utf-8").upper()) for k, f in enumerate(files)], "doc_id long, text string")
+    assert [r.license_id for r in licenses.scan(d).orderBy("doc_id").collect()] == list(files.values())
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], SCHEMA)
     for f in (quality.report, near_dup.near_duplicates, substring.remove_repeats, line_dedup.report, packing.pack_documents, surrogates.replace_entities, licenses.scan):

@@ -31,6 +31,21 @@ KNOWN = {
     "BSD-3-Clause": "BSD 3-Clause License\n\nCopyright (c) <year>, <holders>\n\n" + _BSD + _BSD_3 + _BSD_END,
     "Zlib": "zlib License\n\nCopyright (c) <year> <holders>\n\nThis software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution.",
 }
+#: Canonical digests of long licence texts: fixed values.
+DIGESTS = {
+    "Apache-2.0": "ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b",
+    "GPL-1.0": "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c",
+    "GPL-2.0": "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1",
+    "GPL-3.0": "5272fb2d9117cba4ebb1b4a6612e61ab05ddddeff56bd30c3ac3798e23821b30",
+    "LGPL-2.0": "b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c",
+    "LGPL-2.1": "294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1",
+    "MPL-2.0": "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "f06741c6c5feec30d99f80228f0d9ea6b884eae0e790ab18a0f4257184befa86",
+    "GFDL-1.3": "80229e90e6f40a551a447f33ef48bd361a8e3166d53f29a2d1537245e2064feb",
+}
 
 
 def canonical(text: Column) -> Column:
@@ -54,6 +69,8 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, digest, license_id (null: none known)."""
     table = known(docs.sparkSession) if licenses is None else licenses
     texts = table.select(F.col("license_id").cast("string").alias("license_id"), F.sha2(canonical(F.col("text")), 256).alias("digest")).where(F.col("digest") != F.sha2(F.lit(""), 256))
+    if licenses is None:
+        texts = texts.unionByName(docs.sparkSession.createDataFrame(list(DIGESTS.items()), "license_id string, digest string"))
     digests = texts.groupBy("digest").agg(F.min("license_id").alias("license_id"))
     size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
