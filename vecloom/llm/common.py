@@ -6,12 +6,14 @@ Words are maximal runs of ``[^\\x20\\x09-\\x0D]``; on UTF-8 bytes that is exactl
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import os
 import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -19,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a Python worker keeps in a per-word cache; a full cache is emptied.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Bytes of text that one vectorised step of a Python worker handles.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 M1 = np.uint64(0xFF51AFD7ED558CCD)
 M2 = np.uint64(0xC4CEB9FE1A85EC53)
@@ -32,23 +34,42 @@ S33 = np.uint64(33)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where none is set."""
+    """The shared folder of the session; one of our own only where none is set and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(scratch_root, "own", None)
     if own is None:
         own = scratch_root.own = tempfile.mkdtemp(prefix="vecloom-")
     return f"file://{own}"
 
 
+#: Lists that get the paths of the tables made while they are open.
+_collectors: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     path = f"{scratch_root(spark)}/vecloom-{label}-{uuid.uuid4().hex}"
     fs, p = _fs(spark, path)
     fs.deleteOnExit(p)
+    for made in _collectors:
+        made.append(path)
     return path
 
 
+@contextlib.contextmanager
+def collecting():
+    """The paths of the tables that are made meanwhile, for discard()."""
+    made: list[str] = []
+    _collectors.append(made)
+    try:
+        yield made
+    finally:
+        _collectors[:] = [x for x in _collectors if x is not made]
+
+
 def _fs(spark, path):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -85,6 +106,14 @@ def release(*frames: DataFrame) -> None:
         discard(df.sparkSession, df._vecloom_path)
 
 
+def settled(make, label: str) -> DataFrame:
+    """make() as a written table; all other tables that it made go."""
+    with collecting() as made:
+        out = materialize(make(), label)
+    discard(out.sparkSession, *(p for p in made if p != out._vecloom_path))
+    return out
+
+
 # ---------------------------------------------------------------- words
 
 
@@ -197,18 +226,17 @@ def gram_hashes(flat, width, seed):
 
 
 def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES):
-    """Slices of a batch with about `limit` bytes of text each: (slice, texts as bytes; null: empty)."""
+    """Slices of a batch with about `limit` bytes of text each: (slice, texts as bytes; null: empty).
+    Only one slice's texts are Python objects at a time."""
     texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
-    start, total = 0, 0
-    sizes = texts.to_pylist()
-    for i, t in enumerate(sizes):
-        n = len(t) if t else 0
-        if total and total + n > limit:
-            yield batch.slice(start, i - start), [x or b"" for x in sizes[start:i]]
-            start, total = i, 0
-        total += n
-    if start < len(sizes):
-        yield batch.slice(start), [x or b"" for x in sizes[start:]]
+    n = len(texts)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+    start = 0
+    while start < n:
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + limit, side="right")) - 1)
+        end = min(end, n)
+        yield batch.slice(start, end - start), [x or b"" for x in texts.slice(start, end - start).to_pylist()]
+        start = end
 
 
 def slim(docs: DataFrame, *more: str) -> DataFrame:
@@ -314,7 +342,7 @@ def count_table(df: DataFrame, slots_of, width: int) -> np.ndarray:
 def bitmap(df: DataFrame, cells_of, width: int, least: int) -> np.ndarray:
     """Packed bits over `width` cells: set where the cell was met at least `least` (1 or 2) times
     among all rows of df. cells_of: batch -> cell numbers. A saturating count-min row: a cell's
-    count is never under that of any key which falls into it."""
+    count is never under that of any key which falls into it. The driver gets bits, never cell numbers."""
     step = width // PARTS
 
     def split(once, twice):
@@ -325,6 +353,9 @@ def bitmap(df: DataFrame, cells_of, width: int, least: int) -> np.ndarray:
 
         def take():
             nonlocal once, twice, held, size
+            if least == 1:
+                twice, held, size = np.unique(np.concatenate([*held, twice])), [], 0
+                return
             x, n = np.unique(np.concatenate([*held, once, twice, twice]), return_counts=True)
             once, twice, held, size = x[n == 1], x[n > 1], [], 0
 
@@ -332,7 +363,7 @@ def bitmap(df: DataFrame, cells_of, width: int, least: int) -> np.ndarray:
             for cells in cells_of(batch):
                 held.append(cells.astype(np.uint32))
                 size += len(cells)
-                if size >= 8_000_000:
+                if size >= 4_000_000:
                     take()
         take()
         pid = task_number()
@@ -351,17 +382,59 @@ def bitmap(df: DataFrame, cells_of, width: int, least: int) -> np.ndarray:
             seen[twice] = True
         return split(np.flatnonzero(seen & ~more).astype(np.uint32), np.flatnonzero(more).astype(np.uint32))
 
+    def finish(batches):
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                bits = np.zeros(step, bool)
+                bits[np.cumsum(unpack(blob)[1], dtype=np.uint32)] = True
+                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([0], pa.int32()), pa.array([pack(np.packbits(bits, bitorder="little"))], pa.binary())], ["part", "pid", "blob"])
+
     out = np.zeros(width // 8, np.uint8)
-    for row in _merged(df.mapInArrow(scan, BLOB), join).collect():
-        once, twice = (np.cumsum(x, dtype=np.uint32) for x in unpack(row.blob))
-        bits = np.zeros(step, bool)
-        bits[twice] = True
-        if least == 1:
-            bits[once] = True
-        out[row.part * step // 8 : (row.part + 1) * step // 8] = np.packbits(bits, bitorder="little")
+    for row in _merged(df.mapInArrow(scan, BLOB), join).mapInArrow(finish, BLOB).collect():
+        out[row.part * step // 8 : (row.part + 1) * step // 8] |= unpack(row.blob)[0]
     return out
 
 
+#: Widths of a bitmap over keys: 16 cells for each, within these bounds.
+LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 30
+
+
+def cells_for(n: int) -> int:
+    width = LEAST_CELLS
+    while width < min(MOST_CELLS, 16 * n):
+        width *= 2
+    return width
+
+
+def key_cells(keys: np.ndarray, width: int) -> np.ndarray:
+    return mix(keys.astype(np.int64).view(np.uint64) ^ np.uint64(0x6A09E667F3BCC909)) % np.uint64(width)
+
+
+class Members:
+    """A broadcast bitmap of the longs in a written table's first column. test() is never false for one
+    of them and rarely true for another, so that only rows near them need move to an exact join."""
+
+    def __init__(self, keys: DataFrame):
+        self.width = width = cells_for(keys.count())
+        bits = bitmap(keys, lambda batch: [np.unique(key_cells(batch.column(0).to_numpy(), width))], width, least=1)
+        self.sent = keys.sparkSession.sparkContext.broadcast(bits)
+
+    def test(self, keys: np.ndarray) -> np.ndarray:
+        return test_bits(self.sent.value, key_cells(keys, self.width))
+
+    def column(self, name: str):
+        """test() of a column without nulls."""
+        from pyspark.sql.pandas.functions import pandas_udf
+
+        test = self.test
+
+        @pandas_udf("boolean")
+        def member(keys: pd.Series) -> pd.Series:
+            return pd.Series(test(keys.to_numpy(np.int64)))
+
+        return member(name)
+
+
 def test_bits(bits: np.ndarray, cells) -> np.ndarray:
     cells = cells.astype(np.int64)
     return (bits[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1

@@ -8,9 +8,10 @@ themselves are read. A line goes if an earlier line, by (doc_id, line number), i
 lines are judged on the input, not on what is left. Lines of under `min_words` distinct words stay;
 with `min_words` 1, as the query and the pipeline have it, only lines without words.
 
-Lines with one set are a class; sets so small that only equal ones are similar are settled by it. Each task sends the first it has seen and settles the others itself. A
-later line takes up to `PARTNERS` earlier partners from a token first; lines that none of these
-has settled, and that had more, meet all the rest in a second round.
+Lines with one set are a class; sets so small that only equal ones are similar are settled by it.
+Each task sends the first it has seen and settles the others itself. A later line takes up to
+`PARTNERS` earlier partners from a token; of all these the one whose parity is nearest is verified
+first. Lines that it doesn't settle meet the others, and all the rest where a token had more, in a second round.
 
 Null text stays null and has no lines. A null doc_id is before all others. Rows with one doc_id are
 ordered by a hash of their text. A text whose lines all go becomes empty; its row stays. Empty table:
@@ -20,16 +21,14 @@ empty result. Other columns stay where rows do.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import BLOCK, bitmap, buckets_for, by_bucket, count_table, materialize, mix, pack, release, span_hashes, steps, test_bits, unpack, word_spans
+from vecloom.llm.common import BLOCK, Members, buckets_for, by_bucket, count_table, materialize, mix, pack, release, settled, span_hashes, steps, unpack, word_spans
 
 SLOTS = 1 << 22
-CELLS = 1 << 26
 PARTNERS = 2
 #: Lines that one vectorised step handles: their number takes 14 bits beside 50 of a token.
 LINES = 1 << 14
@@ -48,19 +47,24 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn(RN, F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
 
 
-def _lines(rows, texts, min_words):
+def _lines(rows, texts, min_words, wanted=None):
     """Lines of a step that take part: (doc, row number << 32 | line number, hashes of all words,
-    numbers of words)."""
+    numbers of words). wanted: (doc, line) -> which of them."""
     ids, rn = rows.column(0).fill_null(FIRST).to_numpy(), rows.column(2).to_numpy().astype(np.int64)
     buf, starts, ends, text, line = word_spans(texts)
     if not len(starts):
         return
     new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (line[1:] != line[:-1])]))
     n = np.diff(np.append(new, len(starts)))
-    words = np.repeat(n >= min_words, n)
-    new, n = new[n >= min_words], n[n >= min_words]
-    h = span_hashes(buf, starts[words], ends[words])
     doc, row = ids[text[new]], rn[text[new]] << 32 | line[new]
+    take = n >= min_words
+    if wanted is not None:
+        take &= wanted(doc, row)
+    words = np.repeat(take, n)
+    doc, row, n = doc[take], row[take], n[take]
+    if not len(n):
+        return
+    h = span_hashes(buf, starts[words], ends[words])
     cuts = np.concatenate([[0], np.cumsum(n)])
     for k in range(0, len(n), LINES):
         e = min(k + LINES, len(n))
@@ -80,8 +84,8 @@ def required(nx, ny, percent):
 
 
 def candidates(cols, percent, partners, only=None):
-    """(later doc, later line, earlier doc, earlier line) of postings that pass all filters, and
-    (token, doc, line) of later lines that have more earlier partners than were tried."""
+    """(later doc, later line, earlier doc, earlier line, bits that differ) of postings that pass all filters,
+    and (token, doc, line) of later lines that have more earlier partners than were tried."""
     tok, doc, line, n, pos, bits = cols
     order = np.lexsort((line, doc, tok))
     tok, doc, line, n, pos, bits = (v[order] for v in (tok, doc, line, n.astype(np.int64), pos.astype(np.int64), bits))
@@ -94,31 +98,38 @@ def candidates(cols, percent, partners, only=None):
         x = start[later] + k
         nx, ny = n[x], n[later]
         need = required(nx, ny, percent)
-        ok = (1 + np.minimum(nx - pos[x], ny - pos[later]) - 1 >= need) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (np.bitwise_count(bits[x] ^ bits[later]) <= nx + ny - 2 * need)
+        apart = np.bitwise_count(bits[x] ^ bits[later])
+        ok = (apart <= nx + ny - 2 * need) & (np.minimum(nx - pos[x], ny - pos[later]) >= need) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
         y = later[ok]
+        apart = apart[ok]
         if partners is not None:
             full = taken[y] >= partners
             more.append(y[full])
-            found.append((y[~full], x[ok][~full]))
+            found.append((y[~full], x[ok][~full], apart[~full]))
             taken[y] += 1
         else:
-            found.append((y, x[ok]))
+            found.append((y, x[ok], apart))
         k += 1
         later = later[(place[later] > k) & (taken[later] <= (partners or 0))]
-    y, x = (np.concatenate([*v, np.empty(0, np.int64)]).astype(np.int64) for v in (zip(*found) if found else ((), ())))
+    y, x, apart = (np.concatenate([*v, np.empty(0, np.int64)]).astype(np.int64) for v in (zip(*found) if found else ((), (), ())))
     m = np.unique(np.concatenate([*more, np.empty(0, np.int64)]).astype(np.int64))
-    return (doc[y], line[y], doc[x], line[x]), (tok[m], doc[m], line[m])
+    return (doc[y], line[y], doc[x], line[x], apart), (tok[m], doc[m], line[m])
+
 
+PAIR = "kind int, bucket long, tok long, yd long, yl long, xd long, xl long, apart int"
 
-PAIR = "kind int, bucket long, tok long, yd long, yl long, xd long, xl long"
 
+def _pair_table(kind, bucket, tok, yd, yl, xd, xl, apart):
+    return pa.table({"kind": pa.array(np.full(len(yd), kind, np.int32)), "bucket": np.full(len(yd), bucket, np.int64), "tok": tok, "yd": yd, "yl": yl, "xd": xd, "xl": xl, "apart": apart.astype(np.int32)})
 
-def _pair_table(kind, bucket, tok, yd, yl, xd, xl):
-    return pa.table({"kind": pa.array(np.full(len(yd), kind, np.int32)), "bucket": np.full(len(yd), bucket, np.int64), "tok": tok, "yd": yd, "yl": yl, "xd": xd, "xl": xl})
+
+def _none(n):
+    return np.zeros(n, np.int64)
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> DataFrame:
-    """docs: numbered(). The lines that go: doc (null: the smallest long), line (row number << 32 | number)."""
+    """docs: numbered(). The lines that go: doc (null: the smallest long), line (row number << 32 | number).
+    Not written; the tables that it reads are its caller's to discard."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(RN).cast("int").alias(RN))
 
@@ -182,7 +193,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> Da
                     p = (n - -(-percent * n // 100) + 1) * (keep & (100 * n >= percent * (n + 1)))
                     held.append(((doc[keep], line[keep], k0[keep], k1[keep], n[keep].astype(np.int32), bits[keep], p[keep].astype(np.int32)), tok[pos < p[lid]]))
                     seen += len(doc)
-                    if seen >= 400_000:
+                    if seen >= 200_000:
                         yield from flush()
                         held, seen = [], 0
         if held:
@@ -218,45 +229,53 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> Da
         return pa.table({"kind": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([x[1] for x in out], pa.int64()), "blob": pa.array([x[2] for x in out], pa.binary())})
 
     sent = base.mapInArrow(send, "kind int, bucket long, blob binary").groupBy("bucket").applyInArrow(classes, "kind int, bucket long, blob binary")
-    settled = materialize(sent, "lines")
-    postings = settled.where("kind = 1").select("bucket", "blob")
+    written = materialize(sent, "lines")
+    postings = written.where("kind = 1").select("bucket", "blob")
 
     def first_round(t: pa.Table) -> pa.Table:
         b = t["bucket"][0].as_py()
         cols = [np.concatenate(v) for v in zip(*(unpack(x) for x in t["blob"].to_pylist()))]
-        (yd, yl, xd, xl), (tok, md, ml) = candidates(cols, percent, PARTNERS)
-        return pa.concat_tables([_pair_table(0, b, np.zeros(len(yd), np.int64), yd, yl, xd, xl), _pair_table(1, b, tok.view(np.int64), md, ml, md, ml)])
+        (yd, yl, xd, xl, apart), (tok, md, ml) = candidates(cols, percent, PARTNERS)
+        # of a later line's partners in this bucket each once
+        order = np.lexsort((xl, xd, yl, yd))
+        yd, yl, xd, xl, apart = (v[order] for v in (yd, yl, xd, xl, apart))
+        new = np.concatenate([[True], (yd[1:] != yd[:-1]) | (yl[1:] != yl[:-1]) | (xd[1:] != xd[:-1]) | (xl[1:] != xl[:-1])])[: len(yd)]
+        return pa.concat_tables([_pair_table(0, b, _none(new.sum()), yd[new], yl[new], xd[new], xl[new], apart[new]), _pair_table(1, b, tok.view(np.int64), md, ml, md, ml, _none(len(md)))])
 
     def second_round(t: pa.Table, wanted: pa.Table) -> pa.Table:
         if not len(t) or not len(wanted):
-            return _pair_table(0, 0, *(np.empty(0, np.int64),) * 5)
+            return _pair_table(0, 0, *(_none(0),) * 6)
         cols = [np.concatenate(v) for v in zip(*(unpack(x) for x in t["blob"].to_pylist()))]
         asked = set(zip(wanted["tok"].to_pylist(), wanted["yd"].to_pylist(), wanted["yl"].to_pylist()))
         tokens_ = np.unique(wanted["tok"].to_numpy().view(np.uint64))
         near = np.isin(cols[0], tokens_)
         cols = [c[near] for c in cols]
-        (yd, yl, xd, xl), _ = candidates(cols, percent, None, lambda a, d, l: np.fromiter((x in asked for x in zip(a.view(np.int64).tolist(), d.tolist(), l.tolist())), bool, len(a)))
-        return _pair_table(0, 0, np.zeros(len(yd), np.int64), yd, yl, xd, xl)
+        (yd, yl, xd, xl, apart), _ = candidates(cols, percent, None, lambda a, d, l: np.fromiter((x in asked for x in zip(a.view(np.int64).tolist(), d.tolist(), l.tolist())), bool, len(a)))
+        return _pair_table(0, 0, _none(len(yd)), yd, yl, xd, xl, apart)
 
     def wanted_only(tokens_):
         def pick(batches):
             for batch in batches:
                 for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     cols = unpack(blob)
-                    near = test_bits(tokens_.value, mix(cols[0]) % np.uint64(CELLS))
+                    near = tokens_.test(cols[0].view(np.int64))
                     if near.any():
                         yield pa.record_batch([pa.array([b], pa.int64()), pa.array([pack(*(c[near] for c in cols))], pa.binary())], ["bucket", "blob"])
 
         return pick
 
     tried = materialize(postings.groupBy("bucket").applyInArrow(first_round, PAIR), "candidates")
-    similar = _verified(base, tried.where("kind = 0").select("yd", "yl", "xd", "xl").distinct(), percent, min_words)
-    left = tried.where("kind = 1").select("bucket", "tok", "yd", "yl").join(similar, ["yd", "yl"], "left_anti")
-    left = materialize(left, "left")
+    met = tried.where("kind = 0")
+    best = met.groupBy("yd", "yl").agg(F.min(F.struct("apart", "xd", "xl")).alias("x")).select("yd", "yl", "x.xd", "x.xl")
+    similar = _verified(base, best, percent, min_words)
+    # lines that aren't settled: their other partners, and tokens with partners that weren't tried
+    others = met.select("yd", "yl", "xd", "xl").join(similar, ["yd", "yl"], "left_anti").distinct()
+    left = materialize(tried.where("kind = 1").select("tok", "bucket", "yd", "yl").join(similar, ["yd", "yl"], "left_anti").select("tok", "bucket", "yd", "yl"), "left")
     if not left.isEmpty():
-        bits = spark.sparkContext.broadcast(bitmap(left.select("tok"), lambda batch: [np.unique(mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(CELLS))], CELLS, least=1))
-        again = postings.mapInArrow(wanted_only(bits), "bucket long, blob binary").groupBy("bucket").cogroup(left.groupBy("bucket")).applyInArrow(second_round, PAIR)
-        similar = similar.unionByName(_verified(base, again.select("yd", "yl", "xd", "xl").distinct(), percent, min_words)).distinct()
+        again = postings.mapInArrow(wanted_only(Members(left)), "bucket long, blob binary").groupBy("bucket").cogroup(left.groupBy("bucket")).applyInArrow(second_round, PAIR)
+        others = others.unionByName(again.select("yd", "yl", "xd", "xl")).distinct()
+    similar = similar.unionByName(_verified(base, others, percent, min_words)).distinct()
+    release(tried, left)
 
     def spread(batches):
         for batch in batches:
@@ -264,82 +283,188 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> Da
                 doc, line = unpack(b)
                 yield pa.record_batch([pa.array(doc), pa.array(line)], ["doc", "line"])
 
-    copies = settled.where("kind = 0").select("blob").mapInArrow(spread, "doc long, line long")
-    gone = materialize(copies.unionByName(similar.select(F.col("yd").alias("doc"), F.col("yl").alias("line"))), "gone")
-    release(settled, tried)
-    return gone
+    copies = written.where("kind = 0").select("blob").mapInArrow(spread, "doc long, line long")
+    return copies.unionByName(similar.select(F.col("yd").alias("doc"), F.col("yl").alias("line")))
 
 
-def _cell(doc, line):
+def _key(doc, line):
+    """One long for a line; for the line -1, its row's document."""
     with np.errstate(over="ignore"):
-        return mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.view(np.uint64)) % np.uint64(CELLS)
+        return mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.view(np.uint64)).view(np.int64)
+
+
+#: Bytes of a word's hash that a set is sent with.
+WORD_BYTES = 6
+
+
+def _keys_of(pairs, doc, line):
+    """The lines of one side of pairs and their documents as longs."""
+
+    def scan(batches):
+        for batch in batches:
+            d, l = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield pa.record_batch([pa.array(np.unique(np.concatenate([_key(d, l), _key(d, _none(len(d)) - 1)])))], ["key"])
+
+    return pairs.select(doc, line).mapInArrow(scan, "key long")
 
 
 def _verified(base: DataFrame, pairs: DataFrame, percent: int, min_words: int) -> DataFrame:
-    """Later lines (yd, yl) of pairs whose whole sets are similar. Two bitmaps of fixed width say which
-    lines' sets to read for either side; lines that these let through by chance find no partner in the join."""
+    """Later lines (yd, yl) of pairs whose whole sets are similar. Two bitmaps say which documents and
+    lines to read for either side; lines that these let through by chance find no partner."""
     spark = base.sparkSession
     pairs = materialize(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs.select("yd", "yl")
+
+    def member(doc, line):
+        keys = materialize(_keys_of(pairs, doc, line), "keys")
+        out = Members(keys)
+        release(keys)
+        return out
 
-    def side(k):
-        cells = lambda batch: [np.unique(_cell(batch.column(k).to_numpy(), batch.column(k + 1).to_numpy()))]
-        return spark.sparkContext.broadcast(bitmap(pairs, cells, CELLS, least=1))
+    later, earlier = member("yd", "yl"), member("xd", "xl")
+    per = buckets_for(spark, pairs.count(), 50_000)
+    bucket = lambda doc, line: (_key(doc, line).view(np.uint64) % np.uint64(per)).astype(np.int64)
 
-    later, earlier = side(0), side(2)
+    def row(kind, k, *cols):
+        return pa.record_batch([pa.array([kind], pa.int32()), pa.array([k], pa.int64()), pa.array([pack(*cols)], pa.binary())], ["kind", "bucket", "blob"])
 
     def sets(batches):
+        held, size = [], 0
+
+        def flush():
+            doc, line, side, n = (np.concatenate(v) for v in list(zip(*held))[:4])
+            h = np.concatenate([x[4] for x in held])
+            start = np.cumsum(n) - n
+            for k, (at,) in by_bucket(bucket(doc, line), np.arange(len(doc))):
+                for kind in (1, 2):
+                    mine = at[side[at] & kind > 0]
+                    if len(mine):
+                        h8 = ragged(h, start, n, mine).view(np.uint8).reshape(-1, 8)
+                        yield row(kind, k, doc[mine], line[mine], n[mine], np.ascontiguousarray(h8[:, 8 - WORD_BYTES :]).reshape(-1))
+
         for batch in batches:
-            for rows, texts in steps(batch, limit=BLOCK):
-                for doc, line, h, n in _lines(rows, texts, min_words):
-                    cell = _cell(doc, line)
-                    y, x = test_bits(later.value, cell), test_bits(earlier.value, cell)
-                    ok = np.flatnonzero(x | y)
-                    if len(ok):
-                        ends = np.cumsum(n)
-                        made = [np.unique(h[e - k : e]).tobytes() for e, k in zip(ends[ok].tolist(), n[ok].tolist())]
-                        yield pa.record_batch([pa.array(doc[ok]), pa.array(line[ok]), pa.array(x[ok]), pa.array(y[ok]), pa.array(made, pa.binary())], ["d", "l", "x", "y", "s"])
-
-    found = materialize(base.mapInArrow(sets, "d long, l long, x boolean, y boolean, s binary"), "sets")
-
-    def test(batches):
+            ids = batch.column(0).fill_null(FIRST).to_numpy()
+            if not len(ids):
+                continue
+            keys = _key(ids, _none(len(ids)) - 1)
+            for rows, texts in steps(batch.filter(pa.array(later.test(keys) | earlier.test(keys))), limit=BLOCK):
+                for doc, line, h, n in _lines(rows, texts, min_words, lambda d, l: later.test(_key(d, l)) | earlier.test(_key(d, l))):
+                    lid = np.repeat(np.arange(len(n)), n)
+                    order = np.lexsort((h, lid))
+                    h, lid = h[order], lid[order]
+                    new = np.concatenate([[True], (h[1:] != h[:-1]) | (lid[1:] != lid[:-1])])
+                    key = _key(doc, line)
+                    held.append((doc, line, later.test(key).astype(np.int64) | earlier.test(key).astype(np.int64) << 1, np.bincount(lid[new], minlength=len(n)), h[new]))
+                    size += int(new.sum())
+                    if size >= 2_000_000:
+                        yield from flush()
+                        held, size = [], 0
+        if held:
+            yield from flush()
+
+    written = materialize(base.mapInArrow(sets, "kind int, bucket long, blob binary"), "sets")
+
+    def asked(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.record_batch([batch.column(0), batch.column(1)], ["yd", "yl"]).filter(pa.array(keep, pa.bool_()))
-
-    x = found.where("x").select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("s").alias("sx"))
-    y = found.where("y").select(F.col("d").alias("yd"), F.col("l").alias("yl"), F.col("s").alias("sy"))
-    similar = materialize(pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"]).select("yd", "yl", "sx", "sy").mapInArrow(test, "yd long, yl long").distinct(), "similar")
-    release(pairs, found)
+            yd, yl, xd, xl = (batch.column(k).to_numpy() for k in range(4))
+            for k, cols in by_bucket(bucket(xd, xl), yd, yl, xd, xl):
+                yield row(0, k, *cols)
+
+    def joined(t: pa.Table, kind: int):
+        """Of a bucket, (columns of its asked rows, then for each the start and length of its set, all sets' words)."""
+        kinds, blobs = t["kind"].to_pylist(), t["blob"].to_pylist()
+        ask = [unpack(b) for k, b in zip(kinds, blobs) if k == 0]
+        have = [unpack(b) for k, b in zip(kinds, blobs) if k == kind]
+        if not ask or not have:
+            return None
+        ask, (doc, line, n, words) = ([np.concatenate(v) for v in zip(*x)] for x in (ask, have))
+        start = np.cumsum(n) - n
+        order = np.lexsort((line, doc))
+        return ask, doc[order], line[order], n[order], start[order], words.reshape(-1, WORD_BYTES)
+
+    def place(doc, line, d, l):
+        """Place of each (d, l) in the sorted (doc, line); -1 where there is none."""
+        both = np.lexsort((np.concatenate([_none(len(doc)), _none(len(d)) + 1]), np.concatenate([line, l]), np.concatenate([doc, d])))
+        last = np.maximum.accumulate(np.where(both < len(doc), both, -1))
+        out = np.empty(len(both), np.int64)
+        out[both] = last
+        out = out[len(doc) :]
+        return np.where((out >= 0) & (doc[out] == d) & (line[out] == l), out, -1)
+
+    def widen(words):
+        out = np.zeros((len(words), 8), np.uint8)
+        out[:, 8 - WORD_BYTES :] = words
+        return out.reshape(-1).view(np.uint64)
+
+    def earlier_sets(t: pa.Table) -> pa.Table:
+        got, out = joined(t, 2), []
+        if got is not None:
+            (yd, yl, xd, xl), doc, line, n, start, words = got
+            at = place(doc, line, xd, xl)
+            ok = at >= 0
+            yd, yl, at = yd[ok], yl[ok], at[ok]
+            for k, (rows,) in by_bucket(bucket(yd, yl), np.arange(len(yd))):
+                where = at[rows]
+                out.append((k, pack(yd[rows], yl[rows], n[where], words[ragged(np.arange(len(words)), start, n, where)].reshape(-1))))
+        return pa.table({"kind": pa.array([0] * len(out), pa.int32()), "bucket": pa.array([x[0] for x in out], pa.int64()), "blob": pa.array([x[1] for x in out], pa.binary())})
+
+    def settle(t: pa.Table) -> pa.Table:
+        kinds, blobs = t["kind"].to_pylist(), t["blob"].to_pylist()
+        have = [unpack(b) for k, b in zip(kinds, blobs) if k == 1]
+        ask = [unpack(b) for k, b in zip(kinds, blobs) if k == 0]
+        yd = yl = _none(0)
+        if ask and have:
+            doc, line, n, words = (np.concatenate(v) for v in zip(*have))
+            yd, yl, m, sent = (np.concatenate(v) for v in zip(*ask))
+            order = np.lexsort((line, doc))
+            at = place(doc[order], line[order], yd, yl)
+            ok = at >= 0
+            start = np.cumsum(m) - m
+            mine = order[at[ok]]
+            n_y, n_x = n[mine], m[ok]
+            y = widen(words.reshape(-1, WORD_BYTES))
+            x = widen(sent.reshape(-1, WORD_BYTES))
+            hy = ragged(y, np.cumsum(n) - n, n, mine)
+            hx = ragged(x, start, m, np.flatnonzero(ok))
+            pair = np.concatenate([np.repeat(np.arange(len(mine)), n_y), np.repeat(np.arange(len(mine)), n_x)])
+            h = np.concatenate([hy, hx])
+            by = np.lexsort((h, pair))
+            h, pair = h[by], pair[by]
+            same = (h[1:] == h[:-1]) & (pair[1:] == pair[:-1])  # a set holds a word once
+            both = np.bincount(pair[1:][same], minlength=len(mine))
+            good = 100 * both >= percent * (n_y + n_x - both)
+            yd, yl = yd[ok][good], yl[ok][good]
+        return pa.table({"yd": yd, "yl": yl})
+
+    blobs = "kind int, bucket long, blob binary"
+    first = pairs.select("yd", "yl", "xd", "xl").mapInArrow(asked, blobs).unionByName(written.where("kind = 2")).groupBy("bucket").applyInArrow(earlier_sets, blobs)
+    similar = materialize(first.unionByName(written.where("kind = 1")).groupBy("bucket").applyInArrow(settle, "yd long, yl long").distinct(), "similar")
+    release(pairs, written)
     return similar
 
 
 def _cut(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
     """docs with the prefixed columns gone (numbers of lines that go) and out (the text that is left).
-    A bitmap of fixed width tells rows that keep all lines, which don't move; rows that it lets through
-    by chance find no line in the join."""
+    Only rows that a bitmap takes to lose lines move."""
     rows = numbered(docs)
-    gone = repeated_lines(rows, percent, min_words).select(F.col("doc").alias("__vl_doc"), F.shiftright("line", 32).cast("int").alias("__vl_row"), F.col("line").bitwiseAND(0x7FFFFFFF).cast("int").alias("__vl_line"))
-    by_row = gone.groupBy("__vl_doc", "__vl_row").agg(F.collect_set("__vl_line").alias("__vl_gone"))
+    gone = settled(lambda: repeated_lines(rows, percent, min_words), "gone")
+    by_row = gone.select(F.col("doc").alias("__vl_doc"), F.shiftright("line", 32).cast("int").alias("__vl_row"), F.col("line").bitwiseAND(0x7FFFFFFF).cast("int").alias("__vl_line"))
+    by_row = by_row.groupBy("__vl_doc", "__vl_row").agg(F.collect_set("__vl_line").alias("__vl_gone"))
     rows = rows.withColumn("__vl_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)))
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone, lambda batch: [np.unique(_cell(batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)))], CELLS, least=1))
-
-    @F.pandas_udf("boolean")
-    def cut(doc: pd.Series, row: pd.Series) -> pd.Series:
-        return pd.Series(test_bits(bits.value, _cell(doc.to_numpy(np.int64), row.to_numpy(np.int64))))
-
-    touched = cut("__vl_id", RN)
+    touched = Members(gone.select("doc")).column("__vl_id")
     moved = rows.where(touched).join(by_row, (F.col("__vl_id") == F.col("__vl_doc")) & (F.col(RN) == F.col("__vl_row")), "left")
     out = moved.unionByName(rows.where(~touched), allowMissingColumns=True)
-    return out.withColumn("__vl_out", F.when(F.col("__vl_gone").isNull(), F.col("text")).otherwise(F.expr("array_join(get(transform(array(split(text, '\\n')), l -> transform(array_except(sequence(0, size(l) - 1), __vl_gone), k -> get(l, k))), 0), '\\n')")))
+    kept = "get(transform(array(split(text, '\\n')), l -> transform(array_except(sequence(0, size(l) - 1), __vl_gone), k -> get(l, k))), 0)"
+    return out.withColumn("__vl_out", F.when(F.col("__vl_gone").isNull(), F.col("text")).otherwise(F.expr(f"array_join({kept}, '\\n')")))
 
 
-def deduplicate_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> DataFrame:
-    """docs with the lines that go taken out of text, and n_chars, where there is one, counted anew."""
+def deduplicate_lines(docs: DataFrame, percent: int = 80, min_words: int = 3, drop_emptied: bool = False) -> DataFrame:
+    """docs with the lines that go taken out of text, and n_chars, where there is one, counted anew.
+    drop_emptied: rows that lose lines and are left without a word go."""
     df = _cut(docs, percent, min_words)
+    if drop_emptied:
+        df = df.where(F.col("__vl_gone").isNull() | F.col("__vl_out").rlike(r"[^\x20\x09-\x0D]"))
     cols = [F.col("__vl_out").alias("text") if c == "text" else F.length("__vl_out").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return df.select(*cols)
 

@@ -3,8 +3,9 @@
 Each document's word shingles give 128 minima. Groups of four minima are 32 band keys, which find
 candidates (a pair at similarity 0.8 shares none with a chance of 5e-8); two bits of each minimum,
 packed into four longs, estimate a candidate's similarity by counting bits, corrected for the chance
-of equal bits. Estimates far under the threshold (five standard deviations and more) go; the rest is
-confirmed on the full shingle sets.
+of equal bits. Estimates far under the threshold (five standard deviations and more) go, and so do pairs
+whose sizes or whose 1024-bit parities of the sets rule the threshold out (bits that differ are never more
+than shingles that differ, so this loses nothing); the rest is confirmed on the full shingle sets.
 
 Documents with one set form a class, whose smallest doc_id stands for it. No group is expanded to
 all pairs: first each member of a bucket is held against the bucket's first member; after the
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import gram_hashes, hash_words, materialize, mix, slim, steps
+from vecloom.llm.common import Members, gram_hashes, hash_words, materialize, mix, release, settled, slim, steps
 from vecloom.llm.components import components
 
 ROWS, BANDS, BITS = 4, 32, 2
@@ -31,11 +32,13 @@ _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _BAND = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
-SIGNATURE = "doc_id long, n_shingles long, k0 long, k1 long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+SIGNATURE = "doc_id long, n_shingles long, k0 long, k1 long, s0 long, s1 long, s2 long, s3 long, bands array<long>, parity binary"
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 2048
 #: Estimated pairs that a block gives for each pair of components before the full comparison.
-BEST = 16
+BEST = 4
+#: Bits of a set's parity.
+PARITY = 1024
 
 
 def shingle_sets(texts, size: int):
@@ -67,15 +70,21 @@ def minima(s: np.ndarray) -> np.ndarray:
     return low
 
 
+def parity(s: np.ndarray) -> bytes:
+    """For each of PARITY cells whether an odd number of the hashes falls into it."""
+    return np.packbits((np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     def scan(batches):
         for batch in batches:
             for rows, texts in steps(batch):
-                keys, mins, counts = [], [], []
+                keys, mins, counts, odd = [], [], [], []
                 for s in shingle_sets(texts, size):
                     counts.append(len(s))
                     keys.append(set_key(s) if len(s) else (0, 0))
                     mins.append(minima(s))
+                    odd.append(parity(s))
                 m = np.array(mins, np.uint32).reshape(-1, HASHES)
                 with np.errstate(over="ignore"):
                     bands = np.zeros((len(m), BANDS), np.uint64) + _BAND
@@ -87,8 +96,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     lanes[:, k // 32] |= bits[:, k].astype(np.uint64) << np.uint64(2 * (k % 32))
                 k = np.array(keys, np.int64).reshape(-1, 2)
                 yield pa.record_batch(
-                    [rows.column(0), pa.array(counts, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), *(pa.array(lanes[:, j].view(np.int64)) for j in range(4)), pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * BANDS, bands.view(np.int64).ravel())],
-                    ["doc_id", "n_shingles", "k0", "k1", "s0", "s1", "s2", "s3", "bands"],
+                    [rows.column(0), pa.array(counts, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), *(pa.array(lanes[:, j].view(np.int64)) for j in range(4)), pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * BANDS, bands.view(np.int64).ravel()), pa.array(odd, pa.binary())],
+                    ["doc_id", "n_shingles", "k0", "k1", "s0", "s1", "s2", "s3", "bands", "parity"],
                 )
 
     return slim(docs).mapInArrow(scan, SIGNATURE)
@@ -108,22 +117,25 @@ def least_lanes(threshold: float) -> int:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """The shingle sets of the documents in ids, once for each doc_id and set."""
+    """The shingle sets of the documents in ids. A bitmap tells which texts to read; sets that it lets
+    through by chance are joined to nothing."""
+    wanted = Members(ids)
 
     def scan(batches):
         for batch in batches:
-            for rows, texts in steps(batch):
+            ids = batch.column(0).fill_null(0).to_numpy()
+            for rows, texts in steps(batch.filter(pa.array(wanted.test(ids))) if len(ids) else batch):
                 sets = list(shingle_sets(texts, size))
-                k = np.array([set_key(s) for s in sets], np.int64).reshape(-1, 2)
-                yield pa.record_batch([rows.column(0), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "k0", "k1", "shingles"])
+                yield pa.record_batch([rows.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
 
-    found = slim(docs).join(ids, "doc_id", "left_semi").mapInArrow(scan, "doc_id long, k0 long, k1 long, shingles binary")
-    return found.groupBy("doc_id", "k0", "k1").agg(F.first("shingles").alias("shingles"))
+    return slim(docs).mapInArrow(scan, "doc_id long, shingles binary")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    sets = materialize(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size), "sets")
+def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int, repeats: bool) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. repeats: rows may share a doc_id."""
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    found = _sets(docs, ids, size)
+    sets = materialize(found.distinct() if repeats else found, "sets")
 
     def test(batches):
         for batch in batches:
@@ -136,33 +148,38 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long").distinct(), "links")
+    out = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long").distinct(), "links")
+    release(ids, sets)
+    return out
 
 
-def _apart(members: DataFrame, reps: DataFrame, labels: DataFrame, least: int, best: int | None) -> DataFrame:
-    """Pairs of different components in one bucket whose estimates pass. A bucket's largest component
+def _apart(members: DataFrame, reps: DataFrame, labels: DataFrame, least: int, percent: int, best: int | None) -> DataFrame:
+    """Pairs of different components in one bucket whose estimates, sizes and parities pass. A bucket's largest component
     is held against the others only; both sides come in blocks."""
     named = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     sizes = named.groupBy("band", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all")).where("parts > 1").select("band", F.col("top.component").alias("main"), F.col("all").alias("n_all"), (F.col("all") - F.col("top.n")).alias("n_minor"))
-    rows = named.join(main, "band").join(reps.select("doc_id", "s0", "s1", "s2", "s3"), "doc_id")
+    rows = named.join(main, "band").join(reps.select("doc_id", "n_shingles", "s0", "s1", "s2", "s3", "parity"), "doc_id")
     kj, ki = F.ceil(F.col("n_all") / BLOCK).cast("int"), F.ceil(F.col("n_minor") / BLOCK).cast("int")
     cell = lambda k, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), k).cast("int")
-    cols = ["band", "doc_id", "component", "s0", "s1", "s2", "s3"]
+    cols = ["band", "doc_id", "component", "n_shingles", "s0", "s1", "s2", "s3", "parity"]
     minor = rows.where("component <> main").select(*cols, cell(ki, 1).alias("i"), F.explode(F.sequence(F.lit(0), kj - 1)).alias("j"), F.lit(True).alias("minor"))
     every = rows.select(*cols, F.explode(F.sequence(F.lit(0), ki - 1)).alias("i"), cell(kj, 2).alias("j"), F.lit(False).alias("minor"))
 
     def compare(t: pa.Table) -> pa.Table:
-        left = t["minor"].to_numpy()
-        doc, comp = t["doc_id"].to_numpy(), t["component"].to_numpy()
+        left, doc, comp, n = (t[c].to_numpy() for c in ("minor", "doc_id", "component", "n_shingles"))
         sig = np.stack([t[f"s{k}"].to_numpy() for k in range(4)], 1).view(np.uint64)
+        odd = np.frombuffer(b"".join(t["parity"].to_pylist()), np.uint64).reshape(len(doc), -1)
         x, y, a, b, score = np.flatnonzero(left), np.flatnonzero(~left), [], [], []
         for k in x:
-            d = sig[y] ^ sig[k]
+            z = y[(comp[y] != comp[k]) & (100 * np.minimum(n[y], n[k]) >= percent * np.maximum(n[y], n[k]))]
+            d = sig[z] ^ sig[k]
             same = HASHES - np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1).astype(np.int64)
-            ok = np.flatnonzero((same >= least) & (comp[y] != comp[k]))
-            a.append(np.full(len(ok), k))
-            b.append(y[ok])
+            z, same = z[same >= least], same[same >= least]
+            apart = np.bitwise_count(odd[z] ^ odd[k]).sum(axis=1, dtype=np.int64)
+            ok = apart * (100 + percent) <= (100 - percent) * (n[z] + n[k])
+            a.append(np.full(int(ok.sum()), k))
+            b.append(z[ok])
             score.append(same[ok])
         a, b, score = (np.concatenate([*v, np.empty(0, np.int64)]).astype(np.int64) for v in (a, b, score))
         if best is not None and len(a):
@@ -180,56 +197,74 @@ def links(docs: DataFrame, sig: DataFrame, size: int, percent: int):
     """(labels of linked class representatives: node, component; classes: k0, k1, doc_id)."""
     least = least_lanes(percent / 100)
     full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(full.groupBy("k0", "k1").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("s0", "s1", "s2", "s3", "bands"))), "classes")
+    classes = materialize(full.groupBy("k0", "k1").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", "s0", "s1", "s2", "s3", "bands", "parity"))), "classes")
     banded = classes.select("doc_id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub <> last").select("band", "hub")
     members = materialize(banded.join(shared, "band").select("band", "doc_id", "hub").distinct(), "members")
-    x, y = classes.select("doc_id", "s0", "s1", "s2", "s3").alias("x"), classes.select("doc_id", "s0", "s1", "s2", "s3").alias("y")
+    x, y = (classes.select("doc_id", "n_shingles", "s0", "s1", "s2", "s3").alias(k) for k in "xy")
     pairs = members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id")).where(F.expr(_same_lanes()) >= least).select("a", "b").distinct()
-    tried = materialize(pairs, "pairs")
-    found = confirm(docs, tried, size, percent)
-    # a doc_id with several sets joins their classes
-    several = full.select("doc_id", "k0", "k1").distinct().groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1").select("doc_id")
-    alias = full.select("doc_id", "k0", "k1").join(several, "doc_id").join(classes.select("k0", "k1", F.col("doc_id").alias("rep")), ["k0", "k1"])
-    found = found.unionByName(materialize(alias.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct(), "links"))
+    near = (F.expr(_same_lanes()) >= least) & F.expr(f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)")
+    tried = materialize(pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id")).where(near).select("a", "b"), "pairs")
+    repeats = not full.groupBy("doc_id").count().where("count > 1").isEmpty()
+    made = [members, tried]
+    links_ = confirm(docs, tried, size, percent, repeats)
+    made.append(links_)
+    if repeats:  # a doc_id with several sets joins their classes
+        several = full.select("doc_id", "k0", "k1").distinct().groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1").select("doc_id")
+        alias = full.select("doc_id", "k0", "k1").join(several, "doc_id").join(classes.select("k0", "k1", F.col("doc_id").alias("rep")), ["k0", "k1"])
+        made.append(materialize(alias.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct(), "links"))
+        links_ = links_.unionByName(made[-1])
     labels = None
     for best in (BEST, None):
         if labels is None:
-            labels = materialize(components(found), "labels")
-        again = materialize(_apart(members.select("band", "doc_id"), classes, labels, least, best).join(tried, ["a", "b"], "left_anti"), "pairs")
+            labels = materialize(components(links_), "labels")
+        again = materialize(_apart(members.select("band", "doc_id"), classes, labels, least, percent, best).join(tried, ["a", "b"], "left_anti"), "pairs")
+        made.append(again)
         if again.isEmpty():  # of the best pairs all may have been tried; the round of all pairs tells
             continue
         tried = tried.unionByName(again)
-        found = found.unionByName(confirm(docs, again, size, percent))
-        labels = None
+        made.append(confirm(docs, again, size, percent, repeats))
+        if not made[-1].isEmpty():
+            links_ = links_.unionByName(made[-1])
+            release(labels)
+            labels = None
     if labels is None:
-        labels = materialize(components(found), "labels")
+        labels = materialize(components(links_), "labels")
+    release(*made)
     return labels, classes
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    sig = materialize(signatures(docs, size), "signatures")
-    labels, classes = links(docs, sig, size, percent)
-    # a class and a doc_id that stands for several sets are nodes of one graph
-    of_class = classes.select("k0", "k1", F.col("doc_id").alias("rep")).join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k0", "k1", F.coalesce("component", "rep").alias("component"))
-    rows = sig.select("doc_id", "n_shingles", "k0", "k1")
-    out = rows.join(of_class, ["k0", "k1"], "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    """One row per document: doc_id, n_shingles, component_id, kept. A written table of these alone is left."""
+
+    def groups():
+        sig = materialize(signatures(docs, size), "signatures")
+        labels, classes = links(docs, sig, size, percent)
+        # a class and a doc_id that stands for several sets are nodes of one graph
+        of_class = classes.select("k0", "k1", F.col("doc_id").alias("rep")).join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k0", "k1", F.coalesce("component", "rep").alias("component"))
+        out = sig.select("doc_id", "n_shingles", "k0", "k1").join(of_class, ["k0", "k1"], "left")
+        out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
+        out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+        return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+    return settled(groups, "groups")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group: the smallest doc_id's. Of repeated rows with text and one doc_id the
-    one row stays; documents without text all stay."""
-    told = near_duplicates(docs, size, percent).where("doc_id IS NOT NULL")
-    by_id = materialize(told.groupBy("doc_id").agg(F.max("n_shingles").alias("__vn_n"), F.bool_or("kept").alias("__vn_kept"), F.count("*").alias("__vn_rows")).select(F.col("doc_id").alias("__vn_id"), "__vn_n", "__vn_kept", "__vn_rows"), "verdicts")
-    marked = docs.join(by_id, F.col("doc_id") == F.col("__vn_id"), "left").where("__vn_id IS NULL OR __vn_kept")
+    one row stays; documents without text all stay. Only rows that a bitmap takes to be copies move."""
+    told = near_duplicates(docs, size, percent)
+    by_id = told.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("__vn_n"), F.bool_or("kept").alias("__vn_kept"), F.count("*").alias("__vn_rows"))
+    odd = materialize(by_id.where("__vn_n > 0 AND (NOT __vn_kept OR __vn_rows > 1)").select(F.col("doc_id").alias("__vn_id"), "__vn_kept"), "copies")
+    release(told)
+    if odd.isEmpty():
+        return docs
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    single = marked.where("__vn_id IS NULL OR __vn_rows = 1 OR __vn_n = 0").select(*cols)
-    repeated = by_id.where("__vn_kept AND __vn_rows > 1 AND __vn_n > 0")
-    if repeated.isEmpty():
-        return single
-    return single.unionByName(marked.where("__vn_id IS NOT NULL AND __vn_rows > 1 AND __vn_n > 0").dropDuplicates(["__vn_id"]).select(*cols))
+    rows = docs.withColumn("__vn_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")))
+    hit = Members(odd.select("__vn_id")).column("__vn_key")
+    met = rows.where(hit).join(odd, F.col("doc_id") == F.col("__vn_id"), "left")
+    stay = rows.where(~hit).select(*cols).unionByName(met.where("__vn_id IS NULL").select(*cols))
+    several = odd.where("__vn_kept")
+    if several.isEmpty():
+        return stay
+    return stay.unionByName(met.where("__vn_kept").dropDuplicates(["__vn_id"]).select(*cols))
