@@ -231,6 +231,38 @@ def test_secret_of_letters(spark):
     assert got[5].text == "in 2020 " + got[1].text.removeprefix("My ") and got[4].text == rows[3][1]
 
 
+def test_spellings_of_one_entity(spark):
+    rows = [
+        (1, "call (386) 555-3733 or 386-555-3733 or +1 386.555.3733"),
+        (2, "card 4111-1111-1111-1111 and 4111111111111111"),
+        (3, "Mr Smith met Dr. Smith. Then Smith left; MR SMITHSON stayed. Mrs Anna Smith too."),
+        (4, "mail A.Lee@x.example.com, a.lee@X.example.com"),
+        (5, "г-н Петров и г-жа Петрова"),
+        (6, "Sr Ñu came, \u039a\u03cd\u03c1\u03b9\u03bf\u03c2 \u03a0\u03b1\u03c0\u03ac\u03c2 too"),
+    ]
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    digits = [re.sub(r"\D", "", x)[-10:] for x in re.findall(r"(?:\+1 )?[(\d][\d() .-]{8,}\d", got[1])]
+    assert len(digits) == 3 and len(set(digits)) == 1 and digits[0] != "3865553733" and "+1 " in got[1] and got[1].startswith("call (")
+    cards = re.findall(r"\d[\d-]{14,}\d", got[2])
+    assert cards[0].replace("-", "") == cards[1] != "4111111111111111" and cards[0].count("-") == 3
+    name = re.match(r"Mr (\w+) met Dr\. (\w+)\. Then (\w+) left; MR SMITHSON stayed\. Mrs (\w+) (\w+) too", got[3])
+    assert name and name[1] == name[2] == name[3] == name[5] != "Smith" and name[4] in surrogates.GIVEN["latin", "f"]
+    mails = re.findall(r"\S+@[\w.]+com", got[4])
+    assert len(set(m.lower() for m in mails)) == 1 and "lee" not in got[4].lower()
+    assert re.fullmatch(r"г-н [а-яА-Я]+(ов|ин|овский) и г-жа [а-яА-Я]+(ова|ина|овская)", got[5]) and "Петров" not in got[5]
+    assert "Ñu" not in got[6] and "\u03a0\u03b1\u03c0\u03ac\u03c2" not in got[6]
+
+
+def test_surrogates_stay_distinct(spark):
+    # more units than the short formats have room for
+    names = [(k, "Mr " + "".join(chr(97 + int(c)) for c in str(1000 + k)).title() + " came") for k in range(900)]
+    phones = [(1000 + k, f"tel 10 11 {k:02d} 99") for k in range(100)] + [(2000 + k, f"10-11-{k:02d}-99") for k in range(100)]
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(names + phones, "doc_id long, text string")).collect()}
+    assert len({got[k] for k, _ in names}) == 900 and not {got[k] for k, _ in names} & {t for _, t in names}
+    numbers = {k: re.sub(r"\D", "", got[k]) for k, _ in phones}
+    assert len(set(numbers.values())) == 100 and all(numbers[1000 + k] == numbers[2000 + k] for k in range(100))
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN["MIT"].replace("<year> <holders>", "2020 Someone").upper().replace(", ", " - ")
     d = spark.createDataFrame([(1, mit), (2, "no licence"), (3, None), (4, "")], "doc_id long, text string")
