@@ -11,61 +11,52 @@ by the longest common subsequence of words between the item and the passage with
 contaminated at `lcs` of the item, or at `lcs_answer` where the answer (the rarer words of the
 item's last sentence) is there in full.
 
-The benchmark is taken in blocks of a bounded size, each against all documents. Words are lower-cased
-and stripped of punctuation. Null or empty texts and items match nothing. Null ids are carried as they are.
+The benchmark is taken in blocks of a bounded size, each against all documents. Words are runs of ASCII
+letters, digits and non-ASCII characters other than quotation marks and dashes; A-Z and À-Þ are lower-cased. Null or empty texts and items match nothing. Null ids are carried as they are.
 Repeated rows match each for itself. Empty tables: empty result. Other columns stay where rows do.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import CACHE_WORDS, count_table, slim, steps
+from vecloom.llm.common import BLOB, PARTS, Members, _merged, count_table, pack, settled, slim, span_hashes, steps, task_number, unpack
 
 SLOTS = 1 << 20
 WIDTH, STRIDE = 24, 12
 #: Benchmark text that one block holds.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 #: Share of its energy that a passage may lose in the latent space and still be met there alone.
 LOST = 1e-4
 #: Cosines held at a time.
 CELLS = 4 << 20
-PUNCTUATION = ".,;:!?\"'()[]{}«»“”‘’…-"
 MATCH = "doc_id long, item_id long, cosine double, lcs double, answer boolean"
-
-
-class _Words(dict):
-    """Raw word -> hash of its lower-cased core; 0 where nothing is left."""
-
-    def __missing__(self, word):
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        # of ASCII letters and digits alone: nothing to strip, and the same digest
-        core = word.lower() if word.isalnum() else word.decode("utf-8", "replace").lower().strip(PUNCTUATION)
-        h = self[word] = (xxhash.xxh3_64_intdigest(core) | 1) if core else 0
-        return h
-
-
-_words = _Words()
+_BYTES = np.arange(256)
+_IN_CORE = (_BYTES >= 128) | np.isin(_BYTES, np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
 
 
 def cores(texts):
-    """(flat hashes of the words that have a core, lengths)."""
-    raw = [t.split() for t in texts]
-    lens = np.fromiter(map(len, raw), np.int64, len(raw))
-    flat = np.fromiter(map(_words.__getitem__, itertools.chain.from_iterable(raw)), np.uint64, int(lens.sum()))
-    if (flat == 0).any():
-        row = np.repeat(np.arange(len(raw)), lens)
-        lens = np.bincount(row[flat != 0], minlength=len(raw))
-        flat = flat[flat != 0]
-    return flat, lens
+    """(flat hashes of the words of texts (bytes), numbers of words), vectorised."""
+    buf = np.frombuffer(b"\n".join(texts) + b"\n  ", np.uint8)
+    inside = np.zeros(len(buf) + 2, bool)
+    inside[1:-1] = _IN_CORE[buf]
+    if (buf >= 0xC2).any():
+        buf = buf.copy()
+        # U+00AB and U+00BB, and U+2010 to U+203F with the dashes and quotation marks, part words
+        quote = np.flatnonzero((buf[:-1] == 0xC2) & ((buf[1:] == 0xAB) | (buf[1:] == 0xBB)))
+        mark = np.flatnonzero((buf[:-2] == 0xE2) & (buf[1:-1] == 0x80) & (buf[2:] >= 0x90))
+        inside[np.concatenate([quote, quote + 1, mark, mark + 1, mark + 2]) + 1] = False
+        capital = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)) + 1
+        buf[capital] += 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    first = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return span_hashes(buf, starts, ends), np.bincount(np.searchsorted(first, starts, side="right"), minlength=len(texts))[: len(texts)]
 
 
 def windows(lens):
@@ -82,12 +73,10 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     """Idf by hash slot, from all documents."""
 
     def slots(batch):
-        for _, texts in steps(batch):
-            held: list = []
-            for t in texts:
-                held.extend(set(map(_words.__getitem__, t.split())))
-            met = np.array(held, np.uint64)
-            yield (met[met != 0] % np.uint64(SLOTS)).astype(np.int64)
+        for _, texts in steps(batch, limit=1 << 18):
+            flat, lens = cores(texts)
+            met = np.sort(np.repeat(np.arange(len(lens)), lens) << 20 | (flat % np.uint64(SLOTS)).astype(np.int64))
+            yield met[np.concatenate([[True], met[1:] != met[:-1]])[: len(met)]] & (SLOTS - 1)
 
     counts = count_table(slim(docs), slots, SLOTS)
     n = max(1, docs.count())
@@ -123,7 +112,6 @@ def latent_space(items: DataFrame, idf: np.ndarray, rank: int = 256, seed: int =
     """(sorted vocabulary, basis) of the passages of items: randomised SVD, one job for each step."""
     spark = items.sparkSession
 
-
     def words(batches):
         for batch in batches:
             for _, texts in steps(batch):
@@ -134,8 +122,9 @@ def latent_space(items: DataFrame, idf: np.ndarray, rank: int = 256, seed: int =
         return vocab, np.zeros((0, 0), np.float32)
     idf_of = lambda h: idf[(h % np.uint64(SLOTS)).astype(np.int64)]
 
-    def product(left):
-        """Sum over all passages of f(A), added up by partition."""
+    def product(left, rows):
+        """Sum over all passages of f(A), a float32 matrix with `rows` rows, added up in slices of its rows."""
+        cut = -(-rows // PARTS)
 
         def run(batches):
             total = None
@@ -147,32 +136,43 @@ def latent_space(items: DataFrame, idf: np.ndarray, rank: int = 256, seed: int =
                         x = left(*_vectors(flat, idf_of, vocab, s, e), len(s))
                         total = x if total is None else total + x
             if total is not None:
-                yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["blob"])
+                for k in range(PARTS):
+                    yield pa.record_batch([pa.array([k], pa.int32()), pa.array([task_number()], pa.int32()), pa.array([pack(total[k * cut : (k + 1) * cut].reshape(-1).astype(np.float32))], pa.binary())], ["part", "pid", "blob"])
+
+        def add(blobs):
+            total = None
+            for b in blobs:
+                (x,) = unpack(b)
+                total = x if total is None else total + x
+            return pack(total)
 
-        blobs = [np.frombuffer(r.blob, np.float64) for r in items.coalesce(8).mapInArrow(run, "blob binary").collect()]
-        return sum(blobs)
+        got = {r.part: unpack(r.blob)[0] for r in _merged(items.coalesce(8).mapInArrow(run, BLOB), add).collect()}
+        return np.concatenate([got[k] for k in range(PARTS) if k in got])
 
     k = min(rank + 16, len(vocab))
-    basis = np.random.default_rng(seed).standard_normal((len(vocab), k))
+    basis = np.random.default_rng(seed).standard_normal((len(vocab), k), np.float32)
     for _ in range(2):
-        held = basis
+        held = spark.sparkContext.broadcast(basis)
 
-        def gram(row, col, weight, n, m=held):
+        def gram(row, col, weight, n):
+            m = held.value
             y = _dense(row, col, weight, n, m)
             out = np.zeros_like(m)
             np.add.at(out, col, y[row] * weight[:, None])
             return out
 
-        basis, _ = np.linalg.qr(np.asarray(product(gram)).reshape(len(vocab), k))
-    final = basis
+        basis, _ = np.linalg.qr(product(gram, len(vocab)).reshape(len(vocab), k))
+        held.destroy()
+    final = spark.sparkContext.broadcast(basis)
 
     def inner(row, col, weight, n):
-        y = _dense(row, col, weight, n, final)
+        y = _dense(row, col, weight, n, final.value)
         return y.T @ y
 
-    values, turn = np.linalg.eigh(np.asarray(product(inner)).reshape(k, k))
+    values, turn = np.linalg.eigh(product(inner, k).reshape(k, k).astype(np.float64))
+    final.destroy()
     best = np.argsort(-values)[:rank]
-    best = best[values[best] > 1e-9 * values.max()]
+    best = best[values[best] > 1e-7 * values.max()]
     return vocab, (basis @ turn[:, best]).astype(np.float32)
 
 
@@ -339,10 +339,14 @@ def _search(docs, bench_sent, idf_sent, cosine, lcs, lcs_answer):
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
-    """The rows of docs without a match. A row goes with all others of its doc_id and text."""
-    from vecloom.llm.common import materialize
-
+    """The rows of docs without a match. A row goes with all others of its doc_id and text. Only rows
+    that a bitmap takes to match move."""
     named = docs.withColumn("__vd_key", F.xxhash64("doc_id", "text"))
     keyed = named.select(F.col("__vd_key").alias("doc_id"), "text")
-    hit = materialize(find(keyed, benchmark, **limits).select(F.col("doc_id").alias("__vd_hit")).distinct(), "contaminated")
-    return named.join(hit, F.col("__vd_key") == F.col("__vd_hit"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    hit = settled(lambda: find(keyed, benchmark, **limits).select(F.col("doc_id").alias("__vd_hit")).distinct(), "contaminated")
+    if hit.isEmpty():
+        return docs
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    near = Members(hit).column("__vd_key")
+    met = named.where(near).join(hit, F.col("__vd_key") == F.col("__vd_hit"), "left_anti")
+    return named.where(~near).select(*cols).unionByName(met.select(*cols))
