@@ -222,6 +222,17 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> Da
             shared = np.lexsort((line[of], doc[of], tok))
             shared = shared[tok[shared] >> np.uint64(44) > ONCE]
             tok, pos, of = tok[shared], pos[shared], of[shared]
+            blocks = (np.exp2((tok >> np.uint64(44)).astype(np.float64) / 2) // HOT_POSTINGS).astype(np.int64) + 1
+            hot = np.flatnonzero(blocks > 1)
+            if len(hot):  # two lines with the token meet where the pair of their blocks does
+                g = blocks[hot]
+                other = np.arange(int(g.sum())) - np.repeat(np.cumsum(g) - g, g)
+                own = np.repeat((_key(doc[of[hot]], line[of[hot]]).view(np.uint64) % g.astype(np.uint64)).astype(np.int64), g)
+                code = np.minimum(own, other) * np.repeat(g, g) + np.maximum(own, other) + 1
+                with np.errstate(over="ignore"):
+                    met = mix(np.repeat(tok[hot], g) + code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                cool = np.flatnonzero(blocks == 1)
+                tok, pos, of = np.concatenate([tok[cool], met]), np.concatenate([pos[cool], np.repeat(pos[hot], g)]), np.concatenate([of[cool], np.repeat(of[hot], g)])
             for k, cols in by_bucket((mix(tok) % np.uint64(per_token)).astype(np.int64), tok, doc[of], line[of], n[of], pos, bits[of]):
                 out.append((1, k, pack(*cols)))
         if gone:
@@ -295,6 +306,42 @@ def _key(doc, line):
 
 #: Bytes of a word's hash that a set is sent with.
 WORD_BYTES = 6
+#: Pairs of one line that one task takes at most; a line with more is met in several.
+HOT_PAIRS = 50_000
+#: Postings of one token that one task takes at most; those of a more frequent token are met in blocks.
+HOT_POSTINGS = 400_000
+
+
+class _Salt:
+    """Lines that a thousandth of all pairs or more share (a thousand lines at most) are dealt to several buckets."""
+
+    def __init__(self, pairs: DataFrame, doc: str, line: str, n: int, per: int):
+        most = max(HOT_PAIRS, n // 1000)
+        rows = pairs.groupBy(doc, line).count().where(F.col("count") > most).collect()
+        keys = _key(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64))
+        order = np.argsort(keys)
+        self.keys, self.parts, self.per = keys[order], np.array([-(-r[2] // most) for r in rows], np.int64)[order], per
+
+    def of(self, key):
+        """Buckets that lines are dealt to."""
+        if not len(self.keys):
+            return np.ones(len(key), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.parts[at], 1)
+
+    def bucket(self, key, part):
+        with np.errstate(over="ignore"):
+            return (mix(key.view(np.uint64) + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.per)).astype(np.int64)
+
+    def dealt(self, key, other):
+        """The bucket of a pair, by its other line."""
+        return self.bucket(key, (other.view(np.uint64) % self.of(key).astype(np.uint64)).astype(np.int64))
+
+    def everywhere(self, key):
+        """(bucket, number of the line) for each bucket of each line."""
+        n = self.of(key)
+        at = np.repeat(np.arange(len(key)), n)
+        return self.bucket(key[at], np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)), at
 
 
 def _keys_of(pairs, doc, line):
@@ -324,7 +371,8 @@ def _verified(base: DataFrame, pairs: DataFrame, percent: int, min_words: int) -
 
     later, earlier = member("yd", "yl"), member("xd", "xl")
     per = buckets_for(spark, pairs.count(), 50_000)
-    bucket = lambda doc, line: (_key(doc, line).view(np.uint64) % np.uint64(per)).astype(np.int64)
+    n_pairs = pairs.count()
+    on_x, on_y = _Salt(pairs, "xd", "xl", n_pairs, per), _Salt(pairs, "yd", "yl", n_pairs, per)
 
     def row(kind, k, *cols):
         return pa.record_batch([pa.array([kind], pa.int32()), pa.array([k], pa.int64()), pa.array([pack(*cols)], pa.binary())], ["kind", "bucket", "blob"])
@@ -336,12 +384,13 @@ def _verified(base: DataFrame, pairs: DataFrame, percent: int, min_words: int) -
             doc, line, side, n = (np.concatenate(v) for v in list(zip(*held))[:4])
             h = np.concatenate([x[4] for x in held])
             start = np.cumsum(n) - n
-            for k, (at,) in by_bucket(bucket(doc, line), np.arange(len(doc))):
-                for kind in (1, 2):
-                    mine = at[side[at] & kind > 0]
-                    if len(mine):
-                        h8 = ragged(h, start, n, mine).view(np.uint8).reshape(-1, 8)
-                        yield row(kind, k, doc[mine], line[mine], n[mine], np.ascontiguousarray(h8[:, 8 - WORD_BYTES :]).reshape(-1))
+            key = _key(doc, line)
+            for kind, salt in ((1, on_y), (2, on_x)):
+                own = np.flatnonzero(side & kind)
+                to, at = salt.everywhere(key[own])
+                for k, (mine,) in by_bucket(to, own[at]):
+                    h8 = ragged(h, start, n, mine).view(np.uint8).reshape(-1, 8)
+                    yield row(kind, k, doc[mine], line[mine], n[mine], np.ascontiguousarray(h8[:, 8 - WORD_BYTES :]).reshape(-1))
 
         for batch in batches:
             ids = batch.column(0).fill_null(FIRST).to_numpy()
@@ -368,7 +417,7 @@ def _verified(base: DataFrame, pairs: DataFrame, percent: int, min_words: int) -
     def asked(batches):
         for batch in batches:
             yd, yl, xd, xl = (batch.column(k).to_numpy() for k in range(4))
-            for k, cols in by_bucket(bucket(xd, xl), yd, yl, xd, xl):
+            for k, cols in by_bucket(on_x.dealt(_key(xd, xl), _key(yd, yl)), yd, yl, xd, xl):
                 yield row(0, k, *cols)
 
     def joined(t: pa.Table, kind: int):
@@ -404,7 +453,7 @@ def _verified(base: DataFrame, pairs: DataFrame, percent: int, min_words: int) -
             at = place(doc, line, xd, xl)
             ok = at >= 0
             yd, yl, at = yd[ok], yl[ok], at[ok]
-            for k, (rows,) in by_bucket(bucket(yd, yl), np.arange(len(yd))):
+            for k, (rows,) in by_bucket(on_y.dealt(_key(yd, yl), _key(xd[ok], xl[ok])), np.arange(len(yd))):
                 where = at[rows]
                 out.append((k, pack(yd[rows], yl[rows], n[where], words[ragged(np.arange(len(words)), start, n, where)].reshape(-1))))
         return pa.table({"kind": pa.array([0] * len(out), pa.int32()), "bucket": pa.array([x[0] for x in out], pa.int64()), "blob": pa.array([x[1] for x in out], pa.binary())})
