@@ -2,9 +2,9 @@
 
 A line is the set of its lower-cased words. Its tokens are ordered by rarity (classes of a count
 table of fixed width over all documents, then by hash); lines at the similarity share a token
-of their prefixes, which the length and positional filters and a 64-bit parity bitmap of each set
-(bits that differ are never more than tokens that differ) confirm or refuse before the sets
-themselves are read. A line goes if an earlier line, by (doc_id, line number), is similar to it;
+of their prefixes, which the length and positional filters and 64-bit parities of each set
+(bits that differ are never more than tokens that differ) confirm or refuse, for longer lines also
+512-bit parities, before the sets themselves are read. A line goes if an earlier line, by (doc_id, line number), is similar to it;
 lines are judged on the input, not on what is left. Lines of under `min_words` distinct words stay;
 with `min_words` 1, as the query and the pipeline have it, only lines without words.
 
@@ -30,6 +30,8 @@ from vecloom.llm.common import BLOCK, Members, buckets_for, by_bucket, count_tab
 
 SLOTS = 1 << 22
 PARTNERS = 2
+#: Distinct tokens from which on a line has a parity of 512 bits too.
+WIDE_FROM, WIDE_BITS = 16, 512
 #: Lines that one vectorised step handles: their number takes 14 bits beside 50 of a token.
 LINES = 1 << 14
 RN = "__vl_rn"
@@ -78,14 +80,26 @@ def ragged(values, starts, lens, order):
     return values[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(s, n)]
 
 
+def _wide(tok, lid, n):
+    """WIDE_BITS parities, as rows of longs, of the lines with over WIDE_FROM tokens."""
+    long_ = n > WIDE_FROM
+    sel = long_[lid]
+    place = np.cumsum(long_) - 1
+    cell = np.sort(place[lid[sel]] * WIDE_BITS + (mix(tok[sel] ^ np.uint64(0x1F83D9ABFB41BD6B)) & np.uint64(WIDE_BITS - 1)).astype(np.int64))
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])[: len(cell)])
+    odd = cell[first[np.diff(np.append(first, len(cell))) & 1 == 1]]
+    rows = int(long_.sum())
+    return np.bincount(odd >> 3, 1 << (odd & 7), rows * WIDE_BITS // 8).astype(np.uint8).view(np.uint64).reshape(rows, WIDE_BITS // 64)
+
+
 def required(nx, ny, percent):
     """Least overlap of sets of these sizes at the similarity."""
     return -(-percent * (nx + ny) // (100 + percent))
 
 
 def candidates(cols, percent, partners, only=None):
-    """(later doc, later line, earlier doc, earlier line, bits that differ) of postings that pass all filters,
-    and (token, doc, line) of later lines that have more earlier partners than were tried."""
+    """(later doc, later line, earlier doc, earlier line, bits that differ, whether both have wide parities) of
+    postings that pass all filters, and (token, doc, line) of later lines that have more earlier partners than were tried."""
     tok, doc, line, n, pos, bits = cols
     order = np.lexsort((line, doc, tok))
     tok, doc, line, n, pos, bits = (v[order] for v in (tok, doc, line, n.astype(np.int64), pos.astype(np.int64), bits))
@@ -113,14 +127,14 @@ def candidates(cols, percent, partners, only=None):
         later = later[(place[later] > k) & (taken[later] <= (partners or 0))]
     y, x, apart = (np.concatenate([*v, np.empty(0, np.int64)]).astype(np.int64) for v in (zip(*found) if found else ((), (), ())))
     m = np.unique(np.concatenate([*more, np.empty(0, np.int64)]).astype(np.int64))
-    return (doc[y], line[y], doc[x], line[x], apart), (tok[m], doc[m], line[m])
+    return (doc[y], line[y], doc[x], line[x], apart, np.minimum(n[y], n[x]) > WIDE_FROM), (tok[m], doc[m], line[m])
 
 
-PAIR = "kind int, bucket long, tok long, yd long, yl long, xd long, xl long, apart int"
+PAIR = "kind int, bucket long, tok long, yd long, yl long, xd long, xl long, apart int, wide boolean"
 
 
-def _pair_table(kind, bucket, tok, yd, yl, xd, xl, apart):
-    return pa.table({"kind": pa.array(np.full(len(yd), kind, np.int32)), "bucket": np.full(len(yd), bucket, np.int64), "tok": tok, "yd": yd, "yl": yl, "xd": xd, "xl": xl, "apart": apart.astype(np.int32)})
+def _pair_table(kind, bucket, tok, yd, yl, xd, xl, apart, wide):
+    return pa.table({"kind": pa.array(np.full(len(yd), kind, np.int32)), "bucket": np.full(len(yd), bucket, np.int64), "tok": tok, "yd": yd, "yl": yl, "xd": xd, "xl": xl, "apart": apart.astype(np.int32), "wide": wide.astype(bool)})
 
 
 def _none(n):
@@ -167,14 +181,15 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> Da
 
         def flush():
             doc, line, k0, k1, n, bits, p = (np.concatenate(v) for v in zip(*(x[0] for x in held)))
-            tok = np.concatenate([x[1] for x in held])
+            tok, wide = (np.concatenate([x[k] for x in held]) for k in (1, 2))
             order = np.lexsort((line, doc, k1, k0))
             new = np.concatenate([[True], (k0[order][1:] != k0[order][:-1]) | (k1[order][1:] != k1[order][:-1])])
             rest, order = order[~new], order[new]
             start = np.cumsum(p) - p
+            has = (n > WIDE_FROM).astype(np.int64)
             bucket = (k0[order] % np.uint64(per)).astype(np.int64)
             for k, (rows,) in by_bucket(bucket, order):
-                yield _row(0, k, pack(doc[rows], line[rows], k0[rows], k1[rows], n[rows], bits[rows], p[rows], ragged(tok, start, p.astype(np.int64), rows)))
+                yield _row(0, k, pack(doc[rows], line[rows], k0[rows], k1[rows], n[rows], bits[rows], p[rows], ragged(tok, start, p.astype(np.int64), rows), ragged(wide, np.cumsum(has) - has, has, rows).reshape(-1)))
             for k, (rows,) in by_bucket((doc[rest] % per).astype(np.int64), rest):
                 yield _row(1, k, pack(doc[rows], line[rows]))
 
@@ -191,7 +206,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> Da
                     k0, k1 = k0 ^ mix(np.minimum.reduceat(h, first)), k1 ^ mix(np.maximum.reduceat(h, first) ^ np.uint64(0x9696969696969696))
                     # sets too small to be similar to any other but an equal one need no tokens
                     p = (n - -(-percent * n // 100) + 1) * (keep & (100 * n >= percent * (n + 1)))
-                    held.append(((doc[keep], line[keep], k0[keep], k1[keep], n[keep].astype(np.int32), bits[keep], p[keep].astype(np.int32)), tok[pos < p[lid]]))
+                    held.append(((doc[keep], line[keep], k0[keep], k1[keep], n[keep].astype(np.int32), bits[keep], p[keep].astype(np.int32)), tok[pos < p[lid]], _wide(tok, lid, n)[keep[n > WIDE_FROM]]))
                     seen += len(doc)
                     if seen >= 200_000:
                         yield from flush()
@@ -208,13 +223,16 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> Da
         gone = [b for k, b in zip(kinds, blobs) if k == 1]
         rows = [b for k, b in zip(kinds, blobs) if k == 0]
         if rows:
-            doc, line, k0, k1, n, bits, p, tok = (np.concatenate(v) for v in zip(*rows))
+            doc, line, k0, k1, n, bits, p, tok, wide = (np.concatenate(v) for v in zip(*rows))
             order = np.lexsort((line, doc, k1, k0))
             new = np.concatenate([[True], (k0[order][1:] != k0[order][:-1]) | (k1[order][1:] != k1[order][:-1])])
             rest, order = order[~new], order[new]
             gone.append((doc[rest], line[rest]))
             p = p.astype(np.int64)
             start = np.cumsum(p) - p
+            has = (n > WIDE_FROM).astype(np.int64)
+            of = order[(has[order] > 0) & (p[order] > 0)]
+            out.append((2, 0, pack(doc[of], line[of], n[of], ragged(wide.reshape(-1, WIDE_BITS // 64), np.cumsum(has) - has, has, of).reshape(-1))))
             tok = ragged(tok, start, p, order)
             m = p[order]
             pos = (np.arange(len(tok)) - np.repeat(np.cumsum(m) - m, m)).astype(np.int32)
@@ -246,23 +264,23 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> Da
     def first_round(t: pa.Table) -> pa.Table:
         b = t["bucket"][0].as_py()
         cols = [np.concatenate(v) for v in zip(*(unpack(x) for x in t["blob"].to_pylist()))]
-        (yd, yl, xd, xl, apart), (tok, md, ml) = candidates(cols, percent, PARTNERS)
+        (yd, yl, xd, xl, apart, wide), (tok, md, ml) = candidates(cols, percent, PARTNERS)
         # of a later line's partners in this bucket each once
         order = np.lexsort((xl, xd, yl, yd))
-        yd, yl, xd, xl, apart = (v[order] for v in (yd, yl, xd, xl, apart))
+        yd, yl, xd, xl, apart, wide = (v[order] for v in (yd, yl, xd, xl, apart, wide))
         new = np.concatenate([[True], (yd[1:] != yd[:-1]) | (yl[1:] != yl[:-1]) | (xd[1:] != xd[:-1]) | (xl[1:] != xl[:-1])])[: len(yd)]
-        return pa.concat_tables([_pair_table(0, b, _none(new.sum()), yd[new], yl[new], xd[new], xl[new], apart[new]), _pair_table(1, b, tok.view(np.int64), md, ml, md, ml, _none(len(md)))])
+        return pa.concat_tables([_pair_table(0, b, _none(new.sum()), yd[new], yl[new], xd[new], xl[new], apart[new], wide[new]), _pair_table(1, b, tok.view(np.int64), md, ml, md, ml, *(_none(len(md)),) * 2)])
 
     def second_round(t: pa.Table, wanted: pa.Table) -> pa.Table:
         if not len(t) or not len(wanted):
-            return _pair_table(0, 0, *(_none(0),) * 6)
+            return _pair_table(0, 0, *(_none(0),) * 7)
         cols = [np.concatenate(v) for v in zip(*(unpack(x) for x in t["blob"].to_pylist()))]
         asked = set(zip(wanted["tok"].to_pylist(), wanted["yd"].to_pylist(), wanted["yl"].to_pylist()))
         tokens_ = np.unique(wanted["tok"].to_numpy().view(np.uint64))
         near = np.isin(cols[0], tokens_)
         cols = [c[near] for c in cols]
-        (yd, yl, xd, xl, apart), _ = candidates(cols, percent, None, lambda a, d, l: np.fromiter((x in asked for x in zip(a.view(np.int64).tolist(), d.tolist(), l.tolist())), bool, len(a)))
-        return _pair_table(0, 0, _none(len(yd)), yd, yl, xd, xl, apart)
+        (yd, yl, xd, xl, apart, wide), _ = candidates(cols, percent, None, lambda a, d, l: np.fromiter((x in asked for x in zip(a.view(np.int64).tolist(), d.tolist(), l.tolist())), bool, len(a)))
+        return _pair_table(0, 0, _none(len(yd)), yd, yl, xd, xl, apart, wide)
 
     def wanted_only(tokens_):
         def pick(batches):
@@ -276,17 +294,22 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 3) -> Da
         return pick
 
     tried = materialize(postings.groupBy("bucket").applyInArrow(first_round, PAIR), "candidates")
-    met = tried.where("kind = 0")
+    wide = written.where("kind = 2").select("blob")
+    distinct = lambda df: df.groupBy("yd", "yl", "xd", "xl").agg(F.first("apart").alias("apart"), F.first("wide").alias("wide"))
+    met = _refuted(distinct(tried.where("kind = 0")), wide, percent)
     best = met.groupBy("yd", "yl").agg(F.min(F.struct("apart", "xd", "xl")).alias("x")).select("yd", "yl", "x.xd", "x.xl")
+    best = materialize(best, "best")
     similar = _verified(base, best, percent, min_words)
     # lines that aren't settled: their other partners, and tokens with partners that weren't tried
-    others = met.select("yd", "yl", "xd", "xl").join(similar, ["yd", "yl"], "left_anti").distinct()
+    others = met.select("yd", "yl", "xd", "xl").join(similar, ["yd", "yl"], "left_anti")
     left = materialize(tried.where("kind = 1").select("tok", "bucket", "yd", "yl").join(similar, ["yd", "yl"], "left_anti").select("tok", "bucket", "yd", "yl"), "left")
+    release(tried)
     if not left.isEmpty():
         again = postings.mapInArrow(wanted_only(Members(left)), "bucket long, blob binary").groupBy("bucket").cogroup(left.groupBy("bucket")).applyInArrow(second_round, PAIR)
-        others = others.unionByName(again.select("yd", "yl", "xd", "xl")).distinct()
-    similar = similar.unionByName(_verified(base, others, percent, min_words)).distinct()
-    release(tried, left)
+        more = _refuted(distinct(again), wide, percent)
+        others = others.unionByName(more.select("yd", "yl", "xd", "xl")).distinct()
+    rest = materialize(others.join(best, ["yd", "yl", "xd", "xl"], "left_anti"), "pairs")
+    similar = similar.unionByName(_verified(base, rest, percent, min_words)).distinct()
 
     def spread(batches):
         for batch in batches:
@@ -355,13 +378,38 @@ def _keys_of(pairs, doc, line):
     return pairs.select(doc, line).mapInArrow(scan, "key long")
 
 
-def _verified(base: DataFrame, pairs: DataFrame, percent: int, min_words: int) -> DataFrame:
-    """Later lines (yd, yl) of pairs whose whole sets are similar. Two bitmaps say which documents and
-    lines to read for either side; lines that these let through by chance find no partner."""
-    spark = base.sparkSession
-    pairs = materialize(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs.select("yd", "yl")
+BLOBS = "kind int, bucket long, blob binary"
+MET = "yd long, yl long, xd long, xl long, apart int"
+
+
+def _blob(kind, bucket, *cols):
+    return pa.record_batch([pa.array([kind], pa.int32()), pa.array([bucket], pa.int64()), pa.array([pack(*cols)], pa.binary())], ["kind", "bucket", "blob"])
+
+
+def _columns(blobs):
+    return [np.concatenate(v) for v in zip(*map(unpack, blobs))]
+
+
+def _place(doc, line, d, l):
+    """Place of each (d, l) among the sorted (doc, line); -1 where there is none."""
+    both = np.lexsort((np.concatenate([_none(len(doc)), _none(len(d)) + 1]), np.concatenate([line, l]), np.concatenate([doc, d])))
+    out = np.empty(len(both), np.int64)
+    out[both] = np.maximum.accumulate(np.where(both < len(doc), both, -1))
+    out = out[len(doc) :]
+    return np.where((out >= 0) & (doc[out] == d) & (line[out] == l), out, -1)
+
+
+def _meet(pairs: DataFrame, source: DataFrame, read, unit: int, decide) -> DataFrame:
+    """The pairs (a written table: yd, yl, xd, xl) that decide() keeps by what is known of their lines.
+
+    read(batch, wanted) gives (doc, line, size, units, payload) of the lines of a batch of source that are
+    wanted; the payload is `units` rows of `unit` bytes a line. Lines that pairs don't name are let through rarely
+    and meet nothing. What is known of earlier lines goes to the pairs, then both to what is known of
+    the later ones, in blobs of many rows. decide(later, earlier), each (size, units, payload), gives (kept, apart)."""
+    spark = pairs.sparkSession
+    n = pairs.count()
+    per = buckets_for(spark, n, 50_000)
+    on_x, on_y = _Salt(pairs, "xd", "xl", n, per), _Salt(pairs, "yd", "yl", n, per)
 
     def member(doc, line):
         keys = materialize(_keys_of(pairs, doc, line), "keys")
@@ -370,127 +418,130 @@ def _verified(base: DataFrame, pairs: DataFrame, percent: int, min_words: int) -
         return out
 
     later, earlier = member("yd", "yl"), member("xd", "xl")
-    per = buckets_for(spark, pairs.count(), 50_000)
-    n_pairs = pairs.count()
-    on_x, on_y = _Salt(pairs, "xd", "xl", n_pairs, per), _Salt(pairs, "yd", "yl", n_pairs, per)
+    wanted = lambda doc, line: later.test(key := _key(doc, line)) | earlier.test(key)
 
-    def row(kind, k, *cols):
-        return pa.record_batch([pa.array([kind], pa.int32()), pa.array([k], pa.int64()), pa.array([pack(*cols)], pa.binary())], ["kind", "bucket", "blob"])
-
-    def sets(batches):
+    def known(batches):
         held, size = [], 0
 
         def flush():
-            doc, line, side, n = (np.concatenate(v) for v in list(zip(*held))[:4])
-            h = np.concatenate([x[4] for x in held])
-            start = np.cumsum(n) - n
-            key = _key(doc, line)
-            for kind, salt in ((1, on_y), (2, on_x)):
-                own = np.flatnonzero(side & kind)
+            doc, line, size, units, payload = (np.concatenate(v) for v in zip(*held))
+            key, start = _key(doc, line), np.cumsum(units) - units
+            for kind, side, salt in ((1, later, on_y), (2, earlier, on_x)):
+                own = np.flatnonzero(side.test(key))
                 to, at = salt.everywhere(key[own])
                 for k, (mine,) in by_bucket(to, own[at]):
-                    h8 = ragged(h, start, n, mine).view(np.uint8).reshape(-1, 8)
-                    yield row(kind, k, doc[mine], line[mine], n[mine], np.ascontiguousarray(h8[:, 8 - WORD_BYTES :]).reshape(-1))
+                    yield _blob(kind, k, doc[mine], line[mine], size[mine], units[mine], ragged(payload, start, units, mine).reshape(-1))
 
         for batch in batches:
-            ids = batch.column(0).fill_null(FIRST).to_numpy()
-            if not len(ids):
-                continue
-            keys = _key(ids, _none(len(ids)) - 1)
-            for rows, texts in steps(batch.filter(pa.array(later.test(keys) | earlier.test(keys))), limit=BLOCK):
-                for doc, line, h, n in _lines(rows, texts, min_words, lambda d, l: later.test(_key(d, l)) | earlier.test(_key(d, l))):
-                    lid = np.repeat(np.arange(len(n)), n)
-                    order = np.lexsort((h, lid))
-                    h, lid = h[order], lid[order]
-                    new = np.concatenate([[True], (h[1:] != h[:-1]) | (lid[1:] != lid[:-1])])
-                    key = _key(doc, line)
-                    held.append((doc, line, later.test(key).astype(np.int64) | earlier.test(key).astype(np.int64) << 1, np.bincount(lid[new], minlength=len(n)), h[new]))
-                    size += int(new.sum())
-                    if size >= 2_000_000:
-                        yield from flush()
-                        held, size = [], 0
+            for x in read(batch, wanted):
+                held.append(x)
+                size += x[4].size
+                if size >= 16 << 20:
+                    yield from flush()
+                    held, size = [], 0
         if held:
             yield from flush()
 
-    written = materialize(base.mapInArrow(sets, "kind int, bucket long, blob binary"), "sets")
-
     def asked(batches):
         for batch in batches:
             yd, yl, xd, xl = (batch.column(k).to_numpy() for k in range(4))
             for k, cols in by_bucket(on_x.dealt(_key(xd, xl), _key(yd, yl)), yd, yl, xd, xl):
-                yield row(0, k, *cols)
+                yield _blob(0, k, *cols)
 
-    def joined(t: pa.Table, kind: int):
-        """Of a bucket, (columns of its asked rows, then for each the start and length of its set, all sets' words)."""
+    def parted(t, kind):
         kinds, blobs = t["kind"].to_pylist(), t["blob"].to_pylist()
-        ask = [unpack(b) for k, b in zip(kinds, blobs) if k == 0]
-        have = [unpack(b) for k, b in zip(kinds, blobs) if k == kind]
-        if not ask or not have:
-            return None
-        ask, (doc, line, n, words) = ([np.concatenate(v) for v in zip(*x)] for x in (ask, have))
-        start = np.cumsum(n) - n
-        order = np.lexsort((line, doc))
-        return ask, doc[order], line[order], n[order], start[order], words.reshape(-1, WORD_BYTES)
-
-    def place(doc, line, d, l):
-        """Place of each (d, l) in the sorted (doc, line); -1 where there is none."""
-        both = np.lexsort((np.concatenate([_none(len(doc)), _none(len(d)) + 1]), np.concatenate([line, l]), np.concatenate([doc, d])))
-        last = np.maximum.accumulate(np.where(both < len(doc), both, -1))
-        out = np.empty(len(both), np.int64)
-        out[both] = last
-        out = out[len(doc) :]
-        return np.where((out >= 0) & (doc[out] == d) & (line[out] == l), out, -1)
+        ask, have = ([b for k, b in zip(kinds, blobs) if k == wish] for wish in (0, kind))
+        return (_columns(ask), _columns(have)) if ask and have else None
 
-    def widen(words):
-        out = np.zeros((len(words), 8), np.uint8)
-        out[:, 8 - WORD_BYTES :] = words
-        return out.reshape(-1).view(np.uint64)
-
-    def earlier_sets(t: pa.Table) -> pa.Table:
-        got, out = joined(t, 2), []
+    def earlier_met(t: pa.Table) -> pa.Table:
+        got, out = parted(t, 2), []
         if got is not None:
-            (yd, yl, xd, xl), doc, line, n, start, words = got
-            at = place(doc, line, xd, xl)
-            ok = at >= 0
-            yd, yl, at = yd[ok], yl[ok], at[ok]
-            for k, (rows,) in by_bucket(on_y.dealt(_key(yd, yl), _key(xd[ok], xl[ok])), np.arange(len(yd))):
+            (yd, yl, xd, xl), (doc, line, size, units, payload) = got
+            order = np.lexsort((line, doc))
+            at = _place(doc[order], line[order], xd, xl)
+            yd, yl, xd, xl, at = (v[at >= 0] for v in (yd, yl, xd, xl, order[at]))
+            start, payload = np.cumsum(units) - units, payload.reshape(-1, unit)
+            for k, (rows,) in by_bucket(on_y.dealt(_key(yd, yl), _key(xd, xl)), np.arange(len(yd))):
                 where = at[rows]
-                out.append((k, pack(yd[rows], yl[rows], n[where], words[ragged(np.arange(len(words)), start, n, where)].reshape(-1))))
+                out.append((k, pack(yd[rows], yl[rows], xd[rows], xl[rows], size[where], units[where], ragged(payload, start, units, where).reshape(-1))))
         return pa.table({"kind": pa.array([0] * len(out), pa.int32()), "bucket": pa.array([x[0] for x in out], pa.int64()), "blob": pa.array([x[1] for x in out], pa.binary())})
 
-    def settle(t: pa.Table) -> pa.Table:
-        kinds, blobs = t["kind"].to_pylist(), t["blob"].to_pylist()
-        have = [unpack(b) for k, b in zip(kinds, blobs) if k == 1]
-        ask = [unpack(b) for k, b in zip(kinds, blobs) if k == 0]
-        yd = yl = _none(0)
-        if ask and have:
-            doc, line, n, words = (np.concatenate(v) for v in zip(*have))
-            yd, yl, m, sent = (np.concatenate(v) for v in zip(*ask))
+    def both_met(t: pa.Table) -> pa.Table:
+        got = parted(t, 1)
+        yd = yl = xd = xl = apart = _none(0)
+        if got is not None:
+            (yd, yl, xd, xl, size_x, units_x, payload_x), (doc, line, size, units, payload) = got
             order = np.lexsort((line, doc))
-            at = place(doc[order], line[order], yd, yl)
-            ok = at >= 0
-            start = np.cumsum(m) - m
+            at = _place(doc[order], line[order], yd, yl)
+            ok = np.flatnonzero(at >= 0)
             mine = order[at[ok]]
-            n_y, n_x = n[mine], m[ok]
-            y = widen(words.reshape(-1, WORD_BYTES))
-            x = widen(sent.reshape(-1, WORD_BYTES))
-            hy = ragged(y, np.cumsum(n) - n, n, mine)
-            hx = ragged(x, start, m, np.flatnonzero(ok))
-            pair = np.concatenate([np.repeat(np.arange(len(mine)), n_y), np.repeat(np.arange(len(mine)), n_x)])
-            h = np.concatenate([hy, hx])
-            by = np.lexsort((h, pair))
-            h, pair = h[by], pair[by]
-            same = (h[1:] == h[:-1]) & (pair[1:] == pair[:-1])  # a set holds a word once
-            both = np.bincount(pair[1:][same], minlength=len(mine))
-            good = 100 * both >= percent * (n_y + n_x - both)
-            yd, yl = yd[ok][good], yl[ok][good]
-        return pa.table({"yd": yd, "yl": yl})
-
-    blobs = "kind int, bucket long, blob binary"
-    first = pairs.select("yd", "yl", "xd", "xl").mapInArrow(asked, blobs).unionByName(written.where("kind = 2")).groupBy("bucket").applyInArrow(earlier_sets, blobs)
-    similar = materialize(first.unionByName(written.where("kind = 1")).groupBy("bucket").applyInArrow(settle, "yd long, yl long").distinct(), "similar")
-    release(pairs, written)
-    return similar
+            y = (size[mine], units[mine], ragged(payload.reshape(-1, unit), np.cumsum(units) - units, units, mine))
+            x = (size_x[ok], units_x[ok], ragged(payload_x.reshape(-1, unit), np.cumsum(units_x) - units_x, units_x, ok))
+            kept, apart = decide(y, x)
+            yd, yl, xd, xl = (v[ok][kept] for v in (yd, yl, xd, xl))
+            apart = apart[kept]
+        return pa.table({"yd": yd, "yl": yl, "xd": xd, "xl": xl, "apart": apart.astype(np.int32)})
+
+    sides = materialize(source.mapInArrow(known, BLOBS), "sides")
+    first = pairs.select("yd", "yl", "xd", "xl").mapInArrow(asked, BLOBS).unionByName(sides.where("kind = 2")).groupBy("bucket").applyInArrow(earlier_met, BLOBS)
+    out = materialize(first.unionByName(sides.where("kind = 1")).groupBy("bucket").applyInArrow(both_met, MET), "met")
+    release(sides)
+    return out
+
+
+def _refuted(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """yd, yl, xd, xl, apart of the pairs that the wide parities of both lines, where both have them, don't rule out."""
+    pairs = materialize(pairs, "pairs")
+    hard = materialize(pairs.where("wide").select("yd", "yl", "xd", "xl"), "pairs")
+
+    def read(batch, wanted):
+        for blob in batch.column(0).to_pylist():
+            doc, line, n, bits = unpack(blob)
+            ok = wanted(doc, line)
+            if ok.any():
+                yield doc[ok], line[ok], n[ok].astype(np.int64), np.ones(int(ok.sum()), np.int64), bits.view(np.uint8).reshape(-1, WIDE_BITS // 8)[ok]
+
+    def decide(y, x):
+        apart = np.bitwise_count(y[2] ^ x[2]).sum(axis=1, dtype=np.int64)
+        return apart <= y[0] + x[0] - 2 * required(y[0], x[0], percent), apart
+
+    met = _meet(hard, wide, read, WIDE_BITS // 8, decide)
+    release(hard)
+    return pairs.where("NOT wide").select("yd", "yl", "xd", "xl", "apart").unionByName(met)
+
+
+def _verified(base: DataFrame, pairs: DataFrame, percent: int, min_words: int) -> DataFrame:
+    """Later lines (yd, yl) of pairs (a written table) whose whole sets are similar."""
+
+    def read(batch, wanted):
+        ids = batch.column(0).fill_null(FIRST).to_numpy()
+        if not len(ids):
+            return
+        near = wanted(ids, _none(len(ids)) - 1)
+        for rows, texts in steps(batch.filter(pa.array(near)), limit=BLOCK):
+            for doc, line, h, n in _lines(rows, texts, min_words, wanted):
+                lid = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((h, lid))
+                h, lid = h[order], lid[order]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (lid[1:] != lid[:-1])])
+                size = np.bincount(lid[new], minlength=len(n))
+                yield doc, line, size, size, np.ascontiguousarray(h[new].view(np.uint8).reshape(-1, 8)[:, 8 - WORD_BYTES :])
+
+    def widen(words):
+        out = np.zeros((len(words), 8), np.uint8)
+        out[:, 8 - WORD_BYTES :] = words
+        return out.reshape(-1).view(np.uint64)
+
+    def decide(y, x):
+        h = np.concatenate([widen(y[2]), widen(x[2])])
+        pair = np.concatenate([np.repeat(np.arange(len(s[1])), s[1]) for s in (y, x)])
+        by = np.lexsort((h, pair))
+        h, pair = h[by], pair[by]
+        same = (h[1:] == h[:-1]) & (pair[1:] == pair[:-1])  # a set holds a word once
+        both = np.bincount(pair[1:][same], minlength=len(y[0]))
+        return 100 * both >= percent * (y[0] + x[0] - both), _none(len(both))
+
+    return materialize(_meet(pairs, base, read, WORD_BYTES, decide).select("yd", "yl").distinct(), "similar")
 
 
 def _cut(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
