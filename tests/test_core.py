@@ -85,43 +85,113 @@ def test_config():
     assert c.train.lr == 0.001 and c.data.p == 1.0 and config.load(config.dump(c)) == c
 
 
-def test_training_separates_clusters(spark):
+@pytest.mark.parametrize("mode", ["sg", "cbow"])
+def test_training_lowers_the_loss(spark, mode):
     from vecloom.plans.registry import _trained
 
-    t, v = _trained(spark)
-    assert t.history[-1]["loss"] < t.history[0]["loss"]
-
-
-def test_graph_of_all_parts(spark, tmp_path):
-    import itertools
-    import random
-    from collections import Counter
-
-    from vecloom.plans.registry import ORACLE, QUERIES
-
-    r = random.Random(6)
-    rows = [(o, r.choice([5, 250, 299, 300, 301, 450, 7000, 12000])) for o in range(12) for _ in range(3)]
-    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
-    run = lambda q: QUERIES[f"{q}_all_parts"](spark, str(tmp_path)).collect()
-    edges = Counter()
-    for o in range(12):
-        edges.update(tuple(sorted(f"p{k}" for k in pair)) for pair in itertools.combinations({p for x, p in rows if x == o}, 2))
-    assert {(x.src, x.dst): x.weight for x in run("q14_graph_edges_canonical")} == edges
-    w = {**edges, **{(b, a): n for (a, b), n in edges.items()}}
-    for q, variant in (("q17_transition_probs_second_order", "reference"), ("q18_transition_probs_second_order_paper", "paper")):
-        want = {}
-        for prev, here in w:
-            out = {d: n / 4 if d == prev else n / 0.5 if ((prev, d) in w) == (variant == "reference") else n for (s, d), n in w.items() if s == here}
-            want.update({(prev, here, d): round(x / sum(out.values()), 6) for d, x in out.items()})
-        assert {(x.prev, x.here, x.dst): round(x.prob, 6) for x in run(q)} == want
-    nodes = {s for s, _ in w}
-    for q in ("q20_node2vec_walks", "q21_node2vec_walks_paper"):
-        walks = [x.walk.split(" ") for x in run(q)]
-        assert {p[0] for p in walks} == nodes and all(pair in w for p in walks for pair in itertools.pairwise(p))
-    assert all(x.u in nodes and x.v in nodes and (x.u, x.v) not in w for x in run("q23_negative_edges"))
-    split = run("q24_edge_train_split")
-    assert {(x.src, x.dst) for x in split} == set(edges) and sum(x.train for x in split) == round(0.5 * len(edges))
-    assert not any(q.endswith("_all_parts") for q in ORACLE)
+    t, v = _trained(spark, mode)
+    means = {(h["epoch"], h["name"]): h["value"] for h in t.history}
+    assert means[9, "train-epoch/positive-loss"] < means[0, "train-epoch/positive-loss"] and {"train/loss", "epoch/lr", "train-metrics/recall", "train-metrics/precision"} <= {n for _, n in means}
+
+
+@pytest.mark.parametrize("mode", ["sg", "cbow"])
+def test_gradients_by_joins(spark, mode):
+    import numpy as np
+
+    s = dataset(spark, "test").withColumn("tokens", text.tokenize("text"))
+    v = vocabulary.build_vocab(s).cache()
+    ids = vocabulary.encode(s.where(text.long_enough("tokens", 1)), v, "sent_id")
+    ex = vocabulary.examples(ids, 1, mode).cache()
+    t = sgns.Trainer(v.count(), 3, negatives=2, seed=5)
+    want, _ = t._gradient(ex, 7)
+    sides = {k: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "idx int, vec array<double>") for k, m in t.params.items()}
+    got = {k: np.zeros_like(m) for k, m in t.params.items()}
+    for r in sgns.gradients(sgns.with_noise(ex, 2, t.vocab, 5, 7), sides["input"], sides["output"]).collect():
+        got[r.side][r.idx, r.at] = r.grad
+    assert all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
+
+
+def test_training_end_to_end(spark, tmp_path):
+    from vecloom.plans import train
+
+    settings = f"""
+train: {{max_epochs: 4, steps_per_epoch: 5, lr: 0.2, experiment: one}}
+loss: {{negatives: 1}}
+data: {{dataset: graph_triplets, is_graph: true, walk_length: 5, walks_per_node: 8, context_radius: 2}}
+downstream: {{n_experiments: 2, test_all: true}}
+embedding_dim: 2
+"""
+    c = config.load(settings)
+    run = train.train(spark, c, str(tmp_path))
+    first, second = (train.tokens_of(c, run.data, e).collect() for e in (0, 1))
+    assert first != second and len(first) == c.n_walks(run.data) == 72
+    names = {(r.epoch, r.name) for r in train.scalars(spark, run.layout).collect()}
+    assert {(e, "train-epoch/loss") for e in range(3)} <= names
+    assert train.node_task(c, run).first().best >= 0.6 and 0 <= train.edge_task(c, run).first().mean <= 1
+    with pytest.raises(FileExistsError):
+        train.train(spark, c, str(tmp_path))
+    c.train.max_epochs = 5
+    more = train.train(spark, c, str(tmp_path), resume=True)
+    assert more.trainer.epoch == 5 and more.trainer.state.t == 25 and {h["epoch"] for h in more.trainer.history} == {4}
+
+
+def test_numbers_of_a_large_table(spark):
+    df = spark.range(300_000).select(F.pmod(F.col("id") * 7919, F.lit(300_007)).alias("k"), F.concat(F.lit("some text that rides along "), "id").alias("text"))
+    got = vocabulary.batches(df, ["k"], 64).cache()
+    assert {(r["count"]) for r in got.groupBy("batch").count().where("batch < 4687").collect()} == {64}
+    assert got.select("batch").distinct().count() == 4688
+
+
+def test_negative_edges_of_dense_graphs(spark):
+    nodes = [f"n{k:02d}" for k in range(12)]
+    edges = [(a, b, None) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if (a, b) != ("n00", "n01")]
+    arcs = graph.symmetric(spark.createDataFrame(edges, "src string, dst string, weight double"), False)
+    rows = graph.negative_edges(arcs, 40, seed=2, tries=2, self_loops=False).collect()
+    assert len(rows) == 40 and {(r.u, r.v) for r in rows} == {("n00", "n01"), ("n01", "n00")}
+    assert graph.negative_edges(arcs, 40, seed=2, tries=2).count() == 40
+
+
+def test_closest_pairs_text(spark, tmp_path):
+    from vecloom.operators import similarity
+
+    v = spark.createDataFrame([(0, "<unk>", 0), (1, "x", 5), (2, "y", 3)], "idx int, token string, freq long")
+    m = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [0.6, 0.8])], "idx int, vec array<double>")
+    pairs = similarity.closest_pairs(v, m, m, max_words=2, k=2)
+    similarity.save_closest_pairs(pairs, str(tmp_path / "closest_pairs"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "closest_pairs")).collect()] == ['Closest pairs in format "{word}:{closest_word_pairs}"', "x: x, y", "y: y, x"]
+
+
+def test_settings_that_name_classes():
+    made = config.instantiate({"opt": {"_target_": "vecloom.operators.sgns.Adam", "lr": 0.5}, "rest": [1, {"a": 2}]})
+    assert made["opt"].lr == 0.5 and made["rest"] == [1, {"a": 2}]
+    assert "  train:" in config.tree(config.load("")) and "    lr: 0.01" in config.tree(config.load(""))
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "wikitext-2").mkdir()
+    (tmp_path / "wikitext-2" / "wiki.train.tokens").write_text("one line\n = Head = \n")
+    (tmp_path / "Shakespeare_data.csv").write_text('Dataline,PlayerLine\n1,"So shaken, as we are"\n2,\n')
+    (tmp_path / "cora").mkdir()
+    (tmp_path / "cora" / "cora.cites").write_text("35\t1033\n1033\t35\n35\t103482\n")
+    (tmp_path / "cora" / "cora.content").write_text("".join("\t".join([i, *["0"] * 1432, "1", s]) + "\n" for i, s in (("35", "Theory"), ("1033", "Theory"), ("103482", "Case_Based"))))
+    a = str(tmp_path)
+    assert [r.text for r in dataset(spark, "wiki-text-2", assets=a).collect()] == ["one line", " = Head = "]
+    assert [r.text for r in dataset(spark, "shakespeare", assets=a).collect()] == ["So shaken, as we are"]
+    g = dataset(spark, "graph_cora", assets=a)
+    assert {(r.src, r.dst) for r in g.edges.collect()} == {("n1033", "n35"), ("n103482", "n35")}
+    assert {r.node: (r.label, sum(r.feats)) for r in g.labels.join(g.features, "node").collect()} == {"n35": ("Theory", 1.0), "n1033": ("Theory", 1.0), "n103482": ("Case_Based", 1.0)}
+    k = dataset(spark, "graph_karate_club")
+    assert graph.is_weighted(k.edges) and k.edges.agg(F.count("*"), F.sum("weight")).first()[:] == (78, 231.0) and k.labels.groupBy("label").count().select("count").distinct().first()[0] == 17
+
+
+def test_lemmas_by_map_and_by_join(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "The Of a"), (1, "the  x"), (2, None), (3, "")], "id int, text string")
+    table = spark.createDataFrame([("the", "n", "a"), ("of", "v", "from"), ("a", "v", "one")], "form string, pos string, lemma string")
+    want = [(1, "one from one"), (1, "one  x"), (2, None), (3, "")]
+    run = lambda: sorted(map(tuple, text.lemmatize(df, table).collect()), key=str)
+    assert run() == sorted(want, key=str)
+    monkeypatch.setattr(text, "SENT_FORMS", 0)
+    assert run() == sorted(want, key=str)
 
 
 def test_closest_pairs_of_every_20th(spark, tmp_path):
@@ -132,7 +202,7 @@ def test_closest_pairs_of_every_20th(spark, tmp_path):
     x = np.random.default_rng(1).standard_normal((230, 8)).astype(np.float32)
     rows = [(k, [float(a) for a in v], 0) for k, v in enumerate(x)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = {(r["query"], r["rank"]): r["idx"] for r in QUERIES["q35_closest_pairs_every_20"](spark, str(tmp_path)).collect()}
+    got = {(r["query"], r["rank"]): r["idx"] for r in QUERIES["q35_closest_pairs"](spark, str(tmp_path)).collect()}
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     near = np.argsort(-(unit @ unit.T), axis=1, kind="stable")
     assert got == {(k, r + 1): near[k, r] for k in range(0, 230, 20) for r in range(5)}

@@ -42,6 +42,8 @@ def sentences(df: DataFrame, text: str = "text", radius: int | None = None, max_
 
 #: Parts of speech in the order in which they are looked up: fixed value.
 PARTS_OF_SPEECH = ["a", "r", "n", "v"]
+#: A table of at most this many changed forms is sent to every executor as one map (which is searched in order).
+SENT_FORMS = 200
 
 
 def lemmatize(df: DataFrame, lemmas: DataFrame, text: str = "text") -> DataFrame:
@@ -53,10 +55,16 @@ def lemmatize(df: DataFrame, lemmas: DataFrame, text: str = "text") -> DataFrame
     for pos in PARTS_OF_SPEECH:
         one = step.where(F.col("pos") == pos).select(F.col("form").alias("final"), F.col("lemma").alias("next"))
         forms = forms.join(one, "final", "left").select("word", F.coalesce("next", "final").alias("final"))
-    rows = df.withColumn("__row", F.monotonically_increasing_id())
-    words = rows.select("__row", F.posexplode(F.split(F.lower(text), " ")).alias("at", "word"))
-    joined = words.join(forms, "word", "left").groupBy("__row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("final", "word").alias("w")))), lambda x: x["w"]), " ").alias("__text"))
-    return rows.join(joined, "__row", "left").withColumn(text, F.col("__text")).drop("__row", "__text")
+    changed = forms.where("word <> final")
+    if changed.limit(SENT_FORMS + 1).count() <= SENT_FORMS:  # a look-up in one map, row by row
+        table = changed.agg(F.map_from_entries(F.collect_list(F.struct("word", "final"))).alias("__forms"))
+        new = F.array_join(F.transform(F.split(F.lower(text), " "), lambda w: F.coalesce(F.element_at("__forms", w), w)), " ")
+        return df.crossJoin(F.broadcast(table)).withColumn(text, new).drop("__forms")
+    # words meet the forms by hash and return to the text that they are from
+    texts = df.select(F.col(text).alias("__text")).where(F.col(text).isNotNull()).distinct()
+    words = texts.select("__text", F.posexplode(F.split(F.lower("__text"), " ")).alias("at", "word")).join(changed, "word", "left")
+    joined = words.groupBy("__text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("final", "word").alias("w")))), lambda x: x["w"]), " ").alias("__new"))
+    return df.join(joined, F.col(text) == F.col("__text"), "left").withColumn(text, F.col("__new")).drop("__text", "__new")
 
 
 def normalised_id(column, width: int | None = None, prefix: str = "n") -> Column:

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import rng
 from vecloom.functions.vectors import edge_operator
+from vecloom.operators.splits import ranks
 from vecloom.operators.storage import cut_lineage
+from vecloom.operators.vocabulary import numbered
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
@@ -93,8 +95,7 @@ def second_order(arcs: DataFrame, p: float = 1.0, q: float = 1.0, variant: str =
     near = arcs.select(F.col("src").alias("prev"), "dst", F.lit(True).alias("near"))
     w = steps.join(near, ["prev", "dst"], "left")
     w = w.withColumn("w", _second_weight(F.col("prev"), F.col("dst"), F.col("weight"), F.coalesce("near", F.lit(False)), p, q, variant))
-    sums = w.groupBy("prev", "here").agg(F.sum("w").alias("total"))
-    return w.join(sums, ["prev", "here"]).select("prev", "here", "dst", (F.col("w") / F.col("total")).alias("prob"))
+    return w.select("prev", "here", "dst", (F.col("w") / F.sum("w").over(W.partitionBy("prev", "here"))).alias("prob"))
 
 
 def _walks(arcs: DataFrame, length: int, per_node: int, seed: int, epoch: int, weigh, nodes: DataFrame | None) -> DataFrame:
@@ -119,9 +120,39 @@ def _walks(arcs: DataFrame, length: int, per_node: int, seed: int, epoch: int, w
     return walks.select(F.lit(epoch).alias("epoch"), "start", "walk_no", "path")
 
 
+#: Neighbours in one row of the table that first-order walks look their steps up in.
+SPOKES = 1024
+
+
+def _spokes(arcs: DataFrame):
+    """(node: src, bounds, total; block: src, block, dsts, his): running sums of a node's weights in
+    the order of neighbours, in blocks of SPOKES, and the sums at which its blocks end."""
+    order = W.partitionBy("src").orderBy("dst")
+    run = arcs.withColumn("hi", F.sum("weight").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("block", F.floor((F.row_number().over(order) - 1) / SPOKES).cast("int"))
+    rows = run.groupBy("src", "block").agg(F.array_sort(F.collect_list(F.struct("hi", "dst"))).alias("x"), F.max("hi").alias("end"))
+    blocks = cut_lineage(rows.select("src", "block", F.transform("x", lambda e: e["dst"]).alias("dsts"), F.transform("x", lambda e: e["hi"]).alias("his"), "end"))
+    nodes = blocks.groupBy("src").agg(F.array_sort(F.collect_list("end")).alias("bounds"), F.max("end").alias("total"))
+    return nodes, blocks.drop("end")
+
+
 def deepwalk(arcs: DataFrame, length: int, per_node: int = 1, seed: int = 0, epoch: int = 0, nodes: DataFrame | None = None) -> DataFrame:
-    """Weighted first-order walks of `length` nodes from every node; a dead end stops a walk."""
-    return _walks(arcs, length, per_node, seed, epoch, lambda c: c.withColumn("w", F.col("weight")), nodes)
+    """Weighted first-order walks of `length` nodes from every node; a dead end stops a walk. A walk
+    meets one row of its node and one block of its neighbours at each step, however many there are."""
+    if length < 1:
+        raise ValueError("a walk has at least one node")
+    starts = arcs.select(F.col("src").alias("node")).distinct() if nodes is None else nodes
+    of_node, blocks = _spokes(arcs)
+    walks = starts.select(F.col("node").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("walk_no"), F.array("node").alias("path"))
+    for step in range(1, length):
+        at = walks.withColumn("src", F.element_at("path", -1)).join(of_node, "src", "left")
+        point = rng.uniform(seed, F.lit(epoch), F.col("start"), F.col("walk_no"), F.lit(step)) * F.col("total")
+        at = at.withColumn("point", point).withColumn("block", F.size(F.filter("bounds", lambda x: x <= F.col("point"))))
+        met = at.join(blocks, ["src", "block"], "left")
+        dst = F.get("dsts", F.size(F.filter("his", lambda x: x <= F.col("point"))))
+        walks = met.select("start", "walk_no", F.when(F.col("total").isNull(), F.col("path")).otherwise(F.concat("path", F.array(dst))).alias("path"))
+        if step % 4 == 0:
+            walks = cut_lineage(walks)
+    return walks.select(F.lit(epoch).alias("epoch"), "start", "walk_no", "path")
 
 
 def node2vec(arcs: DataFrame, length: int, per_node: int = 1, p: float = 1.0, q: float = 1.0, variant: str = "reference", seed: int = 0, epoch: int = 0, nodes: DataFrame | None = None) -> DataFrame:
@@ -138,6 +169,18 @@ def node2vec(arcs: DataFrame, length: int, per_node: int = 1, p: float = 1.0, q:
 WALKS = {"deepwalk": deepwalk, "dfs": deepwalk, "node2vec": node2vec}
 
 
+def register_walk(name: str):
+    """Decorator: a walk f(arcs, length, per_node, ..., seed, epoch) by name in lower case; a name is taken once."""
+
+    def add(f):
+        if name.lower() in WALKS:
+            raise ValueError(f"walk {name!r} is registered already")
+        WALKS[name.lower()] = f
+        return f
+
+    return add
+
+
 def walk_generator(name: str):
     """By name, in any case."""
     try:
@@ -152,28 +195,37 @@ def walk_sentences(walks: DataFrame) -> DataFrame:
 
 
 def negative_edges(arcs: DataFrame, n: int, seed: int = 0, tries: int = 20, self_loops: bool = True) -> DataFrame:
-    """sample, u, v: a uniform node and a uniform partner that isn't its neighbour. A partner is
-    drawn up to `tries` times and the first that will do is taken. Self-loops and repeated
-    pairs may come, as in the original scheme, unless self_loops is off."""
+    """sample, u, v: a uniform node that has a non-neighbour and a uniform partner that isn't its neighbour: the
+    first of `tries` draws that will do, else the non-neighbour whose rank is drawn. So there are n rows
+    unless all nodes are neighbours of all. Self-loops and repeated pairs may come, as in
+    the original scheme, unless self_loops is off."""
     spark = arcs.sparkSession
-    nodes = arcs.select(F.col("src").alias("node")).distinct()
-    order = cut_lineage(nodes.withColumn("i", (F.row_number().over(W.orderBy("node")) - 1).cast("long")))
-    count = order.count()
-    draws = spark.range(n).withColumnRenamed("id", "sample")
-    u = draws.select("sample", rng.integer(count, seed, F.lit("u"), F.col("sample")).alias("iu"))
-    v = u.select("sample", "iu", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("k")).withColumn("iv", rng.integer(count, seed, F.lit("v"), F.col("sample"), F.col("k")))
-    named = v.join(order.select(F.col("i").alias("iu"), F.col("node").alias("u")), "iu").join(order.select(F.col("i").alias("iv"), F.col("node").alias("v")), "iv")
+    pairs = arcs.select("src", "dst").distinct()
     if not self_loops:
-        named = named.where("u <> v")
-    free = named.join(arcs.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_anti")
-    return free.groupBy("sample").agg(F.min_by(F.struct("u", "v"), "k").alias("e")).select("sample", "e.u", "e.v")
+        pairs = pairs.where("src <> dst").unionByName(pairs.select("src", F.col("src").alias("dst")).distinct())
+    degree = pairs.groupBy("src").agg(F.count("*").alias("degree"))
+    order = cut_lineage(numbered(degree.select(F.col("src").alias("node"), "degree"), [F.col("node")]).select(F.col("idx").cast("long").alias("i"), "node", "degree"))
+    count = order.count()
+    open_ = cut_lineage(numbered(order.where(F.col("degree") < count).select("node", F.col("i").alias("all"), "degree"), [F.col("node")]).select(F.col("idx").cast("long").alias("iu"), F.col("node").alias("u"), "degree"))
+    starts = open_.count()
+    if not starts:
+        return spark.createDataFrame([], "sample long, u string, v string")
+    draws = spark.range(n).withColumnRenamed("id", "sample").withColumn("iu", rng.integer(starts, seed, F.lit("u"), F.col("sample"))).join(open_, "iu").select("sample", "u", "degree")
+    v = draws.select("sample", "u", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("k")).withColumn("i", rng.integer(count, seed, F.lit("v"), F.col("sample"), F.col("k")))
+    named = v.join(order.select("i", F.col("node").alias("v")), "i").select("sample", "k", "u", "v")
+    free = named.join(pairs.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_anti")
+    found = cut_lineage(free.groupBy("sample").agg(F.min_by(F.struct("u", "v"), "k").alias("e")).select("sample", "e.u", "e.v"))
+    rest = draws.join(found.select("sample"), "sample", "left_anti")
+    near = pairs.join(rest.select(F.col("u").alias("src")).distinct(), "src").join(order.select(F.col("node").alias("dst"), "i"), "dst").groupBy(F.col("src").alias("u")).agg(F.array_sort(F.collect_list("i")).alias("near"))
+    rank = rng.integer(F.lit(count) - F.col("degree"), seed, F.lit("rank"), F.col("sample"))
+    by_rank = rest.join(near, "u").withColumn("i", F.aggregate("near", rank, lambda r, x: F.when(x <= r, r + 1).otherwise(r)))
+    return found.unionByName(by_rank.join(order.select("i", F.col("node").alias("v")), "i").select("sample", "u", "v"))
 
 
 def train_edges(edges: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     """edges with train: the first round(ratio * n) of a seeded order, halves to even."""
     n = edges.count()
-    order = W.orderBy(rng.bits(seed, F.col("src"), F.col("dst")), "src", "dst")
-    return edges.withColumn("train", F.row_number().over(order) <= round(ratio * n))
+    return ranks(edges, rng.bits(seed, F.col("src"), F.col("dst")), ["src", "dst"]).withColumn("train", F.col("__r") <= round(ratio * n)).drop("__r")
 
 
 def edge_embeddings(pairs: DataFrame, vectors: DataFrame, operator: str) -> DataFrame:

@@ -2,44 +2,11 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.operators import graph, splits
-
-
-class UnknownMetricException(KeyError):
-    """No value of that name has been pushed."""
-
-
-class MetricMeter:
-    """Means of named values until they are flushed."""
-
-    def __init__(self):
-        self.values: dict[str, list[float]] = defaultdict(list)
-
-    def push(self, name: str, value: float) -> None:
-        self.values[name].append(float(value))
-
-    def get(self, name: str) -> float:
-        if name not in self.values:
-            raise UnknownMetricException(name)
-        v = self.values[name]
-        return sum(v) / len(v)
-
-    def get_all(self):
-        """(name, mean) of all; empty after a full pass."""
-        for name in list(self.values):
-            yield name, self.get(name)
-        self.flush()
-
-    def flush(self) -> None:
-        self.values.clear()
-
-    def is_empty(self) -> bool:
-        return not self.values
+from vecloom.operators.meter import MetricMeter, UnknownMetricException  # noqa: F401
 
 
 def metric_means(metrics: DataFrame) -> DataFrame:
@@ -61,37 +28,51 @@ def logistic(train: DataFrame, test: DataFrame, features: str = "feats", label:
     return model, model.transform(vec(test)).drop("__v")
 
 
-def node_classification(vectors: DataFrame, labels: DataFrame, features: DataFrame | None = None, train_ratio: float = 0.5, experiments: int = 10, stratify: bool = True, test_all: bool = False, c: float = 1.0) -> DataFrame:
-    """experiment, accuracy. vectors: node, vec without the unknown mark; labels: node, label."""
-    rows = vectors.join(labels, "node")
+def node_rows(vectors: DataFrame, labels: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """node, feats, label (its index as double). vectors: node, vec without the unknown mark; labels: node, label."""
     if vectors.join(labels, "node", "left_anti").limit(1).count():
         raise ValueError("a node has no label")
-    rows = rows.withColumnRenamed("vec", "feats")
+    rows = vectors.join(labels, "node").withColumnRenamed("vec", "feats")
     if features is not None:
         rows = rows.join(features.withColumnRenamed("feats", "__f"), "node").withColumn("feats", F.concat("feats", "__f")).drop("__f")
-    rows = rows.join(F.broadcast(splits.label_index(rows, "label")), "label").select("node", "feats", F.col("idx").cast("double").alias("label")).cache()
+    return rows.join(F.broadcast(splits.label_index(rows, "label")), "label").select("node", "feats", F.col("idx").cast("double").alias("label"))
+
+
+def node_folds(rows: DataFrame, experiment: int, train_ratio: float = 0.5, stratify: bool = True, test_all: bool = False) -> DataFrame:
+    """rows with split, for one experiment."""
+    return splits.train_test(rows, "node", train_ratio, seed=experiment, label="label" if stratify else None, test_all=test_all)
+
+
+def node_classification(vectors: DataFrame, labels: DataFrame, features: DataFrame | None = None, train_ratio: float = 0.5, experiments: int = 10, stratify: bool = True, test_all: bool = False, c: float = 1.0) -> DataFrame:
+    """experiment, accuracy."""
+    rows = node_rows(vectors, labels, features).cache()
     out = []
     for k in range(experiments):
-        s = splits.train_test(rows, "node", train_ratio, seed=k, label="label" if stratify else None, test_all=test_all)
+        s = node_folds(rows, k, train_ratio, stratify, test_all)
         _, p = logistic(s.where("split = 'train'"), s.where("split = 'test'"), c=c)
         out.append((k, accuracy(p)))
     rows.unpersist()
     return vectors.sparkSession.createDataFrame(out, "experiment int, accuracy double")
 
 
+def edge_rows(edges: DataFrame, arcs: DataFrame, experiment: int, train_ratio: float = 0.5, mode: str = "reference") -> DataFrame:
+    """u, v, train, label: edges (1) and drawn non-edges (0), round(train_ratio * edges) of either for training. mode
+    'reference' draws as many non-edges again as there are edges, 'holdout' twice the edges in all."""
+    n = edges.count()
+    m = round(train_ratio * n)
+    marked = graph.train_edges(edges, train_ratio, seed=experiment)
+    # one draw of non-edges, the first m for training
+    neg = graph.negative_edges(arcs, 2 * n if mode == "holdout" else n + m, seed=experiment)
+    pos = marked.select(F.col("src").alias("u"), F.col("dst").alias("v"), "train", F.lit(1.0).alias("label"))
+    return pos.unionByName(neg.select("u", "v", (F.col("sample") < m).alias("train"), F.lit(0.0).alias("label")))
+
+
 def edge_classification(edges: DataFrame, vectors: DataFrame, operator: str = "hadamard", train_ratio: float = 0.5, experiments: int = 10, mode: str = "reference", c: float = 1.0) -> DataFrame:
     """experiment, accuracy of telling edges from drawn non-edges. mode 'reference' scores all edges, those of training
     too; 'holdout' the others alone."""
     arcs, out = graph.symmetric(edges, False).cache(), []
-    n = edges.count()
     for k in range(experiments):
-        marked = graph.train_edges(edges, train_ratio, seed=k)
-        m = round(train_ratio * n)
-        # one draw of non-edges, the first m for training
-        neg = graph.negative_edges(arcs, 2 * n if mode == "holdout" else n + m, seed=k)
-        pos = marked.select(F.col("src").alias("u"), F.col("dst").alias("v"), "train", F.lit(1.0).alias("label"))
-        neg = neg.select("u", "v", (F.col("sample") < m).alias("train"), F.lit(0.0).alias("label"))
-        rows = graph.edge_embeddings(pos.unionByName(neg), vectors, operator).withColumnRenamed("emb", "feats").cache()
+        rows = graph.edge_embeddings(edge_rows(edges, arcs, k, train_ratio, mode), vectors, operator).withColumnRenamed("emb", "feats").cache()
         test = rows.where("NOT train") if mode == "holdout" else rows.where("label = 1 OR NOT train")
         out.append((k, accuracy(logistic(rows.where("train"), test, c=c)[1])))
         rows.unpersist()

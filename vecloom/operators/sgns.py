@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import rng
 from vecloom.functions.vectors import dot, mean_vector, sigmoid
+from vecloom.operators.meter import MetricMeter
 from vecloom.operators.storage import ship
 
 FLOOR = 1e-6
@@ -94,19 +95,63 @@ class Adam:
             params[k] = params[k] - self.lr * (m / (1 - self.beta1**self.t)) / (np.sqrt(v / (1 - self.beta2**self.t)) + self.eps)
 
 
-def _draws(seed, step, a, b, width, vocab):
-    """Negatives of pairs by a counter hash."""
-    k = np.arange(width, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        x = (a.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)[:, None] * np.uint64(0xC2B2AE3D27D4EB4F) + k * np.uint64(0x165667B19E3779F9) + np.uint64(seed * 1000003 + step)) * np.uint64(0xFF51AFD7ED558CCD)
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return ((x >> np.uint64(32)) % np.uint64(vocab)).astype(np.int64)
+@dataclass
+class SGD:
+    """Plain gradient steps."""
+
+    lr: float = 1e-2
+    t: int = 0
+    m: dict = field(default_factory=dict)
+    v: dict = field(default_factory=dict)
+
+    def step(self, params: dict, grads: dict) -> None:
+        self.t += 1
+        for k, g in grads.items():
+            params[k] = params[k] - self.lr * g
+
+
+OPTIMIZERS = {"adam": Adam, "sgd": SGD}
+
+
+def _key():
+    return F.array_join(F.col("inputs").cast("array<string>"), "-")
+
+
+#: Occurrences of an example, beyond which they share their noise.
+OWN_NOISE = 16
+
+
+def with_noise(examples: DataFrame, negatives: int, vocab: int, seed: int, step: int) -> DataFrame:
+    """examples (inputs array<int>, target int, n long) with neg: drawn indices, by a counter hash. Each of up to
+    OWN_NOISE occurrences has its own; of more, each draw counts n / OWN_NOISE times."""
+    draw = lambda k: rng.integer(vocab, seed, F.lit(step), _key(), F.col("target"), k).cast("int")
+    return examples.withColumn("neg", F.transform(F.sequence(F.lit(0), (F.least("n", F.lit(OWN_NOISE)) * negatives - 1).cast("int")), draw))
+
+
+def gradients(examples: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """side, idx, at, grad: the gradient of the mean loss by both matrices, by joins, so that neither has to fit a
+    machine. examples: inputs, target, n, neg. Skip-gram has one input, CBOW the mean of several."""
+    keyed = examples.withColumn("id", F.xxhash64(_key(), "target"))
+    flat = keyed.select("id", F.size("inputs").alias("width"), F.posexplode("inputs").alias("k", "idx")).join(inputs.select("idx", "vec"), "idx")
+    mean = flat.groupBy("id").agg(mean_vector(F.transform(F.array_sort(F.collect_list(F.struct("k", "vec"))), lambda x: x["vec"])).alias("h"))
+    one = keyed.select("id", "n", F.explode(F.concat(F.array(F.struct(F.col("target").alias("idx"), F.lit(1.0).alias("y"))), F.transform("neg", lambda x: F.struct(x.alias("idx"), F.lit(0.0).alias("y"))))).alias("t")).select("id", "n", "t.idx", "t.y")
+    met = one.join(mean, "id").join(outputs.select("idx", F.col("vec").alias("o")), "idx")
+    p = sigmoid(dot("h", "o") * F.when(F.col("y") == 1, 1.0).otherwise(-1.0))
+    c = F.when(p > FLOOR, F.when(F.col("y") == 1, (p - 1) * F.col("n")).otherwise((1 - p) * F.col("n") / F.least("n", F.lit(OWN_NOISE)))).otherwise(0.0)
+    met = met.withColumn("c", c)
+    total = examples.agg(F.sum("n").cast("double").alias("total"))
+    by_output = met.select(F.lit("output").alias("side"), "idx", "c", F.posexplode("h").alias("at", "x"))
+    back = met.select("id", "c", F.posexplode("o").alias("at", "x")).groupBy("id", "at").agg(F.sum(F.col("c") * F.col("x")).alias("g"))
+    by_input = keyed.select("id", F.size("inputs").alias("width"), F.explode("inputs").alias("idx")).join(back, "id").select(F.lit("input").alias("side"), "idx", (F.col("g") / F.col("width")).alias("c"), "at", F.lit(1.0).alias("x"))
+    parts = by_output.select("side", "idx", "at", (F.col("c") * F.col("x")).alias("g")).unionByName(by_input.select("side", "idx", "at", (F.col("c") * F.col("x")).alias("g")))
+    return parts.groupBy("side", "idx", "at").agg(F.sum("g").alias("g")).crossJoin(F.broadcast(total)).select("side", "idx", "at", (F.col("g") / F.col("total")).alias("grad"))
 
 
 @dataclass
 class Trainer:
-    """Fits both matrices on pair counts (center, ctx, n). A step is one distributed gradient over a share of
-    the pairs; the matrices (vocabulary x dims) stay on the driver and go out with each step."""
+    """Fits both matrices on examples (inputs array<int>, target int, n long; or pairs center, ctx, n). A step is one
+    distributed gradient over a share of the examples, dealt anew each epoch; the matrices (vocabulary x dims, `SENT`
+    bytes at most) stay on the driver and go out with each step. Larger ones take gradients() and joins."""
 
     vocab: int
     dims: int
@@ -118,70 +163,121 @@ class Trainer:
     gamma: float = 1.0
     step_size: int = 1
     max_norm: float | None = None
+    optimizer: str = "adam"
+    interval: str = "epoch"
     history: list = field(default_factory=list)
+    meter: MetricMeter = field(default_factory=MetricMeter)
+    epoch: int = 0
+
+    SENT = 1 << 30
 
-    def fit(self, pairs: DataFrame) -> "Trainer":
+    def __post_init__(self):
+        if self.vocab * self.dims * 16 > self.SENT:
+            raise ValueError("the matrices are too large to go out whole; train with gradients() and joins")
+        if self.optimizer not in OPTIMIZERS or self.interval not in ("epoch", "step"):
+            raise ValueError(f"optimizer one of {sorted(OPTIMIZERS)}, interval 'epoch' or 'step'")
         r, b = np.random.default_rng(self.seed), xavier_bound(self.vocab, self.dims)
         self.params = {s: r.uniform(-b, b, (self.vocab, self.dims)) for s in ("input", "output")}
-        adam, shares = Adam(), self.steps_per_epoch
-        parted = pairs.select("center", "ctx", "n", F.pmod(F.xxhash64("center", "ctx"), F.lit(shares)).alias("share")).cache()
-        for epoch in range(self.epochs):
-            adam.lr = step_lr(self.lr, self.step_size, self.gamma, epoch)
+        self.state = OPTIMIZERS[self.optimizer]()
+
+    def fit(self, examples, after=None) -> "Trainer":
+        """examples: a DataFrame, or a function of the epoch that gives one (fresh walks). after(trainer): called at the
+        end of each epoch. A trainer that was loaded goes on with its next epoch."""
+        while self.epoch < self.epochs:
+            df = examples(self.epoch) if callable(examples) else examples
+            if "inputs" not in df.columns:
+                df = df.select(F.array("center").alias("inputs"), F.col("ctx").alias("target"), "n")
+            shares = self.steps_per_epoch
+            key = _key()
+            parted = df.select("inputs", "target", "n", F.pmod(F.xxhash64(key, "target", F.lit(self.epoch)), F.lit(shares)).alias("first")).cache()
             for share in range(shares):
-                got = self._gradient(parted.where(F.col("share") == share), epoch * shares + share)
+                self.state.lr = step_lr(self.lr, self.step_size, self.gamma, self.state.t if self.interval == "step" else self.epoch)
+                # occurrences are dealt evenly, the odd ones from a share on that the epoch draws
+                extra = F.when(F.pmod(F.lit(share) - F.col("first"), F.lit(shares)) < F.pmod("n", F.lit(shares)), 1).otherwise(0)
+                mine = parted.withColumn("n", (F.floor(F.col("n") / shares) + extra).cast("long")).where("n > 0")
+                got = self._gradient(mine, self.epoch * shares + share)
                 if got is not None:
                     grads, means = got
-                    adam.step(self.params, grads)
+                    self.state.step(self.params, grads)
                     self._cap()
-                    self.history.append({"epoch": epoch, "step": adam.t, **means})
-        parted.unpersist()
+                    self._log(means)
+            parted.unpersist()
+            for name, value in self.meter.get_all():
+                self.history.append({"epoch": self.epoch, "step": self.state.t, "name": name, "value": value})
+            self.epoch += 1
+            if after is not None:
+                after(self)
         return self
 
+    def _log(self, means: dict, prefix: str = "train") -> None:
+        for name, value in means.items():
+            if np.isnan(value):
+                raise FloatingPointError(f"{name} isn't a number")
+            if name in ("recall", "precision"):
+                self.meter.push(f"{prefix}-metrics/{name}", value)
+            else:
+                self.meter.push(f"{prefix}-epoch/{name}", value)
+                self.history.append({"epoch": self.epoch, "step": self.state.t, "name": f"{prefix}/{name}", "value": value})
+        if prefix == "train":
+            self.history.append({"epoch": self.epoch, "step": self.state.t, "name": "epoch/lr", "value": self.state.lr})
+
+    def validate(self, examples: DataFrame) -> dict:
+        """Means over examples that aren't trained on, logged as val."""
+        got = self._gradient(examples, -1 - self.epoch)
+        if got is None:
+            return {}
+        self._log(got[1], "val")
+        return got[1]
+
     def _cap(self):
         if self.max_norm is not None:
             for k, p in self.params.items():
                 n = np.linalg.norm(p, axis=1, keepdims=True)
                 self.params[k] = np.where(n > self.max_norm, p * self.max_norm / np.maximum(n, 1e-12), p)
 
-    def _gradient(self, pairs: DataFrame, step: int):
-        spark = ship(pairs.sparkSession)
+    def _gradient(self, examples: DataFrame, step: int):
+        spark = ship(examples.sparkSession)
         sent = spark.sparkContext.broadcast(self.params)
-        width, vocab, seed = self.negatives, self.vocab, self.seed
 
         def run(batches):
-            grads = None
-            sums = np.zeros(3)
+            grads, sums = None, np.zeros(6)
             for t in batches:
-                a, b, n = (t.column(k).to_numpy().astype(np.int64) for k in range(3))
-                if not len(a):
+                if not t.num_rows:
                     continue
                 x, y = sent.value["input"], sent.value["output"]
-                neg = _draws(seed, step, a, b, width, vocab)
                 if grads is None:
                     grads = [np.zeros_like(x), np.zeros_like(y)]
-                p = 1 / (1 + np.exp(-np.clip((x[a] * y[b]).sum(1), -500, 500)))
-                q = 1 / (1 + np.exp(np.clip((x[a][:, None] * y[neg]).sum(2), -500, 500)))
-                cp, cq = np.where(p > FLOOR, p - 1, 0) * n, np.where(q > FLOOR, 1 - q, 0) * n[:, None]
-                np.add.at(grads[0], a, cp[:, None] * y[b] + (cq[:, :, None] * y[neg]).sum(1))
-                np.add.at(grads[1], b, cp[:, None] * x[a])
-                np.add.at(grads[1], neg, cq[:, :, None] * x[a][:, None])
-                sums += [n.sum(), (n * -np.log(np.maximum(p, FLOOR))).sum(), (n[:, None] * -np.log(np.maximum(q, FLOOR))).sum()]
+                flat = t.column(0).flatten().to_numpy().astype(np.int64)
+                width = np.diff(t.column(0).offsets.to_numpy()).astype(np.int64)
+                target, n = t.column(1).to_numpy().astype(np.int64), t.column(2).to_numpy().astype(np.int64)
+                neg = t.column(3).flatten().to_numpy().astype(np.int64)
+                draws = np.diff(t.column(3).offsets.to_numpy()).astype(np.int64)
+                of = np.repeat(np.arange(len(n)), draws)
+                weight = (n / np.minimum(n, OWN_NOISE))[of]
+                h = np.add.reduceat(x[flat], np.cumsum(width) - width) / width[:, None]
+                p = 1 / (1 + np.exp(-np.clip((h * y[target]).sum(1), -500, 500)))
+                q = 1 / (1 + np.exp(np.clip((h[of] * y[neg]).sum(1), -500, 500)))
+                cp, cq = np.where(p > FLOOR, p - 1, 0) * n, np.where(q > FLOOR, 1 - q, 0) * weight
+                back = cp[:, None] * y[target] + np.add.reduceat(cq[:, None] * y[neg], np.cumsum(draws) - draws)
+                np.add.at(grads[0], flat, np.repeat(back / width[:, None], width, axis=0))
+                np.add.at(grads[1], target, cp[:, None] * h)
+                np.add.at(grads[1], neg, cq[:, None] * h[of])
+                sums += [n.sum(), (n * -np.log(np.maximum(p, FLOOR))).sum(), (weight * -np.log(np.maximum(q, FLOOR))).sum(), (n * (p >= 0.5)).sum(), (weight * (q <= 0.5)).sum(), weight.sum()]
             if grads is not None:
                 hit = [np.flatnonzero(g.any(1)) for g in grads]
                 yield pa.record_batch([pa.array([0, 1], pa.int32()), pa.array([h.tobytes() for h in hit], pa.binary()), pa.array([g[h].tobytes() for g, h in zip(grads, hit)], pa.binary()), pa.array([sums.tobytes(), b""], pa.binary())], ["side", "rows", "grad", "sums"])
 
-        rows = pairs.mapInArrow(run, "side int, rows binary, grad binary, sums binary").collect()
+        noisy = with_noise(examples.select("inputs", "target", "n"), self.negatives, self.vocab, self.seed, step)
+        rows = noisy.mapInArrow(run, "side int, rows binary, grad binary, sums binary").collect()
         sent.destroy()
         if not rows:
             return None
-        total, grads = np.zeros(3), [np.zeros_like(self.params["input"]), np.zeros_like(self.params["output"])]
+        total, grads = np.zeros(6), [np.zeros_like(self.params["input"]), np.zeros_like(self.params["output"])]
         for r in rows:
             grads[r.side][np.frombuffer(r.rows, np.int64)] += np.frombuffer(r.grad).reshape(-1, self.dims)
             if r.sums:
                 total += np.frombuffer(r.sums)
-        means = {"loss": (total[1] + total[2]) / total[0], "positive-loss": total[1] / total[0], "negative-loss": total[2] / total[0]}
-        if any(np.isnan(v) for v in means.values()):
-            raise FloatingPointError("a loss isn't a number")
+        means = {"loss": (total[1] + total[2]) / total[0], "positive-loss": total[1] / total[0], "negative-loss": total[2] / total[0], "recall": total[3] / total[0], "precision": 1 - total[4] / total[5]}
         return {"input": grads[0] / total[0], "output": grads[1] / total[0]}, means
 
     def embeddings(self, vocab: DataFrame) -> DataFrame:
@@ -189,3 +285,24 @@ class Trainer:
         spark = vocab.sparkSession
         rows = [(s, i, v.tolist()) for s, m in self.params.items() for i, v in enumerate(m)]
         return spark.createDataFrame(rows, "side string, idx int, vec array<double>").join(vocab.select("idx", "token"), "idx").select("side", "idx", "token", "vec")
+
+    def metrics(self, spark) -> DataFrame:
+        """epoch, step, name, value of all that was logged."""
+        return spark.createDataFrame([(h["epoch"], h["step"], h["name"], float(h["value"])) for h in self.history], "epoch int, step int, name string, value double")
+
+    def checkpoint(self, spark) -> DataFrame:
+        """All that a trainer needs to go on: side, idx, vec and the optimizer's moments, with epoch and step."""
+        zero = np.zeros((self.vocab, self.dims))
+        rows = [(self.epoch, self.state.t, s, i, p[i].tolist(), self.state.m.get(s, zero)[i].tolist(), self.state.v.get(s, zero)[i].tolist()) for s, p in self.params.items() for i in range(self.vocab)]
+        return spark.createDataFrame(rows, "epoch int, step int, side string, idx int, vec array<double>, m array<double>, v array<double>")
+
+    def resume(self, checkpoint: DataFrame) -> "Trainer":
+        rows = checkpoint.collect()
+        self.epoch, self.state.t = rows[0].epoch, rows[0].step
+        for s in self.params:
+            mine = sorted((r for r in rows if r.side == s), key=lambda r: r.idx)
+            if len(mine) != self.vocab or len(mine[0].vec) != self.dims:
+                raise ValueError("the checkpoint is of another vocabulary or dimension")
+            self.params[s] = np.array([r.vec for r in mine])
+            self.state.m[s], self.state.v[s] = np.array([r.m for r in mine]), np.array([r.v for r in mine])
+        return self

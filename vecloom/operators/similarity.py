@@ -2,38 +2,99 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecloom.functions.vectors import cosine
+from vecloom.operators.storage import ship
 
 
-def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """query, rank, idx, sim: the k most similar vectors of each query, ties by idx; null similarities last.
+#: Bytes of queries' vectors that one pass takes.
+SENT_BYTES = 32 << 20
+#: Similarities held at a time.
+CELLS = 4 << 20
+
 
-    The smaller side is joined to the larger in one pass and each task keeps its best k of a query
-    before the shuffle; the matrix of all similarities is never stored."""
-    q = queries.select(F.col("idx").alias("query"), F.col("vec").alias("qvec"))
-    sims = q.crossJoin(vectors.select("idx", "vec")).select("query", "idx", cosine("qvec", "vec").alias("sim"))
+def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+    """query, rank, idx, sim: the k most similar vectors of each query, ties by idx; null similarities (of zero
+    vectors) last.
+
+    The queries go out in blocks of bounded size, each against all vectors by matrix products; a
+    task sends its best k of a query, so the matrix of all similarities is never stored."""
+    spark = ship(vectors.sparkSession)
+    kind = queries.schema["idx"].dataType.simpleString()
+    q = queries.select(F.col("idx").cast("long").alias("query"), "vec")
+    dims = vectors.select(F.max(F.size("vec"))).first()[0] or 1
+    n, per = q.count(), max(1, SENT_BYTES // (8 * dims))
+    blocks = -(-n // per)
+    out = spark.createDataFrame([], "query long, idx long, sim double")
+    for b in range(blocks):
+        rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)).collect()
+        if not rows:
+            continue
+        sent = spark.sparkContext.broadcast((np.array([r.query for r in rows], np.int64), _units(np.array([r.vec for r in rows], np.float64))))
+
+        def best(batches, sent=sent):
+            ids, unit = sent.value
+            step = max(1, CELLS // len(ids))
+            held = None
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    idx = part.column(0).to_numpy()
+                    sim = unit @ _units(np.stack([np.asarray(v) for v in part.column(1).to_pylist()]).astype(np.float64)).T
+                    if held is None:
+                        all_idx, all_sim = np.broadcast_to(idx, sim.shape), sim
+                    else:
+                        all_idx, all_sim = np.hstack([held[0], np.broadcast_to(idx, sim.shape)]), np.hstack([held[1], sim])
+                    order = np.lexsort((all_idx, -np.where(np.isnan(all_sim), -np.inf, all_sim)), axis=1)[:, :k]
+                    held = np.take_along_axis(all_idx, order, 1), np.take_along_axis(all_sim, order, 1)
+            if held is not None:
+                flat = held[1].reshape(-1)
+                yield pa.record_batch([pa.array(np.repeat(ids, held[0].shape[1])), pa.array(held[0].reshape(-1).astype(np.int64)), pa.array(flat, mask=np.isnan(flat))], ["query", "idx", "sim"])
+
+        out = out.unionByName(vectors.select(F.col("idx").cast("long").alias("idx"), "vec").mapInArrow(best, "query long, idx long, sim double"))
     order = W.partitionBy("query").orderBy(F.col("sim").desc_nulls_last(), "idx")
-    return sims.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "idx", "sim")
+    back = vectors.schema["idx"].dataType.simpleString()
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query").cast(kind).alias("query"), "rank", F.col("idx").cast(back).alias("idx"), "sim")
+
+
+def _units(m):
+    """Rows over their norms; rows of norm 0 become nan."""
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
 
 
 def closest_pairs(vocab: DataFrame, inputs: DataFrame, outputs: DataFrame, max_words: int = 100, k: int = 5) -> DataFrame:
-    """word, rank, match, sim: input vectors of frequent words against output vectors of all."""
+    """word, rank, match, sim: input vectors of the most frequent words, or of all where there are no more
+    than max_words, against output vectors of all."""
     from vecloom.operators.vocabulary import top_words
 
-    top = top_words(vocab, max_words).select("idx").join(inputs, "idx")
+    few = vocab.limit(max_words + 1).count() <= max_words
+    top = (vocab if few else top_words(vocab, max_words)).select("idx").join(inputs, "idx")
     found = top_similar(top, outputs, k)
     names = vocab.select("idx", "token")
     return found.join(names.select(F.col("idx").alias("query"), F.col("token").alias("word")), "query").join(names.withColumnRenamed("token", "match"), "idx").select("word", "rank", "match", "sim")
 
 
+#: First line of the text of closest pairs: fixed value.
+HEADER = 'Closest pairs in format "{word}:{closest_word_pairs}"'
+
+
 def closest_pairs_text(pairs: DataFrame) -> DataFrame:
-    """Lines `word: a, b, c`."""
+    """A header and lines `word: a, b, c`, in the order of at."""
     lists = pairs.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "match"))).alias("m"))
-    return lists.select(F.concat("word", F.lit(": "), F.array_join(F.transform("m", lambda x: x["match"]), ", ")).alias("value"))
+    lines = lists.select(F.lit(1).alias("at"), F.concat("word", F.lit(": "), F.array_join(F.transform("m", lambda x: x["match"]), ", ")).alias("value"))
+    head = pairs.sparkSession.createDataFrame([(0, HEADER)], "at int, value string")
+    return head.unionByName(lines)
+
+
+def save_closest_pairs(pairs: DataFrame, path: str) -> None:
+    """The text as one file folder, header first."""
+    closest_pairs_text(pairs).repartition(1).sortWithinPartitions("at", "value").select("value").write.mode("overwrite").text(path)
 
 
 def analogy(combos: DataFrame, inputs: DataFrame, outputs: DataFrame, k: int = 5) -> DataFrame:

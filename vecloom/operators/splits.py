@@ -16,6 +16,20 @@ def test_size(n: int, train_ratio: float) -> int:
     return math.ceil(round((1 - train_ratio) * n, 9))
 
 
+def ranks(df: DataFrame, draw, order, by=()) -> DataFrame:
+    """df with __r, the rank from 1 by (draw, columns of order), within `by`. draw: 32 bits. Rows are ranked within
+    4096 ranges of the draw, which count on from the ones before, so no task sorts the whole table."""
+    cols = [F.col(c) for c in by]
+    rows = df.withColumn("__d", draw).withColumn("__bin", F.shiftright("__d", 20).cast("int"))
+    sizes = rows.groupBy(*cols, "__bin").agg(F.count("*").alias("__n"))
+    base = sizes.select(*(c.alias(f"__b{k}") for k, c in enumerate(cols)), F.col("__bin").alias("__bb"), F.coalesce(F.sum("__n").over(W.partitionBy(*cols).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    same = F.col("__bin") == F.col("__bb")
+    for k, c in enumerate(cols):
+        same = same & c.eqNullSafe(F.col(f"__b{k}"))
+    ranked = rows.withColumn("__k", F.row_number().over(W.partitionBy(*cols, "__bin").orderBy("__d", *order)))
+    return ranked.join(base, same).withColumn("__r", F.col("__k") + F.col("__base")).drop("__d", "__bin", "__k", "__bb", "__base", *(f"__b{k}" for k in range(len(cols))))
+
+
 def _allocation(df: DataFrame, label: str, total: int, n: int) -> DataFrame:
     """Rows of each class for the test part, largest remainders first, ties by class."""
     c = df.groupBy(label).agg(F.count("*").alias("n")).withColumn("exact", F.col("n") * F.lit(float(total)) / F.lit(float(n))).withColumn("base", F.floor("exact"))
@@ -28,9 +42,9 @@ def train_test(df: DataFrame, key: str, train_ratio: float, seed: int = 42, labe
     n = df.count()
     test, draw = test_size(n, train_ratio), rng.bits(seed, F.col(key))
     if label is None:
-        out = df.withColumn("split", F.when(F.row_number().over(W.orderBy(draw, key)) <= test, "test").otherwise("train"))
+        out = ranks(df, draw, [key]).withColumn("split", F.when(F.col("__r") <= test, "test").otherwise("train")).drop("__r")
     else:
-        ranked = df.withColumn("__r", F.row_number().over(W.partitionBy(label).orderBy(draw, key)))
+        ranked = ranks(df, draw, [key], [label])
         out = ranked.join(F.broadcast(_allocation(df, label, test, n)), label).withColumn("split", F.when(F.col("__r") <= F.col("take"), "test").otherwise("train")).drop("__r", "take")
     return out if not test_all else out.where("split = 'train'").unionByName(df.withColumn("split", F.lit("test")))
 
@@ -42,8 +56,7 @@ def train_val_test(df: DataFrame, key: str, train_ratio: float, val_ratio: float
     n = df.count()
     rest = test_size(n, train_ratio)
     test = math.ceil(round(rest * (1 - val_ratio) / (1 - train_ratio), 9))
-    r = F.row_number().over(W.orderBy(rng.bits(seed, F.col(key)), key))
-    return df.withColumn("__r", r).withColumn("split", F.when(F.col("__r") <= test, "test").when(F.col("__r") <= rest, "val").otherwise("train")).drop("__r")
+    return ranks(df, rng.bits(seed, F.col(key)), [key]).withColumn("split", F.when(F.col("__r") <= test, "test").when(F.col("__r") <= rest, "val").otherwise("train")).drop("__r")
 
 
 def n_per_class(df: DataFrame, key: str, label: str, train: int, val: int, test: int | None = None, seed: int = 42) -> DataFrame:
@@ -51,7 +64,7 @@ def n_per_class(df: DataFrame, key: str, label: str, train: int, val: int, test:
     least = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
     if least is None or least < train + val + (test or 0):
         raise ValueError("a class has too few rows")
-    r = df.withColumn("__r", F.row_number().over(W.partitionBy(label).orderBy(rng.bits(seed, F.col(key)), key)))
+    r = ranks(df, rng.bits(seed, F.col(key)), [key], [label])
     last = F.lit(True) if test is None else F.col("__r") <= train + val + test
     split = F.when(F.col("__r") <= train, "train").when(F.col("__r") <= train + val, "val").when(last, "test")
     return r.withColumn("split", split).where("split IS NOT NULL").drop("__r")
@@ -60,3 +73,19 @@ def n_per_class(df: DataFrame, key: str, label: str, train: int, val: int, test:
 def label_index(df: DataFrame, label: str) -> DataFrame:
     """label, idx: labels in order, from 0."""
     return df.select(label).distinct().withColumn("idx", (F.dense_rank().over(W.orderBy(label)) - 1).cast("int"))
+
+
+#: Splits by name; register_split adds one.
+SPLITS = {"train_test": train_test, "train_val_test": train_val_test, "n_per_class": n_per_class}
+
+
+def register_split(name: str):
+    """Decorator: a split f(rows, key, ..., seed) by name; a name is taken once."""
+
+    def add(f):
+        if name in SPLITS:
+            raise ValueError(f"split {name!r} is registered already")
+        SPLITS[name] = f
+        return f
+
+    return add

@@ -7,21 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecloom.functions.text import UNK
+from vecloom.operators.storage import cut_lineage
 
 #: A vocabulary of at most this many rows is sent to every executor.
 SENT_ROWS = 200_000
 
 
-def _numbered(df: DataFrame, order, first: int) -> DataFrame:
-    """idx from `first` in the order of columns. Ranks are added within ranges of the order, and
-    ranges count on from the ones before, so no task sees the whole table."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"))
-    base = sizes.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    ranked = parts.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
-    return ranked.join(F.broadcast(base), F.col("__p") == F.col("__q")).withColumn("idx", (F.col("__base") + F.col("__r") + (first - 1)).cast("int")).drop("__p", "__q", "__n", "__r", "__base")
+def numbered(df: DataFrame, order, first: int = 0) -> DataFrame:
+    """df with idx, counting on from `first` in the order of columns. The table is cut into ranges of the
+    order and written once; sizes and ranks of the ranges come from what is written, so they always
+    fit together, and no task sees the whole table."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = cut_lineage(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__i", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__i", 33), F.col("__i").bitwiseAND((1 << 33) - 1)
+    sizes = parts.groupBy(part.alias("__q")).agg(F.count("*").alias("__n"))
+    base = sizes.select("__q", F.coalesce(F.sum("__n").over(W.orderBy("__q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    return parts.join(F.broadcast(base), part == F.col("__q")).withColumn("idx", (F.col("__base") + place + first).cast("int")).drop("__i", "__q", "__base")
 
 
 def word_counts(sentences: DataFrame) -> DataFrame:
@@ -31,13 +32,13 @@ def word_counts(sentences: DataFrame) -> DataFrame:
 def build_vocab(sentences: DataFrame, min_freq: int = 1, by_frequency: bool = True) -> DataFrame:
     """token, idx, freq. Index 0 is the mark of unknown words; then by falling frequency and token,
     or, for graphs, by token alone, each counted once."""
-    counts = word_counts(sentences)
+    counts = cut_lineage(word_counts(sentences))
     if not by_frequency:
         counts = counts.withColumn("freq", F.lit(1).cast("long"))
     unk = counts.agg(F.coalesce(F.max(F.when(F.col("token") == UNK, F.col("freq"))), F.lit(0)).alias("freq")).select(F.lit(UNK).alias("token"), F.lit(0).alias("idx"), "freq")
     kept = counts.where((F.col("token") != UNK) & (F.col("freq") >= min_freq))
     order = [F.col("freq").desc(), F.col("token")] if by_frequency else [F.col("token")]
-    return unk.unionByName(_numbered(kept, order, 1).select("token", "idx", "freq"))
+    return unk.unionByName(numbered(kept, order, 1).select("token", "idx", "freq"))
 
 
 def word_frequency(vocab: DataFrame) -> DataFrame:
@@ -82,14 +83,23 @@ def windows(sentences: DataFrame, radius: int, mode: str = "sg", tokens: str = "
 
 def pair_counts(sentences: DataFrame, radius: int, tokens: str = "tokens") -> DataFrame:
     """center, ctx, n over all full windows."""
-    w = windows(sentences.select(tokens), radius, "sg", tokens)
-    return w.select(F.get("inputs", F.lit(0)).alias("center"), F.explode("targets").alias("ctx")).groupBy("center", "ctx").agg(F.count("*").alias("n"))
+    t = F.col(tokens)
+    at = F.sequence(F.lit(radius), F.size(t) - radius - 1)
+    offsets = [k for k in range(-radius, radius + 1) if k]
+    pairs = F.flatten(F.transform(at, lambda i: F.array(*(F.struct(F.get(t, i).alias("center"), F.get(t, i + k).alias("ctx")) for k in offsets))))
+    return sentences.where(F.size(t) >= 2 * radius + 1).select(F.explode(pairs).alias("p")).groupBy("p.center", "p.ctx").agg(F.count("*").alias("n")).select("center", "ctx", "n")
+
+
+def examples(sentences: DataFrame, radius: int, mode: str = "sg", tokens: str = "ids") -> DataFrame:
+    """inputs, target, n over all full windows: what a trainer takes."""
+    w = windows(sentences.select(tokens), radius, mode, tokens)
+    return w.select("inputs", F.explode("targets").alias("target")).groupBy("inputs", "target").agg(F.count("*").alias("n"))
 
 
 def batches(sentences: DataFrame, order: list[str], size: int) -> DataFrame:
     """sentences with batch: `size` sentences each, in the order of columns."""
     cols = [F.col(c) for c in order]
-    return _numbered(sentences, cols, 0).withColumn("batch", F.floor(F.col("idx") / size).cast("long")).drop("idx")
+    return numbered(sentences, cols).withColumn("batch", F.floor(F.col("idx") / size).cast("long")).drop("idx")
 
 
 def length_histogram(sentences: DataFrame) -> DataFrame:

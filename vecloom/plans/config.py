@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import functools
+import importlib
 import os
+import warnings
 from dataclasses import dataclass, field
 
 import yaml
+from pyspark.sql import functions as F
 
+from vecloom.functions import text
 from vecloom.functions.vectors import edge_operator
-from vecloom.operators import graph, sgns, splits
+from vecloom.operators import graph, sgns, splits, vocabulary
+from vecloom.operators.storage import cut_lineage
 from vecloom.sources.datasets import dataset
 
 
@@ -21,6 +27,8 @@ class TrainConfig:
     lr: float = 0.01
     gamma: float = 1.0
     step_size: int = 1
+    optimizer: str = "adam"
+    interval: str = "epoch"
     experiment: str = "default"
 
 
@@ -64,6 +72,7 @@ class DownstreamConfig:
     c: float = 1.0
     seed: int = 42
     split: str = "train_test"
+    split_options: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -77,20 +86,42 @@ class Config:
     max_norm: float | None = None
 
     def make_dataset(self, spark):
-        return dataset(spark, self.data.dataset, **self.data.options)
+        """Sentences or a graph, whichever the settings say the data set is."""
+        found = dataset(spark, self.data.dataset, **self.data.options)
+        if isinstance(found, graph.Graph) != self.data.is_graph:
+            raise ValueError(f"data set {self.data.dataset!r} is{'' if self.data.is_graph else ' not'} set as a graph (is_graph)")
+        if self.data.is_graph and self.data.min_word_frequency > 1:
+            warnings.warn("min_word_frequency has no effect on a graph: each node counts once", stacklevel=2)
+        return found
 
     def make_walks(self, arcs, epoch: int = 0):
+        """Walks of an epoch: `replicas` times walks_per_node from each node, other ones each epoch."""
         f, extra = graph.walk_generator(self.data.walk), {}
         if f is graph.node2vec:
             extra = {"p": self.data.p, "q": self.data.q}
-        return f(arcs, self.data.walk_length, self.data.walks_per_node, epoch=epoch, **extra)
+        return f(arcs, self.data.walk_length, self.data.walks_per_node * self.data.replicas, epoch=epoch, **extra)
+
+    def n_walks(self, g) -> int:
+        """Walks of an epoch."""
+        return g.nodes.count() * self.data.walks_per_node * self.data.replicas
+
+    def make_examples(self, tokens, vocab):
+        """Training examples of token sentences: windows by mode, radius and length."""
+        d = self.data
+        fit = text.clip("tokens", d.max_length or None, d.context_radius)
+        rows = tokens.where(text.long_enough("tokens", d.context_radius)).select(F.monotonically_increasing_id().alias("id"), fit.alias("tokens"))
+        return vocabulary.examples(vocabulary.encode(cut_lineage(rows), vocab, "id"), d.context_radius, d.mode)
 
     def make_trainer(self, vocab: int) -> sgns.Trainer:
         t = self.train
-        return sgns.Trainer(vocab, self.embedding_dim, t.lr, self.loss.negatives, t.max_epochs, t.steps_per_epoch, gamma=t.gamma, step_size=t.step_size, max_norm=self.max_norm)
+        return sgns.Trainer(vocab, self.embedding_dim, t.lr, self.loss.negatives, t.max_epochs, t.steps_per_epoch, gamma=t.gamma, step_size=t.step_size, max_norm=self.max_norm, optimizer=t.optimizer, interval=t.interval)
 
     def make_split(self):
-        return {"train_test": splits.train_test, "train_val_test": splits.train_val_test, "n_per_class": splits.n_per_class}[self.downstream.split]
+        """A function (rows, key, seed) by name, with the settings' parameters."""
+        d = self.downstream
+        if d.split not in splits.SPLITS:
+            raise ValueError(f"split {d.split!r}: one of {sorted(splits.SPLITS)}")
+        return functools.partial(splits.SPLITS[d.split], **(d.split_options or ({"train_ratio": d.train_ratio, "test_all": d.test_all} if d.split == "train_test" else {})))
 
     def make_edge_operator(self):
         return edge_operator(self.downstream.operator)
@@ -113,8 +144,35 @@ def _build(kind, raw: dict):
     return kind(**out)
 
 
-def load(text: str) -> Config:
-    return _build(Config, yaml.safe_load(text) or {})
+def load(source: str) -> Config:
+    return _build(Config, yaml.safe_load(source) or {})
+
+
+def instantiate(spec):
+    """Nested settings with `_target_: module.name` become what calling that name with the others gives."""
+    if isinstance(spec, list):
+        return [instantiate(x) for x in spec]
+    if not isinstance(spec, dict):
+        return spec
+    made = {k: instantiate(v) for k, v in spec.items() if k != "_target_"}
+    if "_target_" not in spec:
+        return made
+    module, _, name = spec["_target_"].rpartition(".")
+    return getattr(importlib.import_module(module), name)(**made)
+
+
+def tree(config, name: str = "config") -> str:
+    """The settings as indented lines."""
+    lines = [name]
+
+    def add(value, depth):
+        for key, x in value.items():
+            lines.append("  " * depth + (f"{key}:" if isinstance(x, dict) and x else f"{key}: {x}"))
+            if isinstance(x, dict):
+                add(x, depth + 1)
+
+    add(dataclasses.asdict(config), 1)
+    return "\n".join(lines)
 
 
 def dump(config: Config) -> str:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from vecloom.functions import rng, text
 from vecloom.functions.vectors import EDGE_OPERATORS
 from vecloom.operators import graph, metrics, sgns, similarity, splits, vocabulary
-from vecloom.sources.datasets import dataset, document_lines, parquet_table, part_orders, supplier_part
+from vecloom.operators.storage import cut_lineage
+from vecloom.sources.datasets import ABCDE, TEST, dataset, document_lines, parquet_table, part_orders, supplier_part
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -119,30 +120,22 @@ def q13_vocab_threshold_curve(spark, d):
 
 
 SP = "SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem GROUP BY 1, 2"
-PP = "SELECT least(a, b) AS src, greatest(a, b) AS dst, weight FROM (SELECT 'p' || x.l_partkey AS a, 'p' || y.l_partkey AS b, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey < 300) x JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey < 300) y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey GROUP BY 1, 2)"
+PP = "SELECT least(a, b) AS src, greatest(a, b) AS dst, weight FROM (SELECT 'p' || x.l_partkey AS a, 'p' || y.l_partkey AS b, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) x JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey GROUP BY 1, 2)"
 
 
 def _arcs_sql(edges):
     return f"SELECT src, dst, weight FROM ({edges}) UNION ALL SELECT dst, src, weight FROM ({edges})"
 
 
-#: The SQL's part graph is that of the parts under this key.
-PARTS = 300
-
-
-def part_query(sql: str):
-    """Registers f(edges) for the part graph of the SQL and, without SQL, for that of all parts."""
+def part_query(sql: str | None):
+    """Registers f(edges) for the graph of parts."""
 
     def add(f):
-        def register(name, below, text):
-            def run(spark, d):
-                return f(part_orders(spark, d, below))
-
-            run.__name__ = name
-            query(text)(run)
+        def run(spark, d):
+            return f(part_orders(spark, d))
 
-        register(f.__name__, PARTS, sql)
-        register(f"{f.__name__}_all_parts", None, None)
+        run.__name__ = f.__name__
+        query(sql)(run)
         return f
 
     return add
@@ -166,21 +159,28 @@ def q16_transition_probs_first_order(spark, d):
 
 def _second_sql(variant):
     far = "CASE WHEN n.src IS NOT NULL THEN c.weight / 0.5 ELSE c.weight END" if variant == "reference" else "CASE WHEN n.src IS NOT NULL THEN c.weight ELSE c.weight / 0.5 END"
-    return f"WITH arcs AS ({_arcs_sql(PP)}), w AS (SELECT a.src AS prev, a.dst AS here, c.dst, CASE WHEN c.dst = a.src THEN c.weight / 4.0 ELSE {far} END AS w FROM arcs a JOIN arcs c ON c.src = a.dst LEFT JOIN arcs n ON n.src = a.src AND n.dst = c.dst) SELECT prev, here, dst, round(w / sum(w) OVER (PARTITION BY prev, here), 9) AS prob FROM w"
+    return f"WITH arcs AS MATERIALIZED ({_arcs_sql(PP)}), w AS (SELECT a.src AS prev, a.dst AS here, c.dst, CASE WHEN c.dst = a.src THEN c.weight / 4.0 ELSE {far} END AS w FROM arcs a JOIN arcs c ON c.src = a.dst LEFT JOIN arcs n ON n.src = a.src AND n.dst = c.dst) SELECT prev, here, count(*) AS n, round(max(w) FILTER (dst = prev) / sum(w), 6) AS back, round(max(w) / sum(w), 6) AS top, round(sum(w * w) / (sum(w) * sum(w)), 6) AS squares FROM w GROUP BY prev, here"
+
+
+def _second_summary(edges, variant):
+    """Of each arc prev -> here the distribution of the next step: its size, the chance to go back, the largest chance, the sum of squares."""
+    p = graph.second_order(graph.symmetric(edges, True), 4.0, 0.5, variant)
+    figures = p.groupBy("prev", "here").agg(F.count("*").alias("n"), F.max(F.when(F.col("dst") == F.col("prev"), F.col("prob"))).alias("back"), F.max("prob").alias("top"), F.sum(F.col("prob") * F.col("prob")).alias("squares"))
+    return figures.select("prev", "here", "n", *(F.round(c, 6).alias(c) for c in ("back", "top", "squares")))
 
 
 @part_query(_second_sql("reference"))
 def q17_transition_probs_second_order(e):
-    return graph.second_order(graph.symmetric(e, True), 4.0, 0.5).withColumn("prob", F.round("prob", 9))
+    return _second_summary(e, "reference")
 
 
 @part_query(_second_sql("paper"))
 def q18_transition_probs_second_order_paper(e):
-    return graph.second_order(graph.symmetric(e, True), 4.0, 0.5, "paper").withColumn("prob", F.round("prob", 9))
+    return _second_summary(e, "paper")
 
 
 def _walk_sql(edges, length, per_node, seed, variant=None, p="1.0", q="0.5"):
-    ctes = [f"arcs AS ({_arcs_sql(edges)})", f"w0 AS (SELECT node AS start, k AS walk_no, [node] AS path FROM (SELECT DISTINCT src AS node FROM arcs), (SELECT CAST(range AS INT) AS k FROM range({per_node})))"]
+    ctes = [f"arcs AS MATERIALIZED ({_arcs_sql(edges)})", f"w0 AS (SELECT node AS start, k AS walk_no, [node] AS path FROM (SELECT DISTINCT src AS node FROM arcs), (SELECT CAST(range AS INT) AS k FROM range({per_node})))"]
     for s in range(1, length):
         prev = f"w.path[{s - 1}]" if s > 1 else "NULL"
         weight, near = "a.weight", ""
@@ -221,7 +221,7 @@ def q22_walk_skipgram_pairs(spark, d):
     return vocabulary.pair_counts(walks.select(F.col("path").alias("tokens")), 1)
 
 
-NEGATIVE = f"WITH arcs AS ({_arcs_sql(PP)}), nodes AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM (SELECT DISTINCT src AS node FROM arcs)), n AS (SELECT count(*) AS c FROM nodes), draws AS (SELECT s.range AS sample, k.range AS k, {rng.bits_sql(3, chr(39) + 'u' + chr(39), 's.range')} % c AS iu, {rng.bits_sql(3, chr(39) + 'v' + chr(39), 's.range', 'k.range')} % c AS iv FROM range(500) s, range(20) k, n), free AS (SELECT sample, k, u.node AS u, v.node AS v FROM draws JOIN nodes u ON u.i = iu JOIN nodes v ON v.i = iv ANTI JOIN arcs ON arcs.src = u.node AND arcs.dst = v.node) SELECT sample, arg_min(u, k) AS u, arg_min(v, k) AS v FROM free GROUP BY sample"
+NEGATIVE = f"WITH arcs AS MATERIALIZED ({_arcs_sql(PP)}), nodes AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM (SELECT DISTINCT src AS node FROM arcs)), n AS (SELECT count(*) AS c FROM nodes), draws AS (SELECT s.range AS sample, k.range AS k, {rng.bits_sql(3, chr(39) + 'u' + chr(39), 's.range')} % c AS iu, {rng.bits_sql(3, chr(39) + 'v' + chr(39), 's.range', 'k.range')} % c AS iv FROM range(500) s, range(20) k, n), free AS (SELECT sample, k, u.node AS u, v.node AS v FROM draws JOIN nodes u ON u.i = iu JOIN nodes v ON v.i = iv ANTI JOIN arcs ON arcs.src = u.node AND arcs.dst = v.node) SELECT sample, arg_min(u, k) AS u, arg_min(v, k) AS v FROM free GROUP BY sample"
 
 
 @part_query(NEGATIVE)
@@ -238,6 +238,8 @@ def _vec(spark, d):
     return parquet_table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("idx"), F.concat(F.lit("v"), "vec_id").alias("token"), F.col("embedding").cast("array<double>").alias("vec"), "label")
 
 
+#: Vectors of the table.
+N = "(SELECT count(*) FROM embeddings)"
 VEC = "SELECT CAST(vec_id AS INT) AS idx, 'v' || vec_id AS token, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings"
 _FORMULA = {"average": "(x + y) / 2", "hadamard": "x * y", "weighted_l1": "abs(x - y)", "weighted_l2": "(x - y) * (x - y)"}
 
@@ -245,11 +247,11 @@ _FORMULA = {"average": "(x + y) / 2", "hadamard": "x * y", "weighted_l1": "abs(x
 def _edge_query(name, number):
     def run(spark, d):
         v = _vec(spark, d).select(F.col("token").alias("node"), "vec")
-        pairs = _vec(spark, d).select(F.col("token").alias("u"), F.concat(F.lit("v"), F.pmod(F.col("idx") * 7 + 1, F.lit(500))).alias("v"))
+        pairs = _vec(spark, d).select(F.col("token").alias("u"), F.concat(F.lit("v"), F.pmod(F.col("idx") * 7 + 1, F.lit(v.count()))).alias("v"))
         return graph.edge_embeddings(pairs, v, name).select("u", "v", F.posexplode("emb").alias("pl", "x")).select("u", "v", "pl", F.round("x", 6).alias("x"))
 
     run.__name__ = f"q{number}_edge_embedding_{name}"
-    query(f"WITH v AS ({VEC}), p AS (SELECT token AS u, 'v' || ((idx * 7 + 1) % 500) AS v FROM v), e AS (SELECT u, p.v, CAST(generate_subscripts(a.vec, 1) - 1 AS INT) AS pl, unnest(a.vec) AS x, unnest(b.vec) AS y FROM p JOIN v a ON a.token = p.u JOIN v b ON b.token = p.v) SELECT u, v, pl, round({_FORMULA[name]}, 6) AS x FROM e")(run)
+    query(f"WITH v AS ({VEC}), p AS (SELECT token AS u, 'v' || ((idx * 7 + 1) % {N}) AS v FROM v), e AS (SELECT u, p.v, CAST(generate_subscripts(a.vec, 1) - 1 AS INT) AS pl, unnest(a.vec) AS x, unnest(b.vec) AS y FROM p JOIN v a ON a.token = p.u JOIN v b ON b.token = p.v) SELECT u, v, pl, round({_FORMULA[name]}, 6) AS x FROM e")(run)
 
 
 for _k, _name in enumerate(EDGE_OPERATORS):
@@ -261,11 +263,12 @@ def q29_noise_batch(spark, d):
     return sgns.noise(spark, 64, 4, 5, 4026, seed=1)
 
 
-PAIRS = f"SELECT idx AS center, (idx * 13 + 5) % 500 AS ctx FROM ({VEC})"
+PAIRS = f"SELECT idx AS center, (idx * 13 + 5) % {N} AS ctx FROM ({VEC})"
 
 
 def _pairs(spark, d):
-    return _vec(spark, d).select(F.col("idx").alias("center"), F.pmod(F.col("idx") * 13 + 5, F.lit(500)).alias("ctx"))
+    v = _vec(spark, d)
+    return v.select(F.col("idx").alias("center"), F.pmod(F.col("idx") * 13 + 5, F.lit(v.count())).cast("int").alias("ctx"))
 
 
 LOGITS = f"WITH v AS ({VEC}), p AS ({PAIRS}), l AS (SELECT center, ctx, list_dot_product(a.vec, b.vec) AS logit FROM p JOIN v a ON a.idx = center JOIN v b ON b.idx = ctx)"
@@ -277,22 +280,23 @@ def q30_skipgram_logits(spark, d):
     return sgns.skipgram_logits(_pairs(spark, d), v, v).withColumn("logit", F.round("logit", 6))
 
 
-@query(f"WITH v AS ({VEC}), m AS (SELECT t.idx AS sample, k.range AS k, (t.idx * 13 + 5) % 500 AS target, (t.idx + 1 + k.range) % 500 AS c FROM v t, range(4) k), f AS (SELECT sample, target, generate_subscripts(vec, 1) AS pl, unnest(vec) AS x FROM m JOIN v ON v.idx = m.c), a AS (SELECT sample, target, pl, avg(x) AS x FROM f GROUP BY ALL) SELECT sample, target, round(sum(a.x * v.vec[pl]), 6) AS logit FROM a JOIN v ON v.idx = target GROUP BY sample, target")
+@query(f"WITH v AS ({VEC}), m AS (SELECT t.idx AS sample, k.range AS k, (t.idx * 13 + 5) % {N} AS target, (t.idx + 1 + k.range) % {N} AS c FROM v t, range(4) k), f AS (SELECT sample, target, generate_subscripts(vec, 1) AS pl, unnest(vec) AS x FROM m JOIN v ON v.idx = m.c), a AS (SELECT sample, target, pl, avg(x) AS x FROM f GROUP BY ALL) SELECT sample, target, round(sum(a.x * v.vec[pl]), 6) AS logit FROM a JOIN v ON v.idx = target GROUP BY sample, target")
 def q31_cbow_logits(spark, d):
     v = _vec(spark, d)
-    rows = v.select(F.col("idx").alias("sample"), F.pmod(F.col("idx") * 13 + 5, F.lit(500)).alias("target"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.pmod(F.col("idx") + k, F.lit(500))).alias("context"))
+    n = F.lit(v.count())
+    rows = v.select(F.col("idx").alias("sample"), F.pmod(F.col("idx") * 13 + 5, n).alias("target"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.pmod(F.col("idx") + k, n)).alias("context"))
     return sgns.cbow_logits(rows, "sample", v, v).withColumn("logit", F.round("logit", 6))
 
 
 def _scores(spark, d):
     """Scaled logits of each pair and of three others."""
     v = _vec(spark, d)
-    rows = _pairs(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("center", "k", F.pmod(F.col("ctx") + 17 * F.col("k"), F.lit(500)).alias("ctx"))
+    rows = _pairs(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("center", "k", F.pmod(F.col("ctx") + 17 * F.col("k"), F.lit(v.count())).alias("ctx"))
     s = sgns.skipgram_logits(rows, v, v).withColumn("logit", F.col("logit") * 5)
     return s.groupBy("center").agg(F.max(F.when(F.col("k") == 0, F.col("logit"))).alias("pos"), F.collect_list(F.when(F.col("k") > 0, F.col("logit"))).alias("neg"))
 
 
-SCORES = f"WITH v AS ({VEC}), p AS (SELECT center, (ctx + 17 * range) % 500 AS ctx, range AS k FROM ({PAIRS}), range(4)), s AS (SELECT center, k, 5 * list_dot_product(a.vec, b.vec) AS l FROM p JOIN v a ON a.idx = center JOIN v b ON b.idx = p.ctx), g AS (SELECT k, 1 / (1 + exp(-l)) AS hit, -ln(greatest(1 / (1 + exp(CASE WHEN k = 0 THEN -l ELSE l END)), 1e-6)) AS x FROM s), t AS (SELECT sum(x) FILTER (k = 0) AS p, sum(x) FILTER (k > 0) AS q, count(*) FILTER (k = 0) AS n, avg(CAST(hit >= 0.5 AS INT)) FILTER (k = 0) AS recall, 1 - avg(CAST(hit >= 0.5 AS INT)) FILTER (k > 0) AS prec FROM g)"
+SCORES = f"WITH v AS ({VEC}), p AS (SELECT center, (ctx + 17 * range) % {N} AS ctx, range AS k FROM ({PAIRS}), range(4)), s AS (SELECT center, k, 5 * list_dot_product(a.vec, b.vec) AS l FROM p JOIN v a ON a.idx = center JOIN v b ON b.idx = p.ctx), g AS (SELECT k, 1 / (1 + exp(-l)) AS hit, -ln(greatest(1 / (1 + exp(CASE WHEN k = 0 THEN -l ELSE l END)), 1e-6)) AS x FROM s), t AS (SELECT sum(x) FILTER (k = 0) AS p, sum(x) FILTER (k > 0) AS q, count(*) FILTER (k = 0) AS n, avg(CAST(hit >= 0.5 AS INT)) FILTER (k = 0) AS recall, 1 - avg(CAST(hit >= 0.5 AS INT)) FILTER (k > 0) AS prec FROM g)"
 
 
 @query(f"{SCORES} SELECT round((p + q) / n, 6) AS loss, round(p / n, 6) AS positive_loss, round(q / n, 6) AS negative_loss FROM t")
@@ -311,15 +315,8 @@ def q34_sgns_gradient_step(spark, d):
     return sgns.input_gradient(_pairs(spark, d).withColumn("n", F.lit(1)), v, v).select("idx", F.col("at").alias("pl"), F.round("grad", 9).alias("grad"))
 
 
-@query(f"WITH v AS ({VEC}), s AS (SELECT a.idx AS query, b.idx, list_cosine_similarity(a.vec, b.vec) AS sim FROM v a, v b WHERE a.idx < 100), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, idx) AS rank FROM s) SELECT query, CAST(rank AS INT) AS rank, idx, round(sim, 6) AS sim FROM r WHERE rank <= 5")
+@query(f"WITH v AS ({VEC}), s AS (SELECT a.idx AS query, b.idx, list_cosine_similarity(a.vec, b.vec) AS sim FROM v a, v b WHERE a.idx % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, idx) AS rank FROM s) SELECT query, CAST(rank AS INT) AS rank, idx, round(sim, 6) AS sim FROM r WHERE rank <= 5")
 def q35_closest_pairs(spark, d):
-    v = _vec(spark, d)
-    return similarity.top_similar(v.where("idx < 100"), v, 5).withColumn("sim", F.round("sim", 6))
-
-
-@query()
-def q35_closest_pairs_every_20(spark, d):
-    """The search whose queries grow with the table; the SQL's are the first hundred."""
     v = _vec(spark, d)
     return similarity.top_similar(v.where("idx % 20 = 0"), v, 5).withColumn("sim", F.round("sim", 6))
 
@@ -387,12 +384,11 @@ def q45_edge_classification(spark, d):
     return metrics.edge_classification(g.edges, v, experiments=2)
 
 
-def _trained(spark):
+def _trained(spark, mode="sg"):
     s = dataset(spark, "abcde").withColumn("tokens", text.tokenize("text"))
-    v = vocabulary.build_vocab(s).cache()
+    v = cut_lineage(vocabulary.build_vocab(s))
     ids = vocabulary.encode(s.where(text.long_enough("tokens", 1)), v, "sent_id")
-    pairs = vocabulary.pair_counts(ids.withColumnRenamed("ids", "tokens"), 1)
-    return sgns.Trainer(v.count(), 4, lr=0.1, negatives=2, epochs=10, steps_per_epoch=1).fit(pairs), v
+    return sgns.Trainer(v.count(), 4, lr=0.1, negatives=2, epochs=10, steps_per_epoch=1).fit(vocabulary.examples(ids, 1, mode)), v
 
 
 @query()
@@ -431,3 +427,100 @@ def q50_feature_concat(spark, d):
     part = parquet_table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("idx"), F.array(F.col("p_size").cast("double"), "p_retailprice").alias("feats"))
     rows = _vec(spark, d).join(part, "idx").withColumn("x", F.concat("vec", "feats"))
     return rows.select("token", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+
+
+_SIDES = ", ".join(f"list_transform(range(8), lambda k: -sqrt(6.0 / (c + 8)) + 2 * sqrt(6.0 / (c + 8)) * ({rng.bits_sql(2, chr(39) + side + chr(39), 'idx', 'k')} / 4294967296.0)) AS {side}s" for side in ("input", "output"))
+
+
+@query(f"WITH voc AS MATERIALIZED ({VOCAB}), e AS MATERIALIZED (SELECT idx, token, freq, {_SIDES} FROM voc, (SELECT count(*) AS c FROM voc)), top AS (SELECT * FROM e WHERE freq > 0 ORDER BY freq DESC, token LIMIT 100), s AS (SELECT t.token AS word, e.token AS match, e.idx, list_cosine_similarity(t.inputs, e.outputs) AS sim FROM top t, e), r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY sim DESC, idx) AS rank FROM s) SELECT word, CAST(rank AS INT) AS rank, match, round(sim, 6) AS sim FROM r WHERE rank <= 5")
+def q51_closest_words(spark, d):
+    """Input vectors of the hundred most frequent words against output vectors of all words."""
+    v = cut_lineage(_vocab(spark, d))
+    n = v.count()
+    return similarity.closest_pairs(v, sgns.xavier(spark, n, 8, 2, "input"), sgns.xavier(spark, n, 8, 2, "output")).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"SELECT doc_id, line, string_agg(coalesce(v.token, '<unk>'), ' ' ORDER BY pl) AS tokens FROM (SELECT doc_id, line, generate_subscripts(tokens, 1) AS pl, unnest(tokens) AS token FROM ({_clipped_sql(2, 256)})) LEFT JOIN ({VOCAB}) v USING (token) GROUP BY doc_id, line")
+def q52_decode_sentences(spark, d):
+    """Sentences encoded and decoded: words outside the vocabulary become its mark of them."""
+    v = cut_lineage(_vocab(spark, d))
+    ids = vocabulary.encode(_clipped(spark, d, 2, 256).withColumn("k", F.struct("doc_id", "line")), v, "k")
+    back = vocabulary.decode(ids.select("k", F.posexplode("ids").alias("at", "idx")), v)
+    return back.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), " ").alias("tokens")).select("k.doc_id", "k.line", "tokens")
+
+
+@query("SELECT round(x, 9) AS x, round((-0.5 + 1.5 * x) / 2.0, 9) AS y FROM (SELECT -2.0 + range * (6.0 / 99) AS x FROM range(100))")
+def q53_decision_line(spark, d):
+    return similarity.decision_line(spark, [0.5, -1.5, 2.0], -1.0, 3.0).select(F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
+@query("SELECT name, CAST(sent_id AS BIGINT) AS sent_id, text FROM (VALUES " + ", ".join(f"('{name}', {k}, '{s}')" for name, texts in (("test", TEST), ("abcde", ABCDE)) for k, s in enumerate(texts)) + ") t(name, sent_id, text)")
+def q54_literal_sentences(spark, d):
+    return dataset(spark, "test").select(F.lit("test").alias("name"), "sent_id", "text").unionByName(dataset(spark, "abcde").select(F.lit("abcde").alias("name"), "sent_id", "text"))
+
+
+@query(f"SELECT round(avg(CAST(label = idx % 10 AS INT)), 9) AS accuracy FROM ({VEC})")
+def q55_accuracy(spark, d):
+    rows = _vec(spark, d).select("label", F.pmod("idx", F.lit(10)).alias("prediction"))
+    return spark.createDataFrame([(round(metrics.accuracy(rows), 9),)], "accuracy double")
+
+
+@query("WITH r AS (SELECT CAST(doc_id % 7 AS INT) AS experiment, avg(quality) AS accuracy FROM labels GROUP BY 1) SELECT round(avg(accuracy), 9) AS mean, round(max(accuracy), 9) AS best, max(experiment) FILTER (accuracy = (SELECT max(accuracy) FROM r)) AS experiment FROM r")
+def q56_mean_and_best(spark, d):
+    runs = _labels(spark, d).groupBy(F.pmod("doc_id", F.lit(7)).cast("int").alias("experiment")).agg(F.avg("quality").alias("accuracy"))
+    return metrics.summary(runs).select(F.round("mean", 9).alias("mean"), F.round("best", 9).alias("best"), "experiment")
+
+
+@query(f"SELECT start, walk_no, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT start, walk_no, regexp_extract_all(lower(walk), '{TOKEN}') AS t FROM ({_walk_sql(SP, 5, 2, 7)}))")
+def q57_walk_sentences(spark, d):
+    walks = graph.walk_sentences(graph.deepwalk(graph.symmetric(supplier_part(spark, d), True), 5, 2, seed=7))
+    return walks.select("start", "walk_no", text.tokenize("text").alias("t")).select("start", "walk_no", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+@query(f"SELECT bool_and(weight IS NOT NULL) AS weighted, count(*) AS edges, sum(weight) AS weight, (SELECT count(DISTINCT src) FROM ({_arcs_sql(SP)})) AS nodes FROM ({SP})")
+def q58_graph_facts(spark, d):
+    g = graph.Graph(supplier_part(spark, d))
+    return g.edges.agg(F.count("*").alias("edges"), F.sum("weight").alias("weight")).withColumn("weighted", F.lit(graph.is_weighted(g.edges))).withColumn("nodes", F.lit(g.nodes.count()))
+
+
+def _folds_sql(k):
+    return f"SELECT {k} AS experiment, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {rng.bits_sql(k, 'token')}, token) <= take THEN 'test' ELSE 'train' END AS split, token FROM rows_ JOIN take USING (label)"
+
+
+@query(f"WITH rows_ AS (SELECT token, CAST(dense_rank() OVER (ORDER BY CAST(label AS VARCHAR)) - 1 AS DOUBLE) AS label FROM ({VEC})), n AS (SELECT count(*) AS n, ceil(round(0.5 * count(*), 9)) AS total FROM rows_), c AS (SELECT label, count(*) * total / n.n AS exact, floor(count(*) * total / n.n) AS base, total FROM rows_, n GROUP BY label, n.n, total), take AS (SELECT label, base + CASE WHEN row_number() OVER (ORDER BY exact - base DESC, label) <= total - sum(base) OVER () THEN 1 ELSE 0 END AS take FROM c) SELECT experiment, token AS node, label, split FROM ({_folds_sql(0)} UNION ALL {_folds_sql(1)})")
+def q59_node_task_folds(spark, d):
+    """Rows, labels and folds of two experiments of node classification."""
+    v = _vec(spark, d)
+    rows = metrics.node_rows(v.select(F.col("token").alias("node"), "vec"), v.select(F.col("token").alias("node"), F.col("label").cast("string").alias("label")))
+    folds = [metrics.node_folds(rows, k).select(F.lit(k).alias("experiment"), "node", "label", "split") for k in (0, 1)]
+    return folds[0].unionByName(folds[1])
+
+
+@query(f"WITH e AS MATERIALIZED ({SP}), arcs AS MATERIALIZED ({_arcs_sql('SELECT * FROM e')}), s AS (SELECT count(*) AS n, CAST(round_even(0.5 * count(*), 0) AS BIGINT) AS m FROM e), nodes AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM (SELECT DISTINCT src AS node FROM arcs)), c AS (SELECT count(*) AS c FROM nodes), samples AS (SELECT unnest(range((SELECT n + m FROM s))) AS sample), draws AS (SELECT sample, k.range AS k, {rng.bits_sql(0, chr(39) + 'u' + chr(39), 'sample')} % c AS iu, {rng.bits_sql(0, chr(39) + 'v' + chr(39), 'sample', 'k.range')} % c AS iv FROM samples, range(20) k, c), free AS (SELECT sample, k, u.node AS u, v.node AS v FROM draws JOIN nodes u ON u.i = iu JOIN nodes v ON v.i = iv ANTI JOIN arcs ON arcs.src = u.node AND arcs.dst = v.node), neg AS (SELECT sample, arg_min(u, k) AS u, arg_min(v, k) AS v FROM free GROUP BY sample) SELECT src AS u, dst AS v, row_number() OVER (ORDER BY {rng.bits_sql(0, 'src', 'dst')}, src, dst) <= m AS train, 1.0 AS label FROM e, s UNION ALL SELECT u, v, sample < m, 0.0 FROM neg, s")
+def q60_edge_task_rows(spark, d):
+    """Edges and drawn non-edges of one experiment of edge classification."""
+    e = cut_lineage(supplier_part(spark, d))
+    return metrics.edge_rows(e, graph.symmetric(e, True), 0)
+
+
+def _gradient_sql(inputs):
+    noise = rng.bits_sql(4, "0", "array_to_string(ins, '-')", "b", "k.range")
+    return f"WITH v AS ({VEC}), e AS (SELECT idx AS a, {inputs} AS ins, (idx * 13 + 5) % {N} AS b FROM v), h AS (SELECT a, list(x ORDER BY pl) AS h FROM (SELECT a, pl, avg(x) AS x FROM (SELECT a, generate_subscripts(vec, 1) AS pl, unnest(vec) AS x FROM (SELECT a, unnest(ins) AS i FROM e) JOIN v ON v.idx = i) GROUP BY a, pl) GROUP BY a), t AS (SELECT a, b AS o, 1 AS y FROM e UNION ALL SELECT a, {noise} % {N}, 0 FROM e, range(2) k), z AS (SELECT t.a, o, y, h, vec AS ov, 1 / (1 + exp(-list_dot_product(h, vec) * (2 * y - 1))) AS p FROM t JOIN h ON h.a = t.a JOIN v ON v.idx = o), c AS (SELECT a, o, h, ov, CASE WHEN p > 1e-6 THEN CASE WHEN y = 1 THEN p - 1 ELSE 1 - p END ELSE 0 END AS c FROM z), parts AS (SELECT 'output' AS side, o AS idx, generate_subscripts(h, 1) - 1 AS pl, c * unnest(h) AS g FROM c UNION ALL SELECT 'input', i, pl, g / w FROM (SELECT i, w, generate_subscripts(ov, 1) - 1 AS pl, c * unnest(ov) AS g FROM c JOIN (SELECT a, unnest(ins) AS i, len(ins) AS w FROM e) n ON n.a = c.a)) SELECT side, CAST(idx AS INT) AS idx, CAST(pl AS INT) AS pl, round(sum(g) / (SELECT count(*) FROM e), 9) + 0.0 AS grad FROM parts GROUP BY side, idx, pl"
+
+
+def _gradients(spark, d, inputs):
+    v = _vec(spark, d)
+    n = v.count()
+    rows = v.select(inputs(F.col("idx"), F.lit(n)).cast("array<int>").alias("inputs"), F.pmod(F.col("idx") * 13 + 5, F.lit(n)).cast("int").alias("target"), F.lit(1).cast("long").alias("n"))
+    return sgns.gradients(sgns.with_noise(rows, 2, n, 4, 0), v, v).select("side", "idx", F.col("at").alias("pl"), (F.round("grad", 9) + 0.0).alias("grad"))
+
+
+@query(_gradient_sql("[idx]"))
+def q61_skipgram_gradients(spark, d):
+    """Both sides' gradient, noise included, of one step."""
+    return _gradients(spark, d, lambda i, n: F.array(i))
+
+
+@query(_gradient_sql(f"[(idx + 1) % {N}, (idx + 2) % {N}, (idx + 3) % {N}]"))
+def q62_cbow_gradients(spark, d):
+    return _gradients(spark, d, lambda i, n: F.array(*(F.pmod(i + k, n) for k in (1, 2, 3))))

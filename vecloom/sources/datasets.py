@@ -41,15 +41,32 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "text")
 
 
+#: The sentences of the test set: fixed values.
+TEST = ["a, a, c, b, b", "hello world! hello world!", "test here, test there, here there", "."]
+
+
 @register_dataset("test")
 def _test(spark):
-    return sentences(spark, ["a, a, c, b, b", "hello world! hello world!", "test here, test there, here there", "."])
+    return sentences(spark, TEST)
+
+
+#: The sentences of the abcde set: fixed values.
+ABCDE = [
+    "a b a b a b a b a b",
+    "a b a b a b",
+    "b a b a",
+    "a b a b a b a b",
+    "c d c d c d c d",
+    "d c d c d c",
+    "c d c d c d",
+    "e e e e e e e e",
+    "e e e",
+]
 
 
 @register_dataset("abcde")
 def _abcde(spark):
-    parts = [("a b", 5), ("a b", 3), ("b a", 2), ("a b", 4), ("c d", 4), ("d c", 3), ("c d", 3), ("e", 8), ("e", 3)]
-    return sentences(spark, [" ".join([p] * n) for p, n in parts])
+    return sentences(spark, ABCDE)
 
 
 def _wiki(name):
@@ -79,17 +96,23 @@ def _triplets(spark):
     return Graph(edges, labels)
 
 
-#: Zachary's karate club, members counted from 0, and the members of the first faction: fixed values.
-KARATE = {0: [1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 17, 19, 21, 31], 1: [2, 3, 7, 13, 17, 19, 21, 30], 2: [3, 7, 8, 9, 13, 27, 28, 32], 3: [7, 12, 13], 4: [6, 10], 5: [6, 10, 16], 6: [16], 8: [30, 32, 33], 9: [33], 13: [33], 14: [32, 33], 15: [32, 33], 18: [32, 33], 19: [33], 20: [32, 33], 22: [32, 33], 23: [25, 27, 29, 32, 33], 24: [25, 27, 31], 25: [31], 26: [29, 33], 27: [33], 28: [31, 33], 29: [32, 33], 30: [32, 33], 31: [32, 33], 32: [33]}
-KARATE_FIRST = [0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 16, 17, 19, 21]
+#: Zachary's karate club: members from 1, each friendship once as (member, member, weight); the factions: fixed values.
+KARATE = [
+    (1, 2, 4), (1, 3, 5), (1, 4, 3), (1, 5, 3), (1, 6, 3), (1, 7, 3), (1, 8, 2), (1, 9, 2), (1, 11, 2), (1, 12, 3), (1, 13, 1), (1, 14, 3), (1, 18, 2), (1, 20, 2), (1, 22, 2), (1, 32, 2),
+    (2, 3, 6), (2, 4, 3), (2, 8, 4), (2, 14, 5), (2, 18, 1), (2, 20, 2), (2, 22, 2), (2, 31, 2),
+    (3, 4, 3), (3, 8, 4), (3, 9, 5), (3, 10, 1), (3, 14, 3), (3, 28, 2), (3, 29, 2), (3, 33, 2),
+    (4, 8, 3), (4, 13, 3), (4, 14, 3), (5, 7, 2), (5, 11, 3), (6, 7, 5), (6, 11, 3), (6, 17, 3), (7, 17, 3),
+    (9, 31, 3), (9, 33, 3), (9, 34, 4), (10, 34, 2), (14, 34, 3), (15, 33, 3), (15, 34, 2), (16, 33, 3), (16, 34, 4), (19, 33, 1), (19, 34, 2), (20, 34, 1), (21, 33, 3), (21, 34, 1), (23, 33, 2), (23, 34, 3),
+    (24, 26, 5), (24, 28, 4), (24, 30, 3), (24, 33, 5), (24, 34, 4), (25, 26, 2), (25, 28, 3), (25, 32, 2), (26, 32, 7), (27, 30, 4), (27, 34, 2), (28, 34, 4), (29, 32, 2), (29, 34, 2),
+    (30, 33, 4), (30, 34, 2), (31, 33, 3), (31, 34, 3), (32, 33, 4), (32, 34, 4), (33, 34, 5),
+]
+KARATE_LABELS = {"1": [1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12, 13, 14, 17, 18, 20, 22], "2": [10, 15, 16, 19, 21, 23, 24, 25, 26, 27, 28, 29, 30, 31, 32, 33, 34]}
 
 
 @register_dataset("graph_karate_club")
 def _karate(spark):
-    """Unweighted."""
-    edges = edge_table(spark, [(f"n{a + 1:02d}", f"n{b + 1:02d}") for a, v in KARATE.items() for b in v])
-    labels = spark.createDataFrame([(f"n{k + 1:02d}", "1" if k in KARATE_FIRST else "2") for k in range(34)], "node string, label string")
-    return Graph(edges, labels)
+    edges = spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}", float(w)) for a, b, w in KARATE], "src string, dst string, weight double")
+    return Graph(edges, spark.createDataFrame([(f"n{k:02d}", label) for label, members in KARATE_LABELS.items() for k in members], "node string, label string"))
 
 
 @register_dataset("graph_cora")
@@ -117,10 +140,9 @@ def supplier_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
 
 
-def part_orders(spark: SparkSession, sf_dir: str, below: int | None = None) -> DataFrame:
-    """Graph of parts (all, or those under a key) that are in one order; weight: orders."""
-    li = parquet_table(spark, sf_dir, "lineitem")
-    li = (li if below is None else li.where(F.col("l_partkey") < below)).select("l_orderkey", "l_partkey").distinct()
+def part_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph of parts that are in one order; weight: orders."""
+    li = parquet_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
     other = li.select("l_orderkey", F.col("l_partkey").alias("other"))
     pairs = li.join(other, "l_orderkey").where("l_partkey < other")
     return pairs.groupBy(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("p"), "other").alias("b")).agg(F.count("*").cast("double").alias("weight")).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "weight")
