@@ -148,6 +148,31 @@ def test_lines(docs, rows):
     assert sorted(got) == sorted(want)
 
 
+def test_hot_lines_and_tokens(spark, docs, rows, monkeypatch):
+    r = random.Random(11)
+    words = ["common", *(f"t{k}" for k in range(9))]
+    more = []
+    for k in range(60):  # a large group of near lines with one word in all of them
+        line = [w if r.random() > 0.05 else f"x{r.random()}" for w in words]
+        more.append((200 + k, " ".join(["common", *line[1:]]) + "\n" + " ".join(f"long{i}" if r.random() > 0.08 else f"y{r.random()}" for i in range(40)), "en", "s", 0, 5))
+    both = docs.unionByName(spark.createDataFrame(more, SCHEMA)).cache()
+    want = sorted((str(x.doc_id), x.kept_sha256) for x in line_dedup.report(both, min_words=1).collect())
+    seen, brute = [], []
+    for doc, text, *_ in sorted(rows + more, key=lambda x: x[0] if x[0] is not None else -1):
+        kept = []
+        for line in (text or "").split("\n"):
+            s = set(re.sub("[A-Z]", lambda m: m[0].lower(), line).split())
+            if not s or not any(100 * len(s & t) >= 80 * len(s | t) for t in seen):
+                kept.append(line)
+            seen.append(s)
+        brute.append((str(doc), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    assert want == sorted(brute)
+    monkeypatch.setattr(line_dedup, "HOT_POSTINGS", 20)
+    monkeypatch.setattr(line_dedup, "HOT_PAIRS", 3)
+    monkeypatch.setattr(line_dedup, "PARTNERS", 1)
+    assert sorted((str(x.doc_id), x.kept_sha256) for x in line_dedup.report(both, min_words=1).collect()) == want
+
+
 def test_short_lines(spark, docs, rows, tmp_path):
     import corpus_pipeline
     from vecloom.llm.queries import QUERIES
@@ -171,9 +196,59 @@ def test_short_lines(spark, docs, rows, tmp_path):
     assert sorted(got) == sorted(want)
 
 
+def test_special_strings_and_large_ids():
+    from tokenizers import Tokenizer
+
+    e, plain = encoder(default_tokenizer()), Tokenizer.from_file(default_tokenizer())
+    for text in ("a <|endoftext|> b", "no special string", "x<|endoftext|>", "<|endoftext"):
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    with pytest.raises(ValueError):
+        wavelet.build(np.array([70000, 5]))
+    assert wavelet.Matrix(wavelet.build(np.array([70000, 5, 65541]), 17)).decode().tolist() == [70000, 5, 65541]
+
+
+def test_lookup(spark, docs, rows):
+    e = encoder(default_tokenizer())
+    token = int(np.frombuffer(e.encode(" w7"), "<u4")[0])
+    ids = [np.frombuffer(e.whole(r[1] or ""), "<u4") for r in rows]
+    got = wavelet.lookup(wavelet.write_shards(docs, tokens_per_shard=500), token).collect()
+    assert sum(r.n for r in got) == sum(int((x == token).sum()) for x in ids) > 0
+    assert all((r.n == 0) == (r.first is None) and (r.n < 2 or r.first < r.last) for r in got)
+
+
+def test_very_long_texts(spark):
+    r = random.Random(5)
+    vocab = [f"v{k}" for k in range(3000)]
+    long_ = "\n".join(" ".join(r.choice(vocab) for _ in range(30)) for _ in range(4000))
+    d = spark.createDataFrame([(1, long_, "en"), (2, long_ + "\none more line here", "en"), (3, "short text", "en")], "doc_id long, text string, lang string").repartition(2)
+    b = spark.createDataFrame([(9, long_[20000:20400])], "item_id long, text string")
+    n = len(_words(long_))
+    assert {x.doc_id: x.component_id for x in near_dup.near_duplicates(d, 4).collect()} == {1: 1, 2: 1, 3: 3}
+    got = {x.doc_id: (x.n_words, x.n_removed) for x in substring.remove_repeats(d).collect()}
+    assert got == {1: (n, 0), 2: (n + 4, n), 3: (2, 0)}
+    assert {x.doc_id: x.n_removed for x in line_dedup.report(d, min_words=1).collect()} == {1: 0, 2: 4000, 3: 0}
+    assert {x.doc_id for x in decontaminate.find(d, b).collect()} == {1, 2}
+    assert {x.doc_id: x.n_words for x in quality.report(d).collect()} == {1: n, 2: n + 4, 3: 2}
+    assert {x.doc_id: x.n_entities for x in surrogates.replace_entities(d).collect()} == {1: 0, 2: 0, 3: 0}
+    assert licenses.scan(d).count() == 3
+    e = encoder(default_tokenizer())
+    total = len(e.whole(long_)) // 4
+    assert {x.doc_id: x.n_tokens for x in wavelet.read_shards(wavelet.write_shards(d)).collect()}[1] == total + 1
+    assert sum(x.length for x in packing.pack_documents(d).where("doc_id = 1").collect()) == total + 1
+
+
 def test_packing(docs, rows):
     e = encoder(default_tokenizer())
     out = packing.pack_documents(docs, per_task=50).collect()
+    pieces = []
+    for doc, text, *_ in rows:
+        ids = e.whole(text or "") + b"\2\0\0\0"
+        n, at, k = len(ids) // 4, 0, 0
+        while at < n:
+            size = min(1024, n - at) if n <= 1024 or at else (n - 1) % 1024 + 1
+            pieces.append((doc if doc is not None else -1, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
+            at, k = at + size, k + 1
+    assert sorted((x.doc_id if x.doc_id is not None else -1, x.piece, x.start, x.length, x.ids_crc32) for x in out) == sorted(pieces)
     total = sum(len(e.whole(r[1] or "")) // 4 + 1 for r in rows)
     assert sum(r.length for r in out) == total
     bins = {}
@@ -269,6 +344,17 @@ def test_licenses(spark):
     assert {r.doc_id: r.license_id for r in licenses.scan(d).collect()} == {1: "MIT", 2: None, 3: None, 4: None}
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    def wrapped(text, width):
+        return "\n\n".join("Copyright (c) 2019, Jane Roe and others\nAll rights reserved." if p.startswith("Copyright") else textwrap.fill(p, width) for p in text.split("\n\n"))
+
+    rows = [(k, name, wrapped(text, width)) for k, (name, text, width) in enumerate((n, t, w) for n, t in licenses.KNOWN.items() for w in (60, 67, 72, 80, 96))]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, digest string, text string")).orderBy("doc_id").collect()
+    assert [r.license_id for r in got] == [name for _, name, _ in rows]
+
+
 def test_long_licenses(spark):
     import pathlib
 
@@ -280,6 +366,98 @@ def test_long_licenses(spark):
     assert [r.license_id for r in licenses.scan(d).orderBy("doc_id").collect()] == list(files.values())
 
 
+def test_distances(spark):
+    """Verdicts against the distances by hand."""
+    r = random.Random(9)
+    lang = lambda k: ("en", "fr", None)[k % 3]
+    common = {"en": quality.COMMON["en"], "fr": quality.COMMON["fr"], None: quality.COMMON["en"]}
+    rows = []
+    for k in range(45):
+        odd, words = k % 9 == 0, []
+        for _ in range(160):
+            words.append(r.choice(common[lang(k)]) if r.random() < 0.3 and not odd else "".join(r.choice("ABCXYZ#$&%0123456789" if odd and k % 2 else "abcdefghij") for _ in range(r.randint(2, 8))))
+        rows.append((k, " ".join(words), lang(k)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in quality.report(d).collect()}
+    shares = {}
+    for k, text, l in rows:
+        c = [len(re.findall(p, text)) for p in (r"\s", "[a-z]", "[A-Z]", "[#*$%&|<>]", "[0-9]")]
+        c += [len(re.findall("[!-~]", text)) - sum(c[1:]), len(re.findall(r"[^\s!-~]", text))]
+        w = text.split(" ")
+        f = [w.count(x) for x in common[l]]
+        shares[k] = (np.array(c) / sum(c), np.array([*f, len(w) - sum(f)]) / len(w))
+    passed = {k for k, x in got.items() if not x.base_failed}
+    for k, _, l in rows:
+        far = False
+        for h, limit in ((0, quality.MAX_CHAR_JSD), (1, quality.MAX_WORD_JSD)):
+            q = np.mean([shares[j][h] for j, _, m in rows if m == l and j in passed], axis=0)
+            p = shares[k][h]
+            m = (p + q) / 2
+            part = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m) if a > 0)  # noqa: B023, E731
+            far |= np.sqrt((part(p) + part(q)) / 2) > limit
+        assert got[k].kept == (k in passed and not far), k
+    assert {x.kept for x in got.values()} == {True, False}
+
+
+def test_paraphrase_and_answer(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijk") for _ in range(6))
+    item = [word() for _ in range(40)]
+    para = [w if i % 5 else word() for i, w in enumerate(item)]  # four words of five, in order
+    half = [w if i % 5 < 3 else word() for i, w in enumerate(item)]  # three of five: the answer decides
+    answer = [word() for _ in range(6)]
+    other = lambda n: [word() for _ in range(n)]
+    bench = " ".join(item) + ". " + " ".join(answer)
+    docs = [(1, " ".join(other(50) + para + answer + other(50))), (2, " ".join(other(50) + half + answer + other(50))), (3, " ".join(other(50) + half + other(56))), (4, " ".join(other(150)))]
+    d = spark.createDataFrame([(a, b, 0.0, True) for a, b in docs], "doc_id long, text string, lcs double, answer boolean")
+    b = spark.createDataFrame([(5, bench)], "item_id long, text string")
+    got = {x.doc_id: x.answer for x in decontaminate.find(d, b).collect()}
+    assert got == {1: True, 2: True}
+    empty_docs, empty_bench = d.where("false"), b.where("false")
+    assert decontaminate.find(empty_docs, b).count() == 0 and decontaminate.find(d, empty_bench).count() == 0
+    assert decontaminate.keep_clean(d, empty_bench).count() == 4 and decontaminate.keep_clean(d, b).columns == d.columns
+
+
+def test_filters_keep_columns(docs, rows):
+    """The forms that pipelines use: nulls, repeated rows, empty texts and clashing names."""
+    kept = near_dup.keep_one(docs, size=4).collect()
+    ids = [x.doc_id for x in kept if x.doc_id is not None]
+    assert len(ids) == len(set(ids)) and sum(x.doc_id is None for x in kept) == 1 and kept[0].component_id == 5
+    told = {x.doc_id: x.kept for x in near_dup.near_duplicates(docs, size=4).collect()}
+    assert set(ids) == {k for k, v in told.items() if v and k is not None}
+    good = quality.keep_good(docs)
+    assert good.columns == docs.columns
+    verdict = {x.doc_id: x.kept for x in quality.report(docs).collect()}
+    assert sorted(str(x.doc_id) for x in good.collect()) == sorted(str(r[0]) for r in rows if verdict[r[0]])
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    vocab = ["the", "of", "and", "to", "in", *(f"w{k}" for k in range(300))]
+    para = lambda n: "\n".join(" ".join(r.choice(vocab) for _ in range(25)) for _ in range(n))
+    texts = [para(6) for _ in range(40)]
+    texts[10] = texts[3]  # an exact copy: line dedup leaves nothing of it
+    w = texts[5].split("\n")
+    texts[11] = "\n".join([w[0], *(" ".join(x.split()[::-1]) for x in w[1:])])
+    item = " ".join(f"bench{k}" for k in range(40))
+    texts[20] += "\n" + item
+    rows = [(k, t, "en", "s", len(t), 1) for k, t in enumerate(texts)] + [(50, None, None, None, None, 1), (51, "", "en", "s", 0, 1), (52, "too short", "en", "s", 9, 1), (None, para(5), None, None, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, item_id int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = {x.doc_id for x in out.collect()}
+    assert got == {k for k in range(40)} - {10, 20} | {None}
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "packing"]
+    assert corpus_pipeline._left == []
+    (tmp_path / "empty").mkdir()
+    docs.where("false").write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "empty" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], SCHEMA)
     for f in (quality.report, near_dup.near_duplicates, substring.remove_repeats, line_dedup.report, packing.pack_documents, surrogates.replace_entities, licenses.scan):

@@ -1,6 +1,6 @@
 """Licence texts by canonical digest (DataFrame functions only).
 
-A text is lower-cased, copyright lines go, equivalent spellings become one, what isn't a letter or
+A text is lower-cased, lines of copyright notice go, equivalent spellings become one, what isn't a letter or
 digit becomes one space; SHA-256 of the result is looked up, whole, among the digests of known texts.
 
 Null text: no digest, no licence. A text of which nothing is left: the digest of "", no licence.
@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 #: Equivalent spellings, as in the public licence matching guidelines: fixed values.
 SPELLINGS = {"licence": "license", "licenced": "licensed", "sublicence": "sublicense", "merchantibility": "merchantability", "noninfringement": "non infringement", "organisation": "organization", "favour": "favor", "honour": "honor", "programme": "program", "authorisation": "authorization", "modelled": "modeled", "whilst": "while", "per cent": "percent", "copyright owner": "copyright holder"}
+_MARK = r"(?:copyright|\(c\)|©)"
+#: A line of notice, lower-cased: marks of copyright with an open place or a year after them, the word with the sign,
+#: or a reservation of rights alone. Lines of wrapped text that merely start with "copyright" are none.
+NOTICE = rf"(?m)^[^\p{{L}}\p{{N}}\n]*?(?:(?:{_MARK}[ \t:,]*)+(?:[<\[{{][^\n]*|[^\n]{{0,60}}?(?:1[89]|20)[0-9]{{2}}[^\n]*)|copyright[ \t]*(?:\(c\)|©)[^\n]*|all rights reserved[^\p{{L}}\p{{N}}\n]*)$"
 #: Known texts below this size in bytes, all together, are sent to every executor; larger tables are hash-joined.
 SENT_BYTES = 8 << 20
 
@@ -33,25 +37,25 @@ KNOWN = {
 }
 #: Canonical digests of long licence texts: fixed values.
 DIGESTS = {
-    "Apache-2.0": "ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b",
-    "GPL-1.0": "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c",
-    "GPL-2.0": "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1",
-    "GPL-3.0": "5272fb2d9117cba4ebb1b4a6612e61ab05ddddeff56bd30c3ac3798e23821b30",
-    "LGPL-2.0": "b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c",
-    "LGPL-2.1": "294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e",
+    "Apache-2.0": "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b",
+    "GPL-1.0": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-3.0": "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
     "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
-    "MPL-1.1": "1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1",
-    "MPL-2.0": "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
+    "MPL-1.1": "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986",
+    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
     "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
-    "GFDL-1.2": "f06741c6c5feec30d99f80228f0d9ea6b884eae0e790ab18a0f4257184befa86",
-    "GFDL-1.3": "80229e90e6f40a551a447f33ef48bd361a8e3166d53f29a2d1537245e2064feb",
+    "GFDL-1.2": "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71",
+    "GFDL-1.3": "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6",
 }
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
     t = F.lower(text)
-    t = F.regexp_replace(t, r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$", "")
+    t = F.regexp_replace(t, NOTICE, "")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")
     t = F.concat(F.lit(" "), t, F.lit(" "))
     for a, b in SPELLINGS.items():

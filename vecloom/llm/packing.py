@@ -125,7 +125,6 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, token
 
         return merge
 
-    spark = docs.sparkSession
     done, level = [], 0
     bins = materialize(slim(docs).mapInArrow(first, BIN), "pack")
     before = None

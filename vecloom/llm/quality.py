@@ -76,8 +76,8 @@ def _shares(column: str):
 
 
 def references(measured: DataFrame, min_words: int = 100) -> DataFrame:
-    """Mean histograms by language over all documents that are long enough: five rows at most."""
-    df = measured.where(F.col(f"{P}n") >= min_words).select(F.col(f"{P}key").alias(f"{P}ref"), *(_shares(f"{P}{h}").alias(h) for h in BINS))
+    """Mean histograms by language over all documents that pass the base rules and are long enough: five rows at most."""
+    df = measured.where((F.col(f"{P}n") >= min_words) & ~F.col(f"{P}base_failed")).select(F.col(f"{P}key").alias(f"{P}ref"), *(_shares(f"{P}{h}").alias(h) for h in BINS))
     means = df.groupBy(f"{P}ref").agg(*(F.avg(F.get(h, F.lit(k))).alias(f"{h}{k}") for h, n in BINS.items() for k in range(n)))
     return means.select(f"{P}ref", *(F.array(*(f"{h}{k}" for k in range(n))).alias(f"{P}{h}_ref") for h, n in BINS.items()))
 
@@ -112,18 +112,20 @@ def repeated_words(words: str, n: str):
     )
 
 
-def judge(docs: DataFrame, keep: list[str], min_words: int = 100, min_chars: int = 300, max_char_jsd: float = MAX_CHAR_JSD, max_word_jsd: float = MAX_WORD_JSD) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str], passed_only: bool = False, min_words: int = 100, min_chars: int = 300, max_char_jsd: float = MAX_CHAR_JSD, max_word_jsd: float = MAX_WORD_JSD) -> DataFrame:
     """The columns `keep` of docs, with n, word_chars, c_symbol, dup, repeat, base_failed, char_jsd,
     word_jsd and kept under the prefix `__vq_`. Texts are measured once; the figures go to a table
-    in the shared folder, from which the references and the verdicts are read."""
+    in the shared folder, from which the references and the verdicts are read. passed_only: rows that fail
+    the base rules are left out of it."""
     df = _histograms(docs)
     df = df.withColumn(f"{P}lines", F.filter(F.split(f"{P}t", "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != ""))
     df = df.withColumn(f"{P}dup", (F.size(f"{P}lines") - F.size(F.array_distinct(f"{P}lines"))).cast("long"))
     df = df.withColumn(f"{P}repeat", repeated_words(f"{P}w", f"{P}n"))
-    figures = ["key", "n", "word_chars", "c_symbol", "dup", "repeat", *BINS]
-    df = materialize(df.select(*(F.col(f"`{c}`") for c in keep), *(f"{P}{x}" for x in figures)), "quality")
-    df = df.join(F.broadcast(references(df, min_words)), F.col(f"{P}key") == F.col(f"{P}ref"), "left")
     df = df.withColumn(f"{P}base_failed", (F.col(f"{P}n") < 50) | (100 * F.col(f"{P}repeat") > 50 * F.col(f"{P}n")))
+    figures = ["key", "n", "word_chars", "c_symbol", "dup", "repeat", "base_failed", *BINS]
+    df = df.select(*(F.col(f"`{c}`") for c in keep), *(f"{P}{x}" for x in figures))
+    df = materialize(df.where(~F.col(f"{P}base_failed")) if passed_only else df, "quality")
+    df = df.join(F.broadcast(references(df, min_words)), F.col(f"{P}key") == F.col(f"{P}ref"), "left")
     df = df.withColumn(f"{P}char_jsd", _distance(f"{P}chars")).withColumn(f"{P}word_jsd", _distance(f"{P}words"))
     far = ((F.col(f"{P}word_chars") >= min_chars) & (F.col(f"{P}char_jsd") > max_char_jsd)) | ((F.col(f"{P}n") >= min_words) & (F.col(f"{P}word_jsd") > max_word_jsd))
     return df.withColumn(f"{P}kept", ~F.col(f"{P}base_failed") & ~F.coalesce(far, F.lit(False)))
@@ -137,4 +139,4 @@ def report(docs: DataFrame, **limits) -> DataFrame:
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows of docs that pass, with the columns of docs."""
-    return judge(docs, docs.columns, **limits).where(f"{P}kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judge(docs, docs.columns, True, **limits).where(f"{P}kept").select(*(F.col(f"`{c}`") for c in docs.columns))

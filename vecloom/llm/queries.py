@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm import classifier, decontaminate, licenses, line_dedup, near_dup, packing, quality, substring, surrogates, wavelet
 from vecloom.llm.common import table
+from vecloom.llm.oracles import ORACLE  # noqa: F401
 
 
 def op1_wavelet_matrix(spark, sf_dir):
@@ -50,4 +51,3 @@ def op10_hierarchical_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_wavelet_matrix, op2_distribution_divergence, op3_surrogates, op4_bbit_minhash, op5_random_indexing, op6_count_min_windows, op7_latent_semantic, op8_license_digest, op9_line_set_join, op10_hierarchical_packing)}
-ORACLE: dict[str, str] = {}

@@ -2,8 +2,8 @@
 
 The library splits a text into pieces and merges bytes within each piece alone, so the ids of a
 piece don't depend on its neighbours. Texts of plain Latin characters are cut by the same rule here
-and each distinct piece goes to the library once per worker; any other text goes to it whole.
-The strings of special tokens are ordinary text.
+and each distinct piece goes to the library once per worker; any other text goes to it whole, and so does a text
+that holds the string of a special token, which the library's plain call takes for that token.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import zlib
 import numpy as np
 
 #: Pieces that a worker keeps.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 300_000
 #: Letters and numbers among the plain characters: fixed values of Unicode.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _NUMBER = "0-9²³¹¼-¾"
@@ -38,14 +38,15 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Pieces that aren't known yet go to the library in one call."""
-        pieces = [None if _ODD.search(t) else _PIECE.findall(t) for t in texts]
+        pieces = [None if _ODD.search(t) or (self.special and self.special.search(t)) else _PIECE.findall(t) for t in texts]
         new = [p for p in set(itertools.chain.from_iterable(filter(None, pieces))) if p not in self]
         if len(self) + len(new) > KEPT_PIECES:
             self.clear()

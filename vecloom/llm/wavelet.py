@@ -6,7 +6,7 @@ is the stable partition of the one above. A plane is cut into blocks of `BLOCK`
 apart, with the number of ones before each: access, rank and select read one block a plane.
 Spark's own writer puts the shards into the table, so any store will do, and a lost task is rerun.
 
-Documents are in ascending doc_id order (null first, repeated ids by text). Null text: empty, the
+Documents are in ascending doc_id order (null first, repeated ids by a hash of their text). Null text: empty, the
 end id alone. Empty table: no shards. Other columns of the table are ignored.
 """
 
@@ -31,6 +31,8 @@ SHARD = "task int, part int, n_tokens long, doc_ids array<long>, lengths array<l
 
 def build(ids: np.ndarray, bits: int = 16) -> bytes:
     """The file of a sequence of ids under 2**bits."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {ids.max()} takes more than {bits} bits")
     x, n, planes = ids.astype(np.uint32), len(ids), []
     zip_ = zstandard.ZstdCompressor(level=1)
     for b in range(bits - 1, -1, -1):
@@ -148,7 +150,7 @@ def write_shards(docs: DataFrame, end_id: int = 0, tokenizer: str | None = None,
         def shard():
             ids = np.frombuffer(b"".join(held), "<u4")
             return pa.record_batch(
-                [pa.array([task], pa.int32()), pa.array([part], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([list(ids_of)], pa.list_(pa.int64())), pa.array([list(lengths)], pa.list_(pa.int64())), pa.array([build(ids)], pa.binary())],
+                [pa.array([task], pa.int32()), pa.array([part], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([list(ids_of)], pa.list_(pa.int64())), pa.array([list(lengths)], pa.list_(pa.int64())), pa.array([build(ids, max(16, int(ids.max()).bit_length()))], pa.binary())],
                 ["task", "part", "n_tokens", "doc_ids", "lengths", "matrix"],
             )
 
@@ -167,7 +169,7 @@ def write_shards(docs: DataFrame, end_id: int = 0, tokenizer: str | None = None,
         if held:
             yield shard()
 
-    return materialize(df.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").mapInArrow(encode, SHARD), "wavelet")
+    return materialize(df.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text").mapInArrow(encode, SHARD), "wavelet")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
