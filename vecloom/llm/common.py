@@ -81,10 +81,16 @@ def discard(spark: SparkSession, *paths: str) -> None:
         fs.delete(p, True)
 
 
+#: What Python workers' allocators are told, so that large columns go back to the system once they are freed.
+ALLOCATORS = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Let Python workers that see this folder import the package; elsewhere submit it with --py-files."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
+    for k, v in ALLOCATORS.items():
+        env.setdefault(k, v)
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
     return spark
@@ -411,12 +417,13 @@ def key_cells(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 class Members:
-    """A broadcast bitmap of the longs in a written table's first column. test() is never false for one
-    of them and rarely true for another, so that only rows near them need move to an exact join."""
+    """A broadcast bitmap of the longs in a written table's first column, or of the `n` that keys_of gives for
+    the batches of a table. test() is never false for one of them and rarely true for another, so that only rows near
+    them need move to an exact join."""
 
-    def __init__(self, keys: DataFrame):
-        self.width = width = cells_for(keys.count())
-        bits = bitmap(keys, lambda batch: [np.unique(key_cells(batch.column(0).to_numpy(), width))], width, least=1)
+    def __init__(self, keys: DataFrame, n: int | None = None, keys_of=lambda batch: batch.column(0).to_numpy()):
+        self.width = width = cells_for(keys.count() if n is None else n)
+        bits = bitmap(keys, lambda batch: [np.unique(key_cells(keys_of(batch), width))], width, least=1)
         self.sent = keys.sparkSession.sparkContext.broadcast(bits)
 
     def test(self, keys: np.ndarray) -> np.ndarray:

@@ -367,15 +367,15 @@ class _Salt:
         return self.bucket(key[at], np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)), at
 
 
-def _keys_of(pairs, doc, line):
-    """The lines of one side of pairs and their documents as longs."""
+#: Told apart in one bitmap: keys of earlier lines.
+_EARLIER = np.int64(0x2545F4914F6CDD1D)
 
-    def scan(batches):
-        for batch in batches:
-            d, l = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            yield pa.record_batch([pa.array(np.unique(np.concatenate([_key(d, l), _key(d, _none(len(d)) - 1)])))], ["key"])
 
-    return pairs.select(doc, line).mapInArrow(scan, "key long")
+def _keys_of(batch):
+    """The later lines of pairs and their documents as longs, and the earlier ones marked as such."""
+    yd, yl, xd, xl = (batch.column(k).to_numpy() for k in range(4))
+    none = _none(len(yd)) - 1
+    return np.concatenate([_key(yd, yl), _key(yd, none), _key(xd, xl) ^ _EARLIER, _key(xd, none) ^ _EARLIER])
 
 
 BLOBS = "kind int, bucket long, blob binary"
@@ -410,15 +410,9 @@ def _meet(pairs: DataFrame, source: DataFrame, read, unit: int, decide) -> DataF
     n = pairs.count()
     per = buckets_for(spark, n, 50_000)
     on_x, on_y = _Salt(pairs, "xd", "xl", n, per), _Salt(pairs, "yd", "yl", n, per)
-
-    def member(doc, line):
-        keys = materialize(_keys_of(pairs, doc, line), "keys")
-        out = Members(keys)
-        release(keys)
-        return out
-
-    later, earlier = member("yd", "yl"), member("xd", "xl")
-    wanted = lambda doc, line: later.test(key := _key(doc, line)) | earlier.test(key)
+    named = Members(pairs.select("yd", "yl", "xd", "xl"), 4 * n, _keys_of)
+    later, earlier = named.test, lambda key: named.test(key ^ _EARLIER)
+    wanted = lambda doc, line: later(key := _key(doc, line)) | earlier(key)
 
     def known(batches):
         held, size = [], 0
@@ -427,7 +421,7 @@ def _meet(pairs: DataFrame, source: DataFrame, read, unit: int, decide) -> DataF
             doc, line, size, units, payload = (np.concatenate(v) for v in zip(*held))
             key, start = _key(doc, line), np.cumsum(units) - units
             for kind, side, salt in ((1, later, on_y), (2, earlier, on_x)):
-                own = np.flatnonzero(side.test(key))
+                own = np.flatnonzero(side(key))
                 to, at = salt.everywhere(key[own])
                 for k, (mine,) in by_bucket(to, own[at]):
                     yield _blob(kind, k, doc[mine], line[mine], size[mine], units[mine], ragged(payload, start, units, mine).reshape(-1))
