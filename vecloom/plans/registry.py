@@ -248,10 +248,10 @@ def _edge_query(name, number):
     def run(spark, d):
         v = _vec(spark, d).select(F.col("token").alias("node"), "vec")
         pairs = _vec(spark, d).select(F.col("token").alias("u"), F.concat(F.lit("v"), F.pmod(F.col("idx") * 7 + 1, F.lit(v.count()))).alias("v"))
-        return graph.edge_embeddings(pairs, v, name).select("u", "v", F.posexplode("emb").alias("pl", "x")).select("u", "v", "pl", F.round("x", 6).alias("x"))
+        return graph.edge_embeddings(pairs, v, name).select("u", "v", F.posexplode("emb").alias("pl", "x")).select("u", "v", "pl", (F.round("x", 6) + 0.0).alias("x"))
 
     run.__name__ = f"q{number}_edge_embedding_{name}"
-    query(f"WITH v AS ({VEC}), p AS (SELECT token AS u, 'v' || ((idx * 7 + 1) % {N}) AS v FROM v), e AS (SELECT u, p.v, CAST(generate_subscripts(a.vec, 1) - 1 AS INT) AS pl, unnest(a.vec) AS x, unnest(b.vec) AS y FROM p JOIN v a ON a.token = p.u JOIN v b ON b.token = p.v) SELECT u, v, pl, round({_FORMULA[name]}, 6) AS x FROM e")(run)
+    query(f"WITH v AS ({VEC}), p AS (SELECT token AS u, 'v' || ((idx * 7 + 1) % {N}) AS v FROM v), e AS (SELECT u, p.v, CAST(generate_subscripts(a.vec, 1) - 1 AS INT) AS pl, unnest(a.vec) AS x, unnest(b.vec) AS y FROM p JOIN v a ON a.token = p.u JOIN v b ON b.token = p.v) SELECT u, v, pl, round({_FORMULA[name]}, 6) + 0.0 AS x FROM e")(run)
 
 
 for _k, _name in enumerate(EDGE_OPERATORS):
@@ -263,7 +263,7 @@ def q29_noise_batch(spark, d):
     return sgns.noise(spark, 64, 4, 5, 4026, seed=1)
 
 
-PAIRS = f"SELECT idx AS center, (idx * 13 + 5) % {N} AS ctx FROM ({VEC})"
+PAIRS = f"SELECT idx AS center, CAST((idx * 13 + 5) % {N} AS INT) AS ctx FROM ({VEC})"
 
 
 def _pairs(spark, d):
@@ -280,7 +280,7 @@ def q30_skipgram_logits(spark, d):
     return sgns.skipgram_logits(_pairs(spark, d), v, v).withColumn("logit", F.round("logit", 6))
 
 
-@query(f"WITH v AS ({VEC}), m AS (SELECT t.idx AS sample, k.range AS k, (t.idx * 13 + 5) % {N} AS target, (t.idx + 1 + k.range) % {N} AS c FROM v t, range(4) k), f AS (SELECT sample, target, generate_subscripts(vec, 1) AS pl, unnest(vec) AS x FROM m JOIN v ON v.idx = m.c), a AS (SELECT sample, target, pl, avg(x) AS x FROM f GROUP BY ALL) SELECT sample, target, round(sum(a.x * v.vec[pl]), 6) AS logit FROM a JOIN v ON v.idx = target GROUP BY sample, target")
+@query(f"WITH v AS ({VEC}), m AS (SELECT t.idx AS sample, k.range AS k, CAST((t.idx * 13 + 5) % {N} AS INT) AS target, (t.idx + 1 + k.range) % {N} AS c FROM v t, range(4) k), f AS (SELECT sample, target, generate_subscripts(vec, 1) AS pl, unnest(vec) AS x FROM m JOIN v ON v.idx = m.c), a AS (SELECT sample, target, pl, avg(x) AS x FROM f GROUP BY ALL) SELECT sample, target, round(sum(a.x * v.vec[pl]), 6) AS logit FROM a JOIN v ON v.idx = target GROUP BY sample, target")
 def q31_cbow_logits(spark, d):
     v = _vec(spark, d)
     n = F.lit(v.count())
@@ -480,7 +480,7 @@ def q57_walk_sentences(spark, d):
 @query(f"SELECT bool_and(weight IS NOT NULL) AS weighted, count(*) AS edges, sum(weight) AS weight, (SELECT count(DISTINCT src) FROM ({_arcs_sql(SP)})) AS nodes FROM ({SP})")
 def q58_graph_facts(spark, d):
     g = graph.Graph(supplier_part(spark, d))
-    return g.edges.agg(F.count("*").alias("edges"), F.sum("weight").alias("weight")).withColumn("weighted", F.lit(graph.is_weighted(g.edges))).withColumn("nodes", F.lit(g.nodes.count()))
+    return g.edges.agg(F.count("*").alias("edges"), F.sum("weight").alias("weight")).withColumn("weighted", F.lit(graph.is_weighted(g.edges))).withColumn("nodes", F.lit(g.nodes.count()).cast("long"))
 
 
 def _folds_sql(k):
