@@ -13,7 +13,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a Python worker keeps in a per-word cache; a full cache is emptied.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 #: Bytes of text that one vectorised step of a Python worker handles.
 STEP_BYTES = 2 << 20
 
@@ -81,6 +80,8 @@ def discard(spark: SparkSession, *paths: str) -> None:
         fs.delete(p, True)
 
 
+#: A batch of this many rows at most goes to a Python worker at a time, where the session has no limit of its own.
+BATCH_ROWS = 2000
 #: What Python workers' allocators are told, so that large columns go back to the system once they are freed.
 ALLOCATORS = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
@@ -91,6 +92,8 @@ def ship(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     for k, v in ALLOCATORS.items():
         env.setdefault(k, v)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
     return spark
@@ -296,19 +299,24 @@ PARTS = 16
 BLOB = "part int, pid int, blob binary"
 
 
-def _merged(df: DataFrame, combine) -> DataFrame:
-    """Merge the blobs of each part in a tree whose tasks take about 32 blobs each."""
+def _merged(df: DataFrame, combine, finish=lambda blob: blob) -> DataFrame:
+    """Merge the blobs of each part in a tree whose tasks take about 32 blobs each; finish() is applied to what is left."""
     fan = 32
     n = max(1, df.rdd.getNumPartitions()) if not hasattr(df, "_vecloom_parts") else df._vecloom_parts
 
-    def fold(table: pa.Table) -> pa.Table:
-        part, pid = table["part"][0].as_py(), table["pid"][0].as_py()
-        return pa.table({"part": pa.array([part], pa.int32()), "pid": pa.array([pid], pa.int32()), "blob": pa.array([combine(b.as_py() for b in table["blob"])], pa.binary())})
+    def fold(last):
+        def run(table: pa.Table) -> pa.Table:
+            part, pid = table["part"][0].as_py(), table["pid"][0].as_py()
+            blob = combine(b.as_py() for b in table["blob"])
+            return pa.table({"part": pa.array([part], pa.int32()), "pid": pa.array([pid], pa.int32()), "blob": pa.array([finish(blob) if last else blob], pa.binary())})
 
-    while n > 1:
+        return run
+
+    while True:
         n = -(-n // fan)
-        df = df.withColumn("pid", F.pmod("pid", F.lit(n)).cast("int")).groupBy("part", "pid").applyInArrow(fold, BLOB)
-    return df
+        df = df.withColumn("pid", F.pmod("pid", F.lit(n)).cast("int")).groupBy("part", "pid").applyInArrow(fold(n == 1), BLOB)
+        if n == 1:
+            return df
 
 
 def task_number() -> int:
@@ -324,10 +332,16 @@ def count_table(df: DataFrame, slots_of, width: int) -> np.ndarray:
     step = width // PARTS
 
     def scan(batches):
-        total = np.zeros(width, np.int64)
+        total, held, size = np.zeros(width, np.int64), [], 0
         for batch in batches:
             for slots in slots_of(batch):
-                total += np.bincount(slots, minlength=width)
+                held.append(slots.astype(np.int32))
+                size += len(slots)
+                if size >= width // 2:
+                    total += np.bincount(np.concatenate(held), minlength=width)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=width)
         pid = task_number()
         for k in range(PARTS):
             yield pa.record_batch([pa.array([k], pa.int32()), pa.array([pid], pa.int32()), pa.array([pack(total[k * step : (k + 1) * step])], pa.binary())], ["part", "pid", "blob"])
@@ -388,15 +402,13 @@ def bitmap(df: DataFrame, cells_of, width: int, least: int) -> np.ndarray:
             seen[twice] = True
         return split(np.flatnonzero(seen & ~more).astype(np.uint32), np.flatnonzero(more).astype(np.uint32))
 
-    def finish(batches):
-        for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                bits = np.zeros(step, bool)
-                bits[np.cumsum(unpack(blob)[1], dtype=np.uint32)] = True
-                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([0], pa.int32()), pa.array([pack(np.packbits(bits, bitorder="little"))], pa.binary())], ["part", "pid", "blob"])
+    def finish(blob):
+        bits = np.zeros(step, bool)
+        bits[np.cumsum(unpack(blob)[1], dtype=np.uint32)] = True
+        return pack(np.packbits(bits, bitorder="little"))
 
     out = np.zeros(width // 8, np.uint8)
-    for row in _merged(df.mapInArrow(scan, BLOB), join).mapInArrow(finish, BLOB).collect():
+    for row in _merged(df.mapInArrow(scan, BLOB), join, finish).collect():
         out[row.part * step // 8 : (row.part + 1) * step // 8] |= unpack(row.blob)[0]
     return out
 
@@ -431,13 +443,11 @@ class Members:
 
     def column(self, name: str):
         """test() of a column without nulls."""
-        from pyspark.sql.pandas.functions import pandas_udf
-
         test = self.test
 
-        @pandas_udf("boolean")
-        def member(keys: pd.Series) -> pd.Series:
-            return pd.Series(test(keys.to_numpy(np.int64)))
+        @F.arrow_udf("boolean")
+        def member(keys: pa.Array) -> pa.Array:
+            return pa.array(test(keys.to_numpy()))
 
         return member(name)
 

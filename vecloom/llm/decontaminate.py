@@ -73,10 +73,17 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     """Idf by hash slot, from all documents."""
 
     def slots(batch):
+        held, size = [], 0
         for _, texts in steps(batch, limit=1 << 18):
             flat, lens = cores(texts)
             met = np.sort(np.repeat(np.arange(len(lens)), lens) << 20 | (flat % np.uint64(SLOTS)).astype(np.int64))
-            yield met[np.concatenate([[True], met[1:] != met[:-1]])[: len(met)]] & (SLOTS - 1)
+            held.append(met[np.concatenate([[True], met[1:] != met[:-1]])[: len(met)]] & (SLOTS - 1))
+            size += len(held[-1])
+            if size >= SLOTS:
+                yield np.concatenate(held)
+                held, size = [], 0
+        if held:
+            yield np.concatenate(held)
 
     counts = count_table(slim(docs), slots, SLOTS)
     n = max(1, docs.count())
