@@ -64,4 +64,25 @@ def _licenses() -> str:
     return f"WITH known AS (SELECT license_id, {canonical('text')} AS digest FROM (VALUES {listed}) t(license_id, text) UNION ALL SELECT * FROM (VALUES {digests}) t(license_id, digest)), k AS (SELECT digest, min(license_id) AS license_id FROM known WHERE digest <> sha256('') GROUP BY digest) SELECT doc_id, digest, license_id FROM (SELECT doc_id, {canonical('text')} AS digest FROM documents) LEFT JOIN k USING (digest)"
 
 
-ORACLE = {"op2_distribution_divergence": _quality(), "op4_bbit_minhash": NEAR, "op6_count_min_windows": WINDOWS, "op8_license_digest": _licenses()}
+_PART = "('0x' || substr(digest, {}, 8))::BIGINT"
+
+TIMELINE = f"""
+WITH d AS (SELECT *, sha256(CAST(doc_id AS VARCHAR)) AS digest FROM documents),
+e AS (SELECT *, {_PART.format(1)} % 200000 AS event FROM d),
+v AS (SELECT doc_id, source, n_chars, lang, event, event - 60 + {_PART.format(9)} % 1200 AS arrival, event + {_PART.format(17)} % 900 AS expiry FROM e),
+of AS (SELECT doc_id, max(source) AS source FROM documents GROUP BY doc_id),
+asked AS (SELECT row_number() OVER () AS r, l.doc_id, {_PART.format(25)} % 200000 AS t FROM (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR)) AS digest FROM labels) l),
+met AS (SELECT r, asked.doc_id, t, v.doc_id AS version_id, t - event AS age, v.n_chars, v.lang, row_number() OVER (PARTITION BY r ORDER BY event DESC, arrival DESC, v.doc_id DESC) AS k
+FROM asked LEFT JOIN of ON of.doc_id = asked.doc_id LEFT JOIN v ON v.source = of.source AND event <= t AND arrival <= t AND t < expiry)
+SELECT doc_id, t, version_id, age, CASE WHEN version_id IS NULL THEN 'none' WHEN age > 20 THEN 'stale' ELSE 'fresh' END AS status, CASE WHEN age <= 20 THEN n_chars END AS n_chars, CASE WHEN age <= 20 THEN lang END AS lang FROM met WHERE k = 1"""
+
+NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 3"""
+
+
+ORACLE = {"op2_distribution_divergence": _quality(), "op4_bbit_minhash": NEAR, "op6_count_min_windows": WINDOWS, "op8_license_digest": _licenses(), "op11_painted_timeline": TIMELINE, "op13_bit_sliced_negatives": NEGATIVES}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vecloom.llm import classifier, decontaminate, licenses, line_dedup, near_dup, packing, quality, substring, surrogates, wavelet
+from vecloom.llm import classifier, decontaminate, licenses, line_dedup, near_dup, negatives, packing, pieces, point_in_time, quality, substring, surrogates, wavelet
 from vecloom.llm.common import table
 from vecloom.llm.oracles import ORACLE  # noqa: F401
 
@@ -50,4 +50,16 @@ def op10_hierarchical_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_matrix, op2_distribution_divergence, op3_surrogates, op4_bbit_minhash, op5_random_indexing, op6_count_min_windows, op7_latent_semantic, op8_license_digest, op9_line_set_join, op10_hierarchical_packing)}
+def op11_painted_timeline(spark, sf_dir):
+    return point_in_time.feature_join(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_prefix_table(spark, sf_dir):
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_bit_sliced_negatives(spark, sf_dir):
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_wavelet_matrix, op2_distribution_divergence, op3_surrogates, op4_bbit_minhash, op5_random_indexing, op6_count_min_windows, op7_latent_semantic, op8_license_digest, op9_line_set_join, op10_hierarchical_packing, op11_painted_timeline, op12_prefix_table, op13_bit_sliced_negatives)}
