@@ -13,6 +13,7 @@ occurs in no longer piece. Texts are cut there, and each worker keeps the ids of
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -34,14 +35,22 @@ def default_model() -> str:
 
 
 class Merges(dict):
-    """(left, right) -> whether the two pieces stay apart where they meet; (piece, "") -> whether its characters
-    merge into it. Both are found by merging their characters."""
+    """(left, right) -> whether two pieces stay apart where they meet; ("", piece) -> whether the piece's characters
+    merge into it.
+
+    A piece's edge grows while its characters merge: each part that ever lies there is (part, score at which it arose,
+    score at which it was merged on). Where scores only fall, a part of the left piece's right edge merges with
+    one of the right piece's left edge if their join is a piece that comes before either is merged on. Where
+    scores don't only fall, the characters of both are merged to see."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
+        self.edges: dict[str, tuple | None] = {}
 
-    def merged(self, text: str) -> list[str]:
-        parts, score = list(text), self.scores.get
+    def merged(self, text: str):
+        """(what the characters of text merge into, the scores of the merges, the edges that were)."""
+        parts, score, took = list(text), self.scores.get, []
+        left, right = [(parts[0], math.inf)], [(parts[-1], math.inf)]
         while True:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -49,13 +58,41 @@ class Merges(dict):
                 if s is not None and (best is None or s > best):
                     best, at = s, i
             if at < 0:
-                return parts
+                return parts, took, left, right
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            took.append(best)
+            if at == 0:
+                left.append((parts[0], best))
+            if at == len(parts) - 1:
+                right.append((parts[-1], best))
+
+    def edge(self, piece: str):
+        """(left edge, right edge) of a piece, None where merges don't fall in score or don't give the piece."""
+        if piece not in self.edges:
+            parts, took, *both = self.merged(piece)
+            ok = len(parts) == 1 and all(x >= y for x, y in zip(took, took[1:]))
+            self.edges[piece] = tuple([(p, s, up) for (p, s), up in zip(e, [*(s for _, s in e[1:]), -math.inf])] for e in both) if ok else None
+        return self.edges[piece]
+
+    def apart(self, a: str, b: str) -> bool:
+        x, y = self.edge(a), self.edge(b)
+        if x is not None and y is not None:
+            score = self.scores.get
+            for p, arose_p, up_p in x[1]:
+                for q, arose_q, up_q in y[0]:
+                    s = score(p + q)
+                    if s is not None and s > up_p and s >= up_q:
+                        if s < arose_p and s < arose_q:
+                            return False
+                        return self.merged(a + b)[0] == [a, b]
+            return True
+        return self.merged(a + b)[0] == [a, b]
 
     def __missing__(self, pair):
-        if len(self) >= 4 * CACHE_WORDS:
+        if len(self) >= 8 * CACHE_WORDS:
             self.clear()
-        out = self[pair] = self.merged("".join(pair)) == [x for x in pair if x]
+        a, b = pair
+        out = self[pair] = self.apart(a, b) if a else self.merged(b)[0] == [b]
         return out
 
 
@@ -74,6 +111,7 @@ class Codec(dict):
         if len(byte_ids) != 256:
             raise ValueError("the model has no pieces for bytes")
         self.byte_ids = [byte_ids[b] for b in range(256)]
+        self.code = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.end = sp.eos_id()
         self.merges = Merges({p: sp.get_score(i) for p, i in self.ids.items()})
         self.found = ahocorasick.Automaton()
@@ -96,30 +134,23 @@ class Codec(dict):
                 raise ValueError("not a BPE model that leaves texts as they are")
 
     def table(self, unit: str) -> list[str]:
-        """The last piece of each prefix of unit."""
-        last: list[str] = []
-        merges = self.merges
-        ends: dict[int, list[str]] = {}
+        """The last piece of each prefix of unit; a character that no longer piece ends in is one itself."""
+        last, merges, done = list(unit), self.merges, -1
         for end, p in self.found.iter(unit):
-            ends.setdefault(end, []).append(p)
-        for i, c in enumerate(unit):
-            for p in (*ends.get(i, ()), c):
-                start = i + 1 - len(p)
-                if merges[(last[start - 1], p)] if start else merges[(p, "")]:
-                    last.append(p)
-                    break
-            else:
-                raise AssertionError(f"no last piece of {unit[: i + 1]!r}")
+            if end != done:
+                start = end - len(p)
+                if merges[last[start], p] if start >= 0 else merges["", p]:
+                    last[end] = p
+                    done = end
         return last
 
     def of_unit(self, unit: str) -> bytes:
         last, end, back = self.table(unit), len(unit), []
         while end:
             p = last[end - 1]
-            i = self.ids.get(p)
-            back.extend([i] if i is not None else [self.byte_ids[b] for b in reversed(p.encode())])
+            back.append(self.code[p] if p in self.code else np.array([self.byte_ids[b] for b in p.encode()], "<i4").tobytes())
             end -= len(p)
-        return np.array(back[::-1], "<i4").tobytes()
+        return b"".join(back[::-1])
 
     def __missing__(self, unit):
         out = self.of_unit(unit)
