@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Distinct values of `bits`.
-SPAN = 1 << 32
+SPAN = 1 << 52
 
 
 def bits(seed: int, *keys) -> Column:
-    """A 32-bit draw as a long."""
+    """A 52-bit draw as a long."""
     parts = [F.lit(str(seed)), *(k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in keys)]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("long")
 
 
 def uniform(seed: int, *keys) -> Column:
@@ -27,4 +27,4 @@ def integer(n, seed: int, *keys) -> Column:
 
 def bits_sql(seed: int, *keys: str) -> str:
     """The same draw as DuckDB SQL."""
-    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)})), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)})), 1, 13))::BIGINT"

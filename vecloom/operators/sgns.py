@@ -117,27 +117,31 @@ def _key():
     return F.array_join(F.col("inputs").cast("array<string>"), "-")
 
 
-#: Occurrences of an example, beyond which they share their noise.
-OWN_NOISE = 16
+#: Occurrences of an example in one row, so that no row's noise grows with the corpus.
+OCCURRENCES = 1024
 
 
 def with_noise(examples: DataFrame, negatives: int, vocab: int, seed: int, step: int) -> DataFrame:
-    """examples (inputs array<int>, target int, n long) with neg: drawn indices, by a counter hash. Each of up to
-    OWN_NOISE occurrences has its own; of more, each draw counts n / OWN_NOISE times."""
-    draw = lambda k: rng.integer(vocab, seed, F.lit(step), _key(), F.col("target"), k).cast("int")
-    return examples.withColumn("neg", F.transform(F.sequence(F.lit(0), (F.least("n", F.lit(OWN_NOISE)) * negatives - 1).cast("int")), draw))
+    """examples (inputs array<int>, target int, n long) as inputs, target, piece, n, neg: each of the n occurrences draws
+    `negatives` indices of its own, by a counter hash. An example of more than OCCURRENCES comes in several
+    pieces, whose draws count on."""
+    pieces = examples.select("inputs", "target", F.col("n").alias("__n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / OCCURRENCES))).alias("piece"))
+    first = F.col("piece") * OCCURRENCES
+    pieces = pieces.withColumn("n", F.least(F.col("__n") - first, F.lit(OCCURRENCES).cast("long"))).withColumn("__k", first * negatives)
+    draw = lambda k: rng.integer(vocab, seed, F.lit(step), _key(), F.col("target"), F.col("__k") + k).cast("int")
+    return pieces.withColumn("neg", F.transform(F.sequence(F.lit(0), (F.col("n") * negatives - 1).cast("int")), draw)).drop("__n", "__k")
 
 
 def gradients(examples: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """side, idx, at, grad: the gradient of the mean loss by both matrices, by joins, so that neither has to fit a
-    machine. examples: inputs, target, n, neg. Skip-gram has one input, CBOW the mean of several."""
-    keyed = examples.withColumn("id", F.xxhash64(_key(), "target"))
+    machine. examples: as with_noise() gives them. Skip-gram has one input, CBOW the mean of several."""
+    keyed = examples.withColumn("id", F.xxhash64(_key(), "target", "piece"))
     flat = keyed.select("id", F.size("inputs").alias("width"), F.posexplode("inputs").alias("k", "idx")).join(inputs.select("idx", "vec"), "idx")
     mean = flat.groupBy("id").agg(mean_vector(F.transform(F.array_sort(F.collect_list(F.struct("k", "vec"))), lambda x: x["vec"])).alias("h"))
     one = keyed.select("id", "n", F.explode(F.concat(F.array(F.struct(F.col("target").alias("idx"), F.lit(1.0).alias("y"))), F.transform("neg", lambda x: F.struct(x.alias("idx"), F.lit(0.0).alias("y"))))).alias("t")).select("id", "n", "t.idx", "t.y")
     met = one.join(mean, "id").join(outputs.select("idx", F.col("vec").alias("o")), "idx")
     p = sigmoid(dot("h", "o") * F.when(F.col("y") == 1, 1.0).otherwise(-1.0))
-    c = F.when(p > FLOOR, F.when(F.col("y") == 1, (p - 1) * F.col("n")).otherwise((1 - p) * F.col("n") / F.least("n", F.lit(OWN_NOISE)))).otherwise(0.0)
+    c = F.when(p > FLOOR, F.when(F.col("y") == 1, (p - 1) * F.col("n")).otherwise(1 - p)).otherwise(0.0)
     met = met.withColumn("c", c)
     total = examples.agg(F.sum("n").cast("double").alias("total"))
     by_output = met.select(F.lit("output").alias("side"), "idx", "c", F.posexplode("h").alias("at", "x"))
@@ -147,11 +151,17 @@ def gradients(examples: DataFrame, inputs: DataFrame, outputs: DataFrame) -> Dat
     return parts.groupBy("side", "idx", "at").agg(F.sum("g").alias("g")).crossJoin(F.broadcast(total)).select("side", "idx", "at", (F.col("g") / F.col("total")).alias("grad"))
 
 
+def step_means(t) -> dict:
+    """Of sums: occurrences, positive and negative loss, hits, false alarms, draws."""
+    return {"loss": (t[1] + t[2]) / t[0], "positive-loss": t[1] / t[0], "negative-loss": t[2] / t[0], "recall": t[3] / t[0], "precision": 1 - t[4] / t[5]}
+
+
 @dataclass
 class Trainer:
     """Fits both matrices on examples (inputs array<int>, target int, n long; or pairs center, ctx, n). A step is one
     distributed gradient over a share of the examples, dealt anew each epoch; the matrices (vocabulary x dims, `SENT`
-    bytes at most) stay on the driver and go out with each step. Larger ones take gradients() and joins."""
+    bytes at most) stay on the driver and go out with each step. Larger ones take
+    sharded.ShardedTrainer."""
 
     vocab: int
     dims: int
@@ -173,7 +183,7 @@ class Trainer:
 
     def __post_init__(self):
         if self.vocab * self.dims * 16 > self.SENT:
-            raise ValueError("the matrices are too large to go out whole; train with gradients() and joins")
+            raise ValueError("the matrices are too large to go out whole; take sharded.ShardedTrainer")
         if self.optimizer not in OPTIMIZERS or self.interval not in ("epoch", "step"):
             raise ValueError(f"optimizer one of {sorted(OPTIMIZERS)}, interval 'epoch' or 'step'")
         r, b = np.random.default_rng(self.seed), xavier_bound(self.vocab, self.dims)
@@ -195,11 +205,8 @@ class Trainer:
                 # occurrences are dealt evenly, the odd ones from a share on that the epoch draws
                 extra = F.when(F.pmod(F.lit(share) - F.col("first"), F.lit(shares)) < F.pmod("n", F.lit(shares)), 1).otherwise(0)
                 mine = parted.withColumn("n", (F.floor(F.col("n") / shares) + extra).cast("long")).where("n > 0")
-                got = self._gradient(mine, self.epoch * shares + share)
-                if got is not None:
-                    grads, means = got
-                    self.state.step(self.params, grads)
-                    self._cap()
+                means = self._step(mine, self.epoch * shares + share)
+                if means is not None:
                     self._log(means)
             parted.unpersist()
             for name, value in self.meter.get_all():
@@ -209,6 +216,16 @@ class Trainer:
                 after(self)
         return self
 
+    def _step(self, examples: DataFrame, number: int) -> dict | None:
+        """One step of the optimizer; the means before it."""
+        got = self._gradient(examples, number)
+        if got is None:
+            return None
+        grads, means = got
+        self.state.step(self.params, grads)
+        self._cap()
+        return means
+
     def _log(self, means: dict, prefix: str = "train") -> None:
         for name, value in means.items():
             if np.isnan(value):
@@ -253,22 +270,21 @@ class Trainer:
                 neg = t.column(3).flatten().to_numpy().astype(np.int64)
                 draws = np.diff(t.column(3).offsets.to_numpy()).astype(np.int64)
                 of = np.repeat(np.arange(len(n)), draws)
-                weight = (n / np.minimum(n, OWN_NOISE))[of]
                 h = np.add.reduceat(x[flat], np.cumsum(width) - width) / width[:, None]
                 p = 1 / (1 + np.exp(-np.clip((h * y[target]).sum(1), -500, 500)))
                 q = 1 / (1 + np.exp(np.clip((h[of] * y[neg]).sum(1), -500, 500)))
-                cp, cq = np.where(p > FLOOR, p - 1, 0) * n, np.where(q > FLOOR, 1 - q, 0) * weight
+                cp, cq = np.where(p > FLOOR, p - 1, 0) * n, np.where(q > FLOOR, 1 - q, 0)
                 back = cp[:, None] * y[target] + np.add.reduceat(cq[:, None] * y[neg], np.cumsum(draws) - draws)
                 np.add.at(grads[0], flat, np.repeat(back / width[:, None], width, axis=0))
                 np.add.at(grads[1], target, cp[:, None] * h)
                 np.add.at(grads[1], neg, cq[:, None] * h[of])
-                sums += [n.sum(), (n * -np.log(np.maximum(p, FLOOR))).sum(), (weight * -np.log(np.maximum(q, FLOOR))).sum(), (n * (p >= 0.5)).sum(), (weight * (q <= 0.5)).sum(), weight.sum()]
+                sums += [n.sum(), (n * -np.log(np.maximum(p, FLOOR))).sum(), -np.log(np.maximum(q, FLOOR)).sum(), (n * (p >= 0.5)).sum(), (q <= 0.5).sum(), len(q)]
             if grads is not None:
                 hit = [np.flatnonzero(g.any(1)) for g in grads]
                 yield pa.record_batch([pa.array([0, 1], pa.int32()), pa.array([h.tobytes() for h in hit], pa.binary()), pa.array([g[h].tobytes() for g, h in zip(grads, hit)], pa.binary()), pa.array([sums.tobytes(), b""], pa.binary())], ["side", "rows", "grad", "sums"])
 
         noisy = with_noise(examples.select("inputs", "target", "n"), self.negatives, self.vocab, self.seed, step)
-        rows = noisy.mapInArrow(run, "side int, rows binary, grad binary, sums binary").collect()
+        rows = noisy.select("inputs", "target", "n", "neg").mapInArrow(run, "side int, rows binary, grad binary, sums binary").collect()
         sent.destroy()
         if not rows:
             return None
@@ -277,8 +293,7 @@ class Trainer:
             grads[r.side][np.frombuffer(r.rows, np.int64)] += np.frombuffer(r.grad).reshape(-1, self.dims)
             if r.sums:
                 total += np.frombuffer(r.sums)
-        means = {"loss": (total[1] + total[2]) / total[0], "positive-loss": total[1] / total[0], "negative-loss": total[2] / total[0], "recall": total[3] / total[0], "precision": 1 - total[4] / total[5]}
-        return {"input": grads[0] / total[0], "output": grads[1] / total[0]}, means
+        return {"input": grads[0] / total[0], "output": grads[1] / total[0]}, step_means(total)
 
     def embeddings(self, vocab: DataFrame) -> DataFrame:
         """side, idx, token, vec."""

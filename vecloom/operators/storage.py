@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -20,6 +21,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _folder(spark) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not hasattr(_folder, "own"):
+        _folder.own = f"file://{tempfile.mkdtemp(prefix='vecloom-')}"
+    return _folder.own
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder, read back; drop() removes it. It goes at the session's end too."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/vecloom-{label}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vecloom_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables of written()."""
+    for df in tables:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._vecloom_path)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def ship(spark):
     """Let Python workers that see this folder import the package; elsewhere submit it with --py-files."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

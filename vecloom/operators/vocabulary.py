@@ -22,7 +22,7 @@ def numbered(df: DataFrame, order, first: int = 0) -> DataFrame:
     part, place = F.shiftright("__i", 33), F.col("__i").bitwiseAND((1 << 33) - 1)
     sizes = parts.groupBy(part.alias("__q")).agg(F.count("*").alias("__n"))
     base = sizes.select("__q", F.coalesce(F.sum("__n").over(W.orderBy("__q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    return parts.join(F.broadcast(base), part == F.col("__q")).withColumn("idx", (F.col("__base") + place + first).cast("int")).drop("__i", "__q", "__base")
+    return parts.join(F.broadcast(base), part == F.col("__q")).withColumn("idx", F.col("__base") + place + first).drop("__i", "__q", "__base")
 
 
 def word_counts(sentences: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def build_vocab(sentences: DataFrame, min_freq: int = 1, by_frequency: bool = Tr
     unk = counts.agg(F.coalesce(F.max(F.when(F.col("token") == UNK, F.col("freq"))), F.lit(0)).alias("freq")).select(F.lit(UNK).alias("token"), F.lit(0).alias("idx"), "freq")
     kept = counts.where((F.col("token") != UNK) & (F.col("freq") >= min_freq))
     order = [F.col("freq").desc(), F.col("token")] if by_frequency else [F.col("token")]
-    return unk.unionByName(numbered(kept, order, 1).select("token", "idx", "freq"))
+    # indices of tokens are ints; a vocabulary of 2**31 or more fails rather than wraps
+    return unk.unionByName(numbered(kept, order, 1).select("token", F.when(F.col("idx") < 1 << 31, F.col("idx")).otherwise(F.raise_error("too many tokens for an int")).cast("int").alias("idx"), "freq"))
 
 
 def word_frequency(vocab: DataFrame) -> DataFrame:

@@ -188,7 +188,7 @@ def _walk_sql(edges, length, per_node, seed, variant=None, p="1.0", q="0.5"):
             near = f"LEFT JOIN arcs n ON n.src = {prev} AND n.dst = a.dst"
             far = f"CASE WHEN n.src IS NOT NULL THEN a.weight / {q} ELSE a.weight END" if variant == "reference" else f"CASE WHEN n.src IS NOT NULL THEN a.weight ELSE a.weight / {q} END"
             weight = f"CASE WHEN a.dst = {prev} THEN a.weight / {p} ELSE {far} END"
-        u = f"({rng.bits_sql(seed, '0', 'start', 'walk_no', str(s))} / 4294967296.0)"
+        u = f"({rng.bits_sql(seed, '0', 'start', 'walk_no', str(s))} / {float(rng.SPAN)})"
         ctes.append(f"c{s} AS (SELECT start, walk_no, path, a.dst, {weight} AS w FROM w{s - 1} w JOIN arcs a ON a.src = w.path[{s}] {near})")
         ctes.append(f"r{s} AS (SELECT *, sum(w) OVER (PARTITION BY start, walk_no ORDER BY dst ROWS UNBOUNDED PRECEDING) AS hi FROM c{s})")
         ctes.append(f"i{s} AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY start, walk_no ORDER BY dst), 0.0) AS lo, max(hi) OVER (PARTITION BY start, walk_no) AS total FROM r{s})")
@@ -328,7 +328,7 @@ def q36_analogy(spark, d):
     return similarity.analogy(combos, v, v).withColumn("cosine", F.round("cosine", 6))
 
 
-@query(f"SELECT CAST(i.range AS INT) AS idx, CAST(k.range AS INT) AS pl, round(-sqrt(6.0 / 108) + 2 * sqrt(6.0 / 108) * ({rng.bits_sql(2, chr(39) + 'input' + chr(39), 'i.range', 'k.range')} / 4294967296.0), 9) AS x FROM range(100) i, range(8) k")
+@query(f"SELECT CAST(i.range AS INT) AS idx, CAST(k.range AS INT) AS pl, round(-sqrt(6.0 / 108) + 2 * sqrt(6.0 / 108) * ({rng.bits_sql(2, chr(39) + 'input' + chr(39), 'i.range', 'k.range')} / {float(rng.SPAN)}), 9) AS x FROM range(100) i, range(8) k")
 def q37_xavier_init(spark, d):
     return sgns.xavier(spark, 100, 8, seed=2).select("idx", F.posexplode("vec").alias("pl", "x")).withColumn("x", F.round("x", 9))
 
@@ -429,7 +429,7 @@ def q50_feature_concat(spark, d):
     return rows.select("token", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
 
 
-_SIDES = ", ".join(f"list_transform(range(8), lambda k: -sqrt(6.0 / (c + 8)) + 2 * sqrt(6.0 / (c + 8)) * ({rng.bits_sql(2, chr(39) + side + chr(39), 'idx', 'k')} / 4294967296.0)) AS {side}s" for side in ("input", "output"))
+_SIDES = ", ".join(f"list_transform(range(8), lambda k: -sqrt(6.0 / (c + 8)) + 2 * sqrt(6.0 / (c + 8)) * ({rng.bits_sql(2, chr(39) + side + chr(39), 'idx', 'k')} / {float(rng.SPAN)})) AS {side}s" for side in ("input", "output"))
 
 
 @query(f"WITH voc AS MATERIALIZED ({VOCAB}), e AS MATERIALIZED (SELECT idx, token, freq, {_SIDES} FROM voc, (SELECT count(*) AS c FROM voc)), top AS (SELECT * FROM e WHERE freq > 0 ORDER BY freq DESC, token LIMIT 100), s AS (SELECT t.token AS word, e.token AS match, e.idx, list_cosine_similarity(t.inputs, e.outputs) AS sim FROM top t, e), r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY sim DESC, idx) AS rank FROM s) SELECT word, CAST(rank AS INT) AS rank, match, round(sim, 6) AS sim FROM r WHERE rank <= 5")
