@@ -98,72 +98,119 @@ def second_order(arcs: DataFrame, p: float = 1.0, q: float = 1.0, variant: str =
     return w.select("prev", "here", "dst", (F.col("w") / F.sum("w").over(W.partitionBy("prev", "here"))).alias("prob"))
 
 
-def _walks(arcs: DataFrame, length: int, per_node: int, seed: int, epoch: int, weigh, nodes: DataFrame | None) -> DataFrame:
-    if length < 1:
-        raise ValueError("a walk has at least one node")
-    nodes = arcs.select(F.col("src").alias("node")).distinct() if nodes is None else nodes
-    walks = nodes.select(F.col("node").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("walk_no"), F.array("node").alias("path"))
-    for step in range(1, length):
-        # a walk rides with its candidates, so the table of walks is read once a step; a dead end has none
-        prev = F.when(F.size("path") > 1, F.get("path", F.size("path") - 2)) if step > 1 else F.lit(None).cast("string")
-        open_ = walks.select("start", "walk_no", "path", F.element_at("path", -1).alias("src"), prev.alias("prev"))
-        cand = weigh(open_.join(arcs, "src", "left")).select("start", "walk_no", "path", "dst", "w")
-        # the running sum's last value is the total, so intervals fit together without rounding
-        order = W.partitionBy("start", "walk_no").orderBy("dst")
-        run = cand.withColumn("hi", F.sum("w").over(order.rowsBetween(W.unboundedPreceding, 0)))
-        run = run.withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0))).withColumn("total", F.max("hi").over(W.partitionBy("start", "walk_no")))
-        point = rng.uniform(seed, F.lit(epoch), F.col("start"), F.col("walk_no"), F.lit(step)) * F.col("total")
-        chosen = run.where(F.col("dst").isNull() | ((point >= F.col("lo")) & (point < F.col("hi"))))
-        walks = chosen.select("start", "walk_no", F.when(F.col("dst").isNull(), F.col("path")).otherwise(F.concat("path", F.array("dst"))).alias("path"))
-        if step % 4 == 0:
-            walks = cut_lineage(walks)
-    return walks.select(F.lit(epoch).alias("epoch"), "start", "walk_no", "path")
-
-
-#: Neighbours in one row of the table that first-order walks look their steps up in.
+#: Least neighbours in one row of the table that walks look their steps up in.
 SPOKES = 1024
 
 
 def _spokes(arcs: DataFrame):
-    """(node: src, bounds, total; block: src, block, dsts, his): running sums of a node's weights in
-    the order of neighbours, in blocks of SPOKES, and the sums at which its blocks end."""
-    order = W.partitionBy("src").orderBy("dst")
-    run = arcs.withColumn("hi", F.sum("weight").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("block", F.floor((F.row_number().over(order) - 1) / SPOKES).cast("int"))
-    rows = run.groupBy("src", "block").agg(F.array_sort(F.collect_list(F.struct("hi", "dst"))).alias("x"), F.max("hi").alias("end"))
+    """(node: src, bounds, total; block: src, block, dsts, his): running sums of a node's weights in the order of
+    neighbours, in blocks of SPOKES or, for a hub, of the root of its degree, and the sums at which its blocks end.
+    Sums are taken within ranges of (src, dst) first, so a hub's neighbours spread over many tasks, and the ranges'
+    totals carry them on."""
+    n = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(arcs.select("src", "dst", "weight").repartitionByRange(n, "src", "dst").sortWithinPartitions("src", "dst").withColumn("__i", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("range", F.shiftright("__i", 33))
+    sums = dealt.groupBy("src", "range").agg(F.sum("weight").alias("w"), F.count("*").alias("c"))
+    before = W.partitionBy("src").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.select("src", "range", F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("base"), F.greatest(F.lit(SPOKES), F.ceil(F.sqrt(F.sum("c").over(W.partitionBy("src"))))).alias("each"))
+    order = W.partitionBy("src", "range").orderBy("dst")
+    run = dealt.withColumn("own", F.sum("weight").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("place", F.row_number().over(order) - 1)
+    run = run.join(bases, ["src", "range"]).withColumn("hi", F.col("base") + F.col("own"))
+    rows = run.groupBy("src", "range", F.floor(F.col("place") / F.col("each")).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("hi", "dst"))).alias("x"), F.max("hi").alias("end"))
+    rows = rows.withColumn("block", (F.row_number().over(W.partitionBy("src").orderBy("range", "piece")) - 1).cast("int"))
     blocks = cut_lineage(rows.select("src", "block", F.transform("x", lambda e: e["dst"]).alias("dsts"), F.transform("x", lambda e: e["hi"]).alias("his"), "end"))
     nodes = blocks.groupBy("src").agg(F.array_sort(F.collect_list("end")).alias("bounds"), F.max("end").alias("total"))
     return nodes, blocks.drop("end")
 
 
-def deepwalk(arcs: DataFrame, length: int, per_node: int = 1, seed: int = 0, epoch: int = 0, nodes: DataFrame | None = None) -> DataFrame:
-    """Weighted first-order walks of `length` nodes from every node; a dead end stops a walk. A walk
-    meets one row of its node and one block of its neighbours at each step, however many there are."""
+def _met(at: DataFrame, blocks: DataFrame) -> DataFrame:
+    """at (src, bounds, point, ...) with dst: the neighbour whose share of the weights point falls in."""
+    at = at.withColumn("block", F.size(F.filter("bounds", lambda x: x <= F.col("point")))).drop("bounds")
+    met = at.join(blocks, ["src", "block"], "left")
+    return met.withColumn("dst", F.get("dsts", F.size(F.filter("his", lambda x: x <= F.col("point"))))).drop("dsts", "his", "block")
+
+
+def _first_step(walks: DataFrame, of_node: DataFrame, blocks: DataFrame, seed: int, epoch: int, step: int) -> DataFrame:
+    at = walks.withColumn("src", F.element_at("path", -1)).join(of_node, "src", "left")
+    at = at.withColumn("point", rng.uniform(seed, F.lit(epoch), F.col("start"), F.col("walk_no"), F.lit(step)) * F.col("total"))
+    met = _met(at, blocks)
+    return met.select("start", "walk_no", F.when(F.col("total").isNull(), F.col("path")).otherwise(F.concat("path", F.array("dst"))).alias("path"))
+
+
+def _starts(arcs: DataFrame, length: int, per_node: int, nodes: DataFrame | None) -> DataFrame:
     if length < 1:
         raise ValueError("a walk has at least one node")
     starts = arcs.select(F.col("src").alias("node")).distinct() if nodes is None else nodes
-    of_node, blocks = _spokes(arcs)
-    walks = starts.select(F.col("node").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("walk_no"), F.array("node").alias("path"))
+    return starts.select(F.col("node").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("walk_no"), F.array("node").alias("path"))
+
+
+def deepwalk(arcs: DataFrame, length: int, per_node: int = 1, seed: int = 0, epoch: int = 0, nodes: DataFrame | None = None) -> DataFrame:
+    """Weighted first-order walks of `length` nodes from every node; a dead end stops a walk. A walk
+    meets one row of its node and one block of its neighbours at each step, however many there are."""
+    if length > 1:
+        of_node, blocks = _spokes(arcs)
+        nodes = of_node.select(F.col("src").alias("node")) if nodes is None else nodes
+    walks = _starts(arcs, length, per_node, nodes)
     for step in range(1, length):
-        at = walks.withColumn("src", F.element_at("path", -1)).join(of_node, "src", "left")
-        point = rng.uniform(seed, F.lit(epoch), F.col("start"), F.col("walk_no"), F.lit(step)) * F.col("total")
-        at = at.withColumn("point", point).withColumn("block", F.size(F.filter("bounds", lambda x: x <= F.col("point"))))
-        met = at.join(blocks, ["src", "block"], "left")
-        dst = F.get("dsts", F.size(F.filter("his", lambda x: x <= F.col("point"))))
-        walks = met.select("start", "walk_no", F.when(F.col("total").isNull(), F.col("path")).otherwise(F.concat("path", F.array(dst))).alias("path"))
+        walks = _first_step(walks, of_node, blocks, seed, epoch, step)
         if step % 4 == 0:
             walks = cut_lineage(walks)
     return walks.select(F.lit(epoch).alias("epoch"), "start", "walk_no", "path")
 
 
-def node2vec(arcs: DataFrame, length: int, per_node: int = 1, p: float = 1.0, q: float = 1.0, variant: str = "reference", seed: int = 0, epoch: int = 0, nodes: DataFrame | None = None) -> DataFrame:
-    """Second-order walks. variant 'reference': 1/q at distance one; 'paper': 1/q at distance two."""
-    near = arcs.select(F.col("src").alias("ps"), F.col("dst").alias("pd"))
-
-    def weigh(c):
-        c = c.join(near, (F.col("prev") == F.col("ps")) & (F.col("dst") == F.col("pd")), "left")
-        return c.withColumn("w", _second_weight(F.col("prev"), F.col("dst"), F.col("weight"), F.col("ps").isNotNull(), p, q, variant))
-
-    return _walks(arcs, length, per_node, seed, epoch, weigh, nodes)
+def _exact_step(walks: DataFrame, arcs: DataFrame, weigh, seed: int, epoch: int, step: int) -> DataFrame:
+    """A step among all neighbours: start, walk_no, dst. walks: start, walk_no, src, prev, path."""
+    cand = weigh(walks.join(arcs, "src")).select("start", "walk_no", "dst", "w")
+    # the running sum's last value is the total, so intervals fit together without rounding
+    order = W.partitionBy("start", "walk_no").orderBy("dst")
+    run = cand.withColumn("hi", F.sum("w").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    run = run.withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0))).withColumn("total", F.max("hi").over(W.partitionBy("start", "walk_no")))
+    point = rng.uniform(seed, F.lit(epoch), F.col("start"), F.col("walk_no"), F.lit(step)) * F.col("total")
+    return run.where((point >= F.col("lo")) & (point < F.col("hi"))).select("start", "walk_no", "dst")
+
+
+def node2vec(arcs: DataFrame, length: int, per_node: int = 1, p: float = 1.0, q: float = 1.0, variant: str = "reference", seed: int = 0, epoch: int = 0, nodes: DataFrame | None = None, tries: int = 16, rounds: int = 4) -> DataFrame:
+    """Second-order walks. variant 'reference': 1/q at distance one; 'paper': 1/q at distance two.
+
+    A step draws neighbours by plain weights and accepts the first that passes with its bias over the largest bias, which gives
+    the biased distribution exactly; each draw meets one block and one look-up of whether it is next to the node
+    before, however many neighbours there are. A round makes `tries` draws for each walk that is still open; walks that none of
+    `rounds` rounds moved are weighed among all their neighbours, which leaves the distribution as it is."""
+    if length > 2:
+        arcs = cut_lineage(arcs)
+    near = arcs.select(F.col("src").alias("ps"), F.col("dst").alias("pd")).distinct()
+    probe = lambda c: c.join(near, (F.col("key") == F.col("ps")) & (F.col("dst") == F.col("pd")), "left")
+    bias = lambda weight, known: _second_weight(F.col("prev"), F.col("dst"), weight, known, p, q, variant)
+    most = max(1.0, 1 / p, 1 / q)
+    if length > 1:
+        of_node, blocks = _spokes(arcs)
+        nodes = of_node.select(F.col("src").alias("node")) if nodes is None else nodes
+    walks = _starts(arcs, length, per_node, nodes)
+    if length > 1:
+        walks = _first_step(walks, of_node, blocks, seed, epoch, 1)
+    for step in range(2, length):
+        at = walks.select("start", "walk_no", "path", F.element_at("path", -1).alias("src"), F.when(F.size("path") > 1, F.get("path", F.size("path") - 2)).alias("prev")).join(of_node.select("src", F.lit(True).alias("goes")), "src", "left")
+        at = cut_lineage(at)
+        open_, moved = at.where("goes"), []
+        for r in range(rounds):
+            draw = lambda what: rng.uniform(seed, F.lit(epoch), F.col("start"), F.col("walk_no"), F.lit(step), F.col("k"), F.lit(what))  # noqa: B023, E731
+            c = open_.select("start", "walk_no", "src", "prev").join(of_node, "src").withColumn("k", F.explode(F.sequence(F.lit(r * tries), F.lit(r * tries + tries - 1))))
+            c = _met(c.withColumn("point", draw("point") * F.col("total")), blocks).withColumn("u", draw("accept") * most)
+            # the look-up matters only where the two outcomes differ
+            c = c.withColumn("key", F.when((F.col("u") < bias(F.lit(1.0), F.lit(True))) != (F.col("u") < bias(F.lit(1.0), F.lit(False))), F.col("prev")))
+            took = probe(c).where(F.col("u") < bias(F.lit(1.0), F.col("ps").isNotNull()))
+            moved.append(cut_lineage(took.groupBy("start", "walk_no").agg(F.min_by("dst", "k").alias("dst"))))
+            open_ = cut_lineage(open_.join(moved[-1], ["start", "walk_no"], "left_anti"))
+            if not open_.limit(1).count():
+                break
+        else:
+            weigh = lambda c: probe(c.withColumn("key", F.col("prev"))).withColumn("w", bias(F.col("weight"), F.col("ps").isNotNull()))
+            moved.append(_exact_step(open_, arcs, weigh, seed, epoch, step))
+        steps = moved[0]
+        for x in moved[1:]:
+            steps = steps.unionByName(x)
+        walks = at.join(steps, ["start", "walk_no"], "left").select("start", "walk_no", F.when(F.col("dst").isNull(), F.col("path")).otherwise(F.concat("path", F.array("dst"))).alias("path"))
+    return walks.select(F.lit(epoch).alias("epoch"), "start", "walk_no", "path")
 
 
 WALKS = {"deepwalk": deepwalk, "dfs": deepwalk, "node2vec": node2vec}

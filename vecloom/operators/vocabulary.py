@@ -85,10 +85,9 @@ def windows(sentences: DataFrame, radius: int, mode: str = "sg", tokens: str = "
 def pair_counts(sentences: DataFrame, radius: int, tokens: str = "tokens") -> DataFrame:
     """center, ctx, n over all full windows."""
     t = F.col(tokens)
-    at = F.sequence(F.lit(radius), F.size(t) - radius - 1)
-    offsets = [k for k in range(-radius, radius + 1) if k]
-    pairs = F.flatten(F.transform(at, lambda i: F.array(*(F.struct(F.get(t, i).alias("center"), F.get(t, i + k).alias("ctx")) for k in offsets))))
-    return sentences.where(F.size(t) >= 2 * radius + 1).select(F.explode(pairs).alias("p")).groupBy("p.center", "p.ctx").agg(F.count("*").alias("n")).select("center", "ctx", "n")
+    at = sentences.where(F.size(t) >= 2 * radius + 1).select(t.alias("t"), F.explode(F.sequence(F.lit(radius), F.size(t) - radius - 1)).alias("at"))
+    near = F.array(*(F.get("t", F.col("at") + k) for k in range(-radius, radius + 1) if k))
+    return at.select(F.get("t", "at").alias("center"), F.explode(near).alias("ctx")).groupBy("center", "ctx").agg(F.count("*").alias("n"))
 
 
 def examples(sentences: DataFrame, radius: int, mode: str = "sg", tokens: str = "ids") -> DataFrame:

@@ -179,20 +179,27 @@ def q18_transition_probs_second_order_paper(e):
     return _second_summary(e, "paper")
 
 
-def _walk_sql(edges, length, per_node, seed, variant=None, p="1.0", q="0.5"):
+def _walk_sql(edges, length, per_node, seed, variant=None, p=1.0, q=0.5, draws=64):
+    """Walks as CTEs. Second-order steps take the first of `draws` proposals that is accepted, else weigh all neighbours."""
+    span = float(rng.SPAN)
     ctes = [f"arcs AS MATERIALIZED ({_arcs_sql(edges)})", f"w0 AS (SELECT node AS start, k AS walk_no, [node] AS path FROM (SELECT DISTINCT src AS node FROM arcs), (SELECT CAST(range AS INT) AS k FROM range({per_node})))"]
+    ctes.append("run AS MATERIALIZED (SELECT *, hi - weight AS lo, max(hi) OVER (PARTITION BY src) AS total FROM (SELECT *, sum(weight) OVER (PARTITION BY src ORDER BY dst ROWS UNBOUNDED PRECEDING) AS hi FROM arcs))")
     for s in range(1, length):
-        prev = f"w.path[{s - 1}]" if s > 1 else "NULL"
-        weight, near = "a.weight", ""
-        if variant and s > 1:
-            near = f"LEFT JOIN arcs n ON n.src = {prev} AND n.dst = a.dst"
-            far = f"CASE WHEN n.src IS NOT NULL THEN a.weight / {q} ELSE a.weight END" if variant == "reference" else f"CASE WHEN n.src IS NOT NULL THEN a.weight ELSE a.weight / {q} END"
-            weight = f"CASE WHEN a.dst = {prev} THEN a.weight / {p} ELSE {far} END"
-        u = f"({rng.bits_sql(seed, '0', 'start', 'walk_no', str(s))} / {float(rng.SPAN)})"
-        ctes.append(f"c{s} AS (SELECT start, walk_no, path, a.dst, {weight} AS w FROM w{s - 1} w JOIN arcs a ON a.src = w.path[{s}] {near})")
+        u = f"({rng.bits_sql(seed, '0', 'start', 'walk_no', str(s))} / {span})"
+        if not variant or s == 1:
+            ctes.append(f"w{s} AS MATERIALIZED (SELECT start, walk_no, list_append(path, dst) AS path FROM w{s - 1} w JOIN run ON src = path[{s}] WHERE {u} * total >= lo AND {u} * total < hi)")
+            continue
+        near, far = (f"1.0 / {q}", "1.0") if variant == "reference" else ("1.0", f"1.0 / {q}")
+        bias = f"CASE WHEN x.dst = path[{s - 1}] THEN 1.0 / {p} WHEN n.src IS NOT NULL THEN {near} ELSE {far} END"
+        point, accept = (f"({rng.bits_sql(seed, '0', 'start', 'walk_no', str(s), 'k', chr(39) + what + chr(39))} / {span})" for what in ("point", "accept"))
+        probe = f"LEFT JOIN arcs n ON n.src = path[{s - 1}] AND n.dst = x.dst"
+        ctes.append(f"d{s} AS (SELECT w.*, range AS k, {point} AS point, {accept} * {max(1.0, 1 / p, 1 / q)} AS accept FROM w{s - 1} w, (SELECT range, range AS k FROM range({draws})))")
+        ctes.append(f"x{s} AS (SELECT d.*, dst FROM d{s} d JOIN run ON src = path[{s}] AND point * total >= lo AND point * total < hi)")
+        ctes.append(f"a{s} AS MATERIALIZED (SELECT start, walk_no, arg_min(x.dst, k) AS dst FROM x{s} x {probe} WHERE accept < {bias} GROUP BY start, walk_no)")
+        ctes.append(f"c{s} AS (SELECT start, walk_no, x.dst, x.weight * {bias} AS w FROM (SELECT w.*, r.dst, r.weight FROM w{s - 1} w ANTI JOIN a{s} USING (start, walk_no) JOIN arcs r ON r.src = path[{s}]) x {probe})")
         ctes.append(f"r{s} AS (SELECT *, sum(w) OVER (PARTITION BY start, walk_no ORDER BY dst ROWS UNBOUNDED PRECEDING) AS hi FROM c{s})")
         ctes.append(f"i{s} AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY start, walk_no ORDER BY dst), 0.0) AS lo, max(hi) OVER (PARTITION BY start, walk_no) AS total FROM r{s})")
-        ctes.append(f"w{s} AS (SELECT start, walk_no, list_append(path, dst) AS path FROM i{s} WHERE {u} * total >= lo AND {u} * total < hi)")
+        ctes.append(f"w{s} AS MATERIALIZED (SELECT start, walk_no, list_append(path, dst) AS path FROM w{s - 1} JOIN (SELECT * FROM a{s} UNION ALL SELECT start, walk_no, dst FROM i{s} WHERE {u} * total >= lo AND {u} * total < hi) USING (start, walk_no))")
     return "WITH " + ", ".join(ctes) + f" SELECT start, walk_no, array_to_string(path, ' ') AS walk FROM w{length - 1}"
 
 
