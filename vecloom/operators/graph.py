@@ -272,7 +272,7 @@ def negative_edges(arcs: DataFrame, n: int, seed: int = 0, tries: int = 20, self
 def train_edges(edges: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     """edges with train: the first round(ratio * n) of a seeded order, halves to even."""
     n = edges.count()
-    return ranks(edges, rng.bits(seed, F.col("src"), F.col("dst")), ["src", "dst"]).withColumn("train", F.col("__r") <= round(ratio * n)).drop("__r")
+    return ranks(edges, rng.bits(seed, F.col("src"), F.col("dst")), ["src", "dst"], n=n).withColumn("train", F.col("__r") <= round(ratio * n)).drop("__r")
 
 
 def edge_embeddings(pairs: DataFrame, vectors: DataFrame, operator: str) -> DataFrame:

@@ -75,6 +75,11 @@ def step_lr(lr: float, step_size: int, gamma: float, epoch: int) -> float:
     return lr * gamma ** (epoch // step_size)
 
 
+def step_lr_column(lr: float, step_size: int, gamma: float, epoch):
+    """step_lr() of a column of epochs."""
+    return F.lit(lr) * F.pow(F.lit(gamma), F.floor(epoch / step_size))
+
+
 @dataclass
 class Adam:
     """Dense Adam; rows without gradient still move."""

@@ -174,3 +174,11 @@ def decision_line(spark, theta: list[float], low: float, high: float, points: in
     step = (high - low + 2) / (points - 1)
     x = F.lit(low - 1.0) + F.col("id") * step
     return spark.range(points).select(x.alias("x"), ((-a - b * x) / c).alias("y"))
+
+
+def decision_lines(lines: DataFrame, points: int = 100) -> DataFrame:
+    """lines (theta array<double> of three, low, high, ...) with point, x, y in place of these: decision_line() of each row."""
+    rest = [c for c in lines.columns if c not in ("theta", "low", "high")]
+    at = lines.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("low") - 1 + F.col("point") * ((F.col("high") - F.col("low") + 2) / (points - 1)))
+    a, b, c = (F.get("theta", F.lit(k)) for k in range(3))
+    return at.select(*rest, "point", "x", ((-a - b * F.col("x")) / c).alias("y"))

@@ -16,11 +16,13 @@ def test_size(n: int, train_ratio: float) -> int:
     return math.ceil(round((1 - train_ratio) * n, 9))
 
 
-def ranks(df: DataFrame, draw, order, by=()) -> DataFrame:
-    """df with __r, the rank from 1 by (draw, columns of order), within `by`. draw: 32 bits. Rows are ranked within
-    4096 ranges of the draw, which count on from the ones before, so no task sorts the whole table."""
+def ranks(df: DataFrame, draw, order, by=(), n: int | None = None) -> DataFrame:
+    """df with __r, the rank from 1 by (draw, columns of order), within `by`. draw: of rng.bits(). Rows are ranked within
+    ranges of the draw of some 2**16 rows each, which count on from the ones before, so no task sorts the whole
+    table. n: rows of df, where they are known."""
     cols = [F.col(c) for c in by]
-    rows = df.withColumn("__d", draw).withColumn("__bin", F.shiftright("__d", 20).cast("int"))
+    width = min(30, max(8, ((df.count() if n is None else n) >> 16).bit_length()))
+    rows = df.withColumn("__d", draw).withColumn("__bin", F.shiftright("__d", (rng.SPAN.bit_length() - 1) - width).cast("int"))
     sizes = rows.groupBy(*cols, "__bin").agg(F.count("*").alias("__n"))
     base = sizes.select(*(c.alias(f"__b{k}") for k, c in enumerate(cols)), F.col("__bin").alias("__bb"), F.coalesce(F.sum("__n").over(W.partitionBy(*cols).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     same = F.col("__bin") == F.col("__bb")
@@ -42,9 +44,9 @@ def train_test(df: DataFrame, key: str, train_ratio: float, seed: int = 42, labe
     n = df.count()
     test, draw = test_size(n, train_ratio), rng.bits(seed, F.col(key))
     if label is None:
-        out = ranks(df, draw, [key]).withColumn("split", F.when(F.col("__r") <= test, "test").otherwise("train")).drop("__r")
+        out = ranks(df, draw, [key], n=n).withColumn("split", F.when(F.col("__r") <= test, "test").otherwise("train")).drop("__r")
     else:
-        ranked = ranks(df, draw, [key], [label])
+        ranked = ranks(df, draw, [key], [label], n)
         out = ranked.join(F.broadcast(_allocation(df, label, test, n)), label).withColumn("split", F.when(F.col("__r") <= F.col("take"), "test").otherwise("train")).drop("__r", "take")
     return out if not test_all else out.where("split = 'train'").unionByName(df.withColumn("split", F.lit("test")))
 
@@ -56,7 +58,7 @@ def train_val_test(df: DataFrame, key: str, train_ratio: float, val_ratio: float
     n = df.count()
     rest = test_size(n, train_ratio)
     test = math.ceil(round(rest * (1 - val_ratio) / (1 - train_ratio), 9))
-    return ranks(df, rng.bits(seed, F.col(key)), [key]).withColumn("split", F.when(F.col("__r") <= test, "test").when(F.col("__r") <= rest, "val").otherwise("train")).drop("__r")
+    return ranks(df, rng.bits(seed, F.col(key)), [key], n=n).withColumn("split", F.when(F.col("__r") <= test, "test").when(F.col("__r") <= rest, "val").otherwise("train")).drop("__r")
 
 
 def n_per_class(df: DataFrame, key: str, label: str, train: int, val: int, test: int | None = None, seed: int = 42) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import rng, text
 from vecloom.functions.vectors import EDGE_OPERATORS
-from vecloom.operators import graph, metrics, sgns, similarity, splits, vocabulary
+from vecloom.operators import graph, metrics, sgns, sharded, similarity, splits, vocabulary
 from vecloom.operators.storage import cut_lineage
 from vecloom.sources.datasets import ABCDE, TEST, dataset, document_lines, parquet_table, part_orders, supplier_part
 
@@ -265,9 +265,13 @@ for _k, _name in enumerate(EDGE_OPERATORS):
     _edge_query(_name, 25 + _k)
 
 
-@query(f"SELECT s.range AS sample, CAST(p.range AS INT) AS pos, CAST(k.range AS INT) AS k, {rng.bits_sql(1, 's.range', 'p.range', 'k.range')} % 4026 AS neg FROM range(64) s, range(4) p, range(5) k")
+DOCS, WORDS = "(SELECT count(*) FROM documents)", f"(SELECT count(*) FROM ({VOCAB}))"
+
+
+@query(f"SELECT sample, CAST(p.range AS INT) AS pos, CAST(k.range AS INT) AS k, {rng.bits_sql(1, 'sample', 'p.range', 'k.range')} % {WORDS} AS neg FROM (SELECT unnest(range({DOCS})) AS sample), range(4) p, range(5) k")
 def q29_noise_batch(spark, d):
-    return sgns.noise(spark, 64, 4, 5, 4026, seed=1)
+    """Noise for a batch of as many samples as documents, over their vocabulary."""
+    return sgns.noise(spark, parquet_table(spark, d, "documents").count(), 4, 5, _vocab(spark, d).count(), seed=1)
 
 
 PAIRS = f"SELECT idx AS center, CAST((idx * 13 + 5) % {N} AS INT) AS ctx FROM ({VEC})"
@@ -335,14 +339,16 @@ def q36_analogy(spark, d):
     return similarity.analogy(combos, v, v).withColumn("cosine", F.round("cosine", 6))
 
 
-@query(f"SELECT CAST(i.range AS INT) AS idx, CAST(k.range AS INT) AS pl, round(-sqrt(6.0 / 108) + 2 * sqrt(6.0 / 108) * ({rng.bits_sql(2, chr(39) + 'input' + chr(39), 'i.range', 'k.range')} / {float(rng.SPAN)}), 9) AS x FROM range(100) i, range(8) k")
+@query(f"SELECT CAST(i AS INT) AS idx, CAST(k.range AS INT) AS pl, round(-sqrt(6.0 / (c + 8)) + 2 * sqrt(6.0 / (c + 8)) * ({rng.bits_sql(2, chr(39) + 'input' + chr(39), 'i', 'k.range')} / {float(rng.SPAN)}), 9) AS x FROM (SELECT unnest(range({WORDS})) AS i, {WORDS} AS c), range(8) k")
 def q37_xavier_init(spark, d):
-    return sgns.xavier(spark, 100, 8, seed=2).select("idx", F.posexplode("vec").alias("pl", "x")).withColumn("x", F.round("x", 9))
+    """First vectors of the documents' vocabulary."""
+    return sgns.xavier(spark, _vocab(spark, d).count(), 8, seed=2).select("idx", F.posexplode("vec").alias("pl", "x")).withColumn("x", F.round("x", 9))
 
 
-@query("SELECT CAST(range AS INT) AS epoch, round(0.1 * pow(0.1, range // 20), 9) AS lr FROM range(50)")
+@query("SELECT doc_id, round(0.1 * pow(0.1, (doc_id % 50) // 20), 9) AS lr FROM documents")
 def q38_lr_schedule(spark, d):
-    return spark.createDataFrame([(e, round(sgns.step_lr(0.1, 20, 0.1, e), 9)) for e in range(50)], "epoch int, lr double")
+    """The rate at an epoch that each document gives."""
+    return parquet_table(spark, d, "documents").select("doc_id", F.round(sgns.step_lr_column(0.1, 20, 0.1, F.pmod("doc_id", F.lit(50))), 9).alias("lr"))
 
 
 def _labels(spark, d):
@@ -385,23 +391,32 @@ def q44_node_classification(spark, d):
 
 @query()
 def q45_edge_classification(spark, d):
-    g = dataset(spark, "graph_karate_club")
-    nodes = vocabulary.build_vocab(g.nodes.select(F.array("node").alias("tokens")), 0, by_frequency=False)
-    v = sgns.xavier(spark, 35, 4, seed=1).join(nodes, "idx").select(F.col("token").alias("node"), "vec")
-    return metrics.edge_classification(g.edges, v, experiments=2)
+    e = cut_lineage(supplier_part(spark, d))
+    nodes = cut_lineage(vocabulary.build_vocab(graph.Graph(e).nodes.select(F.array("node").alias("tokens")), 0, by_frequency=False))
+    v = sgns.xavier(spark, nodes.count(), 4, seed=1).join(nodes, "idx").select(F.col("token").alias("node"), "vec")
+    return metrics.edge_classification(e, v, experiments=2)
 
 
-def _trained(spark, mode="sg"):
-    s = dataset(spark, "abcde").withColumn("tokens", text.tokenize("text"))
-    v = cut_lineage(vocabulary.build_vocab(s))
-    ids = vocabulary.encode(s.where(text.long_enough("tokens", 1)), v, "sent_id")
-    return sgns.Trainer(v.count(), 4, lr=0.1, negatives=2, epochs=10, steps_per_epoch=1).fit(vocabulary.examples(ids, 1, mode)), v
+def _adam_sql(dims=4, lr=0.05, seed=4):
+    start = lambda side: f"list_transform(range({dims}), lambda k: -sqrt(6.0 / (c + {dims})) + 2 * sqrt(6.0 / (c + {dims})) * ({rng.bits_sql(seed, chr(39) + side + chr(39), 'idx', 'k')} / {float(rng.SPAN)}))"
+    return f"""WITH voc AS MATERIALIZED ({VOCAB}), size AS (SELECT count(*) AS c FROM voc), v AS MATERIALIZED (SELECT idx, {start('input')} AS x, {start('output')} AS y FROM voc, size),
+pairs AS (SELECT center, ctx, count(*) AS n FROM (SELECT center, unnest(ctx) AS ctx FROM ({WINDOWS})) GROUP BY center, ctx),
+e AS MATERIALIZED (SELECT coalesce(a.idx, 0) AS a, coalesce(b.idx, 0) AS b, CAST(sum(n) AS BIGINT) AS n FROM pairs LEFT JOIN voc a ON a.token = center LEFT JOIN voc b ON b.token = ctx GROUP BY 1, 2),
+t AS (SELECT a, b, 1 AS up, n FROM e UNION ALL SELECT a, o, 0, count(*) FROM (SELECT a, {rng.bits_sql(seed, '0', 'a', 'b', 'k')} % c AS o FROM (SELECT a, b, unnest(range(n)) AS k FROM e), size) GROUP BY a, o),
+p AS (SELECT t.*, h.x AS h, o.y AS o, 1 / (1 + exp(-list_dot_product(h.x, o.y) * (2 * up - 1))) AS p FROM t JOIN v h ON h.idx = a JOIN v o ON o.idx = b),
+c AS (SELECT a, b, h, o, n * CASE WHEN p > 1e-6 THEN CASE WHEN up = 1 THEN p - 1 ELSE 1 - p END ELSE 0 END AS c FROM p),
+g AS (SELECT side, idx, pl, sum(g) / (SELECT sum(n) FROM e) AS g FROM (SELECT 'input' AS side, a AS idx, generate_subscripts(o, 1) AS pl, c * unnest(o) AS g FROM c UNION ALL SELECT 'output', b, generate_subscripts(h, 1), c * unnest(h) FROM c) GROUP BY side, idx, pl),
+old AS (SELECT 'input' AS side, idx, generate_subscripts(x, 1) AS pl, unnest(x) AS x FROM v UNION ALL SELECT 'output', idx, generate_subscripts(y, 1), unnest(y) FROM v)
+SELECT side, idx, CAST(pl - 1 AS INT) AS pl, round(x - {lr} * coalesce(g / (abs(g) + 1e-8), 0), 6) + 0.0 AS x FROM old LEFT JOIN g USING (side, idx, pl)"""
 
 
-@query()
+@query(_adam_sql())
 def q46_sgns_train(spark, d):
-    t, v = _trained(spark)
-    return t.embeddings(v)
+    """Both matrices of the documents' vocabulary after one sharded step of Adam over all windows, noise included."""
+    v = cut_lineage(_vocab(spark, d))
+    ids = vocabulary.encode(_clipped(spark, d, 2, 256).withColumn("k", F.struct("doc_id", "line")), v, "k")
+    t = sharded.ShardedTrainer(v.count(), 4, lr=0.05, negatives=1, epochs=1, steps_per_epoch=1, seed=4, spark=spark, rows=2048).fit(vocabulary.examples(ids, 2))
+    return t.vectors().select("side", "idx", F.posexplode("vec").alias("pl", "x")).withColumn("x", F.round("x", 6) + 0.0)
 
 
 @query()
@@ -456,14 +471,24 @@ def q52_decode_sentences(spark, d):
     return back.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), " ").alias("tokens")).select("k.doc_id", "k.line", "tokens")
 
 
-@query("SELECT round(x, 9) AS x, round((-0.5 + 1.5 * x) / 2.0, 9) AS y FROM (SELECT -2.0 + range * (6.0 / 99) AS x FROM range(100))")
+@query(f"WITH t AS (SELECT label, avg(vec[1]) AS a, avg(vec[2]) AS b, avg(vec[3]) AS c, min(vec[1]) AS lo, max(vec[1]) AS hi FROM ({VEC}) GROUP BY label), p AS (SELECT label, a, b, c, CAST(unnest(range(100)) AS INT) AS point, lo, hi FROM t), x AS (SELECT *, lo - 1 + point * ((hi - lo + 2) / 99) AS x FROM p) SELECT label, point, round(x, 6) AS x, round((-a - b * x) / c, 5) AS y FROM x")
 def q53_decision_line(spark, d):
-    return similarity.decision_line(spark, [0.5, -1.5, 2.0], -1.0, 3.0).select(F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+    """For each label the line that the means of three components give, over the range of the first."""
+    at = lambda k: F.get("vec", F.lit(k))
+    lines = _vec(spark, d).groupBy("label").agg(F.array(*(F.avg(at(k)) for k in range(3))).alias("theta"), F.min(at(0)).alias("low"), F.max(at(0)).alias("high"))
+    return similarity.decision_lines(lines).select("label", "point", F.round("x", 6).alias("x"), F.round("y", 5).alias("y"))
+
+
+_SENTENCES = ", ".join(f"('{name}', {k}, '{s}')" for name, texts in (("test", TEST), ("abcde", ABCDE)) for k, s in enumerate(texts))
 
 
-@query("SELECT name, CAST(sent_id AS BIGINT) AS sent_id, text FROM (VALUES " + ", ".join(f"('{name}', {k}, '{s}')" for name, texts in (("test", TEST), ("abcde", ABCDE)) for k, s in enumerate(texts)) + ") t(name, sent_id, text)")
+@query(f"WITH s AS (SELECT name, CAST(sent_id AS BIGINT) AS sent_id, text, regexp_extract_all(lower(text), '{TOKEN}') AS t FROM (VALUES {_SENTENCES}) x(name, sent_id, text)), f AS (SELECT name, sent_id, unnest(t) AS token FROM s), c AS (SELECT name, sent_id, count(freq) AS n_known, CAST(coalesce(sum(freq), 0) AS BIGINT) AS freq FROM f LEFT JOIN ({COUNTS}) USING (token) GROUP BY ALL) SELECT name, sent_id, text, coalesce(n_known, 0) AS n_known, coalesce(freq, 0) AS freq FROM s LEFT JOIN c USING (name, sent_id)")
 def q54_literal_sentences(spark, d):
-    return dataset(spark, "test").select(F.lit("test").alias("name"), "sent_id", "text").unionByName(dataset(spark, "abcde").select(F.lit("abcde").alias("name"), "sent_id", "text"))
+    """The literal data sets' sentences, with how many of their words the documents have and how often."""
+    rows = dataset(spark, "test").select(F.lit("test").alias("name"), "sent_id", "text").unionByName(dataset(spark, "abcde").select(F.lit("abcde").alias("name"), "sent_id", "text"))
+    flat = rows.select("name", "sent_id", "text", F.explode_outer(text.tokenize("text")).alias("token"))
+    met = flat.join(vocabulary.word_counts(_lines(spark, d)), "token", "left")
+    return met.groupBy("name", "sent_id", "text").agg(F.count("freq").alias("n_known"), F.coalesce(F.sum("freq"), F.lit(0)).alias("freq"))
 
 
 @query(f"SELECT round(avg(CAST(label = idx % 10 AS INT)), 9) AS accuracy FROM ({VEC})")
@@ -511,14 +536,14 @@ def q60_edge_task_rows(spark, d):
 
 
 def _gradient_sql(inputs):
-    noise = rng.bits_sql(4, "0", "array_to_string(ins, '-')", "b", "k.range")
-    return f"WITH v AS ({VEC}), e AS (SELECT idx AS a, {inputs} AS ins, (idx * 13 + 5) % {N} AS b FROM v), h AS (SELECT a, list(x ORDER BY pl) AS h FROM (SELECT a, pl, avg(x) AS x FROM (SELECT a, generate_subscripts(vec, 1) AS pl, unnest(vec) AS x FROM (SELECT a, unnest(ins) AS i FROM e) JOIN v ON v.idx = i) GROUP BY a, pl) GROUP BY a), t AS (SELECT a, b AS o, 1 AS y FROM e UNION ALL SELECT a, {noise} % {N}, 0 FROM e, range(2) k), z AS (SELECT t.a, o, y, h, vec AS ov, 1 / (1 + exp(-list_dot_product(h, vec) * (2 * y - 1))) AS p FROM t JOIN h ON h.a = t.a JOIN v ON v.idx = o), c AS (SELECT a, o, h, ov, CASE WHEN p > 1e-6 THEN CASE WHEN y = 1 THEN p - 1 ELSE 1 - p END ELSE 0 END AS c FROM z), parts AS (SELECT 'output' AS side, o AS idx, generate_subscripts(h, 1) - 1 AS pl, c * unnest(h) AS g FROM c UNION ALL SELECT 'input', i, pl, g / w FROM (SELECT i, w, generate_subscripts(ov, 1) - 1 AS pl, c * unnest(ov) AS g FROM c JOIN (SELECT a, unnest(ins) AS i, len(ins) AS w FROM e) n ON n.a = c.a)) SELECT side, CAST(idx AS INT) AS idx, CAST(pl AS INT) AS pl, round(sum(g) / (SELECT count(*) FROM e), 9) + 0.0 AS grad FROM parts GROUP BY side, idx, pl"
+    noise = rng.bits_sql(4, "0", "array_to_string(ins, '-')", "b", "k")
+    return f"WITH v AS ({VEC}), e AS (SELECT idx AS a, {inputs} AS ins, (idx * 13 + 5) % {N} AS b, 1 + idx % 40 AS n FROM v), h AS (SELECT a, list(x ORDER BY pl) AS h FROM (SELECT a, pl, avg(x) AS x FROM (SELECT a, generate_subscripts(vec, 1) AS pl, unnest(vec) AS x FROM (SELECT a, unnest(ins) AS i FROM e) JOIN v ON v.idx = i) GROUP BY a, pl) GROUP BY a), t AS (SELECT a, b AS o, 1 AS y, n FROM e UNION ALL SELECT a, {noise} % {N}, 0, 1 FROM (SELECT *, unnest(range(2 * n)) AS k FROM e)), z AS (SELECT t.a, o, y, n, h, vec AS ov, 1 / (1 + exp(-list_dot_product(h, vec) * (2 * y - 1))) AS p FROM t JOIN h ON h.a = t.a JOIN v ON v.idx = o), c AS (SELECT a, o, h, ov, n * CASE WHEN p > 1e-6 THEN CASE WHEN y = 1 THEN p - 1 ELSE 1 - p END ELSE 0 END AS c FROM z), parts AS (SELECT 'output' AS side, o AS idx, generate_subscripts(h, 1) - 1 AS pl, c * unnest(h) AS g FROM c UNION ALL SELECT 'input', i, pl, g / w FROM (SELECT i, w, generate_subscripts(ov, 1) - 1 AS pl, c * unnest(ov) AS g FROM c JOIN (SELECT a, unnest(ins) AS i, len(ins) AS w FROM e) n ON n.a = c.a)) SELECT side, CAST(idx AS INT) AS idx, CAST(pl AS INT) AS pl, round(sum(g) / (SELECT sum(n) FROM e), 9) + 0.0 AS grad FROM parts GROUP BY side, idx, pl"
 
 
 def _gradients(spark, d, inputs):
     v = _vec(spark, d)
     n = v.count()
-    rows = v.select(inputs(F.col("idx"), F.lit(n)).cast("array<int>").alias("inputs"), F.pmod(F.col("idx") * 13 + 5, F.lit(n)).cast("int").alias("target"), F.lit(1).cast("long").alias("n"))
+    rows = v.select(inputs(F.col("idx"), F.lit(n)).cast("array<int>").alias("inputs"), F.pmod(F.col("idx") * 13 + 5, F.lit(n)).cast("int").alias("target"), (1 + F.col("idx") % 40).cast("long").alias("n"))
     return sgns.gradients(sgns.with_noise(rows, 2, n, 4, 0), v, v).select("side", "idx", F.col("at").alias("pl"), (F.round("grad", 9) + 0.0).alias("grad"))
 
 
