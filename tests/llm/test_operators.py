@@ -231,7 +231,7 @@ def test_very_long_texts(spark):
     assert {x.doc_id: x.n_removed for x in line_dedup.report(d, min_words=1).collect()} == {1: 0, 2: 4000, 3: 0}
     assert {x.doc_id for x in decontaminate.find(d, b).collect()} == {1, 2}
     assert {x.doc_id: x.n_words for x in quality.report(d).collect()} == {1: n, 2: n + 4, 3: 2}
-    assert {x.doc_id: x.n_entities for x in surrogates.replace_entities(d).collect()} == {1: 0, 2: 0, 3: 0}
+    assert {x.doc_id: x.n_entities for x in surrogates.replace_entities(d, "vecloom").collect()} == {1: 0, 2: 0, 3: 0}
     assert licenses.scan(d).count() == 3
     e = encoder(default_tokenizer())
     total = len(e.whole(long_)) // 4
@@ -291,7 +291,7 @@ def test_decontamination_of_many_items(spark):
 def test_surrogates(spark):
     t = "Mail ann.lee@mail.example.com or +1 (386) 555-3733, ip 25.86.162.211, card 4041894974608795; ann.lee@mail.example.com again. Frau Müller came."
     d = spark.createDataFrame([(1, t), (2, "Nothing here."), (3, None), (4, "ann.lee@mail.example.com")], "doc_id long, text string")
-    got = {r.doc_id: r for r in surrogates.replace_entities(d).collect()}
+    got = {r.doc_id: r for r in surrogates.replace_entities(d, "vecloom").collect()}
     new = got[1].text
     for x in ("ann.lee@", "386", "25.86.162.211", "4041894974608795", "Müller"):
         assert x not in new
@@ -302,7 +302,7 @@ def test_surrogates(spark):
 
 def test_secret_of_letters(spark):
     rows = [(1, "My password: correcthorse"), (2, "API_KEY=correcthorse, room 5"), (3, 'Token = "abcdefghij"'), (4, "a token of thanks"), (5, "in 2020 password: correcthorse")]
-    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "vecloom").collect()}
     assert [got[k].n_entities for k in range(1, 6)] == [1, 1, 1, 0, 1]
     assert not any(w in r.text for r in got.values() for w in ("correcthorse", "abcdefghij"))
     assert got[5].text == "in 2020 " + got[1].text.removeprefix("My ") and got[4].text == rows[3][1]
@@ -317,7 +317,7 @@ def test_spellings_of_one_entity(spark):
         (5, "г-н Петров и г-жа Петрова"),
         (6, "Sr Ñu came, \u039a\u03cd\u03c1\u03b9\u03bf\u03c2 \u03a0\u03b1\u03c0\u03ac\u03c2 too"),
     ]
-    got = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "vecloom").collect()}
     digits = [re.sub(r"\D", "", x)[-10:] for x in re.findall(r"(?:\+1 )?[(\d][\d() .-]{8,}\d", got[1])]
     assert len(digits) == 3 and len(set(digits)) == 1 and digits[0] != "3865553733" and "+1 " in got[1] and got[1].startswith("call (")
     cards = re.findall(r"\d[\d-]{14,}\d", got[2])
@@ -334,7 +334,7 @@ def test_surrogates_stay_distinct(spark):
     # more units than the short formats have room for
     names = [(k, "Mr " + "".join(chr(97 + int(c)) for c in str(1000 + k)).title() + " came") for k in range(900)]
     phones = [(1000 + k, f"tel 10 11 {k:02d} 99") for k in range(100)] + [(2000 + k, f"10-11-{k:02d}-99") for k in range(100)]
-    got = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(names + phones, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(names + phones, "doc_id long, text string"), "vecloom").collect()}
     assert len({got[k] for k, _ in names}) == 900 and not {got[k] for k, _ in names} & {t for _, t in names}
     numbers = {k: re.sub(r"\D", "", got[k]) for k, _ in phones}
     assert len(set(numbers.values())) == 100 and all(numbers[1000 + k] == numbers[2000 + k] for k in range(100))
@@ -346,6 +346,32 @@ def test_licenses(spark):
     assert {r.doc_id: r.license_id for r in licenses.scan(d).collect()} == {1: "MIT", 2: None, 3: None, 4: None}
 
 
+def test_dates_times_and_isbns_stay(spark):
+    stay = ["on 1990-05-06", "2020-01-02 10:11:12", "2020-01-02T10:11:12.5Z", "am 3.12.1998 um 9:30", "12/31/2021, 31/12/2021", "ISBN 978-3-16-148410-0", "ISBN-10: 0-306-40615-2", "978-0-306-40615-7", "from 10:15 to 11:45:30", "1990.05.06"]
+    move = ["call 555-123-4567", "+1 (386) 555-3733 on 1990-05-06", "ssn 123-45-6789", "4111 1111 1111 1111", "9780-306-4061"]
+    rows = [(k, t, "x") for k, t in enumerate(stay + move)] + [(0, stay[0], "y"), (99, None, None)]
+    got = surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string, n_entities string"), "k")
+    assert got.columns == ["doc_id", "text", "n_entities"]
+    for r in got.collect():
+        if r.doc_id == 99:
+            assert r.text is None and r.n_entities == 0
+        elif r.doc_id < len(stay):
+            assert r.text == stay[r.doc_id] and r.n_entities == 0
+        else:
+            before = move[r.doc_id - len(stay)]
+            assert r.text != before and r.n_entities == 1 and ("1990-05-06" in r.text) == ("1990-05-06" in before)
+
+
+def test_notices_without_a_year(spark):
+    mit = licenses.KNOWN["MIT"]
+    notices = ["Copyright Jane Roe", "COPYRIGHT JANE ROE AND OTHERS", "Copyright by Jane Roe", "  Copyright: The Authors of X", "Copyright Jane Roe\nCopyright (c) 2020 John Doe\nAll rights reserved."]
+    rows = [(k, mit.replace("Copyright (c) <year> <holders>", n), 1) for k, n in enumerate(notices)]
+    rows += [rows[0], (90, mit.replace("sublicense", "sell"), 1), (91, "Copyright Jane Roe", 1), (92, None, 1)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license_id int")).collect()
+    assert sorted((r.doc_id, r.license_id) for r in got if r.doc_id < 90) == [(0, "MIT"), (0, "MIT"), (1, "MIT"), (2, "MIT"), (3, "MIT"), (4, "MIT")]
+    assert all(r.license_id is None for r in got if r.doc_id >= 90) and len(got) == 9
+
+
 def test_wrapped_licenses(spark):
     import textwrap
 
@@ -361,7 +387,7 @@ def test_long_licenses(spark):
     import pathlib
 
     root = pathlib.Path("/usr/share/common-licenses")
-    files = {f: n for f, n in {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}.items() if (root / f).exists()}
+    files = {f: n for f, n in {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3"}.items() if (root / f).exists()}
     if not files:
         pytest.skip("no licence texts on this machine")
     d = spark.createDataFrame([(k, (root / f).read_text("utf-8").upper()) for k, f in enumerate(files)], "doc_id long, text string")
@@ -461,6 +487,6 @@ def test_pipeline(spark, tmp_path):
 
 def test_empty_tables(spark):
     d = spark.createDataFrame([], SCHEMA)
-    for f in (quality.report, near_dup.near_duplicates, substring.remove_repeats, line_dedup.report, packing.pack_documents, surrogates.replace_entities, licenses.scan):
+    for f in (quality.report, near_dup.near_duplicates, substring.remove_repeats, line_dedup.report, packing.pack_documents, lambda x: surrogates.replace_entities(x, "k"), licenses.scan):
         assert f(d).count() == 0
     assert wavelet.read_shards(wavelet.write_shards(d)).count() == 0

@@ -16,9 +16,13 @@ from pyspark.sql import functions as F
 #: Equivalent spellings, as in the public licence matching guidelines: fixed values.
 SPELLINGS = {"licence": "license", "licenced": "licensed", "sublicence": "sublicense", "merchantibility": "merchantability", "noninfringement": "non infringement", "organisation": "organization", "favour": "favor", "honour": "honor", "programme": "program", "authorisation": "authorization", "modelled": "modeled", "whilst": "while", "per cent": "percent", "copyright owner": "copyright holder"}
 _MARK = r"(?:copyright|\(c\)|©)"
-#: A line of notice, lower-cased: marks of copyright with an open place or a year after them, the word with the sign,
-#: or a reservation of rights alone. Lines of wrapped text that merely start with "copyright" are none.
-NOTICE = rf"(?m)^[^\p{{L}}\p{{N}}\n]*?(?:(?:{_MARK}[ \t:,]*)+(?:[<\[{{][^\n]*|[^\n]{{0,60}}?(?:1[89]|20)[0-9]{{2}}[^\n]*)|copyright[ \t]*(?:\(c\)|©)[^\n]*|all rights reserved[^\p{{L}}\p{{N}}\n]*)$"
+#: Words that follow "copyright" in running text, as opposed to a holder's name: fixed values.
+RUNNING = "a act all an and any are as assignment at be claim claims disclaimer doctrines for from has have if in information infringement interest interests is it its law laws licence license licensed licenses licensing material may notice notices of on or owner owners ownership holder holders permission protection right rights shall statement statements status such than that this to treaties treaty under unless when where which will with work works you your".split()
+#: "copyright" at the start of a line of running text, which canonical() sets apart from the next word by a sign.
+WRAPPED = rf"(?m)^([^\p{{L}}\p{{N}}\n]*copyright)[ \t]+((?:{'|'.join(RUNNING)})\b)"
+#: A line of notice, lower-cased: marks of copyright with an open place or a year after them, the word with the sign
+#: or with a name, or a reservation of rights alone. Lines of wrapped text that merely start with "copyright" are none.
+NOTICE = rf"(?m)^[^\p{{L}}\p{{N}}\n]*?(?:(?:{_MARK}[ \t:,]*)+(?:[<\[{{][^\n]*|[^\n]{{0,60}}?(?:1[89]|20)[0-9]{{2}}[^\n]*)|copyright[ \t]*(?:\(c\)|©)[^\n]*|copyright[ \t:]+(?:by[ \t]+)?\p{{L}}[^\n]{{0,100}}|all rights reserved[^\p{{L}}\p{{N}}\n]*)$"
 #: Known texts below this size in bytes, all together, are sent to every executor; larger tables are hash-joined.
 SENT_BYTES = 8 << 20
 
@@ -55,6 +59,7 @@ DIGESTS = {
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
     t = F.lower(text)
+    t = F.regexp_replace(t, WRAPPED, "$1 -$2")
     t = F.regexp_replace(t, NOTICE, "")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")
     t = F.concat(F.lit(" "), t, F.lit(" "))

@@ -52,7 +52,8 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS
 
 def _licenses() -> str:
     def canonical(text):
-        out = f"regexp_replace(lower({text}), {_literal(licenses.NOTICE)}, '', 'g')"
+        out = f"regexp_replace(lower({text}), {_literal(licenses.WRAPPED)}, '\\1 -\\2', 'g')"
+        out = f"regexp_replace({out}, {_literal(licenses.NOTICE)}, '', 'g')"
         out = f"' ' || regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
         for a, b in licenses.SPELLINGS.items():
             out = f"replace({out}, ' {a} ', ' {b} ')"

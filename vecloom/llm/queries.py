@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import functions as F
 
 from vecloom.llm import classifier, decontaminate, licenses, line_dedup, near_dup, negatives, packing, pieces, point_in_time, quality, substring, surrogates, wavelet
@@ -18,7 +20,9 @@ def op2_distribution_divergence(spark, sf_dir):
 
 
 def op3_surrogates(spark, sf_dir):
-    out = surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # a key of this run's own, unless the session has one for surrogates that are to be the same again
+    key = spark.conf.get("spark.vecloom.surrogateKey", None) or secrets.token_hex(16)
+    out = surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     return out.select("doc_id", "n_entities", "text")
 
 

@@ -18,6 +18,8 @@ number until there is none. From the third attempt on a surrogate is longer by o
 attempt, so the room grows and the rounds end, however many units a short format has; IPv4 addresses alone
 can't grow and have 254^4 surrogates.
 
+Dates, times of day and ISBNs are no one's data and stay as they are.
+
 Null text stays null; texts without entities are untouched. Repeated rows are rewritten alike. Empty
 table: empty result. Other columns stay.
 """
@@ -45,7 +47,10 @@ PATTERNS = {
     "secret": _SECRET + r"\s*\"?[A-Za-z0-9_\-]{8,}+",
     "name": rf"(?<![\p{{L}}.])(?:{_TITLE})\.? {_NAME}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_DAY, _MONTH, _YEAR = r"(?:3[01]|[12]\d|0?[1-9])", r"(?:1[0-2]|0?[1-9])", r"(?:1[5-9]|20)\d{2}"
+#: Numbers that are nobody's: dates, alone or with a time, times of day and ISBNs. They are found first and stay.
+PLAIN = rf"(?<![\d.-])(?:{_YEAR}([-./]){_MONTH}\1{_DAY}|{_DAY}([-./]){_MONTH}\2{_YEAR}|{_MONTH}([-./]){_DAY}\3{_YEAR})(?![.-]?\d)(?:[T ]+\d{{1,2}}:\d{{2}}(?::\d{{2}}(?:[.,]\d+)?)?(?!\d))?|(?<![\d:])\d{{1,2}}:\d{{2}}(?::\d{{2}}(?:[.,]\d+)?)?(?![\d:])|(?i:isbn)(?:-1[03])?:? ?(?:\d[ -]?){{9,12}}[\dXx]|(?<![\d-])(?=(?:\d[ -]?){{13}}(?![\d-]*\d))97[89][ -]\d{{1,5}}[ -]\d{{1,7}}[ -]\d{{1,7}}[ -]\d"
+ANY = "|".join(f"(?:{p})" for p in (PLAIN, *PATTERNS.values()))
 #: Characters of a text that holds any entity; most texts have none and are passed over.
 HINT = rf"[@0-9]|(?:{_TITLE})\.? \p{{Lu}}|{_SECRET}"
 #: Letters by kind and case, and digits: fixed values.
@@ -71,11 +76,15 @@ def let(value: Column, body) -> Column:
 
 
 def kind_of(entity: Column) -> Column:
-    """The type whose pattern the whole entity is."""
+    """The type whose pattern the whole entity is; null for dates, times and ISBNs."""
     out = F.lit(None).cast("string")
     for name, p in reversed(PATTERNS.items()):
         out = F.when(entity.rlike(f"^(?:{p})$"), F.lit(name)).otherwise(out)
-    return out
+    return F.when(~_plain(entity), out)
+
+
+def _plain(entity: Column) -> Column:
+    return entity.rlike(f"^(?:{PLAIN})$")
 
 
 def _head(entity: Column, kind: Column) -> Column:
@@ -264,9 +273,10 @@ def dictionary(docs: DataFrame, key: str) -> DataFrame:
         made = after
 
 
-def replace_entities(docs: DataFrame, key: str = "vecloom") -> DataFrame:
-    """docs with surrogates in text and the number of entities in `n_entities` (after the columns of docs)."""
-    names = docs.columns
+def replace_entities(docs: DataFrame, key: str) -> DataFrame:
+    """docs with surrogates in text and the number of entities in `n_entities` (after the columns of docs; a column of
+    that name is replaced). key: kept secret, as it leads from a guess to its surrogate; there is no default."""
+    names = [c for c in docs.columns if c != "n_entities"]
     # Surrogates of the first attempt are made in place; the few of later attempts are looked up.
     later = settled(lambda: dictionary(docs, key).where("attempt > 0").select("unit", "attempt"), "later")
     df = docs.withColumn(f"{P}found", F.coalesce(_found(F.col("text")), F.array().cast("array<string>")))
@@ -293,4 +303,4 @@ def replace_entities(docs: DataFrame, key: str = "vecloom") -> DataFrame:
 
     made = F.concat(F.transform(f"{P}found", one), F.array(F.lit("")))
     new = F.when(F.size(f"{P}found") > 0, F.array_join(F.zip_with(F.transform(pieces, without), made, lambda a, b: F.concat(a, b)), "")).otherwise(F.col("text"))
-    return df.select(*(new.alias("text") if c == "text" else F.col(f"`{c}`") for c in names), F.size(f"{P}found").cast("long").alias("n_entities"))
+    return df.select(*(new.alias("text") if c == "text" else F.col(f"`{c}`") for c in names), F.size(F.filter(f"{P}found", lambda x: ~_plain(x))).cast("long").alias("n_entities"))
