@@ -87,9 +87,10 @@ def test_config():
 
 @pytest.mark.parametrize("mode", ["sg", "cbow"])
 def test_training_lowers_the_loss(spark, mode):
-    from vecloom.plans.registry import _trained
-
-    t, v = _trained(spark, mode)
+    s = dataset(spark, "abcde").withColumn("tokens", text.tokenize("text"))
+    v = vocabulary.build_vocab(s).cache()
+    ids = vocabulary.encode(s.where(text.long_enough("tokens", 1)), v, "sent_id")
+    t = sgns.Trainer(v.count(), 4, lr=0.1, negatives=2, epochs=10, steps_per_epoch=1).fit(vocabulary.examples(ids, 1, mode))
     means = {(h["epoch"], h["name"]): h["value"] for h in t.history}
     assert means[9, "train-epoch/positive-loss"] < means[0, "train-epoch/positive-loss"] and {"train/loss", "epoch/lr", "train-metrics/recall", "train-metrics/precision"} <= {n for _, n in means}
 
@@ -162,6 +163,8 @@ def test_closest_pairs_text(spark, tmp_path):
 
 
 def test_settings_that_name_classes():
+    with pytest.raises(ValueError):
+        config.instantiate({"_target_": "os.system", "command": "true"})
     made = config.instantiate({"opt": {"_target_": "vecloom.operators.sgns.Adam", "lr": 0.5}, "rest": [1, {"a": 2}]})
     assert made["opt"].lr == 0.5 and made["rest"] == [1, {"a": 2}]
     assert "  train:" in config.tree(config.load("")) and "    lr: 0.01" in config.tree(config.load(""))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 SPAN = 1 << 52
 
 
-def bits(seed: int, *keys) -> Column:
-    """A 52-bit draw as a long."""
-    parts = [F.lit(str(seed)), *(k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in keys)]
+def bits(seed: int | Column, *keys) -> Column:
+    """A 52-bit draw as a long. A column of seeds gives the draws that each seed alone gives."""
+    parts = [seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), *(k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in keys)]
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("long")
 
 

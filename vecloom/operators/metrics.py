@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.operators import graph, splits
+from vecloom.functions import rng
+from vecloom.operators import classifiers, graph, splits
 from vecloom.operators.meter import MetricMeter, UnknownMetricException  # noqa: F401
+from vecloom.operators.storage import cut_lineage, drop, written
 
 
 def metric_means(metrics: DataFrame) -> DataFrame:
@@ -35,7 +39,7 @@ def node_rows(vectors: DataFrame, labels: DataFrame, features: DataFrame | None
     rows = vectors.join(labels, "node").withColumnRenamed("vec", "feats")
     if features is not None:
         rows = rows.join(features.withColumnRenamed("feats", "__f"), "node").withColumn("feats", F.concat("feats", "__f")).drop("__f")
-    return rows.join(F.broadcast(splits.label_index(rows, "label")), "label").select("node", "feats", F.col("idx").cast("double").alias("label"))
+    return rows.join(splits.label_index(rows, "label"), "label").select("node", "feats", F.col("idx").cast("double").alias("label"))
 
 
 def node_folds(rows: DataFrame, experiment: int, train_ratio: float = 0.5, stratify: bool = True, test_all: bool = False) -> DataFrame:
@@ -43,16 +47,36 @@ def node_folds(rows: DataFrame, experiment: int, train_ratio: float = 0.5, strat
     return splits.train_test(rows, "node", train_ratio, seed=experiment, label="label" if stratify else None, test_all=test_all)
 
 
-def node_classification(vectors: DataFrame, labels: DataFrame, features: DataFrame | None = None, train_ratio: float = 0.5, experiments: int = 10, stratify: bool = True, test_all: bool = False, c: float = 1.0) -> DataFrame:
-    """experiment, accuracy."""
-    rows = node_rows(vectors, labels, features).cache()
-    out = []
-    for k in range(experiments):
-        s = node_folds(rows, k, train_ratio, stratify, test_all)
-        _, p = logistic(s.where("split = 'train'"), s.where("split = 'test'"), c=c)
-        out.append((k, accuracy(p)))
-    rows.unpersist()
-    return vectors.sparkSession.createDataFrame(out, "experiment int, accuracy double")
+def all_node_folds(rows: DataFrame, experiments: int, train_ratio: float = 0.5, stratify: bool = True, test_all: bool = False) -> DataFrame:
+    """rows with train and test: the experiments that each row is in, as node_folds() deals them, in one job."""
+    n = rows.count()
+    total = splits.test_size(n, train_ratio)
+    flat = rows.select("node", "label").withColumn("experiment", F.explode(F.sequence(F.lit(0), F.lit(experiments - 1))))
+    ranked = splits.ranks(flat, rng.bits(F.col("experiment"), F.col("node")), ["node"], ["experiment", "label"] if stratify else ["experiment"], n * experiments)
+    if stratify:
+        ranked = ranked.join(splits.allocation(rows, "label", total, n), "label")
+    last = F.col("__r") <= (F.col("take") if stratify else F.lit(total))
+    of = lambda x: F.coalesce(F.collect_list(F.when(x, F.col("experiment"))), F.array().cast("array<int>"))
+    dealt = ranked.groupBy("node").agg(of(~last).alias("train"), of(F.lit(True) if test_all else last).alias("test"))
+    return rows.join(dealt, "node")
+
+
+def split_folds(rows: DataFrame, experiments: int, split, seed: int) -> DataFrame:
+    """rows with train and test: the experiments that each row is in, by any split."""
+    dealt = functools.reduce(DataFrame.unionByName, (split(rows, seed=seed + k).select("node", "split", F.lit(k).alias("k")) for k in range(experiments)))
+    of = lambda x: F.coalesce(F.collect_list(F.when(F.col("split") == x, F.col("k"))), F.array().cast("array<int>")).alias(x)
+    return rows.join(dealt.groupBy("node").agg(of("train"), of("test")), "node")
+
+
+def node_classification(vectors: DataFrame, labels: DataFrame, features: DataFrame | None = None, train_ratio: float = 0.5, experiments: int = 10, stratify: bool = True, test_all: bool = False, c: float = 1.0, max_iter: int = 100, split=None, seed: int = 42) -> DataFrame:
+    """experiment, accuracy: all experiments in one fit. split: a function (rows, seed=...) that adds `split`, called with
+    seeds from `seed` on; its train rows train, its test rows test."""
+    rows = cut_lineage(node_rows(vectors, labels, features))
+    rows = written(all_node_folds(rows, experiments, train_ratio, stratify, test_all) if split is None else split_folds(rows, experiments, split, seed), "folds")
+    classes, dims = rows.agg(F.max("label"), F.max(F.size("feats"))).first()
+    out = classifiers.Fit(rows, experiments, int(classes) + 1, dims, c, max_iter).accuracies()
+    drop(rows)
+    return vectors.sparkSession.createDataFrame(list(enumerate(out)), "experiment int, accuracy double")
 
 
 def edge_rows(edges: DataFrame, arcs: DataFrame, experiment: int, train_ratio: float = 0.5, mode: str = "reference") -> DataFrame:
@@ -67,17 +91,20 @@ def edge_rows(edges: DataFrame, arcs: DataFrame, experiment: int, train_ratio: f
     return pos.unionByName(neg.select("u", "v", (F.col("sample") < m).alias("train"), F.lit(0.0).alias("label")))
 
 
-def edge_classification(edges: DataFrame, vectors: DataFrame, operator: str = "hadamard", train_ratio: float = 0.5, experiments: int = 10, mode: str = "reference", c: float = 1.0) -> DataFrame:
-    """experiment, accuracy of telling edges from drawn non-edges. mode 'reference' scores all edges, those of training
-    too; 'holdout' the others alone."""
-    arcs, out = graph.symmetric(edges, False).cache(), []
+def edge_classification(edges: DataFrame, vectors: DataFrame, operator: str = "hadamard", train_ratio: float = 0.5, experiments: int = 10, mode: str = "reference", c: float = 1.0, max_iter: int = 100) -> DataFrame:
+    """experiment, accuracy of telling edges from drawn non-edges, all experiments in one fit. mode 'reference' scores all
+    edges, those of training too; 'holdout' the others alone."""
+    arcs, parts = cut_lineage(graph.symmetric(edges, False)), []
     for k in range(experiments):
-        rows = graph.edge_embeddings(edge_rows(edges, arcs, k, train_ratio, mode), vectors, operator).withColumnRenamed("emb", "feats").cache()
-        test = rows.where("NOT train") if mode == "holdout" else rows.where("label = 1 OR NOT train")
-        out.append((k, accuracy(logistic(rows.where("train"), test, c=c)[1])))
-        rows.unpersist()
-    arcs.unpersist()
-    return edges.sparkSession.createDataFrame(out, "experiment int, accuracy double")
+        rows = graph.edge_embeddings(edge_rows(edges, arcs, k, train_ratio, mode), vectors, operator)
+        one, none = F.array(F.lit(k)), F.array().cast("array<int>")
+        test = ~F.col("train") if mode == "holdout" else (F.col("label") == 1) | ~F.col("train")
+        parts.append(written(rows.select(F.col("emb").alias("feats"), "label", F.when(F.col("train"), one).otherwise(none).alias("train"), F.when(test, one).otherwise(none).alias("test")), "edges"))
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    dims = rows.agg(F.max(F.size("feats"))).first()[0]
+    out = classifiers.Fit(rows, experiments, 2, dims, c, max_iter).accuracies()
+    drop(*parts)
+    return edges.sparkSession.createDataFrame(list(enumerate(out)), "experiment int, accuracy double")
 
 
 def summary(runs: DataFrame) -> DataFrame:

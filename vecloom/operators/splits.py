@@ -32,7 +32,7 @@ def ranks(df: DataFrame, draw, order, by=(), n: int | None = None) -> DataFrame:
     return ranked.join(base, same).withColumn("__r", F.col("__k") + F.col("__base")).drop("__d", "__bin", "__k", "__bb", "__base", *(f"__b{k}" for k in range(len(cols))))
 
 
-def _allocation(df: DataFrame, label: str, total: int, n: int) -> DataFrame:
+def allocation(df: DataFrame, label: str, total: int, n: int) -> DataFrame:
     """Rows of each class for the test part, largest remainders first, ties by class."""
     c = df.groupBy(label).agg(F.count("*").alias("n")).withColumn("exact", F.col("n") * F.lit(float(total)) / F.lit(float(n))).withColumn("base", F.floor("exact"))
     left = F.lit(total) - F.sum("base").over(W.partitionBy())
@@ -47,7 +47,7 @@ def train_test(df: DataFrame, key: str, train_ratio: float, seed: int = 42, labe
         out = ranks(df, draw, [key], n=n).withColumn("split", F.when(F.col("__r") <= test, "test").otherwise("train")).drop("__r")
     else:
         ranked = ranks(df, draw, [key], [label], n)
-        out = ranked.join(F.broadcast(_allocation(df, label, test, n)), label).withColumn("split", F.when(F.col("__r") <= F.col("take"), "test").otherwise("train")).drop("__r", "take")
+        out = ranked.join(allocation(df, label, test, n), label).withColumn("split", F.when(F.col("__r") <= F.col("take"), "test").otherwise("train")).drop("__r", "take")
     return out if not test_all else out.where("split = 'train'").unionByName(df.withColumn("split", F.lit("test")))
 
 

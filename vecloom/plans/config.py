@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import text
 from vecloom.functions.vectors import edge_operator
-from vecloom.operators import graph, sgns, splits, vocabulary
+from vecloom.operators import graph, sgns, sharded, splits, vocabulary
 from vecloom.operators.storage import cut_lineage
 from vecloom.sources.datasets import dataset
 
@@ -70,6 +70,8 @@ class DownstreamConfig:
     n_experiments: int = 10
     test_all: bool = False
     c: float = 1.0
+    max_iter: int = 100
+    stratify: bool = True
     seed: int = 42
     split: str = "train_test"
     split_options: dict = field(default_factory=dict)
@@ -113,8 +115,10 @@ class Config:
         return vocabulary.examples(vocabulary.encode(cut_lineage(rows), vocab, "id"), d.context_radius, d.mode)
 
     def make_trainer(self, vocab: int) -> sgns.Trainer:
+        """Matrices that are too large to go out whole are trained in shards."""
         t = self.train
-        return sgns.Trainer(vocab, self.embedding_dim, t.lr, self.loss.negatives, t.max_epochs, t.steps_per_epoch, gamma=t.gamma, step_size=t.step_size, max_norm=self.max_norm, optimizer=t.optimizer, interval=t.interval)
+        kind = sgns.Trainer if vocab * self.embedding_dim * 16 <= sgns.Trainer.SENT else sharded.ShardedTrainer
+        return kind(vocab, self.embedding_dim, t.lr, self.loss.negatives, t.max_epochs, t.steps_per_epoch, gamma=t.gamma, step_size=t.step_size, max_norm=self.max_norm, optimizer=t.optimizer, interval=t.interval)
 
     def make_split(self):
         """A function (rows, key, seed) by name, with the settings' parameters."""
@@ -148,8 +152,19 @@ def load(source: str) -> Config:
     return _build(Config, yaml.safe_load(source) or {})
 
 
+#: Packages whose names settings may call; add one's own with allow_targets().
+TARGETS = ["vecloom"]
+
+
+def allow_targets(package: str) -> None:
+    """Lets settings call names of a package."""
+    if package not in TARGETS:
+        TARGETS.append(package)
+
+
 def instantiate(spec):
-    """Nested settings with `_target_: module.name` become what calling that name with the others gives."""
+    """Nested settings with `_target_: module.name` become what calling that name with the others gives; the module has to
+    lie in one of TARGETS."""
     if isinstance(spec, list):
         return [instantiate(x) for x in spec]
     if not isinstance(spec, dict):
@@ -158,6 +173,8 @@ def instantiate(spec):
     if "_target_" not in spec:
         return made
     module, _, name = spec["_target_"].rpartition(".")
+    if not any(module == t or module.startswith(f"{t}.") for t in TARGETS):
+        raise ValueError(f"{spec['_target_']!r} is in none of {TARGETS}; see allow_targets()")
     return getattr(importlib.import_module(module), name)(**made)
 
 

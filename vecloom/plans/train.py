@@ -7,6 +7,7 @@ A graph's walks are drawn anew each epoch. After each epoch a checkpoint and the
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,11 +77,13 @@ def node_task(config: Config, run: Run) -> DataFrame:
     d = config.downstream
     vectors = run.embeddings().where("side = 'input' AND idx <> 0").select(F.col("token").alias("node"), "vec")
     features = run.data.features if run.data.has_features else None
-    return metrics.summary(metrics.node_classification(vectors, run.data.labels, features, d.train_ratio, d.n_experiments, test_all=d.test_all, c=d.c))
+    # another split than the stratified one in two is dealt with seeds from downstream.seed on
+    split = functools.partial(config.make_split(), key="node") if d.split != "train_test" or d.split_options else None
+    return metrics.summary(metrics.node_classification(vectors, run.data.labels, features, d.train_ratio, d.n_experiments, d.stratify, d.test_all, d.c, d.max_iter, split, d.seed))
 
 
 def edge_task(config: Config, run: Run) -> DataFrame:
     """mean, best and experiment of telling edges of a trained graph from non-edges."""
     d = config.downstream
     vectors = run.embeddings().where("side = 'input' AND idx <> 0").select(F.col("token").alias("node"), "vec")
-    return metrics.summary(metrics.edge_classification(run.data.edges, vectors, d.operator, d.train_ratio, d.n_experiments, c=d.c))
+    return metrics.summary(metrics.edge_classification(run.data.edges, vectors, d.operator, d.train_ratio, d.n_experiments, c=d.c, max_iter=d.max_iter))
