@@ -7,12 +7,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecloom.functions import rng
 from vecloom.functions.vectors import dot, mean_vector, sigmoid
 from vecloom.operators.meter import MetricMeter
-from vecloom.operators.storage import ship
+from vecloom.operators.storage import cut_lineage, ship
+from vecloom.operators.vocabulary import numbered
 
 FLOOR = 1e-6
 
@@ -126,17 +128,63 @@ def _key():
 OCCURRENCES = 1024
 
 
-def with_noise(examples: DataFrame, negatives: int, vocab: int, seed: int, step: int) -> DataFrame:
+def with_noise(examples: DataFrame, negatives: int, vocab: int, seed: int, step: int, kind: str = "int") -> DataFrame:
     """examples (inputs array<int>, target int, n long) as inputs, target, piece, n, neg: each of the n occurrences draws
     `negatives` indices of its own, by a counter hash. An example of more than OCCURRENCES comes in several
     pieces, whose draws count on."""
     pieces = examples.select("inputs", "target", F.col("n").alias("__n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / OCCURRENCES))).alias("piece"))
     first = F.col("piece") * OCCURRENCES
     pieces = pieces.withColumn("n", F.least(F.col("__n") - first, F.lit(OCCURRENCES).cast("long"))).withColumn("__k", first * negatives)
-    draw = lambda k: rng.integer(vocab, seed, F.lit(step), _key(), F.col("target"), F.col("__k") + k).cast("int")
+    draw = lambda k: rng.integer(vocab, seed, F.lit(step), _key(), F.col("target"), F.col("__k") + k).cast(kind)
     return pieces.withColumn("neg", F.transform(F.sequence(F.lit(0), (F.col("n") * negatives - 1).cast("int")), draw)).drop("__n", "__k")
 
 
+class NoiseTable:
+    """Draws of indices by weight. The weights' sum is cut into as many equal cells as there are indices; a cell lists
+    the indices whose shares of the sum reach into it. A draw falls on each cell alike, however uneven the
+    weights, and looks its index up there."""
+
+    def __init__(self, weights: DataFrame):
+        """weights: idx int, weight double; indices of no weight are never drawn."""
+        rows = numbered(weights.where("weight > 0").select(F.col("idx").alias("word"), F.col("weight").cast("double").alias("weight")), [F.col("word")])
+        # running sums within ranges of places, then over the ranges' totals
+        rows = rows.withColumn("range", F.floor(F.col("idx") / RANGE))
+        sums = rows.groupBy("range").agg(F.sum("weight").alias("w"))
+        base = sums.select("range", F.coalesce(F.sum("w").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("base"))
+        run = rows.join(base, "range").withColumn("hi", F.col("base") + F.sum("weight").over(W.partitionBy("range").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)))
+        run = cut_lineage(run.select("word", "hi", (F.col("hi") - F.col("weight")).alias("lo")))
+        self.total, n = run.agg(F.max("hi"), F.count("*")).first()
+        if not n:
+            raise ValueError("no index has a weight")
+        self.width = self.total / n
+        cell = lambda x: F.floor(x / self.width).cast("long")
+        cells = run.select("word", "hi", F.explode(F.sequence(cell(F.greatest("lo", F.lit(0.0))), cell(F.col("hi")))).alias("cell"))
+        self.cells = cut_lineage(cells.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("hi", "word"))).alias("__x")))
+
+    def drawn(self, df: DataFrame, u) -> DataFrame:
+        """df with neg: the index at a share u of the sum, u uniform in [0, 1)."""
+        at = df.withColumn("__p", u * F.lit(self.total)).withColumn("cell", F.floor(F.col("__p") / self.width).cast("long"))
+        found = at.join(self.cells, "cell").withColumn("neg", F.filter("__x", lambda x: x["hi"] > F.col("__p"))[0]["word"])
+        return found.drop("cell", "__x", "__p")
+
+
+#: Places in one range of running sums.
+RANGE = 1 << 16
+
+
+def word_weights(vocab: DataFrame, power: float = 0.75) -> DataFrame:
+    """idx, weight: frequencies to a power, as for uni-gram noise."""
+    return vocab.select("idx", F.pow(F.col("freq").cast("double"), F.lit(power)).alias("weight"))
+
+
+def with_weighted_noise(examples: DataFrame, negatives: int, table: NoiseTable, seed: int, step: int) -> DataFrame:
+    """with_noise() by a table's weights."""
+    plain = with_noise(examples, negatives, rng.SPAN, seed, step, "long")
+    flat = plain.select("inputs", "target", "piece", "n", F.posexplode("neg").alias("k", "bits"))
+    met = table.drawn(flat, F.col("bits") / F.lit(float(rng.SPAN)))
+    return met.groupBy("inputs", "target", "piece", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "neg"))), lambda x: x["neg"]).alias("neg"))
+
+
 def gradients(examples: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """side, idx, at, grad: the gradient of the mean loss by both matrices, by joins, so that neither has to fit a
     machine. examples: as with_noise() gives them. Skip-gram has one input, CBOW the mean of several."""
@@ -183,6 +231,8 @@ class Trainer:
     history: list = field(default_factory=list)
     meter: MetricMeter = field(default_factory=MetricMeter)
     epoch: int = 0
+    #: Draws noise by weight; uniform where there is none.
+    noise_table: NoiseTable | None = None
 
     SENT = 1 << 30
 
@@ -243,6 +293,11 @@ class Trainer:
         if prefix == "train":
             self.history.append({"epoch": self.epoch, "step": self.state.t, "name": "epoch/lr", "value": self.state.lr})
 
+    def _noisy(self, examples: DataFrame, step: int) -> DataFrame:
+        if self.noise_table is None:
+            return with_noise(examples, self.negatives, self.vocab, self.seed, step)
+        return with_weighted_noise(examples, self.negatives, self.noise_table, self.seed, step)
+
     def validate(self, examples: DataFrame) -> dict:
         """Means over examples that aren't trained on, logged as val."""
         got = self._gradient(examples, -1 - self.epoch)
@@ -288,7 +343,7 @@ class Trainer:
                 hit = [np.flatnonzero(g.any(1)) for g in grads]
                 yield pa.record_batch([pa.array([0, 1], pa.int32()), pa.array([h.tobytes() for h in hit], pa.binary()), pa.array([g[h].tobytes() for g, h in zip(grads, hit)], pa.binary()), pa.array([sums.tobytes(), b""], pa.binary())], ["side", "rows", "grad", "sums"])
 
-        noisy = with_noise(examples.select("inputs", "target", "n"), self.negatives, self.vocab, self.seed, step)
+        noisy = self._noisy(examples.select("inputs", "target", "n"), step)
         rows = noisy.select("inputs", "target", "n", "neg").mapInArrow(run, "side int, rows binary, grad binary, sums binary").collect()
         sent.destroy()
         if not rows:

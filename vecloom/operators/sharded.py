@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions import rng
-from vecloom.operators.sgns import FLOOR, OPTIMIZERS, Trainer, step_means, with_noise, xavier_bound
+from vecloom.operators.sgns import FLOOR, OPTIMIZERS, Trainer, step_means, xavier_bound
 from vecloom.operators.storage import drop, ship, written
 from vecloom.operators.vocabulary import numbered
 
@@ -194,7 +194,7 @@ class ShardedTrainer(Trainer):
         """side, shard, part, blob, sums of the step: sums of gradients, with the figures of the loss on outputs' rows."""
         height, dims, shards = self.height, self.dims, self.shards
         contexts, links, wide = self._contexts(examples)
-        noisy = with_noise(examples, self.negatives, self.vocab, self.seed, number)
+        noisy = self._noisy(examples, number)
         noisy = noisy.withColumn("a", F.col("inputs")[0].cast("long")) if links is None else noisy.join(contexts, "inputs")
         each = F.concat(F.array(F.struct(F.col("target").alias("b"), F.lit(1).alias("y"), F.col("n").alias("n"))), F.transform("neg", lambda x: F.struct(x.alias("b"), F.lit(0).alias("y"), F.lit(1).cast("long").alias("n"))))
         terms = noisy.select("a", F.explode(each).alias("t")).groupBy("a", "t.b", "t.y").agg(F.sum("t.n").alias("n"))

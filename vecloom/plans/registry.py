@@ -556,3 +556,22 @@ def q61_skipgram_gradients(spark, d):
 @query(_gradient_sql(f"[(idx + 1) % {N}, (idx + 2) % {N}, (idx + 3) % {N}]"))
 def q62_cbow_gradients(spark, d):
     return _gradients(spark, d, lambda i, n: F.array(*(F.pmod(i + k, n) for k in (1, 2, 3))))
+
+
+def _weighted_sql(seed=6):
+    return f"""WITH voc AS MATERIALIZED ({VOCAB}),
+pairs AS (SELECT center, ctx, count(*) AS n FROM (SELECT center, unnest(ctx) AS ctx FROM ({WINDOWS})) GROUP BY center, ctx),
+e AS (SELECT coalesce(a.idx, 0) AS a, coalesce(b.idx, 0) AS b, CAST(sum(n) AS BIGINT) AS n FROM pairs LEFT JOIN voc a ON a.token = center LEFT JOIN voc b ON b.token = ctx GROUP BY 1, 2),
+run AS MATERIALIZED (SELECT idx, sum(pow(freq, 0.75)) OVER (ORDER BY idx) AS hi FROM voc WHERE freq > 0),
+draws AS (SELECT {rng.bits_sql(seed, '0', 'a', 'b', 'k')} / {float(rng.SPAN)} * (SELECT max(hi) FROM run) AS point FROM (SELECT a, b, unnest(range(n)) AS k FROM e)),
+met AS (SELECT hi, point FROM draws ASOF JOIN run ON point < hi)
+SELECT idx, count(*) AS n FROM met JOIN run USING (hi) GROUP BY idx"""
+
+
+@query(_weighted_sql())
+def q63_weighted_noise(spark, d):
+    """How often each word of the documents is drawn as noise, by frequency to the power 0.75, over all windows."""
+    v = cut_lineage(_vocab(spark, d))
+    ids = vocabulary.encode(_clipped(spark, d, 2, 256).withColumn("k", F.struct("doc_id", "line")), v, "k")
+    noisy = sgns.with_weighted_noise(vocabulary.examples(ids, 2), 1, sgns.NoiseTable(sgns.word_weights(v)), 6, 0)
+    return noisy.select(F.explode("neg").alias("idx")).groupBy("idx").agg(F.count("*").alias("n"))
