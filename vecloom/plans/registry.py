@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import rng, text
 from vecloom.functions.vectors import EDGE_OPERATORS
-from vecloom.operators import graph, metrics, sgns, sharded, similarity, splits, vocabulary
+from vecloom.operators import graph, metrics, nearest, sgns, sharded, similarity, splits, vocabulary
 from vecloom.operators.storage import cut_lineage
 from vecloom.sources.datasets import ABCDE, TEST, dataset, document_lines, parquet_table, part_orders, supplier_part
 
@@ -575,3 +575,9 @@ def q63_weighted_noise(spark, d):
     ids = vocabulary.encode(_clipped(spark, d, 2, 256).withColumn("k", F.struct("doc_id", "line")), v, "k")
     noisy = sgns.with_weighted_noise(vocabulary.examples(ids, 2), 1, sgns.NoiseTable(sgns.word_weights(v)), 6, 0)
     return noisy.select(F.explode("neg").alias("idx")).groupBy("idx").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH v AS ({VEC}), s AS (SELECT a.idx AS query, b.idx, list_cosine_similarity(a.vec, b.vec) AS sim FROM v a, v b), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, idx) AS rank FROM s) SELECT query, CAST(rank AS INT) AS rank, idx, round(sim, 6) AS sim FROM r WHERE rank <= 10")
+def q64_nearest_of_every_vector(spark, d):
+    """The ten nearest of every vector, by pivots."""
+    return nearest.every_nearest(_vec(spark, d), 10).matches.withColumn("sim", F.round("sim", 6))
