@@ -263,12 +263,34 @@ def negative_edges(arcs: DataFrame, n: int, seed: int = 0, tries: int = 20, self
     free = named.join(pairs.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_anti")
     found = cut_lineage(free.groupBy("sample").agg(F.min_by(F.struct("u", "v"), "k").alias("e")).select("sample", "e.u", "e.v"))
     rest = draws.join(found.select("sample"), "sample", "left_anti")
-    near = pairs.join(rest.select(F.col("u").alias("src")).distinct(), "src").join(order.select(F.col("node").alias("dst"), "i"), "dst").groupBy(F.col("src").alias("u")).agg(F.array_sort(F.collect_list("i")).alias("near"))
     rank = rng.integer(F.lit(count) - F.col("degree"), seed, F.lit("rank"), F.col("sample"))
-    by_rank = rest.join(near, "u").withColumn("i", F.aggregate("near", rank, lambda r, x: F.when(x <= r, r + 1).otherwise(r)))
+    known = pairs.join(rest.select(F.col("u").alias("src")).distinct(), "src").join(order.select(F.col("node").alias("dst"), "i"), "dst").select(F.col("src").alias("u"), "i")
+    by_rank = unmet(rest.select("sample", "u", rank.alias("rank")), known, count)
     return found.unionByName(by_rank.join(order.select("i", F.col("node").alias("v")), "i").select("sample", "u", "v"))
 
 
+#: Least numbers of nodes in one block of a neighbour list.
+GAPS = 1024
+
+
+def unmet(asked: DataFrame, known: DataFrame, count: int, width: int | None = None) -> DataFrame:
+    """sample, u, i: the node that has the given rank (from 0) among those of 0 to count - 1 that u doesn't know.
+
+    asked: sample, u, rank; known: u, i, distinct. Numbers are cut into blocks of `width` (GAPS or the root of count). A block's neighbours
+    lie in one row, and one row of u says how many unknown nodes come before each of its blocks, so a
+    rank meets two rows of at most the root of count entries, whatever the degree of u."""
+    width = width or max(GAPS, int(count**0.5) + 1)
+    blocks = cut_lineage(known.groupBy("u", F.floor(F.col("i") / width).cast("long").alias("block")).agg(F.array_sort(F.collect_list("i")).alias("near")))
+    before = W.partitionBy("u").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    runs = blocks.select("u", "block", F.coalesce(F.sum(F.size("near").cast("long")).over(before), F.lit(0)).alias("met"))
+    of_node = runs.groupBy("u").agg(F.array_sort(F.collect_list(F.struct((F.col("block") * width - F.col("met")).alias("free"), "block", "met"))).alias("runs"))
+    # the last block before which at most `rank` nodes are unknown
+    at = asked.join(of_node, "u", "left").withColumn("run", F.try_element_at(F.filter("runs", lambda x: x["free"] <= F.col("rank")), F.lit(-1)))
+    at = at.select("sample", "u", F.col("run.block").alias("block"), (F.col("rank") + F.coalesce(F.col("run.met"), F.lit(0))).alias("from"))
+    met = at.join(blocks, ["u", "block"], "left")
+    return met.select("sample", "u", F.aggregate(F.coalesce("near", F.array().cast("array<long>")), F.col("from"), lambda r, x: F.when(x <= r, r + 1).otherwise(r)).alias("i"))
+
+
 def train_edges(edges: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     """edges with train: the first round(ratio * n) of a seeded order, halves to even."""
     n = edges.count()
