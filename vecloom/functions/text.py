@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vecloom.operators.storage import cut_lineage
+
 #: Fixed value: a token holds an ASCII letter, or is the mark of unknown words.
 TOKEN = r"[A-Za-z]+[\p{L}\p{N}_^']*|[\p{L}\p{N}_^']*[A-Za-z]+[\p{L}\p{N}_^']*|<unk>"
 UNK = "<unk>"
@@ -55,7 +60,11 @@ def lemmatize(df: DataFrame, lemmas: DataFrame, text: str = "text") -> DataFrame
     for pos in PARTS_OF_SPEECH:
         one = step.where(F.col("pos") == pos).select(F.col("form").alias("final"), F.col("lemma").alias("next"))
         forms = forms.join(one, "final", "left").select("word", F.coalesce("next", "final").alias("final"))
-    changed = forms.where("word <> final")
+    return _replaced(df, forms.where("word <> final"), text)
+
+
+def _replaced(df: DataFrame, changed: DataFrame, text: str) -> DataFrame:
+    """text lower-cased, its words parted by single spaces, with each word of changed (word, final) replaced."""
     if changed.limit(SENT_FORMS + 1).count() <= SENT_FORMS:  # a look-up in one map, row by row
         table = changed.agg(F.map_from_entries(F.collect_list(F.struct("word", "final"))).alias("__forms"))
         new = F.array_join(F.transform(F.split(F.lower(text), " "), lambda w: F.coalesce(F.element_at("__forms", w), w)), " ")
@@ -67,6 +76,67 @@ def lemmatize(df: DataFrame, lemmas: DataFrame, text: str = "text") -> DataFrame
     return df.join(joined, F.col(text) == F.col("__text"), "left").withColumn(text, F.col("__new")).drop("__text", "__new")
 
 
+#: Endings and what takes their place, for each part of speech, in order: fixed values.
+ENDINGS = {
+    "a": [("er", ""), ("est", ""), ("er", "e"), ("est", "e")],
+    "r": [],
+    "n": [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")],
+    "v": [("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", "")],
+}
+#: Endings that come off one word for one part of speech, one after the other; a word that needs more stays.
+MOST_ENDINGS = 16
+
+
+def _detached(forms: DataFrame, pos: str) -> DataFrame:
+    """forms (word, form, path) with one more ending taken off, by each rule that fits; path: the rules' numbers."""
+    made = [F.when(F.col("form").endswith(old), F.struct(F.concat(F.expr(f"left(form, length(form) - {len(old)})"), F.lit(new)).alias("form"), F.concat("path", F.lit(str(k))).alias("path"))) for k, (old, new) in enumerate(ENDINGS[pos])]
+    return forms.select("word", F.explode(F.array_compact(F.array(*made))).alias("x")).select("word", "x.form", "x.path")
+
+
+def rule_lemmas(words: DataFrame, dictionary: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """word, final: words (word, distinct) that change, with their lemmas, each part of speech starting from what the one before gave.
+
+    dictionary: lemma, pos. exceptions: form, pos, lemma; these forms meet no rule. Of a form itself and what one
+    rule makes of it the dictionary's shortest is taken, by ties the form, then the first rule; where it has none, endings come off
+    what the rules made until it has one. Forms that stay without any are left as they are. Each step is one
+    join of the forms that are still open, once for each distinct one."""
+    state = words.select("word", F.col("word").alias("final"))
+    for pos in PARTS_OF_SPEECH:
+        known = dictionary.where(F.col("pos") == pos).select(F.col("lemma").alias("form")).distinct()
+        shortest = lambda forms: forms.join(known, "form", "left_semi").groupBy("word").agg(F.min(F.struct(F.length("form").alias("n"), "path", "form")).alias("x")).select("word", F.col("x.form").alias("lemma"))  # noqa: B023, E731
+        asked = cut_lineage(state.select(F.col("final").alias("word")).distinct())
+        found, open_ = [], asked
+        if exceptions is not None:
+            own = exceptions.where(F.col("pos") == pos).select(F.col("form").alias("word"), F.col("lemma").alias("form"))
+            hit = asked.join(own.select("word").distinct(), "word", "left_semi")
+            # the form itself comes first among equals, then by lemma
+            choices = hit.select("word", F.col("word").alias("form"), F.lit("").alias("path")).unionByName(own.join(hit, "word", "left_semi").select("word", "form", F.lit("1").alias("path")))
+            found.append(shortest(choices))
+            open_ = asked.join(own, "word", "left_anti")
+        if ENDINGS[pos]:
+            itself = open_.select("word", F.col("word").alias("form"), F.lit("").alias("path"))
+            marked = lambda forms: cut_lineage(forms.join(known.withColumn("hit", F.lit(True)), "form", "left"))  # noqa: B023, E731
+            # words that end in none of the endings have no other form
+            forms = marked(itself.unionByName(_detached(itself, pos)).withColumn("more", F.max(F.length("path")).over(W.partitionBy("word"))).where("more > 0").drop("more"))
+            for _ in range(MOST_ENDINGS):
+                hits = forms.where("hit")
+                found.append(hits.groupBy("word").agg(F.min(F.struct(F.length("form").alias("n"), "path", "form")).alias("x")).select("word", F.col("x.form").alias("lemma")))
+                rest = forms.where("path <> ''").join(hits.select("word").distinct(), "word", "left_anti").select("word", "form", "path")
+                forms = marked(_detached(rest, pos).groupBy("word", "form").agg(F.min("path").alias("path")))
+                if forms.isEmpty():
+                    break
+        if found:
+            lemmas = functools.reduce(DataFrame.unionByName, found).select(F.col("word").alias("final"), "lemma")
+            state = state.join(lemmas, "final", "left").select("word", F.coalesce("lemma", "final").alias("final"))
+    return cut_lineage(state.where("word <> final"))
+
+
+def lemmatize_by_rules(df: DataFrame, dictionary: DataFrame, exceptions: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """lemmatize() with lemmas found by endings, as rule_lemmas() has them. Null text stays null."""
+    words = df.select(F.explode(F.split(F.lower(text), " ")).alias("word")).distinct()
+    return _replaced(df, rule_lemmas(words, dictionary, exceptions), text)
+
+
 def normalised_id(column, width: int | None = None, prefix: str = "n") -> Column:
     """Node ids as strings with a letter in front; padded to a width, counted from one."""
     c = F.col(column) if isinstance(column, str) else column

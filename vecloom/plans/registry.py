@@ -581,3 +581,31 @@ def q63_weighted_noise(spark, d):
 def q64_nearest_of_every_vector(spark, d):
     """The ten nearest of every vector, by pivots."""
     return nearest.every_nearest(_vec(spark, d), 10).matches.withColumn("sim", F.round("sim", 6))
+
+
+DICTIONARY = "SELECT form AS lemma, pos FROM (SELECT word AS form, count(*) AS n FROM words GROUP BY word), (VALUES ('a'), ('r'), ('n'), ('v')) p(pos) WHERE n >= 3 AND length(form) > 2 AND form NOT LIKE '%ing'"
+
+
+def _rule_steps_sql():
+    """Each part of speech from what the one before gave; endings come off one after the other."""
+    steps, before = [], "SELECT DISTINCT word, word AS cur FROM words"
+    for pos in text.PARTS_OF_SPEECH:
+        if rules := text.ENDINGS[pos]:
+            table = ", ".join(f"('{a}', '{b}', '{k}')" for k, (a, b) in enumerate(rules))
+            steps.append(f"s_{pos} AS MATERIALIZED ({before})")
+            steps.append(f"g_{pos}(word, form, path) AS (SELECT DISTINCT cur, cur, '' FROM s_{pos} UNION ALL SELECT word, left(form, length(form) - length(a)) || b, path || k FROM g_{pos}, (VALUES {table}) r(a, b, k) WHERE ends_with(form, a) AND length(path) < {text.MOST_ENDINGS})")
+            steps.append(f"h_{pos} AS (SELECT word, form, path, greatest(length(path), 1) AS level FROM g_{pos} WHERE form IN (SELECT lemma FROM dictionary WHERE pos = '{pos}'))")
+            steps.append(f"l_{pos} AS MATERIALIZED (SELECT word, arg_min(form, (length(form), path)) AS lemma FROM h_{pos} h WHERE level = (SELECT min(level) FROM h_{pos} i WHERE i.word = h.word) GROUP BY word)")
+            before = f"SELECT s.word, coalesce(lemma, cur) AS cur FROM s_{pos} s LEFT JOIN l_{pos} l ON l.word = s.cur"
+    return f"{', '.join(steps)}, final AS ({before})"
+
+
+@query(f"WITH RECURSIVE words AS MATERIALIZED (SELECT doc_id, generate_subscripts(w, 1) AS pl, unnest(w) AS word FROM (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents)), dictionary AS MATERIALIZED ({DICTIONARY}), {_rule_steps_sql()} SELECT doc_id, md5(string_agg(cur, ' ' ORDER BY pl)) AS lemmas, count(*) FILTER (cur <> words.word) AS n_changed FROM words JOIN final USING (word) GROUP BY doc_id")
+def q65_lemmas_by_endings(spark, d):
+    """Texts of documents in lemmas, by endings; the dictionary is that of their frequent words."""
+    docs = parquet_table(spark, d, "documents").select("doc_id", "text")
+    counts = docs.select(F.explode(F.split(F.lower("text"), " ")).alias("lemma")).groupBy("lemma").agg(F.count("*").alias("n"))
+    known = counts.where("n >= 3 AND length(lemma) > 2 AND lemma NOT LIKE '%ing'").select("lemma", F.explode(F.array(*(F.lit(p) for p in text.PARTS_OF_SPEECH))).alias("pos"))
+    out = text.lemmatize_by_rules(docs.withColumn("old", F.lower("text")), cut_lineage(known))
+    changed = F.size(F.filter(F.arrays_zip(F.split("old", " ").alias("a"), F.split("text", " ").alias("b")), lambda x: x["a"] != x["b"]))
+    return out.where(F.col("text").isNotNull()).select("doc_id", F.md5("text").alias("lemmas"), changed.cast("long").alias("n_changed"))
