@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -51,6 +51,33 @@ def drop(*tables: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _path(path: str):
+    """A path and its file system, the one that Spark's readers and writers take for it."""
+    spark = SparkSession.builder.getOrCreate()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(path: str) -> bool:
+    p, fs = _path(path)
+    return fs.exists(p)
+
+
+def make_folder(path: str) -> None:
+    p, fs = _path(path)
+    fs.mkdirs(p)
+
+
+def write_text(path: str, content: str) -> None:
+    """A small file, replaced if it is there."""
+    p, fs = _path(path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(content.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def ship(spark):
     """Let Python workers that see this folder import the package; elsewhere submit it with --py-files."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from vecloom.functions import text
 from vecloom.functions.vectors import edge_operator
 from vecloom.operators import graph, sgns, sharded, splits, vocabulary
-from vecloom.operators.storage import cut_lineage
+from vecloom.operators.storage import cut_lineage, exists, make_folder, write_text
 from vecloom.sources.datasets import dataset
 
 
@@ -60,6 +60,9 @@ class AnalysisConfig:
     max_words: int = 100
     skip_unk: bool = True
     checkpoint: str = "last"
+    projection: str = "tsne"
+    projection_words: int = 250
+    semantics: bool = False
 
 
 @dataclass
@@ -228,14 +231,13 @@ class Layout:
         """mode 'error' refuses an experiment that is there; 'overwrite' goes on over it."""
         if mode not in ("error", "overwrite"):
             raise ValueError(f"mode {mode!r}")
-        if mode == "error" and os.path.isdir(self.base):
+        if mode == "error" and exists(self.base):
             raise FileExistsError(self.base)
         for d in (self.checkpoints, self.history, self.analysis):
-            os.makedirs(d, exist_ok=True)
+            make_folder(d)
         return self
 
     def snapshot(self, config: Config, task: str = "train") -> str:
         path = os.path.join(self.history, f"{task}_{dt.datetime.now():%Y%m%d_%H%M%S}.yaml")
-        with open(path, "w") as f:
-            f.write(dump(config))
+        write_text(path, dump(config))
         return path
