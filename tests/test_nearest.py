@@ -29,16 +29,16 @@ def test_clusters_are_exact_and_pruned(spark):
     g = np.random.default_rng(4)
     centres = g.normal(size=(24, 8))
     m = centres[g.integers(24, size=1500)] + 0.05 * g.normal(size=(1500, 8))
-    found = nearest.every_nearest(_table(spark, m), 5, pivots=48, block_rows=32)
+    found = nearest.every_nearest(_table(spark, m), 5, pivots=48, block_rows=32, group_rows=32)
     assert _lists(found) == _brute(m, 5)
     met = found.met.first()
     assert met.all_pairs == 1500 * 1500 and met.pairs < met.all_pairs / 3
 
 
-@pytest.mark.parametrize("pivots, rows", [(1, 7), (5, 64), (60, 1)])
-def test_no_structure_is_exact(spark, pivots, rows):
+@pytest.mark.parametrize("pivots, rows, group", [(1, 7, 7), (5, 64, None), (60, 1, 4), (9, 3, None)])
+def test_no_structure_is_exact(spark, pivots, rows, group):
     m = np.random.default_rng(5).normal(size=(60, 5))
-    found = nearest.every_nearest(_table(spark, m), 4, pivots=pivots, block_rows=rows)
+    found = nearest.every_nearest(_table(spark, m), 4, pivots=pivots, block_rows=rows, group_rows=group)
     assert _lists(found) == _brute(m, 4)
 
 

@@ -23,7 +23,7 @@ from vecloom.operators.storage import ship, written
 #: Bytes of pivots that go to every task.
 PIVOT_BYTES = 32 << 20
 #: Bytes of vectors on each side of a meeting.
-SIDE_BYTES = 4 << 20
+SIDE_BYTES = 16 << 20
 #: Similarities held at a time.
 CELLS = 4 << 20
 #: Radians by which a block may seem too far; rounding of arc cosines stays far under it.
@@ -55,14 +55,14 @@ def _best(sim: np.ndarray, ids: np.ndarray, k: int):
 
 @dataclass
 class Nearest:
-    """matches: query, rank, idx, sim. met: (pairs, all_pairs) in one row: similarities that were really
-    worked out (twice within a block whose group is met too), and those of all distinct vectors with all."""
+    """matches: query, rank, idx, sim. met: (pairs, all_pairs) in one row: pairs of vectors in groups that met, of which
+    similarities are worked out only where blocks may hold one of the best, and pairs of all distinct vectors."""
 
     matches: DataFrame
     met: DataFrame
 
 
-def every_nearest(vectors: DataFrame, k: int = 5, seed: int = 0, pivots: int | None = None, block_rows: int | None = None) -> Nearest:
+def every_nearest(vectors: DataFrame, k: int = 5, seed: int = 0, pivots: int | None = None, block_rows: int | None = None, group_rows: int | None = None) -> Nearest:
     """The k most similar vectors (itself among them) of every vector, ties by idx, as exact as meeting all.
 
     vectors: idx, vec; null vectors and those of norm zero, which have no angle, take no part. Equal vectors are searched once and
@@ -81,7 +81,7 @@ def every_nearest(vectors: DataFrame, k: int = 5, seed: int = 0, pivots: int | N
     count = max(1, min(pivots or root, PIVOT_BYTES // (8 * dims)))
     each = block_rows or max(min(1024, max(64, root // 4)), root)
     group = 1
-    while group * 2 * each * dims * 8 <= SIDE_BYTES and group * 2 * each * 64 <= n:
+    while group * 2 * each <= (group_rows or SIDE_BYTES // (8 * dims)):
         group *= 2
     centres = np.array([r.vec for r in once.orderBy(rng.bits(seed, F.col("rep")), "rep").limit(count).select("vec").collect()], np.float64)
     centres /= np.linalg.norm(centres, axis=1, keepdims=True)
@@ -147,16 +147,29 @@ def every_nearest(vectors: DataFrame, k: int = 5, seed: int = 0, pivots: int | N
     def meet(l: pa.Table, r: pa.Table) -> pa.Table:
         out = []
         if l.num_rows and r.num_rows:
+            l, r = l.sort_by("block"), r.sort_by("block")
             q, m, ids = _rows(l["unit"], dims), _rows(r["unit"], dims), r["rep"].to_numpy()
             reps, least = l["rep"].to_numpy(), l["least"].to_numpy()
             ours, theirs = l["block"].to_numpy(), r["block"].to_numpy()
+            names, cell, lo, hi = blocks.value
+            at_names = np.searchsorted(names, theirs)
+            inside = np.unique(at_names)
             step = max(1, CELLS // len(ids))
-            for at in range(0, len(q), step):
+            starts = np.unique(np.concatenate([np.arange(0, len(q), step), np.flatnonzero(np.diff(ours)) + 1]))
+            for s, e in zip(starts, [*starts[1:], len(q)]):
+                limit = np.arccos(np.clip(least[s:e], -1, 1)) + SLACK
+                to_pivot = _angles(q[s:e], sent.value)[:, cell[inside]]
+                far = np.maximum(to_pivot - hi[inside], lo[inside] - to_pivot) > limit[:, None]
                 # a vector has met its own block already
-                sim = np.where(ours[at : at + step, None] == theirs[None], -3.0, q[at : at + step] @ m.T)
-                row, to, value = _best(sim, ids, k)
-                keep = (value >= least[at : at + step][row] - 1e-12) & (value > -3.0)
-                out.append((reps[at : at + step][row[keep]], to[keep], value[keep]))
+                wanted = inside[~far.all(axis=0) & (names[inside] != ours[s])]
+                cols = np.flatnonzero(np.isin(at_names, wanted))
+                sim = q[s:e] @ m[cols].T
+                row, col = np.nonzero(sim >= least[s:e, None] - 1e-12)
+                value, to = sim[row, col], ids[cols[col]]
+                order = np.lexsort((to, -value, row))
+                row, value, to = row[order], value[order], to[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, np.arange(e - s))[row] < k
+                out.append((reps[s:e][row[keep]], to[keep], value[keep]))
         a, b, c = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         return pa.table({"rep": a, "other": b, "sim": c})
 
