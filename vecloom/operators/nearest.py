@@ -1,7 +1,7 @@
 """Exact nearest vectors of every vector, with cells around pivots that rule most pairs out.
 
-Angles between unit vectors keep the triangle inequality. A vector x whose angle to its pivot p lies in [lo, hi] is at least
-max(angle(q, p) - hi, lo - angle(q, p)) from q, so a block of such vectors that is further than the k-th best match
+Angles between unit vectors, and distances, keep the triangle inequality. A vector x whose angle to its pivot p lies in [lo, hi] is
+at least max(angle(q, p) - hi, lo - angle(q, p)) from q, so a block of such vectors that is further than the k-th best match
 known so far can hold none of the k best.
 """
 
@@ -26,7 +26,7 @@ PIVOT_BYTES = 32 << 20
 SIDE_BYTES = 16 << 20
 #: Similarities held at a time.
 CELLS = 4 << 20
-#: Radians by which a block may seem too far; rounding of arc cosines stays far under it.
+#: Radians (or share of the longest vector) by which a block may seem too far; rounding stays far under it.
 SLACK = 1e-6
 
 
@@ -35,8 +35,15 @@ def _rows(column, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
 
 
-def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+def _minus_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return -np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0.0))
+
+
+#: By metric: what is largest for the nearest, and the distance that follows from it.
+METRICS = {
+    "cosine": (lambda a, b: a @ b.T, lambda s: np.arccos(np.clip(s, -1.0, 1.0))),
+    "euclidean": (_minus_distances, lambda s: -s),
+}
 
 
 def _best(sim: np.ndarray, ids: np.ndarray, k: int):
@@ -62,21 +69,28 @@ class Nearest:
     met: DataFrame
 
 
-def every_nearest(vectors: DataFrame, k: int = 5, seed: int = 0, pivots: int | None = None, block_rows: int | None = None, group_rows: int | None = None) -> Nearest:
+def every_nearest(vectors: DataFrame, k: int = 5, seed: int = 0, pivots: int | None = None, block_rows: int | None = None, group_rows: int | None = None, metric: str = "cosine") -> Nearest:
     """The k most similar vectors (itself among them) of every vector, ties by idx, as exact as meeting all.
 
-    vectors: idx, vec; null vectors and those of norm zero, which have no angle, take no part. Equal vectors are searched once and
+    metric: 'cosine', or 'euclidean', whose sim is minus the distance. vectors: idx, vec; null vectors and, for the cosine, those of
+    norm zero, which have no angle, take no part. Equal vectors are searched once and
     share their matches. The root of the number of vectors gives that of pivots and, from a million on, the rows of a
     block, so what tasks hold of pivots and blocks grows as the root. Each vector meets its own block first; its k-th best there says
     which other blocks it has to meet. Meetings are keyed by pairs of groups of blocks, both of bounded size."""
+    if metric not in METRICS:
+        raise ValueError(f"metric {metric!r}: one of {sorted(METRICS)}")
+    sims_of, gap = METRICS[metric]
+    angular = metric == "cosine"
     spark = ship(vectors.sparkSession)
     kind = vectors.schema["idx"].dataType.simpleString()
-    v = vectors.select(F.col("idx").cast("long").alias("idx"), "vec").where(norm("vec") > 0)
+    v = vectors.select(F.col("idx").cast("long").alias("idx"), "vec").where(norm("vec") > 0 if angular else F.col("vec").isNotNull())
     once = written(v.groupBy("vec").agg(F.min("idx").alias("rep"), F.count("*").alias("copies")), "distinct")
-    n, dims, copied = once.agg(F.count("*"), F.max(F.size("vec")), F.max("copies")).first()
+    n, dims, copied, longest = once.agg(F.count("*"), F.max(F.size("vec")), F.max("copies"), F.max(norm("vec"))).first()
     if not n:
         empty = spark.createDataFrame([], f"query {kind}, rank int, idx {kind}, sim double")
         return Nearest(empty, spark.createDataFrame([(0, 0)], "pairs long, all_pairs long"))
+    slack = SLACK if angular else SLACK * longest
+    loose = 1e-12 if angular else slack
     root = int(np.ceil(np.sqrt(n)))
     count = max(1, min(pivots or root, PIVOT_BYTES // (8 * dims)))
     each = block_rows or max(min(1024, max(64, root // 4)), root)
@@ -84,7 +98,8 @@ def every_nearest(vectors: DataFrame, k: int = 5, seed: int = 0, pivots: int | N
     while group * 2 * each <= (group_rows or SIDE_BYTES // (8 * dims)):
         group *= 2
     centres = np.array([r.vec for r in once.orderBy(rng.bits(seed, F.col("rep")), "rep").limit(count).select("vec").collect()], np.float64)
-    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    if angular:
+        centres /= np.linalg.norm(centres, axis=1, keepdims=True)
     sent = spark.sparkContext.broadcast(centres)
 
     def place(batches):
@@ -92,8 +107,9 @@ def every_nearest(vectors: DataFrame, k: int = 5, seed: int = 0, pivots: int | N
             for at in range(0, batch.num_rows, max(1, CELLS // len(sent.value))):
                 part = batch.slice(at, max(1, CELLS // len(sent.value)))
                 m = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                m = m / np.linalg.norm(m, axis=1, keepdims=True)
-                angle = _angles(m, sent.value)
+                if angular:
+                    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+                angle = gap(sims_of(m, sent.value))
                 cell = angle.argmin(axis=1)
                 yield pa.record_batch([part.column(0), pa.array(cell), pa.array(angle[np.arange(len(cell)), cell]), pa.array([x.tobytes() for x in m], pa.binary())], ["rep", "cell", "angle", "unit"])
 
@@ -126,11 +142,11 @@ def every_nearest(vectors: DataFrame, k: int = 5, seed: int = 0, pivots: int | N
         step = max(1, CELLS // max(len(ids), len(names), len(sent.value)))
         for at in range(0, len(ids), step):
             q = m[at : at + step]
-            row, to, sim = _best(q @ m.T, ids, k)
+            row, to, sim = _best(sims_of(q, m), ids, k)
             ends = np.searchsorted(row, np.arange(len(q) + 1))
-            limit = np.array([np.arccos(np.clip(sim[e - 1], -1, 1)) if e - s == k else np.inf for s, e in zip(ends[:-1], ends[1:])])
-            to_pivot = _angles(q, sent.value)[:, cell]
-            near = np.maximum(to_pivot - hi, lo - to_pivot) <= limit[:, None] + SLACK
+            limit = np.array([gap(sim[e - 1]) if e - s == k else np.inf for s, e in zip(ends[:-1], ends[1:])])
+            to_pivot = gap(sims_of(q, sent.value))[:, cell]
+            near = np.maximum(to_pivot - hi, lo - to_pivot) <= limit[:, None] + slack
             near[:, names == here] = False
             for i in range(len(q)):
                 other.append(to[ends[i] : ends[i + 1]].tolist())
@@ -140,7 +156,7 @@ def every_nearest(vectors: DataFrame, k: int = 5, seed: int = 0, pivots: int | N
 
     asked = written(placed.groupBy("block").applyInArrow(own, "rep long, block long, unit binary, other array<long>, sims array<double>, goes array<long>"), "asked")
     # size(sims) is k where the own block gave a k-th best; below it nothing is worth sending on
-    left = asked.select(F.floor(F.col("block") / group).alias("a"), F.explode("goes").alias("b"), "rep", "block", "unit", F.when(F.size("sims") == k, F.element_at("sims", -1)).otherwise(-2.0).alias("least"))
+    left = asked.select(F.floor(F.col("block") / group).alias("a"), F.explode("goes").alias("b"), "rep", "block", "unit", F.when(F.size("sims") == k, F.element_at("sims", -1)).otherwise(float("-inf")).alias("least"))
     keys = left.select("a", "b").distinct()
     right = keys.join(placed.select(F.floor(F.col("block") / group).alias("b"), "rep", "block", "unit"), "b").select(F.col("a").alias("a2"), F.col("b").alias("b2"), "rep", "block", "unit")
 
@@ -157,14 +173,14 @@ def every_nearest(vectors: DataFrame, k: int = 5, seed: int = 0, pivots: int | N
             step = max(1, CELLS // len(ids))
             starts = np.unique(np.concatenate([np.arange(0, len(q), step), np.flatnonzero(np.diff(ours)) + 1]))
             for s, e in zip(starts, [*starts[1:], len(q)]):
-                limit = np.arccos(np.clip(least[s:e], -1, 1)) + SLACK
-                to_pivot = _angles(q[s:e], sent.value)[:, cell[inside]]
+                limit = gap(least[s:e]) + slack
+                to_pivot = gap(sims_of(q[s:e], sent.value))[:, cell[inside]]
                 far = np.maximum(to_pivot - hi[inside], lo[inside] - to_pivot) > limit[:, None]
                 # a vector has met its own block already
                 wanted = inside[~far.all(axis=0) & (names[inside] != ours[s])]
                 cols = np.flatnonzero(np.isin(at_names, wanted))
-                sim = q[s:e] @ m[cols].T
-                row, col = np.nonzero(sim >= least[s:e, None] - 1e-12)
+                sim = sims_of(q[s:e], m[cols])
+                row, col = np.nonzero(sim >= least[s:e, None] - loose)
                 value, to = sim[row, col], ids[cols[col]]
                 order = np.lexsort((to, -value, row))
                 row, value, to = row[order], value[order], to[order]

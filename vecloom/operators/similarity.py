@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecloom.functions.vectors import cosine
+from vecloom.operators import tsne
 from vecloom.operators.storage import ship
 
 
@@ -110,8 +111,9 @@ def analogy(combos: DataFrame, inputs: DataFrame, outputs: DataFrame, k: int = 5
     return rows.join(lists, "id", "left").select("start", "minus", "plus", "end", "cosine", "nearest")
 
 
-def project(vectors: DataFrame, max_words: int | None = None, skip_unk: bool = True, labels: DataFrame | None = None, method: str = "pca") -> DataFrame:
-    """idx, token, x, y (and label): two dimensions of the vectors. method 'pca', or 'tsne' for a few."""
+def project(vectors: DataFrame, max_words: int | None = None, skip_unk: bool = True, labels: DataFrame | None = None, method: str = "pca", rounds: int = 500) -> DataFrame:
+    """idx, token, x, y (and label): two dimensions of the vectors. method 'pca' or 'tsne'; the latter is exact on the driver up to
+    DRIVER_WORDS words and goes through neighbours and a grid beyond."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
@@ -127,19 +129,25 @@ def project(vectors: DataFrame, max_words: int | None = None, skip_unk: bool = T
         v = df.withColumn("v", array_to_vector("vec"))
         out = PCA(k=2, inputCol="v", outputCol="p").fit(v).transform(v).select("idx", "token", vector_to_array("p").alias("vec"))
     elif method == "tsne":
-        out = _tsne(df, max_words)
+        if df.limit(DRIVER_WORDS + 1).count() <= DRIVER_WORDS:
+            out = _tsne(df, rounds=rounds)
+        else:
+            points = tsne.embed(df.select("idx", "vec"), rounds=rounds)
+            out = df.select("idx", "token").join(points, "idx").select("idx", "token", F.array("x", "y").alias("vec"))
     else:
         raise ValueError(f"method {method!r}")
     out = out.select("idx", "token", F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y"))
     return out if labels is None else out.join(labels.withColumnRenamed("node", "token"), "token", "left")
 
 
-def _tsne(df: DataFrame, max_words: int | None, perplexity: float = 30.0, rounds: int = 500, seed: int = 42) -> DataFrame:
-    """Exact t-SNE on the driver, for at most max_words rows."""
+#: Words of an exact t-SNE on the driver at most.
+DRIVER_WORDS = 2000
+
+
+def _tsne(df: DataFrame, perplexity: float = 30.0, rounds: int = 500, seed: int = 42) -> DataFrame:
+    """Exact t-SNE on the driver, for at most DRIVER_WORDS rows."""
     import numpy as np
 
-    if max_words is None or max_words > 5000:
-        raise ValueError("t-SNE is for at most 5000 words")
     rows = df.select("idx", "token", "vec").collect()
     x = np.array([r.vec for r in rows])
     n = len(x)

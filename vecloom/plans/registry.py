@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import rng, text
 from vecloom.functions.vectors import EDGE_OPERATORS
-from vecloom.operators import graph, metrics, nearest, sgns, sharded, similarity, splits, vocabulary
+from vecloom.operators import graph, metrics, nearest, sgns, sharded, similarity, splits, tsne, vocabulary
 from vecloom.operators.storage import cut_lineage
 from vecloom.sources.datasets import ABCDE, TEST, dataset, document_lines, parquet_table, part_orders, supplier_part
 
@@ -609,3 +609,22 @@ def q65_lemmas_by_endings(spark, d):
     out = text.lemmatize_by_rules(docs.withColumn("old", F.lower("text")), cut_lineage(known))
     changed = F.size(F.filter(F.arrays_zip(F.split("old", " ").alias("a"), F.split("text", " ").alias("b")), lambda x: x["a"] != x["b"]))
     return out.where(F.col("text").isNotNull()).select("doc_id", F.md5("text").alias("lemmas"), changed.cast("long").alias("n_changed"))
+
+
+def _affinities_sql(perplexity, k):
+    """Bandwidths by the same doubling and halving, one list of squared distances a row; lists are short."""
+    near = f"SELECT query, list(idx ORDER BY d, idx) AS near, list(d * d - m ORDER BY d, idx) AS d FROM (SELECT *, min(d * d) OVER (PARTITION BY query) AS m, row_number() OVER (PARTITION BY query ORDER BY d, idx) AS rank FROM (SELECT a.idx AS query, b.idx, list_distance(a.vec, b.vec) AS d FROM v a, v b WHERE a.idx <> b.idx)) WHERE rank <= {k} GROUP BY query"
+    weights = "list_transform(d, lambda x: exp(-x * beta))"
+    entropy = f"ln(list_sum({weights})) + beta * list_sum(list_transform(d, lambda x: x * exp(-x * beta))) / list_sum({weights})"
+    step = f"SELECT query, near, d, n + 1, CASE WHEN wide THEN beta ELSE lo END, CASE WHEN wide THEN hi ELSE beta END, CASE WHEN wide THEN (CASE WHEN isinf(hi) THEN beta * 2 ELSE (beta + hi) / 2 END) ELSE (lo + beta) / 2 END FROM (SELECT *, {entropy} > ln({perplexity}) AS wide FROM b WHERE n < {tsne.HALVINGS})"
+    shares = f"SELECT query AS idx, unnest(near) AS to_, unnest(list_transform(d, lambda x: exp(-x * beta) / s)) AS p FROM (SELECT *, list_sum({weights}) AS s FROM b WHERE n = {tsne.HALVINGS})"
+    return f"WITH RECURSIVE v AS MATERIALIZED ({VEC}), near AS MATERIALIZED ({near}), b AS (SELECT query, near, d, 0 AS n, CAST(0 AS DOUBLE) AS lo, CAST('inf' AS DOUBLE) AS hi, CAST(1 AS DOUBLE) AS beta FROM near UNION ALL {step}), s AS MATERIALIZED ({shares}), j AS (SELECT idx, to_, p FROM s UNION ALL SELECT to_, idx, p FROM s) SELECT CAST(idx AS BIGINT) AS idx, CAST(to_ AS BIGINT) AS to_idx, round(sum(p) / 2, 6) + 0.0 AS p FROM j GROUP BY 1, 2"
+
+
+@query(_affinities_sql(10.0, 30))
+def q66_tsne_affinities(spark, d):
+    """Symmetric affinities of every vector with its nearest ones by distance, of perplexity ten."""
+    arcs = tsne.affinities(_vec(spark, d), 10.0)
+    arcs = cut_lineage(arcs)
+    n = arcs.count()
+    return tsne.symmetric(arcs).select("idx", F.col("to").alias("to_idx"), (F.round(F.col("p") * n, 6) + 0.0).alias("p"))
