@@ -6,14 +6,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecloom.functions import rng
 from vecloom.functions.vectors import dot, mean_vector, sigmoid
 from vecloom.operators.meter import MetricMeter
-from vecloom.operators.storage import cut_lineage, ship
+from vecloom.operators.storage import cut_lineage, drop, ship, written
 from vecloom.operators.vocabulary import numbered
 
 FLOOR = 1e-6
@@ -128,14 +128,14 @@ def _key():
 OCCURRENCES = 1024
 
 
-def with_noise(examples: DataFrame, negatives: int, vocab: int, seed: int, step: int, kind: str = "int") -> DataFrame:
+def with_noise(examples: DataFrame, negatives: int, vocab: int, seed: int, step, kind: str = "int", keep: tuple = ()) -> DataFrame:
     """examples (inputs array<int>, target int, n long) as inputs, target, piece, n, neg: each of the n occurrences draws
-    `negatives` indices of its own, by a counter hash. An example of more than OCCURRENCES comes in several
+    `negatives` indices of its own, by a counter hash. step: a number or a column of numbers. keep: columns that stay. An example of more than OCCURRENCES comes in several
     pieces, whose draws count on."""
-    pieces = examples.select("inputs", "target", F.col("n").alias("__n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / OCCURRENCES))).alias("piece"))
+    pieces = examples.select(*keep, "inputs", "target", F.col("n").alias("__n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / OCCURRENCES))).alias("piece"))
     first = F.col("piece") * OCCURRENCES
     pieces = pieces.withColumn("n", F.least(F.col("__n") - first, F.lit(OCCURRENCES).cast("long"))).withColumn("__k", first * negatives)
-    draw = lambda k: rng.integer(vocab, seed, F.lit(step), _key(), F.col("target"), F.col("__k") + k).cast(kind)
+    draw = lambda k: rng.integer(vocab, seed, step if isinstance(step, Column) else F.lit(step), _key(), F.col("target"), F.col("__k") + k).cast(kind)
     return pieces.withColumn("neg", F.transform(F.sequence(F.lit(0), (F.col("n") * negatives - 1).cast("int")), draw)).drop("__n", "__k")
 
 
@@ -177,12 +177,12 @@ def word_weights(vocab: DataFrame, power: float = 0.75) -> DataFrame:
     return vocab.select("idx", F.pow(F.col("freq").cast("double"), F.lit(power)).alias("weight"))
 
 
-def with_weighted_noise(examples: DataFrame, negatives: int, table: NoiseTable, seed: int, step: int) -> DataFrame:
+def with_weighted_noise(examples: DataFrame, negatives: int, table: NoiseTable, seed: int, step, keep: tuple = ()) -> DataFrame:
     """with_noise() by a table's weights."""
-    plain = with_noise(examples, negatives, rng.SPAN, seed, step, "long")
-    flat = plain.select("inputs", "target", "piece", "n", F.posexplode("neg").alias("k", "bits"))
+    plain = with_noise(examples, negatives, rng.SPAN, seed, step, "long", keep)
+    flat = plain.select(*keep, "inputs", "target", "piece", "n", F.posexplode("neg").alias("k", "bits"))
     met = table.drawn(flat, F.col("bits") / F.lit(float(rng.SPAN)))
-    return met.groupBy("inputs", "target", "piece", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "neg"))), lambda x: x["neg"]).alias("neg"))
+    return met.groupBy(*keep, "inputs", "target", "piece", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "neg"))), lambda x: x["neg"]).alias("neg"))
 
 
 def gradients(examples: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -204,6 +204,34 @@ def gradients(examples: DataFrame, inputs: DataFrame, outputs: DataFrame) -> Dat
     return parts.groupBy("side", "idx", "at").agg(F.sum("g").alias("g")).crossJoin(F.broadcast(total)).select("side", "idx", "at", (F.col("g") / F.col("total")).alias("grad"))
 
 
+def batch_gradient(t, x: np.ndarray, y: np.ndarray, grads: list) -> np.ndarray:
+    """Adds the gradients of the summed loss by both matrices to grads; the sums that step_means() takes. t: a record batch
+    of inputs, target, n, neg."""
+    flat = t.column(0).flatten().to_numpy().astype(np.int64)
+    width = np.diff(t.column(0).offsets.to_numpy()).astype(np.int64)
+    target, n = t.column(1).to_numpy().astype(np.int64), t.column(2).to_numpy().astype(np.int64)
+    neg = t.column(3).flatten().to_numpy().astype(np.int64)
+    draws = np.diff(t.column(3).offsets.to_numpy()).astype(np.int64)
+    of = np.repeat(np.arange(len(n)), draws)
+    h = np.add.reduceat(x[flat], np.cumsum(width) - width) / width[:, None]
+    p = 1 / (1 + np.exp(-np.clip((h * y[target]).sum(1), -500, 500)))
+    q = 1 / (1 + np.exp(np.clip((h[of] * y[neg]).sum(1), -500, 500)))
+    cp, cq = np.where(p > FLOOR, p - 1, 0) * n, np.where(q > FLOOR, 1 - q, 0)
+    back = cp[:, None] * y[target] + np.add.reduceat(cq[:, None] * y[neg], np.cumsum(draws) - draws)
+    np.add.at(grads[0], flat, np.repeat(back / width[:, None], width, axis=0))
+    np.add.at(grads[1], target, cp[:, None] * h)
+    np.add.at(grads[1], neg, cq[:, None] * h[of])
+    return np.array([n.sum(), (n * -np.log(np.maximum(p, FLOOR))).sum(), -np.log(np.maximum(q, FLOOR)).sum(), (n * (p >= 0.5)).sum(), (q <= 0.5).sum(), len(q)], np.float64)
+
+
+def capped(x: np.ndarray, most: float | None) -> np.ndarray:
+    """Rows longer than `most` shortened to it."""
+    if most is None:
+        return x
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.where(n > most, x * most / np.maximum(n, 1e-12), x)
+
+
 def step_means(t) -> dict:
     """Of sums: occurrences, positive and negative loss, hits, false alarms, draws."""
     return {"loss": (t[1] + t[2]) / t[0], "positive-loss": t[1] / t[0], "negative-loss": t[2] / t[0], "recall": t[3] / t[0], "precision": 1 - t[4] / t[5]}
@@ -212,7 +240,8 @@ def step_means(t) -> dict:
 @dataclass
 class Trainer:
     """Fits both matrices on examples (inputs array<int>, target int, n long; or pairs center, ctx, n). A step is one
-    distributed gradient over a share of the examples, dealt anew each epoch; the matrices (vocabulary x dims, `SENT`
+    distributed gradient over a share of the examples, dealt anew each epoch, or over one batch after the other where
+    examples have a column `batch` (as batch_examples() gives). The matrices (vocabulary x dims, `SENT`
     bytes at most) stay on the driver and go out with each step. Larger ones take
     sharded.ShardedTrainer."""
 
@@ -252,18 +281,7 @@ class Trainer:
             df = examples(self.epoch) if callable(examples) else examples
             if "inputs" not in df.columns:
                 df = df.select(F.array("center").alias("inputs"), F.col("ctx").alias("target"), "n")
-            shares = self.steps_per_epoch
-            key = _key()
-            parted = df.select("inputs", "target", "n", F.pmod(F.xxhash64(key, "target", F.lit(self.epoch)), F.lit(shares)).alias("first")).cache()
-            for share in range(shares):
-                self.state.lr = step_lr(self.lr, self.step_size, self.gamma, self.state.t if self.interval == "step" else self.epoch)
-                # occurrences are dealt evenly, the odd ones from a share on that the epoch draws
-                extra = F.when(F.pmod(F.lit(share) - F.col("first"), F.lit(shares)) < F.pmod("n", F.lit(shares)), 1).otherwise(0)
-                mine = parted.withColumn("n", (F.floor(F.col("n") / shares) + extra).cast("long")).where("n > 0")
-                means = self._step(mine, self.epoch * shares + share)
-                if means is not None:
-                    self._log(means)
-            parted.unpersist()
+            self._batches(df) if "batch" in df.columns else self._shares(df)
             for name, value in self.meter.get_all():
                 self.history.append({"epoch": self.epoch, "step": self.state.t, "name": name, "value": value})
             self.epoch += 1
@@ -271,6 +289,39 @@ class Trainer:
                 after(self)
         return self
 
+    def _pace(self) -> None:
+        self.state.lr = step_lr(self.lr, self.step_size, self.gamma, self.state.t if self.interval == "step" else self.epoch)
+
+    def _shares(self, df: DataFrame) -> None:
+        """An epoch of steps_per_epoch shares."""
+        shares = self.steps_per_epoch
+        parted = df.select("inputs", "target", "n", F.pmod(F.xxhash64(_key(), "target", F.lit(self.epoch)), F.lit(shares)).alias("first")).cache()
+        for share in range(shares):
+            self._pace()
+            # occurrences are dealt evenly, the odd ones from a share on that the epoch draws
+            extra = F.when(F.pmod(F.lit(share) - F.col("first"), F.lit(shares)) < F.pmod("n", F.lit(shares)), 1).otherwise(0)
+            mine = parted.withColumn("n", (F.floor(F.col("n") / shares) + extra).cast("long")).where("n > 0")
+            means = self._step(mine, self.epoch * shares + share)
+            if means is not None:
+                self._log(means)
+        parted.unpersist()
+
+    def _kept(self, df: DataFrame):
+        """The batches' examples as a table in the order of batches, so that a step reads its own row groups, and their number."""
+        table = written(df.select("batch", "inputs", "target", "n").repartitionByRange("batch").sortWithinPartitions("batch"), "batches")
+        last = table.agg(F.max("batch")).first()[0]
+        return table, 0 if last is None else last + 1
+
+    def _batches(self, df: DataFrame) -> None:
+        """An epoch of a step for each batch, in their order."""
+        table, count = self._kept(df)
+        for batch in range(count):
+            self._pace()
+            means = self._step(table.where(F.col("batch") == batch).drop("batch"), self.epoch * count + batch)
+            if means is not None:
+                self._log(means)
+        drop(table)
+
     def _step(self, examples: DataFrame, number: int) -> dict | None:
         """One step of the optimizer; the means before it."""
         got = self._gradient(examples, number)
@@ -293,10 +344,10 @@ class Trainer:
         if prefix == "train":
             self.history.append({"epoch": self.epoch, "step": self.state.t, "name": "epoch/lr", "value": self.state.lr})
 
-    def _noisy(self, examples: DataFrame, step: int) -> DataFrame:
+    def _noisy(self, examples: DataFrame, step, keep: tuple = ()) -> DataFrame:
         if self.noise_table is None:
-            return with_noise(examples, self.negatives, self.vocab, self.seed, step)
-        return with_weighted_noise(examples, self.negatives, self.noise_table, self.seed, step)
+            return with_noise(examples, self.negatives, self.vocab, self.seed, step, keep=keep)
+        return with_weighted_noise(examples, self.negatives, self.noise_table, self.seed, step, keep)
 
     def validate(self, examples: DataFrame) -> dict:
         """Means over examples that aren't trained on, logged as val."""
@@ -307,10 +358,7 @@ class Trainer:
         return got[1]
 
     def _cap(self):
-        if self.max_norm is not None:
-            for k, p in self.params.items():
-                n = np.linalg.norm(p, axis=1, keepdims=True)
-                self.params[k] = np.where(n > self.max_norm, p * self.max_norm / np.maximum(n, 1e-12), p)
+        self.params = {k: capped(p, self.max_norm) for k, p in self.params.items()}
 
     def _gradient(self, examples: DataFrame, step: int):
         spark = ship(examples.sparkSession)
@@ -324,21 +372,7 @@ class Trainer:
                 x, y = sent.value["input"], sent.value["output"]
                 if grads is None:
                     grads = [np.zeros_like(x), np.zeros_like(y)]
-                flat = t.column(0).flatten().to_numpy().astype(np.int64)
-                width = np.diff(t.column(0).offsets.to_numpy()).astype(np.int64)
-                target, n = t.column(1).to_numpy().astype(np.int64), t.column(2).to_numpy().astype(np.int64)
-                neg = t.column(3).flatten().to_numpy().astype(np.int64)
-                draws = np.diff(t.column(3).offsets.to_numpy()).astype(np.int64)
-                of = np.repeat(np.arange(len(n)), draws)
-                h = np.add.reduceat(x[flat], np.cumsum(width) - width) / width[:, None]
-                p = 1 / (1 + np.exp(-np.clip((h * y[target]).sum(1), -500, 500)))
-                q = 1 / (1 + np.exp(np.clip((h[of] * y[neg]).sum(1), -500, 500)))
-                cp, cq = np.where(p > FLOOR, p - 1, 0) * n, np.where(q > FLOOR, 1 - q, 0)
-                back = cp[:, None] * y[target] + np.add.reduceat(cq[:, None] * y[neg], np.cumsum(draws) - draws)
-                np.add.at(grads[0], flat, np.repeat(back / width[:, None], width, axis=0))
-                np.add.at(grads[1], target, cp[:, None] * h)
-                np.add.at(grads[1], neg, cq[:, None] * h[of])
-                sums += [n.sum(), (n * -np.log(np.maximum(p, FLOOR))).sum(), -np.log(np.maximum(q, FLOOR)).sum(), (n * (p >= 0.5)).sum(), (q <= 0.5).sum(), len(q)]
+                sums += batch_gradient(t, x, y, grads)
             if grads is not None:
                 hit = [np.flatnonzero(g.any(1)) for g in grads]
                 yield pa.record_batch([pa.array([0, 1], pa.int32()), pa.array([h.tobytes() for h in hit], pa.binary()), pa.array([g[h].tobytes() for g, h in zip(grads, hit)], pa.binary()), pa.array([sums.tobytes(), b""], pa.binary())], ["side", "rows", "grad", "sums"])

@@ -38,7 +38,7 @@ def _parts(rows) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], names=["side", "shard", "part", "blob", "sums"])
 
 
-def _added(parts: DataFrame, cells: int) -> DataFrame:
+def added(parts: DataFrame, cells: int) -> DataFrame:
     """One row for each side and shard: its blobs and sums added up, FAN at a time."""
 
     def add(t: pa.Table) -> pa.Table:
@@ -46,7 +46,7 @@ def _added(parts: DataFrame, cells: int) -> DataFrame:
         for blob, s in zip(t["blob"], t["sums"]):
             x = np.frombuffer(blob.as_buffer())
             total = x.copy() if total is None else total + x
-            s = np.array(s.as_py() or [0.0] * 6)
+            s = np.array(s.as_py())
             sums = s if sums is None else sums + s
         return _parts([(t["side"][0].as_py(), t["shard"][0].as_py(), t["part"][0].as_py(), total.tobytes(), sums.tolist())])
 
@@ -173,7 +173,7 @@ class ShardedTrainer(Trainer):
             return [("context", t["sa"][0].as_py(), t["sb"][0].as_py(), out.tobytes(), [0.0] * 6)]
 
         empty = links.select(F.col("sa").alias("shard")).distinct().withColumn("blob", F.lit(b"").cast("binary"))
-        return _added(self._cells(links, empty, self._shards_of("input"), work), self.shards).select("shard", "blob")
+        return added(self._cells(links, empty, self._shards_of("input"), work), self.shards).select("shard", "blob")
 
     def _back(self, links: DataFrame, grads: DataFrame, shards: int) -> DataFrame:
         """Gradients of contexts carried to their inputs."""
@@ -188,7 +188,7 @@ class ShardedTrainer(Trainer):
             return [("input", t["sb"][0].as_py(), t["sa"][0].as_py(), out.tobytes(), [0.0] * 6)]
 
         empty = links.select(F.col("sb").alias("shard")).distinct().withColumn("blob", F.lit(b"").cast("binary"))
-        return _added(self._cells(links, grads, empty, work), shards)
+        return added(self._cells(links, grads, empty, work), shards)
 
     def _gradients(self, examples: DataFrame, number: int) -> DataFrame:
         """side, shard, part, blob, sums of the step: sums of gradients, with the figures of the loss on outputs' rows."""
@@ -220,7 +220,7 @@ class ShardedTrainer(Trainer):
             return [(side, sa, sb, ga.tobytes(), [0.0] * 6), ("output", sb, sa, gb.tobytes(), sums.tolist())]
 
         means = self._shards_of("input") if links is None else written(self._means(links, wide), "means")
-        parts = written(_added(self._cells(terms, means, self._shards_of("output"), work), max(shards, wide)), "gradients")
+        parts = written(added(self._cells(terms, means, self._shards_of("output"), work), max(shards, wide)), "gradients")
         left = [terms]
         if links is not None:
             back = self._back(links, parts.where("side = 'context'").select("shard", "blob"), wide)

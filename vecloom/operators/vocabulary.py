@@ -96,6 +96,14 @@ def examples(sentences: DataFrame, radius: int, mode: str = "sg", tokens: str =
     return w.select("inputs", F.explode("targets").alias("target")).groupBy("inputs", "target").agg(F.count("*").alias("n"))
 
 
+def batch_examples(sentences: DataFrame, order: list[str], size: int, radius: int, mode: str = "sg", tokens: str = "ids") -> DataFrame:
+    """batch, inputs, target, n: the examples of each batch of `size` sentences, in the order of columns, whose values are distinct.
+    Sentences without a window don't count."""
+    long = sentences.where(F.size(tokens) >= 2 * radius + 1).select(*order, tokens)
+    w = windows(batches(long, order, size).select("batch", tokens), radius, mode, tokens)
+    return w.select("batch", "inputs", F.explode("targets").alias("target")).groupBy("batch", "inputs", "target").agg(F.count("*").alias("n"))
+
+
 def batches(sentences: DataFrame, order: list[str], size: int) -> DataFrame:
     """sentences with batch: `size` sentences each, in the order of columns."""
     cols = [F.col(c) for c in order]

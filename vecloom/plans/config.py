@@ -13,9 +13,10 @@ from dataclasses import dataclass, field
 import yaml
 from pyspark.sql import functions as F
 
-from vecloom.functions import text
+from vecloom.functions import rng, text
 from vecloom.functions.vectors import edge_operator
 from vecloom.operators import graph, sgns, sharded, splits, vocabulary
+from vecloom.operators.local_steps import LocalTrainer
 from vecloom.operators.storage import cut_lineage, exists, make_folder, write_text
 from vecloom.sources.datasets import dataset
 
@@ -29,6 +30,9 @@ class TrainConfig:
     step_size: int = 1
     optimizer: str = "adam"
     interval: str = "epoch"
+    #: Tasks that take local steps between averages, and how many each; one task takes exact steps.
+    local_tasks: int = 1
+    local_steps: int = 16
     experiment: str = "default"
 
 
@@ -43,6 +47,8 @@ class DataConfig:
     mode: str = "sg"
     context_radius: int = 2
     max_length: int = 0
+    #: Sentences (or walks) of a step; 0 deals examples into steps_per_epoch shares.
+    batch_size: int = 0
     min_word_frequency: int = 1
     is_graph: bool = False
     walk: str = "deepwalk"
@@ -110,17 +116,27 @@ class Config:
         """Walks of an epoch."""
         return g.nodes.count() * self.data.walks_per_node * self.data.replicas
 
-    def make_examples(self, tokens, vocab):
-        """Training examples of token sentences: windows by mode, radius and length."""
+    def make_examples(self, tokens, vocab, epoch: int | None = None):
+        """Training examples of token sentences: windows by mode, radius and length, in batches where batch_size is set. Batches take
+        sentences in the order they are read, or, with an epoch, in one that the epoch draws."""
         d = self.data
         fit = text.clip("tokens", d.max_length or None, d.context_radius)
         rows = tokens.where(text.long_enough("tokens", d.context_radius)).select(F.monotonically_increasing_id().alias("id"), fit.alias("tokens"))
-        return vocabulary.examples(vocabulary.encode(cut_lineage(rows), vocab, "id"), d.context_radius, d.mode)
+        ids = vocabulary.encode(cut_lineage(rows), vocab, "id")
+        if not d.batch_size:
+            return vocabulary.examples(ids, d.context_radius, d.mode)
+        if epoch is not None:
+            ids = ids.withColumn("drawn", rng.bits(epoch, F.col("id")))
+        return vocabulary.batch_examples(ids, ["id"] if epoch is None else ["drawn", "id"], d.batch_size, d.context_radius, d.mode)
 
     def make_trainer(self, vocab: int) -> sgns.Trainer:
         """Matrices that are too large to go out whole are trained in shards."""
         t = self.train
         kind = sgns.Trainer if vocab * self.embedding_dim * 16 <= sgns.Trainer.SENT else sharded.ShardedTrainer
+        if t.local_tasks > 1:
+            if not self.data.batch_size or kind is sharded.ShardedTrainer:
+                raise ValueError("local steps need a batch_size, and matrices that a task can hold")
+            kind = functools.partial(LocalTrainer, tasks=t.local_tasks, local_steps=t.local_steps)
         return kind(vocab, self.embedding_dim, t.lr, self.loss.negatives, t.max_epochs, t.steps_per_epoch, gamma=t.gamma, step_size=t.step_size, max_norm=self.max_norm, optimizer=t.optimizer, interval=t.interval)
 
     def make_split(self):

@@ -55,7 +55,7 @@ def train(spark: SparkSession, config: Config, root: str, mode: str = "error", r
     if resume:
         trainer.resume(load_embeddings(spark, layout.checkpoints))
     if isinstance(data, graph.Graph):
-        examples = lambda epoch: config.make_examples(tokens_of(config, data, epoch), vocab)
+        examples = lambda epoch: config.make_examples(tokens_of(config, data, epoch), vocab, epoch)
     else:
         examples = config.make_examples(tokens_of(config, data, 0), vocab).cache()
 
