@@ -67,6 +67,12 @@ def test_splits(spark):
     df = spark.range(100)
     got = {r.split: r["count"] for r in splits.train_val_test(df, "id", 0.6, 0.8).groupBy("split").count().collect()}
     assert got == {"train": 60, "val": 20, "test": 20}
+    rows = df.withColumn("c", F.when(F.col("id") < 70, "a").when(F.col("id") < 99, "b").otherwise("c"))
+    parts = {}
+    for r in splits.train_val_test(rows, "id", 0.6, 0.8, label="c").collect():
+        parts[r.c, r.split] = parts.get((r.c, r.split), 0) + 1
+    # exact shares of the rest: 28, 11.6, 0.4; of test: 14, 6
+    assert parts == {("a", "train"): 42, ("a", "val"): 14, ("a", "test"): 14, ("b", "train"): 17, ("b", "val"): 6, ("b", "test"): 6, ("c", "train"): 1}
     assert [splits.test_size(n, r) for n, r in ((9, 0.5), (34, 0.5), (2708, 0.75), (10, 0.8))] == [5, 17, 677, 2]
 
 

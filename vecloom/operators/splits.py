@@ -51,14 +51,21 @@ def train_test(df: DataFrame, key: str, train_ratio: float, seed: int = 42, labe
     return out if not test_all else out.where("split = 'train'").unionByName(df.withColumn("split", F.lit("test")))
 
 
-def train_val_test(df: DataFrame, key: str, train_ratio: float, val_ratio: float, seed: int = 42) -> DataFrame:
-    """val_ratio is the share of train and val together."""
+def train_val_test(df: DataFrame, key: str, train_ratio: float, val_ratio: float, seed: int = 42, label: str | None = None) -> DataFrame:
+    """val_ratio is the share of train and val together. label: stratify by it, train against the rest first, then the rest in two;
+    rows without a label go."""
     if not 0 < train_ratio < val_ratio < 1:
         raise ValueError("0 < train_ratio < val_ratio < 1; val_ratio counts from the start")
     n = df.count()
     rest = test_size(n, train_ratio)
     test = math.ceil(round(rest * (1 - val_ratio) / (1 - train_ratio), 9))
-    return ranks(df, rng.bits(seed, F.col(key)), [key], n=n).withColumn("split", F.when(F.col("__r") <= test, "test").when(F.col("__r") <= rest, "val").otherwise("train")).drop("__r")
+    draw, part = rng.bits(seed, F.col(key)), F.when(F.col("__r") <= F.col("take"), "test").when(F.col("__r") <= F.col("rest"), "val").otherwise("train")
+    if label is None:
+        return ranks(df, draw, [key], n=n).withColumn("take", F.lit(test)).withColumn("rest", F.lit(rest)).withColumn("split", part).drop("__r", "take", "rest")
+    ranked = ranks(df, draw, [key], [label], n).join(allocation(df, label, rest, n).withColumnRenamed("take", "rest"), label)
+    second = allocation(ranked.where(F.col("__r") <= F.col("rest")), label, test, rest)
+    # a class may have no row in the rest
+    return ranked.join(second, label, "left").withColumn("take", F.coalesce("take", F.lit(0))).withColumn("split", part).drop("__r", "take", "rest")
 
 
 def n_per_class(df: DataFrame, key: str, label: str, train: int, val: int, test: int | None = None, seed: int = 42) -> DataFrame:

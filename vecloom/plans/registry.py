@@ -620,6 +620,16 @@ def q67_sentence_batches(spark, d):
     return found.groupBy("batch").agg(F.count("*").alias("n_examples"), F.sum("n").alias("n_pairs"), sums.alias("checksum"))
 
 
+def _allocated_sql(rows, total, share):
+    """Rows of each quality for a part of `total` out of `rows`."""
+    return f"SELECT quality, base + CASE WHEN row_number() OVER (ORDER BY exact - base DESC, quality) <= total - sum(base) OVER () THEN 1 ELSE 0 END AS {share} FROM (SELECT quality, c * total / n AS exact, floor(c * total / n) AS base, total FROM (SELECT quality, count(*) AS c, any_value({total}) AS total, sum(count(*)) OVER () AS n FROM {rows}, n GROUP BY quality))"
+
+
+@query(f"WITH n AS (SELECT ceil(round(0.4 * count(*), 9)) AS rest, ceil(round(ceil(round(0.4 * count(*), 9)) * 0.5, 9)) AS test FROM labels), a AS ({_allocated_sql('labels', 'n.rest', 'rest')}), r AS (SELECT doc_id, quality, a.rest, row_number() OVER (PARTITION BY quality ORDER BY {rng.bits_sql(42, 'doc_id')}, doc_id) AS r FROM labels JOIN a USING (quality)), u AS (SELECT quality FROM r WHERE r <= rest), b AS ({_allocated_sql('u', 'n.test', 'take')}) SELECT doc_id, CASE WHEN r <= coalesce(take, 0) THEN 'test' WHEN r <= rest THEN 'val' ELSE 'train' END AS split FROM r LEFT JOIN b USING (quality)")
+def q68_split_three_way_stratified(spark, d):
+    return splits.train_val_test(_labels(spark, d), "doc_id", 0.6, 0.8, label="quality").select("doc_id", "split")
+
+
 def _affinities_sql(perplexity, k):
     """Bandwidths by the same doubling and halving, one list of squared distances a row; lists are short."""
     near = f"SELECT query, list(idx ORDER BY d, idx) AS near, list(d * d - m ORDER BY d, idx) AS d FROM (SELECT *, min(d * d) OVER (PARTITION BY query) AS m, row_number() OVER (PARTITION BY query ORDER BY d, idx) AS rank FROM (SELECT a.idx AS query, b.idx, list_distance(a.vec, b.vec) AS d FROM v a, v b WHERE a.idx <> b.idx)) WHERE rank <= {k} GROUP BY query"
