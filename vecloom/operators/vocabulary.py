@@ -100,7 +100,8 @@ def batch_examples(sentences: DataFrame, order: list[str], size: int, radius: in
     """batch, inputs, target, n: the examples of each batch of `size` sentences, in the order of columns, whose values are distinct.
     Sentences without a window don't count."""
     long = sentences.where(F.size(tokens) >= 2 * radius + 1).select(*order, tokens)
-    w = windows(batches(long, order, size).select("batch", tokens), radius, mode, tokens)
+    # a batch's sentences meet before they become windows, so that examples are counted where they arise
+    w = windows(batches(long, order, size).select("batch", tokens).repartition("batch"), radius, mode, tokens)
     return w.select("batch", "inputs", F.explode("targets").alias("target")).groupBy("batch", "inputs", "target").agg(F.count("*").alias("n"))
 
 
