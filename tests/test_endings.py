@@ -50,3 +50,20 @@ def test_made_up_words_against_a_loop(spark):
     known, odd = _tables(spark)
     assert len(want) > 50
     assert {r.word: r.final for r in text.rule_lemmas(spark.createDataFrame([(w,) for w in words], "word string"), known, odd).collect()} == want
+
+
+def test_long_texts_are_cut_and_words_carry_no_text(spark, monkeypatch):
+    """Texts of several pieces, repeated and empty ones, with forms in a map, in a sent table and in a shuffled one."""
+    g = random.Random(5)
+    words = [f"w{k}" for k in range(40)] + [""]
+    texts = [" ".join(g.choices(words, k=n)) for n in (1, 7, 8, 9, 40, 200)] + ["", None, "W1  w2"]
+    df = spark.createDataFrame([(i, t, i * 2) for i, t in enumerate(texts + texts)], "id int, text string, other int")
+    forms = {f"w{k}": f"v{k}" for k in range(0, 40, 3)}
+    changed = spark.createDataFrame(sorted(forms.items()), "word string, final string")
+    want = {i: (None if t is None else " ".join(forms.get(w, w) for w in t.lower().split(" ")), 2 * i) for i, t in enumerate(texts + texts)}
+    monkeypatch.setattr(text, "PIECE_WORDS", 8)
+    for sent, shared in ((200, 200), (3, 200), (3, 2)):
+        monkeypatch.setattr(text, "SENT_FORMS", sent)
+        monkeypatch.setattr(text, "SENT_WORDS", shared)
+        out = text._replaced(df, changed, "text")
+        assert out.columns == df.columns and {r.id: (r.text, r.other) for r in out.collect()} == want
