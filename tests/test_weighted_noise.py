@@ -30,6 +30,15 @@ def test_shares_and_inverse(spark):
         sgns.NoiseTable(spark.createDataFrame([(0, 0.0)], "idx int, weight double"))
 
 
+def test_sums_are_exact(spark):
+    """A running sum of doubles would lose every weight after the first."""
+    weights = [(0, 2.0**53)] + [(k, 1.0) for k in range(1, 3001)]
+    t = sgns.NoiseTable(spark.createDataFrame(weights, "idx int, weight double"))
+    assert t.total == math.fsum(w for _, w in weights)
+    r = np.random.default_rng(1).uniform(0.1, 3, 5000)
+    assert sgns.NoiseTable(spark.createDataFrame([(k, float(w)) for k, w in enumerate(r)], "idx int, weight double")).total == math.fsum(r)
+
+
 def test_both_trainers_take_a_table(spark):
     t = sgns.NoiseTable(spark.createDataFrame([(k, 1.0 + k) for k in range(12)], "idx int, weight double"))
     e = spark.createDataFrame([([k % 12], (5 * k + 1) % 12, 1 + k % 3) for k in range(12)], "inputs array<int>, target int, n long")
