@@ -60,6 +60,17 @@ def _best(sim: np.ndarray, ids: np.ndarray, k: int):
     return row[keep], ids[col[keep]], value[keep]
 
 
+def _runs(sizes: list[int], rows: int) -> np.ndarray:
+    """Numbers of runs of neighbouring blocks of the given sizes, each of `rows` at most or of one block."""
+    run, held, out = 0, 0, []
+    for m in sizes:
+        if held and held + m > rows:
+            run, held = run + 1, 0
+        held += m
+        out.append(run)
+    return np.array(out, np.int64)
+
+
 @dataclass
 class Nearest:
     """matches: query, rank, idx, sim. met: (pairs, all_pairs) in one row: pairs of vectors in groups that met, of which
@@ -94,9 +105,9 @@ def every_nearest(vectors: DataFrame, k: int = 5, seed: int = 0, pivots: int | N
     root = int(np.ceil(np.sqrt(n)))
     count = max(1, min(pivots or root, PIVOT_BYTES // (8 * dims)))
     each = block_rows or max(min(1024, max(64, root // 4)), root)
-    group = 1
-    while group * 2 * each <= (group_rows or SIDE_BYTES // (8 * dims)):
-        group *= 2
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a vector goes to a group at most once, so few groups are sent least; as many as fill the tasks with meetings of two
+    wanted = max(1, min(group_rows or SIDE_BYTES // (8 * dims), max(each, -(-n // int(np.ceil(np.sqrt(parts)))))))
     centres = np.array([r.vec for r in once.orderBy(rng.bits(seed, F.col("rep")), "rep").limit(count).select("vec").collect()], np.float64)
     if angular:
         centres /= np.linalg.norm(centres, axis=1, keepdims=True)
@@ -125,19 +136,20 @@ def every_nearest(vectors: DataFrame, k: int = 5, seed: int = 0, pivots: int | N
                 out.append(base + block)
             yield batch.append_column("block", pa.array(out, pa.int64()))
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = once.select("rep", "vec").mapInArrow(place, "rep long, cell long, angle double, unit binary")
     placed = placed.repartitionByRange(parts, "cell", "angle", "rep").sortWithinPartitions("cell", "angle", "rep")
     placed = written(placed.mapInArrow(number, "rep long, cell long, angle double, unit binary, block long"), "placed")
     # the root of n rows
-    rows = placed.groupBy("block").agg(F.first("cell").alias("cell"), F.min("angle").alias("lo"), F.max("angle").alias("hi")).orderBy("block").collect()
-    blocks = spark.sparkContext.broadcast(tuple(np.array([r[c] for r in rows]) for c in ("block", "cell", "lo", "hi")))
+    rows = placed.groupBy("block").agg(F.first("cell").alias("cell"), F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("m")).orderBy("block").collect()
+    # groups are runs of blocks, across the tasks that numbered these, of at most `wanted` rows
+    group_of = _runs([r.m for r in rows], wanted)
+    blocks = spark.sparkContext.broadcast((*(np.array([r[c] for r in rows]) for c in ("block", "cell", "lo", "hi")), group_of))
+    of_block = F.broadcast(spark.createDataFrame([(r.block, g) for r, g in zip(rows, group_of.tolist())], "block long, b long"))
 
     def own(t: pa.Table) -> pa.Table:
         """A vector's best in its own block, and the groups of blocks that may hold better ones."""
         m, ids, here = _rows(t["unit"], dims), t["rep"].to_numpy(), t["block"][0].as_py()
-        names, cell, lo, hi = blocks.value
-        groups = names // group
+        names, cell, lo, hi, groups = blocks.value
         other, sims, goes = [], [], []
         step = max(1, CELLS // max(len(ids), len(names), len(sent.value)))
         for at in range(0, len(ids), step):
@@ -152,13 +164,14 @@ def every_nearest(vectors: DataFrame, k: int = 5, seed: int = 0, pivots: int | N
                 other.append(to[ends[i] : ends[i + 1]].tolist())
                 sims.append(sim[ends[i] : ends[i + 1]].tolist())
                 goes.append(np.unique(groups[near[i]]).tolist())
-        return pa.table({"rep": t["rep"], "block": t["block"], "unit": t["unit"], "other": pa.array(other, pa.list_(pa.int64())), "sims": pa.array(sims, pa.list_(pa.float64())), "goes": pa.array(goes, pa.list_(pa.int64()))})
+        return pa.table({"rep": t["rep"], "block": t["block"], "a": pa.array(np.repeat(groups[np.searchsorted(names, here)], len(ids)), pa.int64()), "unit": t["unit"], "other": pa.array(other, pa.list_(pa.int64())), "sims": pa.array(sims, pa.list_(pa.float64())), "goes": pa.array(goes, pa.list_(pa.int64()))})
 
-    asked = written(placed.groupBy("block").applyInArrow(own, "rep long, block long, unit binary, other array<long>, sims array<double>, goes array<long>"), "asked")
+    asked = written(placed.groupBy("block").applyInArrow(own, "rep long, block long, a long, unit binary, other array<long>, sims array<double>, goes array<long>"), "asked")
     # size(sims) is k where the own block gave a k-th best; below it nothing is worth sending on
-    left = asked.select(F.floor(F.col("block") / group).alias("a"), F.explode("goes").alias("b"), "rep", "block", "unit", F.when(F.size("sims") == k, F.element_at("sims", -1)).otherwise(float("-inf")).alias("least"))
+    left = asked.select("a", F.explode("goes").alias("b"), "rep", "block", "unit", F.when(F.size("sims") == k, F.element_at("sims", -1)).otherwise(float("-inf")).alias("least"))
     keys = left.select("a", "b").distinct()
-    right = keys.join(placed.select(F.floor(F.col("block") / group).alias("b"), "rep", "block", "unit"), "b").select(F.col("a").alias("a2"), F.col("b").alias("b2"), "rep", "block", "unit")
+    grouped = placed.join(of_block, "block")
+    right = grouped.join(F.broadcast(keys), "b").select(F.col("a").alias("a2"), F.col("b").alias("b2"), "rep", "block", "unit")
 
     def meet(l: pa.Table, r: pa.Table) -> pa.Table:
         out = []
@@ -167,7 +180,7 @@ def every_nearest(vectors: DataFrame, k: int = 5, seed: int = 0, pivots: int | N
             q, m, ids = _rows(l["unit"], dims), _rows(r["unit"], dims), r["rep"].to_numpy()
             reps, least = l["rep"].to_numpy(), l["least"].to_numpy()
             ours, theirs = l["block"].to_numpy(), r["block"].to_numpy()
-            names, cell, lo, hi = blocks.value
+            names, cell, lo, hi, _ = blocks.value
             at_names = np.searchsorted(names, theirs)
             inside = np.unique(at_names)
             step = max(1, CELLS // len(ids))
@@ -201,7 +214,7 @@ def every_nearest(vectors: DataFrame, k: int = 5, seed: int = 0, pivots: int | N
         named = best.drop("rank").join(firsts.select(F.col("rep").alias("other"), "idx"), "other")
         named = named.withColumn("rank", rank("idx")).where(F.col("rank") <= k).select("rep", "rank", "idx", "sim")
         matches = members.select(F.col("idx").alias("query"), "rep").join(named, "rep").select("query", "rank", "idx", "sim")
-    sizes = placed.groupBy(F.floor(F.col("block") / group).alias("b")).agg(F.count("*").alias("m"))
+    sizes = grouped.groupBy("b").agg(F.count("*").alias("m"))
     away = left.groupBy("b").agg(F.count("*").alias("q")).join(sizes, "b").select((F.col("q") * F.col("m")).alias("pairs"))
     home = placed.groupBy("block").agg((F.count("*") * F.count("*")).alias("pairs")).select("pairs")
     met = away.unionByName(home).agg(F.sum("pairs").alias("pairs"), F.lit(n * n).cast("long").alias("all_pairs"))
