@@ -21,6 +21,8 @@ from vecloom.llm.common import materialize, slim, steps, task_number
 from vecloom.llm.tokens import crc, default_tokenizer, encoder
 
 PIECE = np.dtype([("doc_id", "<i8"), ("null", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<i8")])
+#: Pieces of words that a worker keeps, and bytes of text that it encodes at a time: few, as idle workers of a pipeline keep what they have.
+KEPT_PIECES, STEP_BYTES = 300_000, 1 << 19
 #: A bin: final or to go on, its fill, its pieces in order.
 BIN = "bin_id long, final boolean, fill int, pieces binary"
 
@@ -85,11 +87,11 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, token
     path, block, end = tokenizer or default_tokenizer(), per_task, np.array([end_id], "<u4").tobytes()
 
     def first(batches):
-        enc, packer = encoder(path), _Packer(0, capacity, slack, block)
+        enc, packer = encoder(path, KEPT_PIECES), _Packer(0, capacity, slack, block)
 
         def rows():
             for batch in batches:
-                for part, texts in steps(batch):
+                for part, texts in steps(batch, limit=STEP_BYTES):
                     for doc, ids in zip(part.column(0).to_pylist(), enc.encode_all([t.decode("utf-8", "replace") for t in texts])):
                         ids += end
                         n, at, k = len(ids) // 4, 0, 0

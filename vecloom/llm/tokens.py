@@ -16,7 +16,7 @@ import zlib
 
 import numpy as np
 
-#: Pieces that a worker keeps.
+#: Pieces that a worker keeps at most, unless an operator asks for fewer. Half of them are those met since the last turn.
 KEPT_PIECES = 1_000_000
 #: New pieces that go to the library as one text.
 JOINED_PIECES = 128
@@ -36,11 +36,14 @@ def default_tokenizer() -> str:
 class Encoder(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kept = kept
+        #: Pieces from before the last turn; those that are met again come back from here.
+        self.before: dict[str, bytes] = {}
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         #: Whether an id's bytes start with a space.
@@ -70,24 +73,27 @@ class Encoder(dict):
         pieces = [None if _ODD.search(t) or (self.special and self.special.search(t)) else _PIECE.findall(t) for t in texts]
         found = [None if p is None else list(map(self.get, p)) for p in pieces]
         # ids are never empty, but for bytes that a vocabulary lacks, which are looked up once more below
-        new = list(set(itertools.chain.from_iterable(itertools.compress(p, map(operator.not_, f)) for p, f in zip(pieces, found) if p)))
-        if len(self) + len(new) > KEPT_PIECES:
+        new = set(itertools.chain.from_iterable(itertools.compress(p, map(operator.not_, f)) for p, f in zip(pieces, found) if p))
+        known = {p: self.before[p] for p in new & self.before.keys()}
+        if self and len(self) + len(new) > self.kept // 2:
+            self.before = dict(self)
             self.clear()
-        self._add(new)
+        self.update(known)
+        self._add([p for p in new if p not in known])
         return [self.whole(t) if p is None else b"".join([i or self[q] for i, q in zip(f, p)]) for t, p, f in zip(texts, pieces, found)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int = KEPT_PIECES) -> Encoder:
     """The worker's encoder for a vocabulary file, which every worker has at the same path."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, kept) not in _encoders:
+        _encoders[path, kept] = Encoder(path, kept)
+    return _encoders[path, kept]
 
 
 def crc(ids: bytes) -> int:
