@@ -76,3 +76,29 @@ def test_documents_beyond_the_whole_trainers_limit(spark, monkeypatch):
     losses = [h["value"] for h in t.history if h["name"] == "train/loss"]
     assert len(losses) == 4 and losses[-1] < losses[0] - 0.05
     assert t.shards == 5 and t.vectors().count() == 2 * n
+
+
+@pytest.mark.parametrize("width", [1, 3])
+def test_groups_of_shards_and_pieces_of_cells(spark, monkeypatch, width):
+    """Terms are packed, shards meet in groups, and a cell of many terms comes apart: the same step."""
+    sizes = []
+    packer = sharded._packer
+    monkeypatch.setattr(sharded, "_packer", lambda *a: sizes.append(a[3]) or packer(*a))
+    monkeypatch.setattr(sharded, "MOST_TERMS", 100)
+    monkeypatch.setattr(sharded, "HELD", 200)
+    kind = dict(lr=0.05, negatives=2, epochs=1, steps_per_epoch=1, seed=3)
+    whole = sgns.Trainer(31, 5, **kind)
+    parts = sharded.ShardedTrainer(31, 5, **kind, spark=spark, rows=7).resume(whole.checkpoint(spark))
+    e = _examples(spark, width).cache()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        parts.fit(e)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    whole.fit(e)
+    assert sizes[0] > 1
+    got, want = ([h["value"] for h in t.history] for t in (parts, whole))
+    assert np.allclose(got, want, rtol=0, atol=1e-9) and len(got) > 3
+    for r in parts.vectors().collect():
+        assert np.allclose(r.vec, whole.params[r.side][r.idx], rtol=0, atol=1e-9)

@@ -1,7 +1,7 @@
 """Training of matrices that fit no machine: both sides and the optimizer's moments lie in shards.
 
 A side's shard s of S holds the rows with idx % S = s, so that frequent words spread over all shards. A step
-- counts the step's terms (context, output, positive or noise) once each,
+- packs the step's terms (context, output, positive or noise) by the shards that they join, four to six bytes each,
 - pairs each context shard with each output shard that a term joins: such a cell works out the gradients of
   the rows of both,
 - adds these up by shard in a tree, and moves each shard's rows where they lie.
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,11 @@ STATE = "side string, shard int, vec binary, m binary, v binary"
 PART = "side string, shard int, part int, blob binary, sums array<double>"
 #: Blobs that one task adds up.
 FAN = 16
-#: Terms that a cell works on at a time.
-TERMS = 1 << 15
+#: Terms that a cell works on at a time, that a task packs at a time, and that a piece of a cell has on average at most.
+TERMS, HELD, MOST_TERMS = 1 << 15, 1 << 22, 1 << 23
+#: Bytes of the shards that meet in a cell, at most, unless two have more.
+CELL_BYTES = 32 << 20
+PACKED = "sa int, sb int, flush int, noise binary, places binary, weights binary"
 
 
 def _parts(rows) -> pa.Table:
@@ -57,6 +61,53 @@ def added(parts: DataFrame, cells: int) -> DataFrame:
             return parts
 
 
+def _packer(wide: int, shards: int, height: int, span: int, kind):
+    """Examples (a, b, n, neg) as rows of PACKED: of each pair of groups of `span` shards the places (i * span * height + j) of its noise terms, once a draw, and those of
+    its positive ones with their numbers of occurrences, of at most sgns.OCCURRENCES."""
+
+    high, across = span * height, -(-shards // span)
+    group = lambda x, n: x % n // span
+    row = lambda x, n: x % n % span * height + x // n
+
+    def flushed(held, flush):
+        a, b, n, of, neg = (np.concatenate(c) for c in zip(*held))
+        sides = []
+        for x, y, w in ((a[of], neg, None), (a, b, n.astype(np.uint16))):
+            cell = group(x, wide) * across + group(y, shards)
+            order = np.argsort(cell, kind="stable")
+            cells, first = np.unique(cell[order], return_index=True)
+            place = (row(x, wide) * high + row(y, shards))[order].astype(kind)
+            sides.append((cells, np.append(first, len(place)), place, None if w is None else w[order]))
+        every = np.union1d(sides[0][0], sides[1][0])
+
+        def blobs(cells, ends, values):
+            at = np.searchsorted(cells, every)
+            here = at < len(cells)
+            here[here] = cells[at[here]] == every[here]
+            return pa.array([values[ends[k] : ends[k + 1]].tobytes() if h else b"" for k, h in zip(at, here)], pa.binary())
+
+        (c0, e0, p0, _), (c1, e1, p1, w1) = sides
+        return pa.record_batch([pa.array((every // across).astype(np.int32)), pa.array((every % across).astype(np.int32)), pa.array(np.full(len(every), flush, np.int32)), blobs(c0, e0, p0), blobs(c1, e1, p1), blobs(c1, e1, w1)], ["sa", "sb", "flush", "noise", "places", "weights"])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        held, rows, terms, flush = [], 0, 0, TaskContext.get().partitionId()
+        for t in batches:
+            if not t.num_rows:
+                continue
+            neg, draws = t.column(3).flatten().to_numpy(), pc.list_value_length(t.column(3)).to_numpy()
+            held.append((t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy(), rows + np.repeat(np.arange(t.num_rows), draws), neg))
+            rows, terms = rows + t.num_rows, terms + t.num_rows + len(neg)
+            if terms >= HELD:
+                yield flushed(held, flush)
+                held, rows, terms, flush = [], 0, 0, flush + 1
+        if held:
+            yield flushed(held, flush)
+
+    return run
+
+
 @dataclass
 class ShardedTrainer(Trainer):
     """Trainer for matrices of any size; the same examples, noise, dealing, losses and updates. `rows`: rows of a
@@ -137,17 +188,24 @@ class ShardedTrainer(Trainer):
         return self.table.where(F.col("side") == side).select("shard", F.col("vec").alias("blob"))
 
     @staticmethod
-    def _cells(links: DataFrame, a: DataFrame, b: DataFrame, work) -> DataFrame:
-        """links: sa, sb and what work(table, blob of a, blob of b) needs; a and b: shard, blob. Each pair of shards
-        that a link joins gives the rows (side, shard, part, blob, sums) of work."""
-        cells = links.select(F.col("sa").alias("ca"), F.col("sb").alias("cb")).distinct()
-        sides = [cells.join(x.select(F.col("shard").alias(s), "blob").hint("merge"), s).select("ca", "cb", F.lit(name).alias("side"), "blob") for x, s, name in ((a, "ca", "a"), (b, "cb", "b"))]
+    def _cells(links: DataFrame, a: DataFrame, b: DataFrame, work, span: int = 1) -> DataFrame:
+        """links: sa, sb (and piece, where several tasks share a pair) and what work(table, blob of a, blob of b) needs; a and b: shard, blob.
+        Each pair of shards that a link joins gives the rows (side, shard, part, blob, sums) of work. With a span sa and sb are groups of so many shards, whose
+        blobs lie one after the other."""
+        keys = [k for k in ("sa", "sb", "piece") if k in links.columns]
+        mine = ["ca", "cb", "cp"][: len(keys)]
+        cells = links.select(*(F.col(k).alias(c) for k, c in zip(keys, mine))).distinct()
+        group = F.floor(F.col("shard") / span).cast("int")
+        sides = [cells.join(x.select(group.alias(s), "shard", "blob").hint("merge"), s).select(*mine, F.lit(name).alias("side"), "shard", "blob") for x, s, name in ((a, "ca", "a"), (b, "cb", "b"))]
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            blobs = {s.as_py(): np.frombuffer(x.as_buffer()) for s, x in zip(right["side"], right["blob"])}
-            return _parts(work(left, blobs["a"], blobs["b"]) if left.num_rows else [])
+            if not left.num_rows:
+                return _parts([])
+            right = right.sort_by("shard")
+            whole = (np.concatenate([np.frombuffer(x.as_buffer()) for s, x in zip(right["side"], right["blob"]) if s.as_py() == side]) for side in "ab")
+            return _parts(work(left, *whole))
 
-        return links.groupBy("sa", "sb").cogroup(sides[0].unionByName(sides[1]).groupBy("ca", "cb")).applyInArrow(run, PART)
+        return links.groupBy(*keys).cogroup(sides[0].unionByName(sides[1]).groupBy(*mine)).applyInArrow(run, PART)
 
     def _contexts(self, examples: DataFrame):
         """(inputs, a: the number of a set of inputs; links from contexts to inputs; number of context shards). For skip-gram
@@ -196,32 +254,45 @@ class ShardedTrainer(Trainer):
         contexts, links, wide = self._contexts(examples)
         noisy = self._noisy(examples, number)
         noisy = noisy.withColumn("a", F.col("inputs")[0].cast("long")) if links is None else noisy.join(contexts, "inputs")
-        each = F.concat(F.array(F.struct(F.col("target").alias("b"), F.lit(1).alias("y"), F.col("n").alias("n"))), F.transform("neg", lambda x: F.struct(x.alias("b"), F.lit(0).alias("y"), F.lit(1).cast("long").alias("n"))))
-        terms = noisy.select("a", F.explode(each).alias("t")).groupBy("a", "t.b", "t.y").agg(F.sum("t.n").alias("n"))
-        terms = terms.select(F.pmod("a", F.lit(wide)).cast("int").alias("sa"), F.pmod("b", F.lit(shards)).cast("int").alias("sb"), F.floor(F.col("a") / wide).cast("int").alias("i"), F.floor(F.col("b") / shards).cast("int").alias("j"), "y", "n")
-        terms = written(terms, "terms")
+        # groups of shards meet, so that each shard goes to fewer cells; there are still enough of these for all tasks
+        tasks = 2 * int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        span = max(1, min(int(((wide * shards) / tasks) ** 0.5), CELL_BYTES // (height * dims * 16)))
+        high = span * height
+        kind = np.uint32 if high * high <= 1 << 32 else np.uint64
+        packed = noisy.select("a", F.col("target").cast("long").alias("b"), "n", F.col("neg").cast("array<long>").alias("neg")).mapInArrow(_packer(wide, shards, height, span, kind), PACKED)
+        table = written(packed, "terms")
+        size = table.agg(F.sum((F.length("noise") + F.length("places")) / kind().itemsize)).first()[0] or 0
+        # frequent pairs of shards in small vocabularies have more terms than a task may hold
+        groups = lambda n: -(-n // span)
+        pieces = max(1, int(-(-size // (MOST_TERMS * groups(wide) * groups(shards)))))
+        terms = table.withColumn("piece", F.pmod(F.hash("sa", "sb", "flush"), F.lit(pieces)).cast("int"))
 
         side = "input" if links is None else "context"
 
         def work(t, a, b):
             a, b = a.reshape(-1, dims), b.reshape(-1, dims)
             ga, gb, sums = np.zeros_like(a), np.zeros_like(b), np.zeros(6)
-            i, j, y, n = (t[c].to_numpy() for c in ("i", "j", "y", "n"))
-            for k in range(0, len(i), TERMS):
+            noise, places = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c in ("noise", "places"))
+            place = np.concatenate([places, noise])
+            n = np.concatenate([np.frombuffer(b"".join(t["weights"].to_pylist()), np.uint16), np.ones(len(noise), np.uint16)])
+            for k in range(0, len(place), TERMS):
                 s = slice(k, k + TERMS)
-                h, o, up, w = a[i[s]], b[j[s]], y[s] == 1, n[s]
+                i, j = np.divmod(place[s].astype(np.int64), high)
+                h, o, up, w = a[i], b[j], np.arange(k, k + len(i)) < len(places), n[s].astype(np.float64)
                 p = 1 / (1 + np.exp(-np.clip((h * o).sum(1) * np.where(up, 1, -1), -500, 500)))
                 c = np.where(p > FLOOR, np.where(up, p - 1, 1 - p), 0) * w
-                np.add.at(ga, i[s], c[:, None] * o)
-                np.add.at(gb, j[s], c[:, None] * h)
+                np.add.at(ga, i, c[:, None] * o)
+                np.add.at(gb, j, c[:, None] * h)
                 lost = w * -np.log(np.maximum(p, FLOOR))
                 sums += [w[up].sum(), lost[up].sum(), lost[~up].sum(), w[up & (p >= 0.5)].sum(), w[~up & (p <= 0.5)].sum(), w[~up].sum()]
-            sa, sb = t["sa"][0].as_py(), t["sb"][0].as_py()
-            return [(side, sa, sb, ga.tobytes(), [0.0] * 6), ("output", sb, sa, gb.tobytes(), sums.tolist())]
+            sa, sb, piece = (t[c][0].as_py() for c in ("sa", "sb", "piece"))
+            out = [(side, sa * span + k, sb * pieces + piece, g.tobytes(), [0.0] * 6) for k, g in enumerate(np.split(ga, len(ga) // height))]
+            # the figures of the loss come with the first shard
+            return out + [("output", sb * span + k, sa * pieces + piece, g.tobytes(), [0.0] * 6 if k else sums.tolist()) for k, g in enumerate(np.split(gb, len(gb) // height))]
 
         means = self._shards_of("input") if links is None else written(self._means(links, wide), "means")
-        parts = written(added(self._cells(terms, means, self._shards_of("output"), work), max(shards, wide)), "gradients")
-        left = [terms]
+        parts = written(added(self._cells(terms, means, self._shards_of("output"), work, span), groups(max(shards, wide)) * pieces), "gradients")
+        left = [table]
         if links is not None:
             back = self._back(links, parts.where("side = 'context'").select("shard", "blob"), wide)
             whole = written(parts.where("side = 'output'").unionByName(back), "gradients")
