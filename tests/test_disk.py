@@ -2,9 +2,13 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from vecloom.operators import sgns, storage
+from vecloom.functions import rng
+from vecloom.operators import graph, sgns, storage
+from vecloom.operators.splits import ranks
 
 
 def _exchanges(df):
@@ -35,3 +39,44 @@ def test_a_step_leaves_its_result_alone(spark):
     assert not any(os.path.exists(t._vecloom_path.removeprefix("file://")) for t in made)
     assert os.path.exists(out._vecloom_path.removeprefix("file://"))
     storage.drop(out)
+
+
+def _shuffled(spark, made):
+    """Rows shuffled while made() is worked out and read."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    args = (None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    before = {store.stageList(*args).apply(i).stageId() for i in range(store.stageList(*args).size())}
+    rows = made().collect()
+    stages = store.stageList(*args)
+    return rows, sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()) if stages.apply(i).stageId() not in before)
+
+
+def test_draws_and_pairs_are_not_shuffled(spark, monkeypatch):
+    arcs = spark.createDataFrame([(f"n{i}", f"n{j}") for i in range(200) for j in range(200) if (i * 7 + j) % 40 == 1 and i != j], "src string, dst string").cache()
+    near = {tuple(r) for r in arcs.collect()}
+    plain = {tuple(r) for r in graph.negative_edges(arcs, 6000, seed=4).collect()}
+    assert len(plain) == 6000 and not any((u, v) in near for _, u, v in plain)
+    others = graph.NonEdges(arcs)
+    monkeypatch.setattr(graph, "SENT_ROWS", 20)  # so that filters tell the draws, and let few pairs meet them
+    others.drawn(50).count()
+    rows, shuffled = _shuffled(spark, lambda: others.drawn(6000, seed=4))
+    assert {tuple(r) for r in rows} == plain
+    assert shuffled < 3000
+    monkeypatch.setattr(graph, "SENT_NODES", 10)  # names by joins
+    assert {tuple(r) for r in graph.negative_edges(arcs, 6000, seed=4).collect()} == plain
+
+
+@pytest.mark.parametrize("ratio", [0.0, 0.01, 0.5, 0.77, 1.0])
+def test_the_cut_of_edges_is_that_of_ranks(spark, ratio):
+    edges = spark.createDataFrame([(f"a{i}", f"b{i * i % 91}") for i in range(701)] + [("a1", "b1")] * 40, "src string, dst string")
+    got = sorted(tuple(r) for r in graph.train_edges(edges, ratio, seed=2).collect())
+    n = 741
+    want = ranks(edges, rng.bits(2, F.col("src"), F.col("dst")), ["src", "dst"], n=n).select("src", "dst", F.col("__r") <= round(ratio * n))
+    assert got == sorted(tuple(r) for r in want.collect())
+
+
+def test_edges_are_not_ranked_as_a_whole(spark):
+    edges = storage.written(spark.range(20000).select(F.col("id").cast("string").alias("src"), F.lit("x").alias("dst")), "edges")
+    rows, shuffled = _shuffled(spark, lambda: graph.train_edges(edges, 0.5, seed=1))
+    assert sum(r.train for r in rows) == 10000 and shuffled < 3000
+    storage.drop(edges)
