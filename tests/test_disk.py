@@ -1,13 +1,15 @@
 """What steps leave on disk: draws stay in their rows, tables and shuffles go with the step that made them."""
 
 import os
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
 from vecloom.functions import rng
-from vecloom.operators import graph, sgns, storage
+from vecloom.operators import graph, sgns, storage, vocabulary
 from vecloom.operators.splits import ranks
 
 
@@ -80,3 +82,20 @@ def test_edges_are_not_ranked_as_a_whole(spark):
     rows, shuffled = _shuffled(spark, lambda: graph.train_edges(edges, 0.5, seed=1))
     assert sum(r.train for r in rows) == 10000 and shuffled < 3000
     storage.drop(edges)
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_batches_count_their_own_pairs(spark, size):
+    texts = [[(i * i + k * (i % 5)) % 11 for k in range(i % 17)] for i in range(90)]
+    t = pa.table({"batch": [i // 8 for i in range(90)], "t": pa.array(texts, pa.list_(pa.int64()))})
+    want = Counter()
+    for i, x in enumerate(texts):
+        for at in range(2, len(x) - 2):
+            want.update((i // 8, x[at], x[at + d]) for d in (-2, -1, 1, 2))
+    got = [(r["batch"], r["input"], r["target"], r["n"]) for b in vocabulary._batch_pairs(iter(t.to_batches(max_chunksize=size)), 2) for r in b.to_pylist()]
+    assert len(got) == len(want) and {r[:3]: r[3] for r in got} == want
+    assert list(vocabulary._batch_pairs(iter([]), 2)) == []
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, ids array<int>")
+    as_text = rows.select("id", F.col("ids").cast("array<string>").alias("ids"))  # goes by windows
+    found = [sorted((r.batch, int(r.inputs[0]), int(r.target), r.n) for r in vocabulary.batch_examples(x, ["id"], 8, 2).collect()) for x in (rows, as_text)]
+    assert found[0] == found[1] and len(found[0]) > 100
