@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom.functions import rng
-from vecloom.operators import graph, sgns, storage, vocabulary
+from vecloom.operators import filters, graph, sgns, storage, triangles, vocabulary
 from vecloom.operators.splits import ranks
 
 
@@ -99,3 +99,25 @@ def test_batches_count_their_own_pairs(spark, size):
     as_text = rows.select("id", F.col("ids").cast("array<string>").alias("ids"))  # goes by windows
     found = [sorted((r.batch, int(r.inputs[0]), int(r.target), r.n) for r in vocabulary.batch_examples(x, ["id"], 8, 2).collect()) for x in (rows, as_text)]
     assert found[0] == found[1] and len(found[0]) > 100
+
+
+def test_wedges_are_tested_in_rounds(spark, monkeypatch):
+    """Where one filter can't hold all edges well, each round has its share of them, and no triangle is lost or found twice."""
+    full = spark.createDataFrame([(a, b, float(100 * a + b)) for a in range(24) for b in range(a + 1, 24) if (a + b) % 5], "lo long, hi long, w double")
+    n = full.count()
+    once = sorted(tuple(r) for r in triangles.triangles(full, n).collect())
+    monkeypatch.setattr(filters, "MOST_BITS", 1 << 20)
+    monkeypatch.setattr(triangles, "LEAST_BITS", (4 << 20) // n)
+    made = []
+    plain = filters.pair_filter
+    monkeypatch.setattr(filters, "pair_filter", lambda *a: made.append(a[2]) or plain(*a))
+    assert sorted(tuple(r) for r in triangles.triangles(full, n).collect()) == once and len(once) > 100
+    assert len(made) > 2
+
+
+def test_names_of_figures_by_list_and_by_join(spark, monkeypatch):
+    e = spark.createDataFrame([(f"n{i}", f"n{(i * j) % 31 + 40}", float(j)) for i in range(20) for j in range(1, 9)], "src string, dst string, weight double").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    rows = lambda: sorted(tuple(r) for r in triangles.second_order_figures(e, 4.0, 0.5).collect())
+    sent = rows()
+    monkeypatch.setattr(triangles, "SENT_NODES", 3)
+    assert rows() == sent and len(sent) == 2 * e.count()
