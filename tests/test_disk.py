@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from vecloom.functions import rng
+from vecloom.functions import rng, text
 from vecloom.operators import filters, graph, sgns, storage, triangles, vocabulary
 from vecloom.operators.splits import ranks
 
@@ -121,3 +121,33 @@ def test_names_of_figures_by_list_and_by_join(spark, monkeypatch):
     sent = rows()
     monkeypatch.setattr(triangles, "SENT_NODES", 3)
     assert rows() == sent and len(sent) == 2 * e.count()
+
+
+def test_walks_do_not_shuffle_all_arcs_at_each_step(spark, monkeypatch):
+    arcs = storage.written(spark.createDataFrame([(f"n{i}", f"n{j}", float(1 + (i * j) % 4)) for i in range(160) for j in range(160) if i != j and (i * i + j * j) % 3 == 0], "src string, dst string, weight double"), "arcs")
+    nodes = spark.createDataFrame([(f"n{i}",) for i in (0, 3, 7, 9)], "node string")
+    walk = lambda: graph.node2vec(arcs, 6, 2, 1.0, 0.5, seed=3, nodes=nodes)
+    rows, shuffled = _shuffled(spark, walk)
+    assert shuffled < 4 * arcs.count()  # once to the nodes; before, twice for each round of each step
+    plain = sorted(tuple(map(str, r)) for r in rows)
+    assert len(plain) == 8 and any(len(r.path) == 6 for r in rows)
+    monkeypatch.setattr(graph, "SENT_ROWS", 2)  # so that pairs go by a filter
+    monkeypatch.setattr(graph, "SPOKES", 16)  # draws of a walk fall in several blocks
+    assert sorted(tuple(map(str, r)) for r in walk().collect()) == plain
+
+
+def test_texts_move_once_and_changed_words_are_counted(spark, monkeypatch):
+    forms = spark.createDataFrame([(f"w{k}s", f"w{k}") for k in range(300)], "word string, final string")
+    texts = [(i, None if i == 5 else " ".join(f"W{(i * k) % 350}{'s' if k % 3 else ''}" for k in range(i % 40)) + " " * (i % 3)) for i in range(120)]
+    df = storage.written(spark.createDataFrame(texts, "id int, text string"), "texts")
+    table = {f"w{k}s": f"w{k}" for k in range(300)}
+    # texts once, and of each of four pieces its distinct words
+    for size, most in ((1 << 17, 120 + 4 * 300 + 300), (64, 10000)):
+        monkeypatch.setattr(text, "PIECE_WORDS", size)
+        rows, shuffled = _shuffled(spark, lambda: text._replaced(df, forms, "text", "n"))
+        for r in rows:
+            x = texts[r.id][1]
+            words = None if x is None else x.lower().split(" ")
+            assert r.text == (None if x is None else " ".join(table.get(w, w) for w in words))
+            assert r.n == (None if x is None else sum(w in table for w in words))
+        assert len(rows) == 120 and shuffled < most
